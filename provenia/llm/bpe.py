@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provenia.llm.common import workers_find_package
+
 #: Fixed values of word-end vocabularies: the pieces of a text, its white space (Unicode's White_Space), the end mark.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
@@ -128,6 +130,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     vocabulary is the path of a word-end BPE file, read on the driver (under 2 MB) and sent with the tasks. Null text is empty
     text and gives no ids. Rows keep their ids, null or repeated; other columns are not read. Rows are independent: no shuffle.
     """
+    workers_find_package(docs.sparkSession)
     with open(vocabulary, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * outputs

@@ -1,8 +1,10 @@
 """What the operators of this subpackage share: reading, intermediate tables, places in an order."""
 
+import os
 import re
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,13 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Python workers import this package from where the driver did; on a cluster it is installed there or sent with --py-files."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).parents[2])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
