@@ -9,6 +9,7 @@ from provenia.llm.bpe import bpe_round_trip
 from provenia.llm.chat import format_chats
 from provenia.llm.common import read
 from provenia.llm.exact_dedup import exact_dedup, fresh_index
+from provenia.llm.fingerprint import fingerprints
 from provenia.llm.secrets import scanned
 
 #: The folder of the public vocabulary files; a parameter of op1_bpe.
@@ -29,6 +30,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), F.col("escaped_turns").cast("long").alias("escaped_turns"), "identical")
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(read(spark, sf_dir, "documents"), fresh_index(spark, "op8-digests"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -41,6 +46,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_chat": op4_chat,
+    "op6_fingerprint": op6_fingerprint,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_secrets": op10_secrets,
 }
