@@ -10,6 +10,7 @@ from provenia.llm.chat import format_chats
 from provenia.llm.common import read
 from provenia.llm.exact_dedup import exact_dedup, fresh_index
 from provenia.llm.fingerprint import fingerprints
+from provenia.llm.lm import score_texts
 from provenia.llm.secrets import scanned
 
 #: The folder of the public vocabulary files; a parameter of op1_bpe.
@@ -22,6 +23,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> D
     return bpe_round_trip(read(spark, sf_dir, "documents"), f"{tokenizers}/word_bpe_49k.json", outputs=False)
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read(spark, sf_dir, "documents"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns = turns.unionByName(spark.createDataFrame(CONFLICT, "conv_id long, turn long, role string, text string"))
@@ -45,6 +50,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_lm": op3_lm,
     "op4_chat": op4_chat,
     "op6_fingerprint": op6_fingerprint,
     "op8_exact_dedup": op8_exact_dedup,
