@@ -10,6 +10,7 @@ from provenia.llm.chat import format_chats
 from provenia.llm.common import read
 from provenia.llm.exact_dedup import exact_dedup, fresh_index
 from provenia.llm.fingerprint import fingerprints
+from provenia.llm.jaccard import jaccard_classes
 from provenia.llm.lm import score_texts
 from provenia.llm.secrets import scanned
 
@@ -23,6 +24,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> D
     return bpe_round_trip(read(spark, sf_dir, "documents"), f"{tokenizers}/word_bpe_49k.json", outputs=False)
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(read(spark, sf_dir, "documents"))
+
+
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(read(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_jaccard": op2_jaccard,
     "op3_lm": op3_lm,
     "op4_chat": op4_chat,
     "op6_fingerprint": op6_fingerprint,
