@@ -12,6 +12,7 @@ from provenia.llm.exact_dedup import exact_dedup, fresh_index
 from provenia.llm.fingerprint import fingerprints
 from provenia.llm.jaccard import jaccard_classes
 from provenia.llm.lm import score_texts
+from provenia.llm.quality import fit_quality, quality_scores
 from provenia.llm.secrets import scanned
 
 #: The folder of the public vocabulary files; a parameter of op1_bpe.
@@ -40,6 +41,11 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), F.col("escaped_turns").cast("long").alias("escaped_turns"), "identical")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_scores(docs, fit_quality(docs, read(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read(spark, sf_dir, "documents"))
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard": op2_jaccard,
     "op3_lm": op3_lm,
     "op4_chat": op4_chat,
+    "op5_quality": op5_quality,
     "op6_fingerprint": op6_fingerprint,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_secrets": op10_secrets,
