@@ -12,8 +12,10 @@ from provenia.llm.exact_dedup import exact_dedup, fresh_index
 from provenia.llm.fingerprint import fingerprints
 from provenia.llm.jaccard import jaccard_classes
 from provenia.llm.lm import score_texts
+from provenia.llm.mixing import mix_order
 from provenia.llm.quality import fit_quality, quality_scores
 from provenia.llm.secrets import scanned
+from provenia.llm.substring_dedup import repeated_units
 
 #: The folder of the public vocabulary files; a parameter of op1_bpe.
 TOKENIZERS = "/opt/tokenizers"
@@ -50,11 +52,19 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_order(read(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(read(spark, sf_dir, "documents"), fresh_index(spark, "op8-digests"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_units(read(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(read(spark, sf_dir, "documents"))
 
@@ -66,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat": op4_chat,
     "op5_quality": op5_quality,
     "op6_fingerprint": op6_fingerprint,
+    "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_secrets": op10_secrets,
 }
