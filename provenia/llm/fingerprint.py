@@ -78,9 +78,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_rows = narrow.count()
     places = stage(with_position(narrow, [F.desc_nulls_last("doc_id"), "x"]), "fingerprint-places")
     before = places.select(F.pmod(F.col("pos") + 1, F.lit(max(n_rows, 1))).alias("pos"), F.col("k").alias("ck"), F.col("x").alias("cx"), (F.col("n") / 2).cast("long").alias("need"))
-    links = stage(places.join(before.hint("merge"), "pos").select("k", "x", "n", "copies", "ck", "cx", "need"), "fingerprint-links")
+    links = stage(places.join(before.hint("merge"), "pos").select("k", "x", "doc_id", "n", "copies", "ck", "cx", "need"), "fingerprint-links")
 
-    full = base.join(links.hint("merge"), ["k", "x"])
+    # both uses of `full` read the same columns of the texts, so that one exchange serves them
+    full = base.drop("doc_id").join(links.hint("merge"), ["k", "x"])
     given = full.select(F.col("ck").alias("k"), F.col("cx").alias("x"), F.substring("text", F.lit(1), F.col("need").cast("int")).alias("insert"), F.col("k").alias("nk"), F.col("x").alias("nx"), "copies")
     given = given.filter("copies = 1").unionByName(given.filter("copies > 1").dropDuplicates(["k", "x"])).drop("copies")
     own = full.select("k", "x", "doc_id", "text", "n").join(given.hint("merge"), ["k", "x"])
