@@ -16,7 +16,22 @@ from pyspark.sql import functions as F
 from provenia.llm.common import workers_find_package
 
 #: Fixed values of word-end vocabularies: the pieces of a text, its white space (Unicode's White_Space), the end mark.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The tokenizer's tables are of Unicode 16: letters and numbers of later versions, which `regex` knows already, are neither there.
+LATER_LETTERS = (
+    r"\u0558\u058B-\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F\uA7CE-\uA7CF\uA7D2\uA7D4\uA7DD\uA7E2\uA7F1\uAB6C-\uAB6D\U000107BB-\U000107BF\U00010940-\U00010959"
+    r"\U00010EC5-\U00010EC7\U00010ED9-\U00010EEE\U00011B0A\U00011DB0-\U00011DDB\U00011DF1\U00016EA0-\U00016EB8\U00016EBB-\U00016ED3\U00016FF2-\U00016FF3\U000187F8-\U000187FF"
+    r"\U00018CD6-\U00018CDA\U00018D09-\U00018D20\U00018D80-\U00018DF2\U00018E00-\U00019191\U000191A0-\U000191D2\U0001B123-\U0001B128\U0001B168\U0001D6A6\U0001DF1F-\U0001DF24"
+    r"\U0001DF2B-\U0001DF81\U0001DF90-\U0001DF96\U0001DFCD-\U0001DFFF\U0001E6C0-\U0001E6DE\U0001E6E0-\U0001E6E2\U0001E6E4-\U0001E6E5\U0001E6E7-\U0001E6ED\U0001E6F0-\U0001E6F4"
+    r"\U0001E6FE-\U0001E6FF\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U00033479\U0003D000-\U0003FC3F"
+)
+LATER_NUMBERS = r"\U00011DE0-\U00011DE9\U0001246F\U00012475-\U0001247F\U00012550-\U00012686\U00016FF4-\U00016FF6"
+PIECES = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{LATER_LETTERS}]]+|[\p{{N}}--[{LATER_NUMBERS}]]|[[^\s\p{{L}}\p{{N}}]||[{LATER_LETTERS}{LATER_NUMBERS}]]+"
+# Its lower case is of Unicode 17: (first, last, distance) of the capitals that Python's lower() doesn't know yet.
+LATER_CAPITALS = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1),
+    (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27),
+)
+LOWER = {c: c + by for first, last, by in LATER_CAPITALS for c in range(first, last + 1)} | {0x3A3: 0x3C3}
 WORD_END = "</w>"
 #: Python's split() takes these for white space; Unicode doesn't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -90,7 +105,7 @@ class Bpe(dict):
         return found
 
     def plain(self, part: str) -> bytes:
-        part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+        part = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).translate(LOWER).lower()
         return b"".join(map(self.word, self.pieces.findall(part)))
 
     def __missing__(self, chunk: str) -> bytes:

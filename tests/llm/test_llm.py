@@ -95,6 +95,19 @@ def test_bpe_of_any_text(text):
     assert b.decode(b.encode(text)) == t.decode(ids, skip_special_tokens=False)
 
 
+@needs_vocabulary
+def test_bpe_of_every_code_point():
+    """Each code point after a letter, a digit and a mark: its class and its lower case are the tokenizer's, whatever Unicode version Python and regex have."""
+    from tokenizers import Tokenizer
+
+    t = _cached("t", lambda: Tokenizer.from_file(VOCABULARY))
+    b = _cached("b", lambda: Bpe(Path(VOCABULARY).read_text()))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    blocks = ["".join(f"a{c} 1{c}: {c}" for c in points[i : i + 4000]) for i in range(0, len(points), 4000)]
+    for block, e in zip(blocks, t.encode_batch(blocks, add_special_tokens=False), strict=True):
+        assert np.frombuffer(b.encode(block), "<u4").tolist() == e.ids
+
+
 _kept: dict = {}
 
 
