@@ -8,6 +8,7 @@ import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
@@ -348,6 +349,21 @@ def test_mix_order(docs, empty):
     assert sorted(map(str, mixing.mixed(docs).collect())) == sorted(map(str, docs.collect()))
 
 
+def test_mix_keeps_to_the_weights_over_many_periods(spark):
+    """After each slot, each source that isn't used up is less than a block from its weight's own share, however long the data."""
+    for weights, sizes in ((None, {"a": 3001, "b": 3001, "c": 3001}), ({"a": 1, "b": 0.0001}, {"a": 12_000, "b": 2}), ({"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 1400, "b": 10, "c": 200}), ({"a": 0.123456789012, "b": 98765.4321}, {"a": 1, "b": 3000})):
+        df = spark.createDataFrame([(i, s) for s, n in sizes.items() for i in range(n)], "doc_id long, source string")
+        out = sorted(mixing.mix_order(df, weights, block=1).collect(), key=lambda r: r.slot)
+        assert Counter(r.source for r in out) == Counter(sizes) and [r.position for r in out] == list(range(len(out))) and len({r.slot for r in out}) == len(out)
+        told = {s: Fraction(str((weights or {}).get(s, 1))) for s in sizes}
+        done, total = Counter(), sum(told.values())
+        for r in out:
+            assert r.release <= r.slot < r.deadline and r.block == done[r.source]
+            for at in (r.slot, r.slot + 1):  # slots before and after this one; those between two rows are empty
+                assert all(abs(done[s] - at * told[s] / total) < 1 for s in told if done[s] < sizes[s])
+                done[r.source] += at == r.slot
+
+
 # --- 8 exact dedup
 
 
