@@ -62,7 +62,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_units(read(spark, sf_dir, "documents"))
+    """Repeated lines in runs of LEAST_WORDS words, as its SQL answer has them; op9_repeated_lines has all."""
+    return repeated_units(read(spark, sf_dir, "documents")).drop("run_words")
+
+
+def op9_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every later occurrence of a line, with the words of its run of repeated lines."""
+    return repeated_units(read(spark, sf_dir, "documents"), least_words=1)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,5 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op9_repeated_lines": op9_repeated_lines,
     "op10_secrets": op10_secrets,
 }

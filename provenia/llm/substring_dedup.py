@@ -28,10 +28,10 @@ def units(text: str, paragraphs: bool = False) -> Iterator[tuple[int, int, int,
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, paragraphs: bool = False) -> DataFrame:
-    """A row for each unit to remove: doc_id, unit (its number among the units with words), start, stop, n_words, kept_doc_id, kept_start.
+    """A row for each unit to remove: doc_id, unit (its number among the units with words), start, stop, n_words, kept_doc_id, kept_start, run_words.
 
     A unit stays where it occurs first, by id (null ids last), then by offset; of rows with the same id one is first. Later ones go, in the same document too, if
-    they stand in a run of repeated units of least_words words or more together. Null and empty texts, and blank units, have none.
+    they stand in a run of repeated units of least_words words or more together (run_words); with least_words=1 all later ones do. Null and empty texts, and blank units, have none.
     Documents without repeated units give no rows. Other columns are not read.
 
     Texts are read once; digests are grouped with a partial minimum before the shuffle, and only those that occur twice are joined
@@ -55,7 +55,7 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_row = Window.partitionBy("row").orderBy("unit")
     again = again.withColumn("run", F.col("unit") - F.row_number().over(by_row)).withColumn("run_words", F.sum("words").over(Window.partitionBy("row", "run")))
     again = again.filter(F.col("run_words") >= least_words)
-    return again.select("doc_id", "unit", "start", "stop", F.col("words").alias("n_words"), F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
+    return again.select("doc_id", "unit", "start", "stop", F.col("words").alias("n_words"), F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"), "run_words")
 
 
 def without(text: F.Column, spans: F.Column) -> F.Column:

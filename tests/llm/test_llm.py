@@ -426,6 +426,23 @@ def test_repeated_lines(spark):
     assert substring_dedup.repeated_units(df.limit(0)).count() == 0
 
 
+def test_every_later_line_is_found(spark, tmp_path):
+    from provenia.llm.queries import QUERIES
+
+    rows = [(2, "own two\nAll rights  reserved.\nmore"), (1, "all rights reserved.\nown one"), (3, "more\n\nall rights reserved.\nall rights reserved."), (None, "own one"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, want = {}, []
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        for u, (start, stop, n, digest) in enumerate(substring_dedup.units(t or "")):
+            if digest in seen:
+                want.append((d, u, start, stop, n, *seen[digest]))
+            seen.setdefault(digest, (d, start))
+    got = QUERIES["op9_repeated_lines"](spark, str(tmp_path))
+    same(got, want, "doc_id", "unit", "start", "stop", "n_words", "kept_doc_id", "kept_start")
+    assert len(want) == 5 and {(r.doc_id, r.unit): r.run_words for r in got.collect()}[3, 1] == 7
+    assert QUERIES["op9_substring_dedup"](spark, str(tmp_path)).count() == 0
+
+
 # --- 10 secrets
 
 
