@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenia.llm.bpe import bpe_round_trip
-from provenia.llm.common import read, stage
-from provenia.llm.exact_dedup import drop_exact_copies, fresh_index
+from provenia.llm.common import free_name, read, stage, with_position
+from provenia.llm.exact_dedup import drop_exact_copies, fresh_index, normalised
 from provenia.llm.jaccard import jaccard_classes
 from provenia.llm.mixing import mixed
 from provenia.llm.quality import fit_quality, quality_scores
@@ -25,9 +25,17 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id."""
-    lost = jaccard_classes(docs).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near copies, that of the smallest id, null last; of rows with the same id that of the least digest.
+
+    Texts move only if some doc_id is null or not unique: then rows go by their places in that order.
+    """
+    if docs.groupBy("doc_id").count().filter((F.col("count") > 1) | F.col("doc_id").isNull()).isEmpty():
+        lost = jaccard_classes(docs).filter("doc_id <> component_id").select("doc_id")
+        return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    place = free_name(docs, "near_place")
+    rows = with_position(docs, [F.asc_nulls_last("doc_id"), F.sha2(normalised(F.col("text")), 256)], place)
+    lost = jaccard_classes(rows, id_col=place).filter("doc_id <> component_id").select(F.col("doc_id").alias(place))
+    return rows.join(lost, place, "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

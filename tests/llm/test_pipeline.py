@@ -1,5 +1,6 @@
 """Each stage of the pipeline on its own input, against plain Python."""
 
+import hashlib
 import re
 from collections import Counter
 from pathlib import Path
@@ -45,6 +46,18 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in after} == set(before) and all(r.n_tokens > 0 for r in after)
 
 
+def test_near_copies_by_row(spark):
+    """An id may stand on several rows or be null: one row of each group stays, and no text is lost with another's."""
+    words = lambda p: " ".join(f"{p}{i}" for i in range(60))
+    rows = [(1, words("a")), (2, words("a") + " z"), (2, words("b")), (3, words("c")), (3, words("c") + " z"), (None, words("a") + " y"), (None, words("d")), (None, words("d") + " z"), (4, None), (4, "")]
+    got = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert len(got) == 6 and Counter(r.doc_id for r in got) == {1: 1, 2: 1, 3: 1, None: 1, 4: 2}
+    texts = {r.doc_id: r.text for r in got}
+    least = lambda *x: min(x, key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert texts[1] == words("a") and texts[2] == words("b")
+    assert texts[3] == least(words("c"), words("c") + " z") and texts[None] == least(words("d"), words("d") + " z")
+
+
 def test_run_is_registered(spark):
     import __spark_entry__ as entry
 
