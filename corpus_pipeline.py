@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenia.llm.bpe import bpe_round_trip
-from provenia.llm.common import free_name, read, stage, with_position
+from provenia.llm.common import free_name, read, stage, with_position, with_written_position
 from provenia.llm.exact_dedup import drop_exact_copies, fresh_index, normalised
 from provenia.llm.jaccard import jaccard_classes
 from provenia.llm.mixing import mixed
@@ -44,8 +44,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The digests of each document's token ids and of the text decoded from them."""
-    return bpe_round_trip(docs, VOCABULARY, outputs=False)
+    """The digests of each document's token ids and of the text decoded from them, and its position in the mix: docs is the mix as written."""
+    return bpe_round_trip(with_written_position(docs), VOCABULARY, outputs=False, keep=("position",))
 
 
 STAGES = [("quality", quality), ("exact dedup", exact), ("near duplicates", near), ("mix", mix), ("encode", encode)]

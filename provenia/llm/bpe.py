@@ -139,8 +139,8 @@ def _vocabulary(spec: str) -> Bpe:
     return _loaded[key]
 
 
-def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", outputs: bool = True) -> DataFrame:
-    """Encodes and decodes every whole text: doc_id, n_tokens, ids_sha256, decoded_sha256, and with outputs ids (array of int) and decoded.
+def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", outputs: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Encodes and decodes every whole text: doc_id, n_tokens, ids_sha256, decoded_sha256, and with outputs ids (array of int) and decoded; then the columns to keep.
 
     vocabulary is the path of a word-end BPE file, read on the driver (under 2 MB) and sent with the tasks. Null text is empty
     text and gives no ids. Rows keep their ids, null or repeated; other columns are not read. Rows are independent: no shuffle.
@@ -148,7 +148,9 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     workers_find_package(docs.sparkSession)
     with open(vocabulary, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * outputs
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[2:])
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * outputs + kept
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _vocabulary(spec.value)
@@ -162,6 +164,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
             kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
             columns = [batch.column(0), *(pa.array(x, k) for x, k in zip(rows, kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(columns[: len(columns) if outputs else 4], names[: len(columns) if outputs else 4])
+            n = len(columns) if outputs else 4
+            yield pa.RecordBatch.from_arrays(columns[:n] + batch.columns[2:], names[:n] + list(keep))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(coded, schema)
+    return base.mapInArrow(coded, schema)

@@ -83,6 +83,22 @@ def with_position(df: DataFrame, order: list, name: str = "pos") -> DataFrame:
     return out.drop("_part", "_in", "_first", "_before")
 
 
+def with_written_position(df: DataFrame, name: str = "position") -> DataFrame:
+    """df, read from files that Spark wrote, with each row's place from 0 in the order in which it was written: part by part, row by row.
+
+    Reading deals files out in another order; their names and the rows' numbers in them stay. One row for each file meets in one
+    place and is broadcast.
+    """
+    made = [free_name(df, f"{name}_{x}") for x in ("part", "piece", "row", "first", "rows")]
+    part, piece, row, first, rows = made
+    path = F.col("_metadata.file_path")
+    of = lambda k: F.regexp_extract(path, r"/part-(\d+)-[^/]*[-.]c(\d+)[^/]*$", k).cast("long")
+    out = df.select("*", of(1).alias(part), of(2).alias(piece), F.col("_metadata.row_index").alias(row))
+    before = Window.orderBy(part, piece).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = out.groupBy(part, piece).agg(F.count("*").alias(rows)).select(part, piece, F.coalesce(F.sum(rows).over(before), F.lit(0)).alias(first))
+    return out.join(F.broadcast(firsts), [part, piece]).withColumn(name, F.col(first) + F.col(row)).select(*df.columns, name)
+
+
 def literal(text: str) -> str:
     """A regular expression for the text itself, in Java's and RE2's dialect alike."""
     return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", text)

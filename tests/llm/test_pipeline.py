@@ -58,6 +58,19 @@ def test_near_copies_by_row(spark):
     assert texts[3] == least(words("c"), words("c") + " z") and texts[None] == least(words("d"), words("d") + " z")
 
 
+def test_order_of_the_mix_reaches_the_end(spark, tmp_path):
+    """Each document's position in the last stage is its place in the schedule; small files' row counts differ, and readers deal them out by size."""
+    from provenia.llm.mixing import mix_order
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.limit(190).union(docs.limit(190).selectExpr("doc_id + 100000", *[c for c in docs.columns if c != "doc_id"]).limit(50))
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    corpus_pipeline.mix(spark, docs, SF).write.option("maxRecordsPerFile", 30).parquet(f"{tmp_path}/mix")
+    got = {r.doc_id: r.position for r in corpus_pipeline.encode(spark, spark.read.parquet(f"{tmp_path}/mix"), SF).collect()}
+    assert len(got) == 240 and got == {r.doc_id: r.position for r in mix_order(docs).collect()}
+
+
 def test_run_is_registered(spark):
     import __spark_entry__ as entry
 
