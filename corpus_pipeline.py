@@ -44,8 +44,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The digests of each document's token ids and of the text decoded from them, and its position in the mix: docs is the mix as written."""
-    return bpe_round_trip(with_written_position(docs), VOCABULARY, outputs=False, keep=("position",))
+    """Each document's token ids, their digest and that of the text decoded from them, and its position in the mix: docs is the mix as written."""
+    return bpe_round_trip(with_written_position(docs), VOCABULARY, decoded=False, keep=("position",))
 
 
 STAGES = [("quality", quality), ("exact dedup", exact), ("near duplicates", near), ("mix", mix), ("encode", encode)]

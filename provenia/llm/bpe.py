@@ -139,8 +139,8 @@ def _vocabulary(spec: str) -> Bpe:
     return _loaded[key]
 
 
-def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", outputs: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Encodes and decodes every whole text: doc_id, n_tokens, ids_sha256, decoded_sha256, and with outputs ids (array of int) and decoded; then the columns to keep.
+def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", outputs: bool = True, decoded: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Encodes and decodes every whole text: doc_id, n_tokens, ids_sha256, decoded_sha256, and with outputs ids (array of int) and, unless decoded=False, decoded; then the columns to keep.
 
     vocabulary is the path of a word-end BPE file, read on the driver (under 2 MB) and sent with the tasks. Null text is empty
     text and gives no ids. Rows keep their ids, null or repeated; other columns are not read. Rows are independent: no shuffle.
@@ -150,7 +150,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
     kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[2:])
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * outputs + kept
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * outputs + ", decoded string" * (outputs and decoded) + kept
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _vocabulary(spec.value)
@@ -159,12 +159,12 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
             for text in batch.column(1):
                 ids = bpe.encode(text.as_py() or "")
                 back = bpe.decode(ids)
-                for to, x in zip(rows, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), np.frombuffer(ids, "<u4").astype("int32") if outputs else None, back if outputs else None), strict=True):
+                for to, x in zip(rows, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), np.frombuffer(ids, "<u4").astype("int32") if outputs else None, back if outputs and decoded else None), strict=True):
                     to.append(x)
             kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
             columns = [batch.column(0), *(pa.array(x, k) for x, k in zip(rows, kinds, strict=True))]
-            n = len(columns) if outputs else 4
+            n = 4 + outputs + (outputs and decoded)
             yield pa.RecordBatch.from_arrays(columns[:n] + batch.columns[2:], names[:n] + list(keep))
 
     return base.mapInArrow(coded, schema)

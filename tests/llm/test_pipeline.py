@@ -71,6 +71,16 @@ def test_order_of_the_mix_reaches_the_end(spark, tmp_path):
     assert len(got) == 240 and got == {r.doc_id: r.position for r in mix_order(docs).collect()}
 
 
+def test_encode_returns_the_ids(spark, tmp_path):
+    import struct
+
+    spark.read.parquet(f"{SF}/documents.parquet").limit(40).write.parquet(f"{tmp_path}/mix")
+    out = corpus_pipeline.encode(spark, spark.read.parquet(f"{tmp_path}/mix"), SF)
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "position"]
+    for r in out.collect():
+        assert len(r.ids) == r.n_tokens and hashlib.sha256(struct.pack(f"<{r.n_tokens}I", *r.ids)).hexdigest() == r.ids_sha256
+
+
 def test_run_is_registered(spark):
     import __spark_entry__ as entry
 
