@@ -1,6 +1,5 @@
 """Quality classifier: a small byte-level convolutional network in numpy."""
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -8,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenia.llm.common import workers_find_package
+from provenia.llm.common import stage, unstage, workers_find_package
 
 #: Bytes a filter sees, filters, lags at which a byte is compared with an earlier one, units above them.
 WIDTH, FILTERS, LAGS, UNITS = 5, 8, range(2, 26), 8
@@ -113,10 +112,22 @@ def in_fold(x, folds: int, fold: int) -> F.Column:
     return F.crc32(F.coalesce(x.cast("string"), F.lit("null"))) % folds == fold
 
 
+def shortest(texts: DataFrame, told: DataFrame) -> list[str]:
+    """The shortest texts of told's ids, SAMPLE at most and of SAMPLE * SAMPLE_BYTES bytes together, but one at least; none if no text has such an id."""
+    n = F.octet_length("text").alias("n")
+    least = texts.select("doc_id", n).join(told.select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min("n").alias("n")).orderBy("n", "doc_id").limit(SAMPLE).collect()
+    total = np.cumsum([r["n"] for r in least])
+    chosen = [(r["doc_id"], r["n"]) for i, r in enumerate(least) if i == 0 or total[i] <= SAMPLE * SAMPLE_BYTES]
+    ids = texts.sparkSession.createDataFrame(chosen, "doc_id long, n int")
+    found = texts.select("doc_id", "text", n).join(F.broadcast(ids), ["doc_id", "n"]).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    return [r["text"] for r in sorted(found, key=lambda r: r["doc_id"])]
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1) -> Network | None:
     """A network fitted to a bounded sample of the labelled rows that aren't held out; None if they don't hold both labels.
 
     Ids with two different labels, and null ids or labels, train nothing. The ids are chosen on the labels alone; only the sample's texts move.
+    Of an id on several rows the least text counts, once. Where none of a label's chosen ids has a text of SAMPLE_BYTES at most, `shortest` chooses.
     """
     told = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~in_fold(F.col("doc_id"), folds, held_fold))
     told = told.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).filter("quality = _most").select("doc_id", "quality")
@@ -125,12 +136,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: i
     for label in (0, 1):  # twice as many as needed, since long texts stay out
         some = told.filter(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE)
         chosen = some if chosen is None else chosen.unionByName(some)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "doc_id")
-    rows = sorted(((r["quality"], zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"]) for r in texts.collect()), key=lambda r: r[:3])
-    rows = [r for label in (0, 1) for r in [x for x in rows if x[0] == label][:SAMPLE]]
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    short = texts.filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    short = stage(short, "quality-sample")
+    rows: list[tuple[int, str]] = []
+    for label in (0, 1):
+        own = short.filter(F.col("quality") == label).orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id").limit(SAMPLE).collect()
+        rows += [(label, r["text"]) for r in own] or [(label, t) for t in shortest(texts, told.filter(F.col("quality") == label))]
+    unstage(short)
     if len({r[0] for r in rows}) < 2:
         return None
-    return Network().fit([r[3].encode("utf-8", "surrogatepass") for r in rows], [r[0] for r in rows], share)
+    return Network().fit([r[1].encode("utf-8", "surrogatepass") for r in rows], [r[0] for r in rows], share)
 
 
 def quality_scores(docs: DataFrame, model: Network | None, folds: int = 3, held_fold: int = 1) -> DataFrame:

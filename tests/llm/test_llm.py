@@ -285,6 +285,17 @@ def test_network_gradients():
         assert abs((up - down) / 2e-2 - g[k][at]) < 2e-2 * max(1, abs(g[k][at]))
 
 
+def test_quality_sample_is_one_text_an_id_and_has_long_ones(spark):
+    rows = [(i, f"{'good' if i % 2 else 'bad'} text {i} " * 5) for i in range(40)]
+    df = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = quality.fit_quality(df(rows), labels)
+    again = quality.fit_quality(df(rows + [r for r in rows if r[0] < 9] * 7), labels)
+    assert all((model.p[k] == again.p[k]).all() for k in model.p)  # a repeated id counts once
+    long = quality.fit_quality(df([(i, t * 600 if i % 2 else t) for i, t in rows]), labels)
+    assert long is not None and quality.fit_quality(df([r for r in rows if r[0] % 2]), labels) is None
+
+
 # --- 6 fingerprints
 
 
