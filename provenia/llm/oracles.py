@@ -33,13 +33,16 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr
 CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
 CAST(sum(length(body) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 ELSE 16 + length(role) END) AS BIGINT) AS formatted_chars, count(*) FILTER (odd) AS escaped_turns, true AS identical FROM f GROUP BY conv_id"""
 
+CUT = """string_split(regexp_replace(line, '([.!?])([\\x20\\x09-\\x0D])', '\\1' || chr(10) || '\\2', 'g'), chr(10))"""
 SUBSTRING = f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
-o AS (SELECT *, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) AS unit_text FROM l),
-u AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS unit, CAST(len(string_split(unit_text, ' ')) AS INTEGER) AS n_words FROM o WHERE unit_text <> ''),
+c AS (SELECT doc_id, i, {CUT} AS pieces FROM l),
+p AS (SELECT doc_id, i, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS j, len(pieces) AS n FROM c),
+o AS (SELECT *, CAST(coalesce(sum(length(piece) + CAST(j = n AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, trim(translate(regexp_replace(piece, '{SPACE}', ' ', 'g'), {LETTERS})) AS unit_text FROM p),
+u AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS INTEGER) AS unit, CAST(len(string_split(unit_text, ' ')) AS INTEGER) AS n_words FROM o WHERE unit_text <> ''),
 g AS (SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start, row_number() OVER w AS nth FROM u WINDOW w AS (PARTITION BY unit_text ORDER BY doc_id, unit)),
 a AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM g WHERE nth > 1),
 s AS (SELECT *, sum(n_words) OVER (PARTITION BY doc_id, run) AS words FROM a)
-SELECT doc_id, unit, start, start + length(line) AS stop, n_words, kept_doc_id, kept_start FROM s WHERE words >= {LEAST_WORDS}"""
+SELECT doc_id, unit, start, start + length(piece) AS stop, n_words, kept_doc_id, kept_start, CAST(words AS BIGINT) AS run_words FROM s WHERE words >= """
 
 _KINDS = "['assign', 'access', 'hex', 'bare']"
 SECRETS = (
@@ -54,4 +57,4 @@ SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind =
 coalesce(string_agg(said, ',' ORDER BY start, kind), '') AS spans, count(*) FILTER (class = 'live') AS n_live, count(*) FILTER (class = 'example') AS n_example FROM d LEFT JOIN s ON s.row = d.row GROUP BY d.row, d.doc_id"""
 )
 
-ORACLES = {"op2_jaccard": JACCARD, "op4_chat": CHAT, "op8_exact_dedup": EXACT, "op9_substring_dedup": SUBSTRING, "op10_secrets": SECRETS}
+ORACLES = {"op2_jaccard": JACCARD, "op4_chat": CHAT, "op8_exact_dedup": EXACT, "op9_substring_dedup": f"{SUBSTRING}{LEAST_WORDS}", "op9_repeated_units": f"{SUBSTRING}1", "op9_repeated_lines": f"{SUBSTRING}1".replace(CUT, "[line]"), "op10_secrets": SECRETS}

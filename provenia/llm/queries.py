@@ -62,15 +62,20 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated lines in runs of LEAST_WORDS words, as its SQL answer has them; op9_repeated_lines has all."""
-    return repeated_units(read(spark, sf_dir, "documents")).drop("run_words")
+    """Repeated sentences in runs of LEAST_WORDS words; op9_repeated_units has every later occurrence."""
+    return repeated_units(read(spark, sf_dir, "documents"))
 
 
-def op9_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every later occurrence of a line, with the words of its run of repeated lines."""
+def op9_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every later occurrence of a sentence, with the words of its run of repeated sentences."""
     return repeated_units(read(spark, sf_dir, "documents"), least_words=1)
 
 
+def op9_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every later occurrence of a whole line, with the words of its run of repeated lines."""
+    return repeated_units(read(spark, sf_dir, "documents"), least_words=1, by="line")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(read(spark, sf_dir, "documents"))
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op9_repeated_units": op9_repeated_units,
     "op9_repeated_lines": op9_repeated_lines,
     "op10_secrets": op10_secrets,
 }

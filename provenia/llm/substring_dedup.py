@@ -1,53 +1,64 @@
-"""Substring deduplication by line hashing: repeated lines are removed but for their first occurrence, with their offsets."""
+"""Substring deduplication by hashing lines and their sentences: repeated units are removed but for their first occurrence, with their offsets."""
 
-import hashlib
+import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from provenia.llm.common import stage, unstage, workers_find_package
+from provenia.llm.common import free_name, stage, unstage, workers_find_package
 
-#: Words that repeated lines in a row have together before they are removed; a lone short line may repeat by chance.
-LEAST_WORDS = 20
+#: Words that repeated units in a row have together before they are removed; a lone short sentence may repeat by chance. Half the length of the
+#: passages meant (50 words), whose first and last sentences may be joined with others where they stand.
+LEAST_WORDS = 25
+#: Where a line is cut: before white space that follows the end of a sentence.
+SENTENCE_END = re.compile(r"(?<=[.!?])(?=[\x20\x09-\x0D])")
 
 
-def units(text: str, paragraphs: bool = False) -> Iterator[tuple[int, int, int, bytes]]:
-    """(start, stop, words, digest) of each line, or with paragraphs of each passage between blank lines, that has a word; offsets in code points.
+def units(text: str, by: str = "sentence") -> Iterator[tuple[int, int, int, bytes]]:
+    """(start, stop, words, digest) of each unit that has a word; offsets in code points.
 
-    Normalised: lower case, each run of white space one space.
+    Units are, by "sentence", the sentences of each line, the white space before a sentence with it; by "line" whole lines; by "paragraph" the
+    passages between blank lines. Normalised: A-Z in lower case, each run of ASCII white space one space.
     """
     at = 0
-    for part in text.split("\n\n" if paragraphs else "\n"):
-        words = part.lower().split()
-        if words:
-            yield at, at + len(part), len(words), hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        at += len(part) + (2 if paragraphs else 1)
+    between = "\n\n" if by == "paragraph" else "\n"
+    for part in text.split(between):
+        for piece in SENTENCE_END.split(part) if by == "sentence" else [part]:
+            words = piece.encode("utf-8", "surrogatepass").lower().split()
+            if words:
+                yield at, at + len(piece), len(words), blake2b(b" ".join(words), digest_size=16).digest()
+            at += len(piece)
+        at += len(between)
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, paragraphs: bool = False) -> DataFrame:
-    """A row for each unit to remove: doc_id, unit (its number among the units with words), start, stop, n_words, kept_doc_id, kept_start, run_words.
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, by: str = "sentence", row_col: str | None = None) -> DataFrame:
+    """A row for each unit to remove: doc_id, unit (its number among the units with words), start, stop, n_words, kept_doc_id, kept_start, run_words, and row with row_col.
 
     A unit stays where it occurs first, by id (null ids last), then by offset; of rows with the same id one is first. Later ones go, in the same document too, if
     they stand in a run of repeated units of least_words words or more together (run_words); with least_words=1 all later ones do. Null and empty texts, and blank units, have none.
-    Documents without repeated units give no rows. Other columns are not read.
+    Documents without repeated units give no rows. Other columns are not read. row_col names a column of longs that tells rows apart.
 
     Texts are read once; digests are grouped with a partial minimum before the shuffle, and only those that occur twice are joined
-    back, by an exchange on both sides that adaptive execution splits where a line is very frequent.
+    back, by an exchange on both sides that adaptive execution splits where a unit is very frequent.
     """
+    if by not in ("sentence", "line", "paragraph"):
+        raise ValueError(f"no unit: {by}")
     workers_find_package(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [list(units(t.as_py() or "", paragraphs)) for t in b.column(1)]
+            found = [list(units(t.as_py() or "", by)) for t in b.column(2)]
             column = lambda k, kind: pa.array([[u[k] for u in x] for x in found], pa.list_(kind))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([b.column(0), column(0, pa.int64()), column(1, pa.int64()), column(2, pa.int32()), column(3, pa.binary())], ["doc_id", "start", "stop", "words", "digest"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), column(0, pa.int64()), column(1, pa.int64()), column(2, pa.int32()), column(3, pa.binary())], ["given", "doc_id", "start", "stop", "words", "digest"])
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cuts = base.mapInArrow(cut, "doc_id long, start array<long>, stop array<long>, words array<int>, digest array<binary>")
-    cuts = stage(cuts.withColumn("row", F.monotonically_increasing_id()), "units")
+    given = F.col(row_col).cast("long") if row_col else F.lit(None).cast("long")
+    base = docs.select(given.alias("given"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    cuts = base.mapInArrow(cut, "given long, doc_id long, start array<long>, stop array<long>, words array<int>, digest array<binary>")
+    cuts = stage(cuts.withColumn("row", F.coalesce("given", F.monotonically_increasing_id())).drop("given"), "units")
     each = cuts.select("row", "doc_id", F.posexplode(F.arrays_zip("start", "stop", "words", "digest")).alias("unit", "x")).select("row", "doc_id", "unit", "x.*")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "unit", "start"))
     firsts = stage(each.groupBy("digest").agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"), "unit-firsts")
@@ -55,7 +66,8 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_row = Window.partitionBy("row").orderBy("unit")
     again = again.withColumn("run", F.col("unit") - F.row_number().over(by_row)).withColumn("run_words", F.sum("words").over(Window.partitionBy("row", "run")))
     again = again.filter(F.col("run_words") >= least_words)
-    return again.select("doc_id", "unit", "start", "stop", F.col("words").alias("n_words"), F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"), "run_words")
+    told = ["doc_id", "unit", "start", "stop", F.col("words").alias("n_words"), F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"), "run_words"]
+    return again.select(*told, *["row"] * bool(row_col))
 
 
 def without(text: F.Column, spans: F.Column) -> F.Column:
@@ -66,12 +78,19 @@ def without(text: F.Column, spans: F.Column) -> F.Column:
     return F.array_join(parts, "")
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs with their texts cut, and removed: array<struct<start, stop>> of original offsets. Ids must be unique and not null."""
-    spans = repeated_units(docs, **options).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("removed"))
+def deduplicated(docs: DataFrame, removed: str = "removed", text_col: str = "text", **options) -> DataFrame:
+    """docs with their texts cut, and removed: array<struct<start, stop>> of the original offsets, empty where nothing goes.
+
+    Rows are told apart by a number of their own, so ids may be null or stand on several rows; a null text stays null. A column of docs
+    with the name of removed keeps it, and the new one gets underscores before its own. Rows are written once to the shared folder, where
+    that number is fixed; then the texts of all rows meet their spans in one exchange.
+    """
+    row, removed = free_name(docs, "unit_row"), free_name(docs, removed)
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "substring-rows")
+    spans = repeated_units(rows, text_col=text_col, row_col=row, **options).groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(removed))
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    out = docs.join(spans, "doc_id", "left").withColumn("removed", F.coalesce("removed", none))
-    return out.withColumn("text", F.when(F.size("removed") > 0, without(F.col("text"), F.col("removed"))).otherwise(F.col("text"))).select(*docs.columns, "removed")
+    out = rows.join(spans, row, "left").withColumn(removed, F.coalesce(removed, none))
+    return out.withColumn(text_col, F.when(F.size(removed) > 0, without(F.col(text_col), F.col(removed))).otherwise(F.col(text_col))).select(*docs.columns, removed)
 
 
 __all__ = ["deduplicated", "repeated_units", "units", "unstage", "without"]

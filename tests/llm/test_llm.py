@@ -410,47 +410,79 @@ def test_digest_index_outlives_its_session(spark, docs):
 # --- 9 substring dedup
 
 
-def test_repeated_lines(spark):
-    long = " ".join(f"p{i}" for i in range(55))
-    rows = [(2, f"own two\n{long}\nend"), (1, f"own one\n{long}\nend"), (3, f"{long.upper()}  \n\nend\n{long}"), (4, "end"), (5, None), (6, ""), (None, f"x\n{long}"), (7, "a b\n" * 15), (8, f"mid {long}")]
-    df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, unit int")
-    seen, want = set(), []
-    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
-    for d, t in ordered:
-        marks = []
-        for u, (start, stop, n, digest) in enumerate(substring_dedup.units(t or "")):
-            marks.append((u, start, stop, n, digest in seen))
-            seen.add(digest)
+def later_units(rows, by, least):
+    """(doc_id, unit, start, stop, n_words, kept_doc_id, kept_start, run_words), by ids, nulls last."""
+    seen, want = {}, []
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        marks, at = [], 0
+        pieces = []
+        for line in (t or "").split("\n"):
+            cut, here = [], 0
+            for m in re.finditer(r"[.!?](?=[\x20\x09-\x0D])", line) if by == "sentence" else ():
+                cut.append(line[here : m.end()])
+                here = m.end()
+            for piece in [*cut, line[here:]]:
+                pieces.append((at, piece))
+                at += len(piece)
+            at += 1
+        for start, piece in pieces:
+            w = words(piece)
+            if w:
+                marks.append((start, start + len(piece), len(w), seen.get(tuple(w))))
+                seen.setdefault(tuple(w), (d, start))
         i = 0
         while i < len(marks):
             j = i
-            while j < len(marks) and marks[j][4]:
+            while j < len(marks) and marks[j][3]:
                 j += 1
-            if sum(m[3] for m in marks[i:j]) >= 20:
-                want += [(d, *m[:4]) for m in marks[i:j]]
+            run = sum(m[2] for m in marks[i:j])
+            if run >= least:
+                want += [(d, i + k, *m[:3], *m[3], run) for k, m in enumerate(marks[i:j])]
             i = max(j, i + 1)
-    got = substring_dedup.repeated_units(df)
-    same(got, want, "doc_id", "unit", "start", "stop", "n_words")
-    assert {(r.doc_id, r.kept_doc_id) for r in got.collect() if r.n_words == 55} == {(2, 1), (3, 1), (None, 1)}
-    cut = {r.doc_id: r for r in substring_dedup.deduplicated(df.filter("doc_id is not null")).collect()}
-    assert cut[1].text == rows[1][1] and cut[2].text == "own two\n\n" and cut[4].text == "end" and cut[5].text is None
+    return want
+
+
+UNIT_COLUMNS = ("doc_id", "unit", "start", "stop", "n_words", "kept_doc_id", "kept_start", "run_words")
+
+
+def test_repeated_units(spark):
+    long = ". ".join(" ".join(f"p{i}x{j}" for i in range(11)) for j in range(5))
+    rows = [(2, f"own two\n{long}.\nend"), (1, f"own one {long}.\nend"), (3, f"{long.upper()}.  \n\nend\n{long}.  rest? Yes! no"), (4, "end"), (5, None), (6, ""), (None, f"x\n{long}."), (7, "a b\n" * 15), (8, f"mid {long}. é yes! no")]
+    df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, unit int")
+    for by, least in (("sentence", 25), ("sentence", 1), ("line", 25), ("line", 1)):
+        same(substring_dedup.repeated_units(df, least_words=least, by=by), later_units(rows, by, least), *UNIT_COLUMNS)
+    # a passage inside other lines is found from its second sentence on
+    assert {r.doc_id for r in substring_dedup.repeated_units(df).collect()} == {2, 3, None, 7, 8}
     assert substring_dedup.repeated_units(df.limit(0)).count() == 0
 
 
-def test_every_later_line_is_found(spark, tmp_path):
+def test_texts_without_repeated_units(spark):
+    """Null and repeated ids, and columns with the names of the operator's own."""
+    long = ". ".join(" ".join(f"p{i}x{j}" for i in range(11)) for j in range(5))
+    rows = [(1, f"own one. {long}.\nend", "a"), (1, f"own two.\n{long}.\nend", "b"), (None, f"é {long}. Rest. More", "c"), (None, None, "d"), (2, "", "e"), (2, "x", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, removed string")
+    out = substring_dedup.deduplicated(df)
+    assert out.columns == ["doc_id", "text", "removed", "_removed"]
+    got = {r.removed: r for r in out.collect()}
+    assert got["a"].text == rows[0][1] and got["b"].text == "own two.\n\n" and got["d"].text is None and got["e"].text == "" and got["f"].text == "x"
+    assert got["c"].text == f"é {long.split('. ')[0]}. Rest. More"
+    for r in rows:
+        kept, at = "", 0
+        for s in got[r[2]]._removed:
+            kept, at = kept + r[1][at : s.start], s.stop
+        assert kept + (r[1] or "")[at:] == (got[r[2]].text or "")
+    assert substring_dedup.deduplicated(df.limit(0)).count() == 0
+
+
+def test_every_later_unit_is_found(spark, tmp_path):
     from provenia.llm.queries import QUERIES
 
-    rows = [(2, "own two\nAll rights  reserved.\nmore"), (1, "all rights reserved.\nown one"), (3, "more\n\nall rights reserved.\nall rights reserved."), (None, "own one"), (4, None)]
+    rows = [(2, "own two\nAll rights  reserved.\nmore"), (1, "all rights reserved.\nown one"), (3, "more\n\nall rights reserved. all rights reserved."), (None, "own one"), (4, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    seen, want = {}, []
-    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        for u, (start, stop, n, digest) in enumerate(substring_dedup.units(t or "")):
-            if digest in seen:
-                want.append((d, u, start, stop, n, *seen[digest]))
-            seen.setdefault(digest, (d, start))
-    got = QUERIES["op9_repeated_lines"](spark, str(tmp_path))
-    same(got, want, "doc_id", "unit", "start", "stop", "n_words", "kept_doc_id", "kept_start")
-    assert len(want) == 5 and {(r.doc_id, r.unit): r.run_words for r in got.collect()}[3, 1] == 7
+    for by, n in (("line", 3), ("sentence", 5)):
+        got = QUERIES["op9_repeated_lines" if by == "line" else "op9_repeated_units"](spark, str(tmp_path))
+        same(got, later_units(rows, by, 1), *UNIT_COLUMNS)
+        assert got.count() == n
     assert QUERIES["op9_substring_dedup"](spark, str(tmp_path)).count() == 0
 
 
