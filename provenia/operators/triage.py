@@ -10,21 +10,39 @@ GRID = 64
 LINE_GAP = 2.0
 
 
+def _cells(low: Column, high: Column, size: Column) -> tuple[Column, Column]:
+    """The first and the last of GRID cells along a side of this size whose centres lie in [low, high]; first > last where there are none.
+
+    Division gives the cell to within one; its neighbours' centres decide, computed as everywhere else, so that closed borders are exact.
+    """
+    centre = lambda i: (i + 0.5) * size / GRID
+    near = lambda x: F.greatest(F.least(x * GRID / size - 0.5, F.lit(GRID + 1.0)), F.lit(-2.0))
+    first, last = F.ceil(near(low)).cast("int"), F.floor(near(high)).cast("int")
+    first = F.when(centre(first - 1) >= low, first - 1).when(centre(first) >= low, first).otherwise(first + 1)
+    last = F.when(centre(last + 1) <= high, last + 1).when(centre(last) <= high, last).otherwise(last - 1)
+    return F.greatest(first, F.lit(0)), F.least(last, F.lit(GRID - 1))
+
+
 def image_coverage(images: Column, width: Column, height: Column) -> Column:
-    """The share of the cells of a 64 x 64 grid whose centre lies in an image box, borders included; 0 without images or area."""
-    cells = F.sequence(F.lit(0), F.lit(GRID - 1))
+    """The share of the cells of a 64 x 64 grid whose centre lies in an image box, borders included; 0 without images or area.
 
-    def row(j: Column) -> Column:
-        y = (j + 0.5) * height / GRID
-        across = F.filter(images, lambda b: (b["top"] <= y) & (y <= b["bottom"]))
+    A box covers a rectangle of cells: rows from one to another, and in each the same columns, one bit each of a 64-bit mask. A row's masks
+    are joined by OR over the boxes that reach it.
+    """
+    ones = F.lit(-1).cast("long")
 
-        def covered(i: Column) -> Column:
-            x = (i + 0.5) * width / GRID
-            return F.exists(across, lambda b: (b["x0"] <= x) & (x <= b["x1"]))
+    def reach(b: Column) -> Column:
+        left, right = _cells(b["x0"], b["x1"], width)
+        top, bottom = _cells(b["top"], b["bottom"], height)
+        mask = F.call_function("shiftleft", ones, left).bitwiseAND(F.call_function("shiftrightunsigned", ones, GRID - 1 - right))
+        return F.struct(top.alias("top"), bottom.alias("bottom"), F.when(left <= right, mask).otherwise(F.lit(0).cast("long")).alias("mask"))
 
-        return F.size(F.filter(cells, covered))
+    def covered(boxes: Column) -> Column:
+        row = lambda j: F.bit_count(F.aggregate(boxes, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(F.when((b["top"] <= j) & (j <= b["bottom"]), b["mask"]).otherwise(F.lit(0).cast("long")))))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(GRID - 1)), F.lit(0), lambda n, j: n + row(j))
 
-    total = F.aggregate(F.transform(cells, row), F.lit(0), lambda a, n: a + n)
+    # the boxes are an element of an array here, so that a lambda has them once and not anew for each row
+    total = F.get(F.transform(F.array(F.transform(images, reach)), covered), F.lit(0))
     return F.when((F.coalesce(F.size(images), F.lit(0)) > 0) & (width > 0) & (height > 0), total / float(GRID * GRID)).otherwise(F.lit(0.0))
 
 
