@@ -19,9 +19,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in a session without it (tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A session in local mode without it (tests) gets a temporary one; on a
+    cluster its absence is an error, since a folder of one machine is no place for what all have to read."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="provenia-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -74,13 +77,15 @@ def with_position(df: DataFrame, order: list, name: str = "pos") -> DataFrame:
     counts, one for each partition, meet in one place.
     """
     n = parallelism(df.sparkSession)
-    dealt = stage(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id()), "placed")
-    first = dealt.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_in").alias("_first"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    first = first.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    part, inside, rows, first, before = (free_name(df, f"{name}_{x}") for x in ("part", "in", "rows", "first", "before"))
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    dealt = stage(dealt.withColumn(part, F.spark_partition_id()).withColumn(inside, F.monotonically_increasing_id()), "placed")
+    firsts = dealt.groupBy(part).agg(F.count("*").alias(rows), F.min(inside).alias(first))
+    so_far = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.select(part, first, F.coalesce(F.sum(rows).over(so_far), F.lit(0)).alias(before))
     # at most one row for each shuffle partition: that bounds what is broadcast
-    out = dealt.join(F.broadcast(first), "_part").withColumn(name, F.col("_before") + F.col("_in") - F.col("_first"))
-    return out.drop("_part", "_in", "_first", "_before")
+    out = dealt.join(F.broadcast(firsts), part).withColumn(name, F.col(before) + F.col(inside) - F.col(first))
+    return out.drop(part, inside, first, before)
 
 
 def with_written_position(df: DataFrame, name: str = "position") -> DataFrame:

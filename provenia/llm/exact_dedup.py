@@ -1,9 +1,17 @@
 """Exact deduplication over a persistent digest index that is bucketed and sorted by hash."""
 
+import hashlib
+import re
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenia.llm.common import SPACE, parallelism, remove, shared_dir, stage, unstage
+from provenia.llm.common import SPACE, free_name, parallelism, remove, shared_dir, stage, unstage
+
+#: Files of a bucket at which the index is written anew, one sorted file a bucket.
+COMPACT_AT = 8
 
 
 def normalised(text) -> F.Column:
@@ -12,21 +20,32 @@ def normalised(text) -> F.Column:
 
 
 class DigestIndex:
-    """Digests seen so far and the row that stays for each: a Parquet table in `path`, in `buckets` buckets by digest, each sorted by it.
+    """Digests seen so far, the row that stays for each, and the batch that brought it: a Parquet table under `path`, in `buckets` buckets by digest, each
+    sorted by it.
 
     A batch meets the index in a sort-merge join that shuffles the batch alone, since the index lies in its buckets already.
-    The same path opens the same index again, in another session too; buckets must then be the same.
+    The same path opens the same index again, in another session too; buckets must then be the same. One writer at a time.
+    Appends add a file to each bucket. From COMPACT_AT files on the table is written anew, to the next version's folder; a version counts
+    once it is whole, so a job that dies meanwhile leaves the one before in use.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-        self.table = "digest_index_" + "".join(c if c.isalnum() else "_" for c in self.path)[-80:].lower()
-        p = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not spark.catalog.tableExists(self.table) and p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-            self._register()
-
-    def _register(self) -> None:
-        self.spark.sql(f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+        self._open()
+
+    def _open(self) -> None:
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+        whole = [int(n[1:]) for n in names if re.fullmatch(r"v\d+", n) and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+        self._at(max(whole, default=0))
+        if whole and not self.exists():
+            columns = "digest BINARY, keep_id BIGINT, batch STRING"
+            self.spark.sql(f"CREATE TABLE {self.table} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.folder}'")
+
+    def _at(self, version: int) -> None:
+        self.version, self.folder = version, f"{self.path}/v{version}"
+        self.table = "digest_index_" + hashlib.sha256(self.folder.encode()).hexdigest()[:32]
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.table)
@@ -34,60 +53,85 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def add(self, groups: DataFrame) -> None:
-        """Appends the digests of groups(digest, keep_id), unique by digest, that the index lacks."""
-        new = groups.select("digest", "keep_id")
+    def _write(self, rows: DataFrame) -> None:
+        dealt = rows.select("digest", "keep_id", "batch").repartition(self.buckets, "digest")
+        dealt.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.folder).saveAsTable(self.table)
+
+    def add(self, groups: DataFrame, batch: str) -> None:
+        """Appends the digests of groups(digest, keep_id), unique by digest, that the index lacks, as of this batch; the same call again adds nothing."""
+        new = groups.select("digest", "keep_id", F.lit(batch).alias("batch"))
         if self.exists():
             new = new.hint("merge").join(self.read().select("digest"), "digest", "left_anti")
-        (new.repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.table))
+        self._write(new)
+        if len(self.read().inputFiles()) >= COMPACT_AT * self.buckets:
+            self.rewrite()
+
+    def rewrite(self, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
+        """The rows of the index that keep leaves, as the next version; the old one goes when the new one is whole."""
+        rows, old, table = self.read(), self.folder, self.table
+        self._at(self.version + 1)
+        remove(self.spark, self.folder)  # of a job that died here
+        self._write(keep(rows))
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        remove(self.spark, old)
+
+    def forget(self, batch: str) -> None:
+        """Takes a batch back whose output was lost and that won't run again."""
+        if self.exists():
+            self.rewrite(lambda rows: rows.filter(F.col("batch") != batch))
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
         remove(self.spark, self.path)
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256; the batch's new digests are appended to the index.
+def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None, row_col: str | None = None) -> DataFrame:
+    """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, row; the batch's new digests are appended to the index.
 
     Texts are equal when identical after each run of ASCII white space became one space. Of equal texts the row with the smallest id
-    stays, a null id after all others; of rows with the same id and text one stays. Null text is empty text, and empty texts are
-    equal. If the index holds the digest from an earlier batch, no row of this one stays and keep_id is the earlier one's.
+    stays, a null id after all others; of rows with the same id and equal text the first, by row_col if it names a column of longs. Null text is
+    empty text, and empty texts are equal. If the index holds the digest from another batch, no row of this one stays and keep_id is the other's.
     group_size counts the rows of this batch. Other columns of docs are not read. No rows give no rows.
-    Only (row, id, digest) is shuffled, never a text. A digest of very many rows is summed before the shuffle, and the join back
+    A batch that is run again under the same name, because its output was lost, keeps the rows that it kept before; without a name it is a
+    new one. Only (row, id, digest) is shuffled, never a text. A digest of very many rows is summed before the shuffle, and the join back
     reads both sides by an exchange, which adaptive execution splits where it is skewed.
     """
-    rows = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest")).withColumn("row", F.monotonically_increasing_id()), "digests")
+    batch = batch or uuid.uuid4().hex
+    row = F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()
+    rows = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"), row.alias("row")), "digests")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     groups = rows.groupBy("digest").agg(first.alias("first"), F.count("*").alias("group_size"))
     groups = groups.select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size")
     if index.exists():
-        old = index.read().select("digest", F.col("keep_id").alias("old_id"), F.lit(True).alias("old"))
+        old = index.read().filter(F.col("batch") != batch).select("digest", F.col("keep_id").alias("old_id"), F.lit(True).alias("old"))
         groups = groups.hint("merge").join(old, "digest", "left").withColumn("keep_id", F.when(F.col("old"), F.col("old_id")).otherwise(F.col("keep_id"))).withColumn("keep_row", F.when(F.col("old").isNull(), F.col("keep_row"))).drop("old", "old_id")
     groups = stage(groups, "digest-groups")
-    index.add(groups.filter(F.col("keep_row").isNotNull()))
+    index.add(groups.filter(F.col("keep_row").isNotNull()), batch)
     out = rows.join(groups.hint("merge"), "digest")
-    return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.coalesce("keep_row", F.lit(-1))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "row")
+    return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "row")
 
 
 def fresh_index(spark: SparkSession, name: str) -> DigestIndex:
-    """An empty index of this name in the shared folder."""
-    index = DigestIndex(spark, f"{shared_dir(spark)}/{name}", max(8, parallelism(spark)))
-    index.drop()
-    return index
-
-
-def drop_exact_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The rows of docs that stay, all their columns with them. Texts move only if some doc_id is not unique."""
-    flags = stage(exact_dedup(docs, index), "digest-flags")
-    lost = flags.filter(~F.col("kept"))
-    twice = flags.groupBy("doc_id").count().filter((F.col("count") > 1) | F.col("doc_id").isNull()).limit(1).count()
-    if not twice:
-        gone = lost.select("doc_id")
-        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    # some ids repeat: rows are told apart by id and digest, and of the same id and digest one stays
-    key = docs.withColumns({"_sha": F.sha2(normalised(F.col("text")), 256), "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
-    stay = flags.filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_sha256").alias("_sha"))
-    return key.join(stay, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).select(docs.columns)
+    """An empty index in a folder of its own in the shared folder."""
+    return DigestIndex(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", max(8, parallelism(spark)))
+
+
+def drop_exact_copies(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
+    """The rows of docs that stay by exact_dedup, all their columns with them: of each text the row of the smallest id, nulls last; null text is empty text.
+
+    Texts move only if some doc_id is null or not unique: then rows are told apart by a number that a table in the shared folder fixes,
+    so that of rows with the same id and equal text one stays, and none of another text goes with it.
+    """
+    batch = batch or uuid.uuid4().hex
+    flags = stage(exact_dedup(docs, index, batch=batch), "digest-flags")
+    repeated = flags.groupBy("doc_id").count().filter((F.col("count") > 1) | F.col("doc_id").isNull())
+    if repeated.isEmpty():
+        return docs.join(flags.filter(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    row = free_name(docs, "digest_row")
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "digest-rows")
+    # the same batch once more: what the index has of it counts as new
+    lost = exact_dedup(rows, index, batch=batch, row_col=row).filter(~F.col("kept")).select(F.col("row").alias(row))
+    return rows.join(lost, row, "left_anti").select(docs.columns)
 
 
 __all__ = ["DigestIndex", "drop_exact_copies", "exact_dedup", "fresh_index", "normalised", "unstage"]

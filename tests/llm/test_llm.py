@@ -407,6 +407,30 @@ def test_digest_index_outlives_its_session(spark, docs):
     assert not [r for r in exact_dedup(second, again).collect() if r.kept]
 
 
+def test_a_batch_that_runs_again_keeps_its_rows(spark, docs, monkeypatch):
+    """Its first run may have died after its digests were appended; other batches still meet them."""
+    from provenia.llm import exact_dedup as module
+
+    monkeypatch.setattr(module, "COMPACT_AT", 0)
+    index, kept = fresh_index(spark, "t5"), lambda rows: Counter((r.doc_id, r.keep_id) for r in rows.collect() if r.kept)
+    first = kept(exact_dedup(docs, index, batch="one"))
+    size = index.read().count()
+    assert sum(first.values()) == size and kept(exact_dedup(docs, index, batch="one")) == first
+    assert not kept(exact_dedup(docs, index, batch="two")) and index.read().count() == size
+    assert index.version > 0 and len(index.read().inputFiles()) <= index.buckets and DigestIndex(spark, index.path, index.buckets).version == index.version
+    index.forget("one")
+    assert index.read().count() == 0 and kept(exact_dedup(docs, index, batch="two")) == first
+    assert fresh_index(spark, "t5").path != index.path and len({DigestIndex(spark, index.path + x, 8).table for x in ("/a-b", "/a_b")}) == 2
+
+
+def test_copies_of_rows_with_equal_ids(spark):
+    """Columns with any name stay as they are, and of rows with the same id and equal text the first stays whole."""
+    rows = [(1, "a  b", "m1", "x"), (1, "a b", "m2", "y"), (1, "c", "m3", "z"), (None, "c", "m4", "w"), (None, None, "m5", "v"), (None, "", "m6", "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _sha string, _id string").coalesce(1)
+    assert sorted(r._sha for r in drop_exact_copies(df, fresh_index(spark, "t6")).collect()) == ["m1", "m3", "m5"]
+    assert drop_exact_copies(df.limit(0), fresh_index(spark, "t7")).count() == 0
+
+
 # --- 9 substring dedup
 
 
