@@ -3,7 +3,8 @@
 The language model and the n-gram join both need, for the keys of each block (words, word pairs, shingles), a number over the
 whole corpus. A block sends its sorted distinct keys, cut by ranges of the key space, as packed bytes; a range adds up what
 all blocks sent and returns to each block one number for each of its keys, in the order sent. Keys are spread evenly by their hash, and
-a block sends a key once however often it holds it, so no key and no block is hot.
+a block sends a key once however often it holds it, so no key and no block is hot. The number of ranges follows that of the corpus's tokens,
+so that a range's keys fit a task at any size; a block sends nothing to ranges of which it has no key, so it never sends more rows than it has keys.
 """
 
 from collections.abc import Iterator
@@ -16,6 +17,11 @@ import zstandard
 
 #: Text bytes that make a block full; a longer text is a block of its own.
 BLOCK_BYTES = 6 << 20
+#: Tokens of the corpus for each range of the key space.
+RANGE_TOKENS = 4_000_000
+#: Columns of what blocks send and of what ranges return.
+SENT = "block string, range int, keys binary, numbers binary, groups binary"
+RETURNED = "block string, range int, numbers binary, total long, kinds long, once array<long>, all array<long>"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,7 +78,47 @@ def blocks_of(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[list[pa.
         yield held
 
 
+def ranges_for(tokens: int, least: int) -> int:
+    """Ranges of the key space for a corpus of so many tokens, least at least."""
+    return max(least, -(-tokens // RANGE_TOKENS))
+
+
 def cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
     """Where each range of the key space begins and the last ends in sorted keys."""
-    edges = (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(np.uint64)
+    edges = (np.arange(1, ranges) * (2.0**64 / ranges)).astype(np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
+
+
+def sent(block: str, keys: np.ndarray, counts: np.ndarray, groups: np.ndarray | None, ranges: int) -> pa.RecordBatch:
+    """What a block sends: a row for each range of which it has keys."""
+    at = cuts(keys, ranges)
+    full = np.flatnonzero(np.diff(at)).tolist()
+    part = lambda a: pa.array([pack(a[at[i] : at[i + 1]]) for i in full], pa.binary())
+    columns = [pa.array([block] * len(full), pa.string()), pa.array(full, pa.int32()), part(keys), part(counts), pa.nulls(len(full), pa.binary()) if groups is None else part(groups)]
+    return pa.RecordBatch.from_arrays(columns, ["block", "range", "keys", "numbers", "groups"])
+
+
+def summed(kinds: int):
+    """What a range does, for keys in so many groups: to each block it returns its keys' sums; it tells its total, its keys that have any, and by group keys seen once and their sum."""
+
+    def each(table: pa.Table) -> pa.Table:
+        keys = [unpack(x.as_py()) for x in table["keys"]]
+        sizes = np.array([len(k) for k in keys])
+        uniq, at = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.bincount(at, np.concatenate([unpack(x.as_py()) for x in table["numbers"]]).astype(np.float64), minlength=len(uniq)).astype(np.uint64)
+        group = np.zeros(len(uniq), np.uint8)
+        if table["groups"].null_count == 0:
+            group[at] = np.concatenate([unpack(x.as_py()) for x in table["groups"]])
+        once = np.bincount(group[sums == 1], minlength=kinds).tolist()
+        every = np.bincount(group, sums.astype(np.float64), minlength=kinds).astype(np.int64).tolist()
+        back = [pack(x) for x in np.split(sums[at].astype(np.uint32 if sums.max() < 1 << 32 else np.uint64), np.cumsum(sizes)[:-1])]
+        n = len(keys)
+        columns = [table["block"], table["range"], pa.array(back, pa.binary()), pa.array([int(sums.sum())] * n), pa.array([int((sums > 0).sum())] * n), pa.array([once] * n, pa.list_(pa.int64())), pa.array([every] * n, pa.list_(pa.int64()))]
+        return pa.table(columns, ["block", "range", "numbers", "total", "kinds", "once", "all"])
+
+    return each
+
+
+def together(ranges: list[int], parts: list[bytes]) -> np.ndarray:
+    """What the ranges returned to a block, as numbers in the order of its keys."""
+    return np.concatenate([np.zeros(0, np.uint32), *(unpack(x) for _, x in sorted(zip(ranges, parts, strict=True)))])

@@ -40,9 +40,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stage_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Like stage, in buckets by key, so that what groups the table by key later reads it without an exchange."""
+    spark, made = df.sparkSession, f"{name}-{uuid.uuid4().hex}"
+    path, table = f"{shared_dir(spark)}/{made}", made.replace("-", "_")
+    df.write.format("parquet").bucketBy(parallelism(spark), key).sortBy(key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out.stage_path, out.stage_table = path, table
+    return out
+
+
 def unstage(*staged: DataFrame) -> None:
-    """Deletes tables of stage() that no pending plan reads."""
+    """Deletes tables of stage() and stage_by() that no pending plan reads."""
     for df in staged:
+        if hasattr(df, "stage_table"):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.stage_table}")
         remove(df.sparkSession, df.stage_path)
 
 

@@ -9,10 +9,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenia.llm.blocks import WordHashes, blocks_of, cuts, hashed_words, mix, pack, unpack
+from provenia.llm.blocks import RETURNED, SENT, WordHashes, blocks_of, hashed_words, mix, pack, ranges_for, sent, summed, together, unpack
 from provenia.llm.common import parallelism, stage, unstage, workers_find_package
 from provenia.llm.components import components
-from provenia.llm.lm import SENT, sent, summed
 
 #: Words in a shingle; two sets link when PART * intersection >= SHARE * union.
 WORDS, SHARE, PART = 5, 75, 100
@@ -207,13 +206,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 found, count = np.unique(np.concatenate([s & COUNTED for s in sets_of(row)]), return_counts=True)
                 yield sent(row["block"], found, count.astype(np.uint32), None, ranges)
 
-    counted = stage(blocks.select("block", "sizes", "words", "vocab").mapInArrow(keys, SENT).groupBy("range").applyInArrow(summed, "block string, range int, numbers binary, total long, kinds long, once array<long>, all array<long>").select("block", "range", "numbers"), "jaccard-counts")
+    counted = stage(blocks.select("block", "sizes", "words", "vocab").mapInArrow(keys, SENT).groupBy("range").applyInArrow(summed(1), RETURNED).select("block", "range", "numbers"), "jaccard-counts")
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         sets = sets_of(row)
         known = np.unique(np.concatenate([s & COUNTED for s in sets]))
-        df = np.concatenate([unpack(x) for _, x in sorted(zip(right["range"].to_pylist(), right["numbers"].to_pylist(), strict=True))])
+        df = together(right["range"].to_pylist(), right["numbers"].to_pylist())
         out: list[tuple] = []
         sent_already: set[bytes] = set()
         for i, s in zip(row["ids"], sets, strict=True):
@@ -280,4 +279,4 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.unionByName(labelled.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-__all__ = ["Tree", "cuts", "jaccard_classes", "shingles", "tree_links"]
+__all__ = ["Tree", "jaccard_classes", "shingles", "tree_links"]

@@ -1,4 +1,4 @@
-"""Language-model scores: a weighted backoff automaton over smoothed word pairs, walked once from left to right."""
+"""Language-model scores: a weighted backoff automaton over smoothed n-grams of one to three tokens, walked from left to right."""
 
 import uuid
 import zlib
@@ -6,16 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenia.llm.blocks import WordHashes, blocks_of, cuts, hashed_words, mix, pack, unpack
-from provenia.llm.common import parallelism, stage, unstage, workers_find_package
+from provenia.llm.blocks import RETURNED, SENT, WordHashes, blocks_of, hashed_words, mix, pack, ranges_for, sent, summed, together, unpack
+from provenia.llm.common import parallelism, stage, stage_by, unstage, workers_find_package
 
 #: The end of a text, a token; and the state before the first one, which is no token.
 END, START = np.uint64(0x45F3_11AC_D0C6_29B7), np.uint64(0x1D3B_7E90_55A4_C8F1)
-#: Contexts are grouped by the power of two of their count; each group has its own failure weight.
+#: Histories are grouped by the power of two of their count; each group has its own failure weight. Texts' starts are one more group.
 GROUPS = 48
+#: Training occurrences from which a pair of tokens is a state of its own; the history of a rarer one is its last token.
+LEAST_HISTORY = 2
+#: Tokens of the texts for which a part of the automaton is in memory at a time.
+WALKED = 300_000
 
 
 def tokens_of(text: str | None, hashes: WordHashes) -> np.ndarray:
@@ -26,35 +31,91 @@ def group_of(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(counts, 1)).astype(np.int64), GROUPS - 1)
 
 
+class Block:
+    """Texts as places `at` in a sorted vocabulary, with the pairs and triples of tokens that they hold."""
+
+    def __init__(self, vocab: np.ndarray, at: np.ndarray, sizes: np.ndarray):
+        self.vocab, self.at = vocab, at.astype(np.int64)
+        self.begins = np.cumsum(sizes) - sizes
+        self.before = np.concatenate([[0], self.at[:-1]])
+        self.before[self.begins] = len(vocab)  # the start's place
+        pairs = mix(np.append(vocab, START)[self.before], vocab[self.at])
+        self.pairs, self.pair = np.unique(pairs, return_inverse=True)
+
+    def add_triples(self, pair_counts: np.ndarray) -> None:
+        """triple: of each token with the pair before it, if that is a state; -1 where not. A text's first token has no pair before it."""
+        self.history = np.concatenate([[0], self.pair[:-1]])
+        known = pair_counts[self.history] >= LEAST_HISTORY
+        known[self.begins] = False
+        self.triples, found = np.unique(mix(self.pairs[self.history[known]], self.vocab[self.at[known]]), return_inverse=True)
+        self.triple = np.full(len(self.at), -1, np.int64)
+        self.triple[known] = found
+
+
 class Automaton:
-    """States: the root and one for each word seen as context. A state's arcs are the words seen after it; any other word takes the failure arc
-    to the root, at the state's failure weight. The root has an arc for each word and one for unknown words.
+    """The part of the model that some texts can reach: states, arcs by token, and a failure arc for each state but the root.
 
-    A block loads the states and arcs that its texts can reach: `vocab`, `counts` (sorted word hashes, training counts), `pairs` (sorted
-    pair hashes), `pair_counts`. With N tokens, V words, weight w of the context's group: the root's P(x) = (c(x) + 1) / (N + V + 1);
-    an arc's P(x | v) = (1 - w) c(vx) / c(v) + w P(x); by failure w P(x). A context without training has w = 1. So each state's probabilities sum to 1.
+    States are the root, each token seen as a history (the start too), and each pair of tokens seen LEAST_HISTORY times. A state's arcs are the tokens
+    seen after it; any other token takes the failure arc, which costs the state's failure weight, to the state of the history without its first
+    token, and tries there. The root has an arc for each word and for unknown ones. An arc leads to the longest state that ends with its token.
+
+    With N training tokens, V words and w the failure weight of a history's group: the root's P(x) = (c(x) + 1) / (N + V + 1), an arc's
+    P(x | h) = (1 - w) c(hx) / c(h) + w P(x | shorter h), and by failure w P(x | shorter h); so the probabilities of each state sum to 1.
     """
 
-    def __init__(self, vocab, counts, pairs, pair_counts, total: int, words: int, starts: int, weights: np.ndarray):
-        self.vocab, self.counts, self.pairs, self.pair_counts = vocab, counts, pairs, pair_counts
-        self.total, self.words, self.starts, self.weights = total, words, starts, weights
-        root = (counts + 1.0) / (total + words + 1)
-        self.root, self.root_log = root, np.log10(root)
-        fail = np.where(counts > 0, weights[group_of(counts)], 1.0)
-        self.fail, self.fail_start = fail, weights[group_of(np.array([starts]))[0]] if starts else 1.0
-
-    def walk(self, words: np.ndarray) -> tuple[float, float, int]:
-        """(log10 probability, that by the root alone, known tokens) of words, places in vocab: one walk with the state carried along."""
-        seen = self.counts[words]
-        base = float(self.root_log[words].sum())
-        state = words[:-1]  # the state before each token but the first is the word before
-        arcs = mix(np.concatenate([[START], self.vocab[state]]), self.vocab[words])
-        at = np.searchsorted(self.pairs, arcs)
-        count = self.pair_counts[at]
-        held = np.concatenate([[self.starts], self.counts[state]])
-        fail = np.concatenate([[self.fail_start], self.fail[state]])
-        p = fail * self.root[words] + np.where(count > 0, (1 - fail) * count / np.maximum(held, 1), 0.0)
-        return float(np.log10(p).sum()), base, int((seen > 0).sum())
+    def __init__(self, block: Block, part: slice, counts: tuple[np.ndarray, np.ndarray, np.ndarray], total: int, words: int, starts: int, weights: tuple[np.ndarray, np.ndarray]):
+        ones, twos, threes = (c.astype(np.float64) for c in counts)
+        m = len(block.vocab)
+        start, self.root, first_pair = m, m + 1, m + 2
+        held = np.append(ones, starts)  # by state of one token
+        fail = np.where(held > 0, weights[0][group_of(held)], 1.0)
+        fail[start] = weights[0][GROUPS]
+        root_p = (ones + 1.0) / (total + words + 1)
+        ends = block.vocab == END
+
+        token = np.unique(block.at[part])
+        pair, where = np.unique(block.pair[part], return_index=True)
+        where += part.start
+        v, x = block.before[where], block.at[where]
+        p2 = np.zeros(len(twos))
+        p2[pair] = fail[v] * root_p[x] + (1 - fail[v]) * twos[pair] / np.maximum(held[v], 1)
+        after = np.full(len(twos), self.root)  # the state after a pair that was seen
+        after[pair] = np.where(ends[x], self.root, np.where(twos[pair] >= LEAST_HISTORY, first_pair + pair, x))
+        seen = twos[pair] > 0
+        is_state = (twos[pair] >= LEAST_HISTORY) & ~ends[x]
+        history = held[v] > 0
+        triple, there = np.unique(block.triple[part], return_index=True)
+        there = there[triple >= 0] + part.start
+        triple = triple[triple >= 0]
+        told = threes[triple] > 0
+        triple, there = triple[told], there[told]
+        h, q, y = block.history[there], block.pair[there], block.at[there]
+        own = weights[1][group_of(twos[h])]
+        p3 = (1 - own) * threes[triple] / np.maximum(twos[h], 1) + own * p2[q]
+
+        states = np.unique(v[history])
+        keys = [self.root * m + token, v[seen] * m + x[seen], (first_pair + h) * m + y, ~states, ~(first_pair + pair[is_state])]
+        weight = [root_p[token], p2[pair][seen], p3, fail[states], weights[1][group_of(twos[pair[is_state]])]]
+        to = [np.where((ones[token] > 0) & ~ends[token], token, self.root), after[pair][seen], after[q], np.full(len(states), self.root), x[is_state]]
+        keys = np.concatenate(keys).tolist()
+        self.arcs = dict(zip(keys, range(len(keys)), strict=True))
+        self.weight, self.to = np.log10(np.concatenate(weight)).tolist(), np.concatenate(to).tolist()
+        self.m, self.begin = m, start if starts else self.root
+
+    def walk(self, tokens: list[int]) -> float:
+        """log10 probability of a text: each token takes the arc of the state that is carried along, after as many failure arcs as it takes to find one."""
+        arcs, weight, to, m = self.arcs, self.weight, self.to, self.m
+        state, out = self.begin, 0.0
+        for x in tokens:
+            arc = arcs.get(state * m + x)
+            while arc is None:
+                failure = arcs[~state]
+                out += weight[failure]
+                state = to[failure]
+                arc = arcs.get(state * m + x)
+            out += weight[arc]
+            state = to[arc]
+        return out
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2) -> DataFrame:
@@ -65,13 +126,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     token is unknown to a model of no words. Other columns are not read; no rows give no rows.
 
     Texts are read once, in blocks of hashed words that are kept in a table in the shared folder, bucketed by block; blocks exchange
-    sorted keys for corpus counts with ranges of the key space (see `blocks`), first words, then word pairs. A failure weight is the
-    share of pairs seen once among all training tokens of its group of contexts, the chance that the next pair is new.
-    Counts grow with the corpus and stay spread over ranges and blocks; only a number for each group of contexts, N and V come to the driver.
+    sorted keys for corpus counts with ranges of the key space (see `blocks`): words, then pairs, then triples whose history is a state. A failure
+    weight is the share of n-grams seen once among all training tokens after its group of histories, the chance that the next one is new.
+    Counts grow with the corpus and stay spread over ranges and blocks; only a number for each group of histories, N and V come to the driver.
     """
     spark = docs.sparkSession
     workers_find_package(spark)
-    ranges = parallelism(spark)
 
     def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -85,106 +145,92 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     held.append(zlib.crc32(("null" if i is None else str(i)).encode()) % folds == held_fold)
                     words.append(own)
             vocab, at = np.unique(np.concatenate(words), return_inverse=True)
-            train = np.repeat(~np.array(held), sizes)
-            counts = np.bincount(at[train], minlength=len(vocab)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([held], pa.list_(pa.bool_())), pa.array([pack(at.astype(np.uint32))]), pa.array([pack(vocab)]), pa.array([pack(counts)])], ["block", "ids", "sizes", "held", "words", "vocab", "counts"])
+            counts = np.bincount(at[np.repeat(~np.array(held), sizes)], minlength=len(vocab)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([len(at)]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([held], pa.list_(pa.bool_())), pa.array([pack(at.astype(np.uint32))]), pa.array([pack(vocab)]), pa.array([pack(counts)])], ["block", "tokens", "ids", "sizes", "held", "words", "vocab", "counts"])
 
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = stage(base.mapInArrow(read_blocks, "block string, ids array<long>, sizes array<int>, held array<boolean>, words binary, vocab binary, counts binary"), "lm-blocks")
+    columns = "block string, tokens long, ids array<long>, sizes array<int>, held array<boolean>, words binary, vocab binary, counts binary"
+    blocks = stage_by(base.mapInArrow(read_blocks, columns), "block", "lm-blocks")
+    ranges = ranges_for(blocks.agg(F.sum("tokens")).first()[0] or 0, parallelism(spark))
 
     def word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, vocab, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for block, vocab, counts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 yield sent(block, unpack(vocab), unpack(counts), None, ranges)
 
-    keys = blocks.select("block", "vocab", "counts").mapInArrow(word_keys, SENT)
-    word_counts = stage(keys.groupBy("range").applyInArrow(summed, RETURNED), "lm-words")
-    told = word_counts.groupBy("range").agg(F.first("total").alias("total"), F.first("kinds").alias("kinds")).agg(F.sum("total").alias("n"), F.sum("kinds").alias("v")).first()
-    total, words = int(told["n"] or 0), int(told["v"] or 0)
-
-    def together(parts: list[tuple[int, bytes]]) -> np.ndarray:
-        return np.concatenate([unpack(x) for _, x in sorted(parts)])
-
-    def pair_keys(key, batches_of, ranges=ranges):
-        left, right = batches_of
-        block, vocab, counts = _one(left, right)
-        at, sizes, held = unpack(block["words"]), np.array(block["sizes"]), np.array(block["held"])
-        pairs, before, train = all_pairs(vocab, at, sizes, held)
-        uniq, index = np.unique(pairs, return_inverse=True)
-        own = np.bincount(index[train], minlength=len(uniq)).astype(np.uint32)
-        group = np.zeros(len(uniq), np.uint8)
-        group[index] = np.where(before < 0, GROUPS, group_of(counts[before]))  # the start state is told apart
-        return sent(block["block"], uniq, own, group, ranges)
-
-    def _one(left: pa.Table, right: pa.Table):
-        block = left.to_pylist()[0]
-        return block, unpack(block["vocab"]), together(list(zip(right["range"].to_pylist(), right["numbers"].to_pylist(), strict=True)))
-
-    given = word_counts.select("block", "range", "numbers")
-    pair_rows = blocks.drop("ids", "counts").groupBy("block").cogroup(given.groupBy("block")).applyInArrow(lambda a, b: pa.Table.from_batches([pair_keys(None, (a, b))]), SENT)
-    pair_counts = stage(pair_rows.groupBy("range").applyInArrow(summed, RETURNED), "lm-pairs")
-    once = pair_counts.groupBy("range").agg(F.first("once").alias("once"), F.first("all").alias("all")).select(F.posexplode(F.arrays_zip("once", "all"))).groupBy("pos").agg(F.sum("col.once").alias("once"), F.sum("col.all").alias("all")).collect()
-    seen_once, seen = np.zeros(GROUPS + 1), np.zeros(GROUPS + 1)
-    for r in once:
-        seen_once[r["pos"]], seen[r["pos"]] = r["once"], r["all"]
-    weights = (seen_once + 0.5) / (seen + 1.0)
-    starts = int(seen[GROUPS])
+    def loaded(left: pa.Table, right: pa.Table) -> tuple[dict, Block, dict[str, np.ndarray]]:
+        """A block and what it was told so far, by kind."""
+        row, parts = left.to_pylist()[0], {}
+        for kind in ("words", "pairs", "triples"):
+            own = right.filter(pc.equal(right["kind"], kind))
+            parts[kind] = together(own["range"].to_pylist(), own["numbers"].to_pylist())
+        return row, Block(unpack(row["vocab"]), unpack(row["words"]), np.array(row["sizes"])), parts
+
+    def pair_keys(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, block, told = loaded(left, right)
+        train = np.repeat(~np.array(row["held"]), row["sizes"])
+        own = np.bincount(block.pair[train], minlength=len(block.pairs)).astype(np.uint32)
+        group = np.zeros(len(block.pairs), np.uint8)
+        group[block.pair] = np.append(group_of(told["words"]), GROUPS)[block.before]
+        return pa.Table.from_batches([sent(row["block"], block.pairs, own, group, ranges)])
+
+    def triple_keys(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, block, told = loaded(left, right)
+        block.add_triples(told["pairs"])
+        known = block.triple >= 0
+        train = known & np.repeat(~np.array(row["held"]), row["sizes"])
+        own = np.bincount(block.triple[train], minlength=len(block.triples)).astype(np.uint32)
+        group = np.zeros(len(block.triples), np.uint8)
+        group[block.triple[known]] = group_of(told["pairs"])[block.history[known]]
+        return pa.Table.from_batches([sent(row["block"], block.triples, own, group, ranges)])
+
+    def counted(keys: DataFrame, kind: str) -> DataFrame:
+        """What ranges return, staged; an n-gram's group is that of its history."""
+        return stage(keys.groupBy("range").applyInArrow(summed(GROUPS + 1), RETURNED).withColumn("kind", F.lit(kind)), f"lm-{kind}")
+
+    def with_counts(*told: DataFrame):
+        numbers = None
+        for x in told:
+            x = x.select("block", "kind", "range", "numbers")
+            numbers = x if numbers is None else numbers.unionByName(x)
+        return blocks.drop("counts").groupBy("block").cogroup(numbers.groupBy("block"))
+
+    def once_and_all(told: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """By group: n-grams seen once, and all their occurrences."""
+        of_range = told.groupBy("range").agg(F.first("once").alias("once"), F.first("all").alias("all"))
+        rows = of_range.select(F.posexplode(F.arrays_zip("once", "all"))).groupBy("pos").agg(F.sum("col.once").alias("once"), F.sum("col.all").alias("all")).collect()
+        by = {r["pos"]: (r["once"], r["all"]) for r in rows}
+        return tuple(np.array([by.get(g, (0, 0))[k] for g in range(GROUPS + 1)], np.float64) for k in (0, 1))
+
+    words = counted(blocks.select("block", "vocab", "counts").mapInArrow(word_keys, SENT), "words")
+    told = words.groupBy("range").agg(F.first("total").alias("total"), F.first("kinds").alias("kinds")).agg(F.sum("total").alias("n"), F.sum("kinds").alias("v")).first()
+    total, kinds = int(told["n"] or 0), int(told["v"] or 0)
+    pairs = counted(with_counts(words).applyInArrow(pair_keys, SENT), "pairs")
+    triples = counted(with_counts(pairs).applyInArrow(triple_keys, SENT), "triples")
+    seen = [once_and_all(pairs), once_and_all(triples)]
+    weights = tuple((once + 0.5) / (every + 1.0) for once, every in seen)
+    starts = int(seen[0][1][GROUPS])
 
     def scores(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = left.to_pylist()[0]
-        parts: dict[str, list] = {"words": [], "pairs": []}
-        for kind, r, x in zip(right["kind"].to_pylist(), right["range"].to_pylist(), right["numbers"].to_pylist(), strict=True):
-            parts[kind].append((r, x))
-        vocab, at, sizes = unpack(block["vocab"]), unpack(block["words"]), np.array(block["sizes"])
-        pairs = np.unique(all_pairs(vocab, at, sizes, np.array(block["held"]))[0])
-        model = Automaton(vocab, together(parts["words"]), pairs, together(parts["pairs"]), total, words, starts, weights)
-        out = [model.walk(x) for x in np.split(at, np.cumsum(sizes)[:-1])]
-        n = len(sizes)
-        columns = [pa.array(block["ids"], pa.int64()), pa.array(block["held"]), pa.array(sizes.astype(np.int64)), pa.array([x[2] for x in out], pa.int64()), pa.array([total] * n, pa.int64()), pa.array([x[1] for x in out]), pa.array([x[0] for x in out])]
+        row, block, told = loaded(left, right)
+        block.add_triples(told["pairs"])
+        counts = (told["words"], told["pairs"], told["triples"])
+        log_root = np.log10((counts[0] + 1.0) / (total + kinds + 1))
+        sizes = np.array(row["sizes"])
+        ends = np.cumsum(sizes)
+        base = np.add.reduceat(log_root[block.at], block.begins)
+        known = np.add.reduceat((counts[0] > 0)[block.at].astype(np.int64), block.begins)
+        score, i = [], 0
+        while i < len(sizes):
+            j = max(i + 1, int(np.searchsorted(ends, block.begins[i] + WALKED, "right")))
+            part = slice(int(block.begins[i]), int(ends[j - 1]))
+            model = Automaton(block, part, counts, total, kinds, starts, weights)
+            score += [model.walk(block.at[a:b].tolist()) for a, b in zip(block.begins[i:j].tolist(), ends[i:j].tolist(), strict=True)]
+            i = j
+        columns = [pa.array(row["ids"], pa.int64()), pa.array(row["held"]), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array([total] * len(sizes), pa.int64()), pa.array(base), pa.array(score, pa.float64())]
         return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    both = word_counts.select("block", F.lit("words").alias("kind"), "range", "numbers").unionByName(pair_counts.select("block", F.lit("pairs").alias("kind"), "range", "numbers"))
-    return blocks.drop("counts").groupBy("block").cogroup(both.groupBy("block")).applyInArrow(scores, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def all_pairs(vocab: np.ndarray, at: np.ndarray, sizes: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each token with the state before it, that state's place in vocab or -1 at a start, whether it trains)."""
-    before = np.concatenate([[-1], at[:-1].astype(np.int64)])
-    before[np.cumsum(sizes)[:-1]] = -1
-    state = np.where(before < 0, START, vocab[before])
-    return mix(state, vocab[at]), before, np.repeat(~held, sizes)
-
-
-SENT = "block string, range int, keys binary, numbers binary, groups binary"
-RETURNED = "block string, range int, numbers binary, total long, kinds long, once array<long>, all array<long>"
-
-
-def sent(block: str, keys: np.ndarray, counts: np.ndarray, groups: np.ndarray | None, ranges: int) -> pa.RecordBatch:
-    """What a block sends: a row for each range."""
-    at = cuts(keys, ranges)
-    part = lambda a: [pack(a[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
-    columns = [pa.array([block] * ranges), pa.array(range(ranges), pa.int32()), pa.array(part(keys), pa.binary()), pa.array(part(counts), pa.binary()), pa.array([None] * ranges if groups is None else part(groups), pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["block", "range", "keys", "numbers", "groups"])
-
-
-def summed(table: pa.Table) -> pa.Table:
-    """What a range returns: to each block its keys' sums; and the range's total, its keys that have any, and by group keys seen once and their sum."""
-    keys = [unpack(x.as_py()) for x in table["keys"]]
-    numbers = [unpack(x.as_py()) for x in table["numbers"]]
-    sizes = np.array([len(k) for k in keys])
-    uniq, at = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = np.bincount(at, np.concatenate(numbers).astype(np.float64), minlength=len(uniq)).astype(np.uint32 if len(uniq) == 0 else np.uint64)
-    once, every = [], []
-    if table["groups"][0].as_py() is not None:
-        group = np.zeros(len(uniq), np.uint8)
-        group[at] = np.concatenate([unpack(x.as_py()) for x in table["groups"]])
-        once = np.bincount(group[sums == 1], minlength=GROUPS + 1).tolist()
-        every = np.bincount(group, sums.astype(np.float64), minlength=GROUPS + 1).astype(np.int64).tolist()
-    kind = np.uint32 if len(sums) and sums.max() < 1 << 32 else np.uint64
-    back = [pack(x) for x in np.split(sums[at].astype(kind), np.cumsum(sizes)[:-1])]
-    n = len(keys)
-    columns = [table["block"], table["range"], pa.array(back, pa.binary()), pa.array([int(sums.sum())] * n), pa.array([int((sums > 0).sum())] * n), pa.array([once] * n, pa.list_(pa.int64())), pa.array([every] * n, pa.list_(pa.int64()))]
-    return pa.table(columns, ["block", "range", "numbers", "total", "kinds", "once", "all"])
+    return with_counts(words, pairs, triples).applyInArrow(scores, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-__all__ = ["Automaton", "score_texts", "unstage"]
+__all__ = ["Automaton", "Block", "score_texts", "unstage"]

@@ -179,54 +179,103 @@ def test_components(spark):
 # --- 3 language model
 
 
-def test_lm_scores(docs, empty):
+class PlainModel:
+    """The same model by recursion over counts: three orders, a pair being a state from two occurrences on."""
+
+    def __init__(self, texts):
+        self.c = [Counter(), Counter(), Counter()]  # of n-grams of 1, 2 and 3 tokens; 0 is the start
+        for t in texts:
+            t = [0, *t]
+            for i in range(1, len(t)):
+                for n in range(min(3, i + 1)):
+                    self.c[n][tuple(t[i - n : i + 1])] += 1
+        self.starts, self.n, self.v = len(texts), sum(self.c[0].values()), len(self.c[0])
+        self.w = []
+        for n in (1, 2):
+            once, every = Counter(), Counter()
+            for gram, k in self.c[n].items():
+                if self.is_state(gram[:-1]):
+                    g = self.group(gram[:-1])
+                    every[g] += k
+                    once[g] += k == 1
+            self.w.append(lambda g, once=once, every=every: (once[g] + 0.5) / (every[g] + 1))
+
+    def count(self, history):
+        return self.starts if history == (0,) else self.c[len(history) - 1][history]
+
+    def is_state(self, history):
+        return self.count(history) >= len(history) and history[-1] is not None
+
+    def group(self, history):
+        return 48 if history == (0,) else int(math.log2(self.count(history)))
+
+    def p(self, x, history):
+        if not history:
+            return (self.c[0][x,] + 1) / (self.n + self.v + 1)
+        lower = self.p(x, history[1:])
+        if not self.is_state(history):
+            return lower
+        w = self.w[len(history) - 1](self.group(history))
+        return (1 - w) * self.c[len(history)][*history, x] / self.count(history) + w * lower
+
+    def score(self, t):
+        t = [0, *t]
+        return sum(math.log10(self.p(t[i], tuple(t[max(0, i - 2) : i]))) for i in range(1, len(t)))
+
+
+def test_lm_scores(docs, empty, monkeypatch):
+    from provenia.llm import blocks, lm
+
     rows = texts()
-    tok = {i: [*words(x), None] for i, (_, x) in enumerate(rows)}
+    tok = [[*words(x), None] for _, x in rows]
     held = [zlib.crc32(("null" if d is None else str(d)).encode()) % 7 == 2 for d, _ in rows]
-    c, p = Counter(), Counter()
-    for i, t in tok.items():
-        if not held[i]:
-            c.update(t)
-            p.update(zip([0, *t[:-1]], t, strict=True))
-    n, v, starts = sum(c.values()), len(c), held.count(False)
-    group = lambda x: int(math.log2(max(x, 1)))
-    once, every = Counter(), Counter()
-    for (s, _), k in p.items():
-        g = 48 if s == 0 else group(c[s])
-        every[g] += k
-        once[g] += k == 1
-    w = {g: (once[g] + 0.5) / (every[g] + 1) for g in range(49)}
-    root = lambda x: (c[x] + 1) / (n + v + 1)
-    want = []
-    for i, (d, _) in enumerate(rows):
-        score = 0.0
-        for s, x in zip([0, *tok[i][:-1]], tok[i], strict=True):
-            of = starts if s == 0 else c[s]
-            f = w[group(of)] if of else 1.0
-            score += math.log10(f * root(x) + ((1 - f) * p[s, x] / of if of else 0))
-        want.append((d, held[i], len(tok[i]), sum(c[x] > 0 for x in tok[i]), n, sum(math.log10(root(x)) for x in tok[i]), score))
-    got = sorted((tuple(r) for r in score_texts(docs).collect()), key=lambda r: (key(r[:5]), r[5]))
+    model = PlainModel([t for t, h in zip(tok, held, strict=True) if not h])
+    want = [(d, h, len(t), sum(model.c[0][x,] > 0 for x in t), model.n, sum(math.log10(model.p(x, ())) for x in t), model.score(t)) for (d, _), h, t in zip(rows, held, tok, strict=True)]
     want.sort(key=lambda r: (key(r[:5]), r[5]))
+    monkeypatch.setattr(lm, "WALKED", 100)  # many parts of a block; and more ranges than partitions
+    monkeypatch.setattr(blocks, "RANGE_TOKENS", 2500)
+    got = sorted((tuple(r) for r in score_texts(docs).collect()), key=lambda r: (key(r[:5]), r[5]))
     assert [g[:5] for g in got] == [x[:5] for x in want]
     assert np.allclose([g[5:] for g in got], [x[5:] for x in want], rtol=1e-9)
     assert score_texts(empty).count() == 0
+    untrained = score_texts(docs.filter("doc_id = 2 or doc_id = 44"), folds=1, held_fold=0).collect()  # all held out
+    assert [(r.n_known, r.train_tokens, r.base_score, r.score) for r in untrained] == [(0, 0, 0, 0)] * 2
 
 
 def test_automaton_sums_to_one():
-    from provenia.llm.blocks import mix
-    from provenia.llm.lm import Automaton
-
-    vocab, counts = np.arange(1, 6, dtype=np.uint64), np.array([4, 3, 2, 1, 0], np.uint64)
-    arcs = {(int(a), int(b)): 1 + (a * b) % 3 for a in range(3) for b in range(2)}
-    out = {a: sum(n for (x, _), n in arcs.items() if x == a) for a in range(3)}
-    counts[:3] = [out[0], out[1], out[2]]
-    all_pairs = {(a, b): mix(vocab[[a]], vocab[[b]])[0] for a in range(5) for b in range(5)}
-    order = sorted(all_pairs, key=lambda k: all_pairs[k])
-    model = Automaton(vocab, counts, np.array([all_pairs[k] for k in order]), np.array([arcs.get(k, 0) for k in order]), int(counts.sum()), 4, 0, np.full(49, 0.3))
-    unknown = 1 / (counts.sum() + 5)
-    for a in (0, 1, 2, 4):  # of the others nothing follows in training but they count as tokens, as only the end does
-        known = sum(10 ** (model.walk(np.array([a, b]))[0] - model.walk(np.array([a]))[0]) for b in range(4))
-        assert abs(known + model.fail[a] * unknown - 1) < 1e-9
+    """From each state: over all words, and one that is unknown."""
+    from provenia.llm.lm import END, Automaton, Block
+
+    r = random.Random(4)
+    texts_of = [[r.randrange(1, 6) for _ in range(r.randrange(1, 9))] for _ in range(40)]
+    every = [[a, b, c] for a in (1, 2, 5, 8) for b in (1, 3, 8) for c in range(1, 9)]  # 6 to 8 are unknown
+    model = PlainModel([[*t, None] for t in texts_of])
+    vocab = np.sort(np.append(np.arange(1, 9, dtype=np.uint64), END))
+    place = {None: int(np.searchsorted(vocab, END)), **{i: int(np.searchsorted(vocab, np.uint64(i))) for i in range(1, 9)}}
+    read = [[*t, None] for t in every] + [[a, b, None] for a in (1, 2, 5, 8) for b in (1, 3, 8)]
+    block = Block(vocab, np.array([place[x] for t in read for x in t]), np.array([len(t) for t in read]))
+    grams = [{}, {}]
+    for t in read:
+        for i in range(1, len(t)):
+            grams[0][t[i - 1], t[i]] = grams[1][tuple(t[max(0, i - 2) : i + 1])] = 0
+    name = {v: k for k, v in place.items()} | {len(vocab): 0}
+    c1 = np.array([model.c[0][name[i],] for i in range(len(vocab))])
+    c2 = np.zeros(len(block.pairs), np.int64)
+    for b, x, k in zip(block.before, block.at, block.pair, strict=True):
+        c2[k] = model.c[1][name[b], name[x]]
+    block.add_triples(c2)
+    c3 = np.zeros(len(block.triples), np.int64)
+    for i in np.flatnonzero(block.triple >= 0):
+        c3[block.triple[i]] = model.c[2][name[block.before[i - 1]], name[block.at[i - 1]], name[block.at[i]]]
+    weights = tuple(np.array([w(g) for g in range(49)]) for w in model.w)
+    walk = Automaton(block, slice(0, len(block.at)), (c1, c2, c3), model.n, model.v, model.starts, weights).walk
+    for t in read:
+        assert abs(walk([place[x] for x in t]) - model.score(t)) < 1e-9
+    for a in (1, 2, 5, 8):
+        for b in (1, 3, 8):
+            so_far = walk([place[a], place[b]])
+            p = {x: 10 ** (walk([place[a], place[b], place[x]]) - so_far) for x in [*range(1, 9), None]}
+            assert abs(sum(p[x] for x in (1, 2, 3, 4, 5, 6, None)) - 1) < 1e-9 and p[6] == p[7] == p[8]
 
 
 # --- 4 chats
