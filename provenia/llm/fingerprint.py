@@ -3,10 +3,11 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provenia.functions.dialect import fence
 from provenia.llm.common import SPACE, stage, unstage, with_position
 
-#: Words in a k-mer; minimal k-mers that make a signature.
-K, MINIMAL = 2, 32
+#: Words in a k-mer; positions of a fingerprint, each of a pair of minimal k-mers. (So many minima are still compiled as one stage.)
+K, POSITIONS = 2, 40
 #: A k-mer occurrence in a 64-bit number: the upper bits of its hash, then its place in the text in 24 bits.
 PLACE_BITS = 24
 LOW, HIGH = (1 << PLACE_BITS) - 1, -(1 << PLACE_BITS)
@@ -21,40 +22,57 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with column out, array<int>: the Order MinHash of column text.
+def with_kmers(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with column out, array<long>: the occurrence-numbered k-mers of column text, each a hash above PLACE_BITS and its place in the text below.
 
-    k-mers are K words in a row (fewer at the end of the text). Equal k-mers of a text are numbered by occurrence, and (k-mer, number) is hashed.
-    The MINIMAL smallest hashes are selected and put back into text order; each two neighbours there are hashed as a tuple, and the tuples are
-    the signature. Equal texts have equal signatures; a moved or edited passage changes the tuples in it and at its ends.
-    Works on any length: in texts of more than 2^24 words a place counts in steps. An empty text has one empty k-mer, and a
-    text with one k-mer has that alone as its tuple.
+    k-mers are K words in a row (fewer at the end of the text), words being what white space separates. Equal k-mers of a text are numbered by
+    occurrence, and (k-mer, number) is hashed. Works on any length: in texts of more than 2^24 words a place counts in steps. An empty
+    text has one empty k-mer.
     """
     w, s, again, starts = (f"_{out}_{x}" for x in ("w", "s", "again", "starts"))
-    df = df.withColumn(w, F.split(F.col(text), SPACE, -1))
+    # each step is fenced: inside a lambda of the next Spark would compute it anew for each element
+    df = df.withColumn(w, fence(F.split(F.col(text), SPACE, -1)))
     step = F.greatest(F.length(F.bin(F.size(w).cast("long"))) - PLACE_BITS, F.lit(0))
     kmer = lambda x, i: F.xxhash64(x, *[F.get(F.col(w), i + j) for j in range(1, K)])
     placed = let(step, lambda by: F.transform(w, lambda x, i: kmer(x, i).bitwiseAND(F.lit(HIGH)).bitwiseOR(F.call_function("shiftright", i, by).cast("long"))))
-    df = df.withColumn(s, F.sort_array(placed))
+    df = df.withColumn(s, fence(F.sort_array(placed)))
     # sorted by hash, then place: at all but its first occurrence a k-mer has the hash before (null before the first of all)
-    same = lambda arr, x, i: _hash(x.bitwiseXOR(F.get(F.col(arr), i - 1))) == 0
-    df = df.withColumn(again, F.filter(s, lambda x, i: same(s, x, i)))
+    same = lambda arr, x, i: F.coalesce(_hash(x.bitwiseXOR(F.get(F.col(arr), i - 1))) == 0, F.lit(False))
+    df = df.withColumn(again, fence(F.filter(s, lambda x, i: same(s, x, i))))
     # later occurrences are numbered 1, 2, ... within each run of equal hashes
     here = F.filter(F.sequence(F.lit(0), F.size(again) - 1), lambda i: (i == 0) | (_hash(F.get(F.col(again), i)) != _hash(F.get(F.col(again), i - 1))))
-    df = df.withColumn(starts, F.when(F.size(again) > 0, here).otherwise(F.array().cast("array<int>")))
+    df = df.withColumn(starts, fence(F.when(F.size(again) > 0, here).otherwise(F.array().cast("array<int>"))))
     number = F.flatten(F.transform(starts, lambda at, r: F.sequence(F.lit(1), F.coalesce(F.get(F.col(starts), r + 1), F.size(again)) - at)))
     numbered = let(number, lambda occ: F.transform(again, lambda x, i: F.xxhash64(_hash(x), F.get(occ, i)).bitwiseAND(F.lit(HIGH)).bitwiseOR(x.bitwiseAND(F.lit(LOW)))))
-    # the MINIMAL smallest first occurrences lie among this many elements of s
-    least = F.slice(F.filter(F.slice(s, F.lit(1), F.size(again) + MINIMAL), lambda x, i: ~F.coalesce(same(s, x, i), F.lit(False))), 1, MINIMAL)
-    minimal = F.slice(F.sort_array(F.concat(least, numbered)), 1, MINIMAL)
-    in_text = F.sort_array(F.transform(minimal, lambda x: F.struct(x.bitwiseAND(F.lit(LOW)).alias("place"), _hash(x).alias("hash"))))
-    tuples = let(in_text, lambda c: F.transform(F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(1))), lambda x, i: F.hash(x["hash"], F.get(c, i + 1)["hash"])))
-    return df.withColumn(out, tuples).drop(w, s, again, starts)
+    firsts = F.when(F.size(again) > 0, F.filter(s, lambda x, i: ~same(s, x, i))).otherwise(F.col(s))
+    return df.withColumn(out, fence(F.concat(firsts, numbered))).drop(w, s, again, starts)
+
+
+def with_fingerprint(df: DataFrame, text: str, out: str, keys: list[str]) -> DataFrame:
+    """A row for each value of keys (which tell the texts apart): keys and out, array<int> of POSITIONS, the Order MinHash of column text; null text has null.
+
+    Each position has two hashes of its own. The least k-mer by each is selected, the two are put into text order and hashed as a tuple.
+    So equal texts have equal fingerprints, and the share of equal positions falls with what an edit changes and with what it moves.
+    (Two least by one hash would be the same but for drawing without replacement; so each is a plain minimum.)
+    Minima are summed where the rows are, and again after an exchange if the rows don't lie by keys already.
+    """
+    each = with_kmers(df.select(*keys, text), text, "_kmers").select(*keys, F.explode("_kmers").alias("_x"))
+    least = []
+    for i in range(POSITIONS):
+        h = F.xxhash64(F.lit(i), _hash(F.col("_x")))
+        for j, half in enumerate((F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit((1 << 32) - 1)))):
+            least.append(F.min(F.shiftleft(half, PLACE_BITS).bitwiseOR(F.col("_x").bitwiseAND(F.lit(LOW)))).alias(f"_{i}_{j}"))
+    found = each.groupBy(*keys).agg(*least)
+    pairs = F.array(*[F.array(F.col(f"_{i}_0"), F.col(f"_{i}_1")) for i in range(POSITIONS)])
+    place = lambda p, i: F.get(p, F.lit(i)).bitwiseAND(F.lit(LOW))
+    one, two = (lambda p: _hash(F.get(p, F.lit(0)))), (lambda p: _hash(F.get(p, F.lit(1))))
+    told = F.transform(pairs, lambda p: F.when(place(p, 0) <= place(p, 1), F.hash(one(p), two(p))).otherwise(F.hash(two(p), one(p))))
+    return found.select(*keys, told.alias(out))
 
 
 def likeness(a: str, b: str) -> Column:
-    """Common tuples by all tuples of the two signatures, 0 to 1."""
-    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    """The share of positions at which two fingerprints are equal, 0 to 1."""
+    return F.size(F.filter(F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b")), lambda x: x["a"] == x["b"])) / F.lit(float(POSITIONS))
 
 
 def as_text(fingerprint: str) -> Column:
@@ -80,18 +98,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     before = places.select(F.pmod(F.col("pos") + 1, F.lit(max(n_rows, 1))).alias("pos"), F.col("k").alias("ck"), F.col("x").alias("cx"), (F.col("n") / 2).cast("long").alias("need"))
     links = stage(places.join(before.hint("merge"), "pos").select("k", "x", "doc_id", "n", "copies", "ck", "cx", "need"), "fingerprint-links")
 
+    repeated = not links.filter("copies > 1").isEmpty()
+    if repeated:  # of rows with the same id and text one is fingerprinted
+        texts = base.dropDuplicates(["k", "x"])
+    else:
+        texts = base
     # both uses of `full` read the same columns of the texts, so that one exchange serves them
-    full = base.drop("doc_id").join(links.hint("merge"), ["k", "x"])
-    given = full.select(F.col("ck").alias("k"), F.col("cx").alias("x"), F.substring("text", F.lit(1), F.col("need").cast("int")).alias("insert"), F.col("k").alias("nk"), F.col("x").alias("nx"), "copies")
-    given = given.filter("copies = 1").unionByName(given.filter("copies > 1").dropDuplicates(["k", "x"])).drop("copies")
+    full = texts.drop("doc_id").join(links.hint("merge"), ["k", "x"])
+    given = full.select(F.col("ck").alias("k"), F.col("cx").alias("x"), F.substring("text", F.lit(1), F.col("need").cast("int")).alias("insert"), F.col("k").alias("nk"), F.col("x").alias("nx"))
     own = full.select("k", "x", "doc_id", "text", "n").join(given.hint("merge"), ["k", "x"])
     own = own.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n") - F.floor(F.col("n") / 2)).cast("int")), "insert"))
-    own = own.select("k", "x", "nk", "nx", "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited")
-    own = with_fingerprint(with_fingerprint(own, "text", "own").drop("text"), "edited", "changed").drop("edited")
-    own = stage(own, "fingerprints")
-    following = own.groupBy(F.col("k").alias("nk"), F.col("x").alias("nx")).agg(F.first("own").alias("next_own"))
-    out = own.join(following.hint("merge"), ["nk", "nx"])
-    return out.select("doc_id", "n_chars", "edited_sha256", as_text("own").alias("fingerprint"), as_text("changed").alias("edited_fingerprint"), likeness("own", "changed").alias("near_edited"), likeness("own", "next_own").alias("near_next"))
-
-
-__all__ = ["as_text", "fingerprints", "likeness", "unstage", "with_fingerprint"]
+    own = own.select("k", "x", "nk", "nx", "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.inline(F.array(F.struct(F.lit(False).alias("changed"), F.col("text").alias("text")), F.struct(F.lit(True).alias("changed"), F.col("edited").alias("text")))))
+    # the rows lie by (k, x), so what is grouped by more than these needs no further exchange
+    keys = ["k", "x", "nk", "nx", "doc_id", "n_chars", "edited_sha256"]
+    prints = with_fingerprint(own, "text", "print", [*keys, "changed"])
+    prints = prints.groupBy(*keys).agg(F.max(F.when(~F.col("changed"), F.col("print"))).alias("own"), F.max(F.when(F.col("changed"), F.col("print"))).alias("other"))
+    prints = stage(prints, "fingerprints")
+    following = prints.select(F.col("k").alias("nk"), F.col("x").alias("nx"), F.col("own").alias("next_own"))
+    out = prints.join(following.hint("merge"), ["nk", "nx"])
+    if repeated:
+        out = base.select("k", "x").join(out.hint("merge"), ["k", "x"])
+    return out.select("doc_id", "n_chars", "edited_sha256", as_text("own").alias("fingerprint"), as_text("other").alias("edited_fingerprint"), likeness("own", "other").alias("near_edited"), likeness("own", "next_own").alias("near_next"))
+
+
+__all__ = ["as_text", "fingerprints", "likeness", "unstage", "with_fingerprint", "with_kmers"]
