@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,14 +18,14 @@ from provenia.llm.quality import fit_quality, quality_scores
 from provenia.llm.secrets import scanned
 from provenia.llm.substring_dedup import repeated_units
 
-#: The folder of the public vocabulary files; a parameter of op1_bpe.
-TOKENIZERS = "/opt/tokenizers"
+#: The vocabulary of op1_bpe and of the pipeline, a parameter of both.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: The conversation that the chat query adds: its texts are the template's own marks.
 CONFLICT = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
-def op1_bpe(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    return bpe_round_trip(read(spark, sf_dir, "documents"), f"{tokenizers}/word_bpe_49k.json", outputs=False)
+def op1_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return bpe_round_trip(read(spark, sf_dir, "documents"), vocabulary, outputs=False)
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from provenia.llm.exact_dedup import DigestIndex, drop_exact_copies, exact_dedup
 from provenia.llm.lm import score_texts  # noqa: E402
 from provenia.llm.secrets import scanned  # noqa: E402
 
-VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+VOCABULARY = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 needs_vocabulary = pytest.mark.skipif(not Path(VOCABULARY).exists(), reason="no vocabulary files here")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score int, DIGEST string, row string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
@@ -310,29 +310,57 @@ def test_quality_on_held_out_rows(spark):
     rows = [(i, bad(i) if i % 4 == 0 else good()) for i in range(480)]
     docs = spark.createDataFrame([*[(i, t, "l", "s", 0.1) for i, t in rows], (None, None, None, None, None), (1000, "", "l", "s", None)], "doc_id long, text string, lang string, source string, score double")
     labels = spark.createDataFrame([*[(i, int(i % 4 > 0), 0) for i, _ in rows], (None, 1, 0), (7, 1 - int(7 % 4 > 0), 0), (9, None, 1)], "doc_id long, quality int, toxic int")
-    out = quality.quality_scores(docs, quality.fit_quality(docs, labels)).collect()
-    assert len(out) == 482 and all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.5) for x in out)
+    df = quality.quality_scores(docs, quality.fit_quality(docs, labels))
+    assert df.columns == [*docs.columns, "_score", "predicted", "held_out"]  # a column of that name keeps it
+    out = df.collect()
+    assert len(out) == 482 and all(0 <= x._score <= 1 and x.predicted == int(x._score >= 0.5) and x.score in (0.1, None) for x in out)
     held = [x for x in out if x.held_out and x.doc_id is not None and x.doc_id < 480]
     assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 3 == 1) for x in out if x.doc_id is not None)
     assert sum(x.predicted == int(x.doc_id % 4 > 0) for x in held) / len(held) > 0.9
-    assert {x.score for x in quality.quality_scores(docs, quality.fit_quality(docs, labels.limit(0))).collect()} == {0.5}
+    assert {x._score for x in quality.quality_scores(docs, quality.fit_quality(docs, labels.limit(0))).collect()} == {0.5}
     assert quality.quality_scores(docs.limit(0), None).count() == 0
 
 
+def slow_score(net, text):
+    """The network by its definition, chunk by chunk, over the whole text at once."""
+    p = net.p
+    padded = text + bytes(quality.WIDTH)
+    a = [np.maximum(sum(p["taps"][k][padded[i + k]] for k in range(quality.WIDTH)) + p["bias"], 0) for i in range(len(text))]
+    best = np.zeros(quality.UNITS)
+    for s in range(0, max(len(text), 1), quality.HALF):
+        chunk = np.array(a[s : s + 2 * quality.HALF]).reshape(-1, quality.FILTERS)
+        x = np.concatenate([chunk.max(axis=0), chunk.mean(axis=0)]) if len(chunk) else np.zeros(2 * quality.FILTERS)
+        best = np.maximum(best, np.maximum(x @ p["up"] + p["level"], 0))
+    return 1 / (1 + np.exp(-(best @ p["out"] + p["base"][0])))
+
+
+def test_network_scores_whole_texts(monkeypatch):
+    """Of any length, in pieces or not, alone or together with others."""
+    net, r = quality.Network(3), random.Random(8)
+    net.p["bias"] += 0.05
+    texts_of = [bytes(r.randrange(256) for _ in range(n)) for n in (0, 1, 31, 32, 33, 63, 64, 65, 200, 1000, 1057)]
+    want = [slow_score(net, t) for t in texts_of]
+    assert np.allclose(net.scores(texts_of), want, atol=1e-5)
+    monkeypatch.setattr(quality, "PIECE", 128)
+    monkeypatch.setattr(quality, "TOGETHER", 300)
+    assert np.allclose(net.scores(texts_of), want, atol=1e-5)
+    assert np.allclose([net.scores([t])[0] for t in texts_of], want, atol=1e-5)
+
+
 def test_network_gradients():
     net = quality.Network(3)
-    text = bytes(range(200)) * 2
-    g = {k: np.zeros_like(a, dtype=np.float64) for k, a in net.p.items()}
-    _, state = net.forward(text)
-    net.gradients(state, 1.0, g)
-    for k, at in (("out", 3), ("base", 0), ("bias", 2), ("level", 1), ("up", (2, 3)), ("taps", (1, 70, 2))):
+    many = [bytes(range(200)) * 2, b"abc", b"some other text, " * 9]
+    d = np.array([1.0, -0.5, 0.7], np.float32)
+    g = net.gradients(net.units(net.chunks(many)), d)
+    value = lambda: float(d @ (net.units(net.chunks(many))["pooled"] @ net.p["out"] + net.p["base"][0]))
+    for k, at in (("out", 3), ("base", 0), ("bias", 2), ("level", 1), ("up", (2, 3)), ("up", (20, 3)), ("taps", (1, 101, 2)), ("taps", (0, 98, 5))):
         old = net.p[k][at]
-        net.p[k][at] = old + 1e-2
-        up = net.forward(text)[0]
-        net.p[k][at] = old - 1e-2
-        down = net.forward(text)[0]
+        net.p[k][at] = old + 2e-3
+        up = value()
+        net.p[k][at] = old - 2e-3
+        down = value()
         net.p[k][at] = old
-        assert abs((up - down) / 2e-2 - g[k][at]) < 2e-2 * max(1, abs(g[k][at]))
+        assert abs((up - down) / 4e-3 - g[k][at]) < 2e-2 * max(1, abs(g[k][at])), k
 
 
 def test_quality_sample_is_one_text_an_id_and_has_long_ones(spark):
@@ -342,7 +370,7 @@ def test_quality_sample_is_one_text_an_id_and_has_long_ones(spark):
     model = quality.fit_quality(df(rows), labels)
     again = quality.fit_quality(df(rows + [r for r in rows if r[0] < 9] * 7), labels)
     assert all((model.p[k] == again.p[k]).all() for k in model.p)  # a repeated id counts once
-    long = quality.fit_quality(df([(i, t * 600 if i % 2 else t) for i, t in rows]), labels)
+    long = quality.fit_quality(df([(i, t * 6000 if i % 2 else t) for i, t in rows]), labels)
     assert long is not None and quality.fit_quality(df([r for r in rows if r[0] % 2]), labels) is None
 
 
