@@ -1,5 +1,6 @@
 """A corpus from raw documents to token ids: reject, deduplicate, mix, encode."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,17 +11,21 @@ from provenia.llm.jaccard import jaccard_classes
 from provenia.llm.mixing import mixed
 from provenia.llm.quality import fit_quality, quality_scores
 
-VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it is fitted on the labelled ones among docs."""
+    """Documents that the quality classifier accepts; it is fitted on the labelled ones among docs.
+
+    Null text counts as empty text. Rows with null or repeated ids are judged each by its own text. Without labels of both kinds all stay.
+    """
     model = fit_quality(docs, read(spark, sf_dir, "labels"))
-    return quality_scores(docs, model).filter("predicted = 1").select(docs.columns)
+    accepted = free_name(docs, "quality_accepted")
+    return quality_scores(docs, model, names=("quality_score", accepted, "quality_held_out")).filter(F.col(accepted) == 1).select(docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, that of the smallest id."""
+    """One row of each group of equal texts, that of the smallest id, nulls last; of rows with the same id the first. Null text is empty text, and empty texts are equal."""
     return drop_exact_copies(docs, fresh_index(spark, "pipeline-digests"))
 
 
@@ -39,12 +44,15 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in an order in which each source has the same weight."""
+    """All rows, in an order in which each source has the same weight; a null source is a source, null and repeated ids are rows of their own."""
     return mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token ids, their digest and that of the text decoded from them, and its position in the mix: docs is the mix as written."""
+    """Each document's token ids, their digest and that of the text decoded from them, and its position in the mix: docs is the mix as written.
+
+    Null text is empty text and has no ids; null and repeated ids stay. Columns of docs other than doc_id and text are not read.
+    """
     return bpe_round_trip(with_written_position(docs), VOCABULARY, decoded=False, keep=("position",))
 
 
