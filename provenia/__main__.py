@@ -1,4 +1,4 @@
-"""python -m provenia extract PAGES.parquet [--schema FILE]: results as JSON; exit code 0, 1 if any instance is rejected, 2 if it can't run."""
+"""python -m provenia extract PAGES.parquet [--schema FILE]: the results as one JSON array; exit code 0, 1 if any instance is rejected, 2 if it can't run."""
 
 import argparse
 import json
@@ -36,13 +36,16 @@ def main(argv: list[str] | None = None) -> int:
     except SchemaError as e:
         print(e, file=sys.stderr)
         return 2
-    code = 0
+    code, first = 0, True
     for name, schema in schemas.items():
         own = pages if name is None else pages.join(classes.filter(classes["schema"] == name).select("file"), "file", "left_semi")
         results = extract(own, schema)
         for r in contract(results, schema).orderBy("file", "instance_id").toLocalIterator():
+            print("[" if first else ",")  # one array, written as the results come
             print(json.dumps(json.loads(r["result"]), ensure_ascii=False, indent=2))
+            first = False
         code = max(code, exit_code(results))
+    print("[]" if first else "]")
     return code
 
 

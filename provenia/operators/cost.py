@@ -1,5 +1,7 @@
 """What model calls cost: tokens, images, estimates before any call, and a budget that stops a run."""
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,13 +40,27 @@ def estimate(calls: DataFrame, prices: DataFrame, cached: DataFrame | None = Non
 
     calls: key, prompt_chars, asked (number of fields), images array<struct<width, height>> in pixels. cached: key, model of replies that are there already. A
     model without an image formula is left out whole, for an estimate without the images would be too low.
+
+    A call counts alike for all models of one image formula, and there are few formulas: calls are summed once for each formula that prices
+    names, whatever the number of models, and what a model has cached is summed from those calls alone and taken off.
     """
-    every = calls.join(F.broadcast(prices.filter("image_kind is not null")))
+    named = prices.filter("image_kind is not null")
+    formulas = [r[0] for r in named.select("image_kind").distinct().collect()]
+    pictures = lambda kind: F.aggregate("images", F.lit(0).cast("bigint"), lambda a, i: a + image_tokens(F.lit(kind), i["width"], i["height"]).cast("bigint"))
+    tokens_in = lambda kind: F.floor(F.col("prompt_chars") / CHARS_PER_TOKEN) + pictures(kind)
+    of = F.array(*[F.struct(F.lit(k).alias("image_kind"), tokens_in(k).alias("n_in"), (F.col("asked") * OUTPUT_PER_FIELD).alias("n_out")) for k in formulas])
+    counted = [F.count("*").alias("calls"), F.sum("n_in").alias("tokens_in"), F.sum("n_out").alias("tokens_out")]
+    if not formulas:
+        of = F.array().cast("array<struct<image_kind:string,n_in:bigint,n_out:bigint>>")
+    every = calls.select(F.inline(of)).groupBy("image_kind").agg(*counted)
+    out = named.select("model", "image_kind", "input_price", "output_price").join(every, "image_kind")
     if cached is not None:
-        every = every.join(cached.select("key", "model").distinct(), ["key", "model"], "left_anti")
-    pictures = F.aggregate("images", F.lit(0).cast("bigint"), lambda a, i: a + image_tokens(F.col("image_kind"), i["width"], i["height"]).cast("bigint"))
-    every = every.withColumn("tokens_in", F.floor(F.col("prompt_chars") / CHARS_PER_TOKEN) + pictures).withColumn("tokens_out", F.col("asked") * OUTPUT_PER_FIELD)
-    return every.groupBy("model").agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum(call_cost(F.col("tokens_in"), F.col("tokens_out"))).alias("cost"))
+        again = cached.select("key", "model").distinct().join(named.select("model", "image_kind"), "model").join(calls, "key")
+        own = again.withColumn("x", F.get(F.filter(of, lambda x: x["image_kind"] == F.col("image_kind")), F.lit(0))).select("model", "x.n_in", "x.n_out")
+        out = out.join(own.groupBy("model").agg(*[c.alias(f"_{n}") for c, n in zip((F.count("*"), F.sum("n_in"), F.sum("n_out")), ("calls", "in", "out"), strict=True)]), "model", "left")
+        less = lambda c, n: (F.col(c) - F.coalesce(f"_{n}", F.lit(0))).alias(c)
+        out = out.select("model", "input_price", "output_price", less("calls", "calls"), less("tokens_in", "in"), less("tokens_out", "out")).filter("calls > 0")
+    return out.select("model", "calls", "tokens_in", "tokens_out", call_cost(F.col("tokens_in"), F.col("tokens_out")).alias("cost"))
 
 
 def within_budget(calls: DataFrame, limit: float, order: list[str], by: list[str] | None = None) -> DataFrame:
@@ -56,13 +72,44 @@ def within_budget(calls: DataFrame, limit: float, order: list[str], by: list[str
     spent = F.coalesce(F.sum("cost").over(Window.partitionBy(*(by or ["_range"])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("double"))
     if by:
         return calls.withColumn("spent_before", spent).withColumn("skipped", F.col("spent_before") > limit)
-    n = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = calls.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    # ranges are cut by a sample, anew at each use; a checkpoint fixes the cut, for the sums and the rows alike
+    n, row_range = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.spark_partition_id()
+    dealt = fixed(calls.repartitionByRange(n, *order).withColumn("_range", row_range))
     sums = dealt.groupBy("_range").agg(F.sum("cost").alias("_sum"))
     sums = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("double")).alias("_before"))
+    # a row for each shuffle partition at most
     out = dealt.withColumn("spent_before", spent).join(F.broadcast(sums), "_range").withColumn("spent_before", F.col("spent_before") + F.col("_before"))
     return out.withColumn("skipped", F.col("spent_before") > limit).drop("_range", "_before")
 
 
+def fixed(df: DataFrame) -> DataFrame:
+    """df as a table in the session's checkpoint folder; a session without one (tests in local mode) gets a temporary folder, a cluster an error."""
+    context = df.sparkSession.sparkContext
+    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="provenia-"))
+    return df.checkpoint()
+
+
+def bake_off(calls: DataFrame, prices: DataFrame, rows: DataFrame, limit: float | None = None) -> DataFrame:
+    """A row for each model tried: documents, calls, cost, cost_per_document, p50_latency, correct, total, accuracy, invented, skipped, stopped.
+
+    calls: model, doc_key, ordinal, tokens_in, tokens_out, latency; rows: model, doc_key, value, expected, correct of the fields of its results. With a limit each
+    model has a budget of its own: the call that passes it still counts, those after it are skipped, with their documents' fields. Accuracy is of fields.
+    """
+    priced = with_prices(calls, prices).withColumn("cost", call_cost(F.col("tokens_in"), F.col("tokens_out")))
+    priced = within_budget(priced, limit, ["ordinal", "doc_key"], ["model"]) if limit is not None else priced.withColumn("skipped", F.lit(False))
+    done = ~F.col("skipped")
+    by_model = priced.groupBy("model").agg(F.count_distinct(F.when(done, F.col("doc_key"))).alias("documents"), F.count_if(done).alias("calls"), F.coalesce(F.sum(F.when(done, F.col("cost"))), F.lit(0.0)).alias("cost"), F.median(F.when(done, F.col("latency"))).alias("p50_latency"), F.count_if("skipped").alias("skipped"))
+    seen = rows.join(priced.filter(done).select("model", "doc_key").distinct(), ["model", "doc_key"], "left_semi")
+    wrong = F.col("value").isNotNull() & ~F.col("correct")
+    judged = seen.groupBy("model").agg(F.count_if("correct").alias("correct"), F.count("*").alias("total"), F.count_if(wrong).alias("invented"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    out = by_model.join(judged, "model", "left").select("model", "documents", "calls", "cost", "p50_latency", "skipped", *map(zero, ("correct", "total", "invented")))
+    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
+    return out.withColumn("cost_per_document", ratio("cost", "documents")).withColumn("accuracy", ratio("correct", "total")).withColumn("stopped", F.col("skipped") > 0)
+
+
 def latency_p50(calls: DataFrame, by: list[str]) -> DataFrame:
     return calls.groupBy(*by).agg(F.median("latency").alias("p50"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provenia.functions.repair import same_value
+from provenia.operators.extraction import NORMALISED, NOT_EXTRACTED, NOT_NORMALISABLE, column
 from provenia.plans.schema import KINDS
 
 
@@ -34,6 +35,46 @@ def aligned(expected: DataFrame, found: DataFrame) -> DataFrame:
     return out.drop("_rank", "_n", "_found")
 
 
+def paired(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """expected(file, doc_key, ordinal, ...) with all columns of found(file, segment, ...) at the same place in the file, and `misaligned`.
+
+    Like aligned, for results in wide form: one join brings a document its whole instance. Where a file's counts differ, found's columns are NULL.
+    """
+    by_file = Window.partitionBy("file")
+    e = expected.withColumn("_rank", F.row_number().over(by_file.orderBy("ordinal"))).withColumn("_n", F.count("*").over(by_file))
+    f = found.withColumn("_rank", F.row_number().over(by_file.orderBy("segment"))).withColumn("_found", F.count("*").over(by_file))
+    out = e.join(f, ["file", "_rank"], "left").withColumn("misaligned", F.coalesce(F.col("_n") != F.col("_found"), F.lit(True)))
+    return out.withColumns({c: F.when(~F.col("misaligned"), F.col(c)) for c in found.columns if c != "file"}).drop("_rank", "_n", "_found")
+
+
+def compared_cells(pairs: DataFrame, cells: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Of paired documents the rows of compared; cells: for each field its kind and the column of pairs that has the truth."""
+    one = lambda n, kind, truth: F.struct(F.lit(n).alias("field"), F.lit(kind).alias("kind"), F.col(column(n))["value"].alias("value"), F.coalesce(F.col(column(n))["outcome"], F.lit(NOT_EXTRACTED)).alias("outcome"), truth.cast("string").alias("expected"))
+    out = pairs.select("doc_key", "misaligned", F.inline(F.array(*[one(n, kind, truth) for n, (kind, truth) in cells.items()])))
+    return out.withColumn("correct", ~F.col("misaligned") & same_by_kind(F.col("value"), F.col("expected"), F.col("kind"))).select("doc_key", "field", "kind", "value", "outcome", "expected", "misaligned", "correct")
+
+
+def paired_verdicts(pairs: DataFrame, any_mandatory: bool) -> DataFrame:
+    """verdicts of paired documents, whose own verdict is in `outcome`."""
+    out = pairs.select(F.when(F.col("misaligned"), "reject" if any_mandatory else "pass").otherwise(F.col("outcome")).alias("verdict"))
+    return out.groupBy("verdict").agg(F.count("*").alias("documents"))
+
+
+def diagnosis(rows: DataFrame) -> DataFrame:
+    """By document, of compared rows: fields, correct, not_extracted, not_normalisable, wrong, and first_loss, the stage at which the document is lost first."""
+    is_ = lambda o: F.count_if(F.col("outcome") == o)
+    wrong = (F.col("outcome") == NORMALISED) & ~F.col("correct") & ~F.col("misaligned")
+    out = rows.groupBy("doc_key").agg(F.max("misaligned").alias("misaligned"), F.count("*").alias("fields"), F.count_if("correct").alias("correct"), is_(NOT_EXTRACTED).alias("not_extracted"), is_(NOT_NORMALISABLE).alias("not_normalisable"), F.count_if(wrong).alias("wrong"))
+    loss = F.when(F.col("misaligned"), "misaligned").when(F.col("not_extracted") > 0, NOT_EXTRACTED).when(F.col("not_normalisable") > 0, NOT_NORMALISABLE).when(F.col("wrong") > 0, "wrong")
+    return out.withColumn("first_loss", loss)
+
+
+def composition(documents: DataFrame, by: list[str]) -> DataFrame:
+    """How many documents have each value of each of the attributes; a missing one counts as `n/d`."""
+    told = F.array(*[F.struct(F.lit(c).alias("attribute"), F.coalesce(F.col(c).cast("string"), F.lit("n/d")).alias("value")) for c in by])
+    return documents.select(F.inline(told)).groupBy("attribute", "value").agg(F.count("*").alias("documents"))
+
+
 def compared(pairs: DataFrame, results: DataFrame, truth: DataFrame) -> DataFrame:
     """doc_key, field, kind, value, outcome, expected, misaligned, correct. pairs: aligned; results: file, segment, field, kind, value, outcome; truth: doc_key, field, kind, expected."""
     wanted = pairs.select("file", "doc_key", "segment", "misaligned").join(truth.select("doc_key", "field", "kind", "expected"), "doc_key")
@@ -75,15 +116,39 @@ def worst(rows: DataFrame, name: str, score: str) -> DataFrame:
     return rows.agg(F.min_by(name, F.struct(score, name)).alias("worst"), F.min(score).alias("score"))
 
 
-def triage_report(found: DataFrame, expected: DataFrame) -> DataFrame:
-    """One row for each file of expected(file, ranges array<struct<from, to>>, page_types array<string>): whether counts, ranges as sets, and types match.
+#: The page type that a document of each quality has, and the flag of one that stands on its head.
+TYPE_OF_QUALITY = {"digitale": "digitale", "scansione_pulita": "scansione", "scansione_sporca": "scansione", "ibrida": "ibrida"}
+ROTATED = "ruotata"
+
+
+def expected_pages(documents: DataFrame) -> DataFrame:
+    """What triage_report expects, of metadata(doc_key, file, page_from, page_to, quality, flags): a row for each file: ranges, page_type, rotation; those of its first document."""
+    first = F.min_by(F.struct("quality", F.array_contains("flags", ROTATED).alias("turned")), "doc_key")
+    out = documents.groupBy("file").agg(F.array_sort(F.collect_set(F.struct(F.col("page_from").alias("from"), F.col("page_to").alias("to")))).alias("ranges"), F.count("*").cast("int").alias("documents"), first.alias("of"))
+    kind = F.coalesce(*[F.when(F.col("of.quality") == q, t) for q, t in TYPE_OF_QUALITY.items()])
+    return out.select("file", "ranges", "documents", kind.alias("page_type"), F.when(F.col("of.turned"), 180).otherwise(0).alias("rotation"))
+
+
+def triage_report(found: DataFrame, pages: DataFrame, expected: DataFrame) -> DataFrame:
+    """A row for each file of expected(file, ranges array<struct<from, to>>, documents, page_type, rotation).
 
-    found: file, page_from, page_to, seg_confidence, pages. certain_but_wrong: bounds said to be certain that differ.
+    found: file, page_from, page_to, seg_confidence of its instances; pages: file, page_type, page_rotation of triage. count_matches and ranges_match (as sets);
+    certain_but_wrong: counts said to be certain that differ; n_pages, types_right; rotation_known (pages with a rotation at all) and, of these, rotation_right.
     """
-    f = found.groupBy("file").agg(F.array_sort(F.collect_set(F.struct(F.col("page_from").cast("int").alias("from"), F.col("page_to").cast("int").alias("to")))).alias("got"), F.first("seg_confidence").alias("confidence"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page_from", "pages"))), lambda x: x["pages"])).alias("_pages"))
-    same = F.col("got") == F.array_sort(F.array_distinct("ranges"))
-    out = expected.join(f, "file", "left")
-    return out.select("file", "confidence", F.coalesce(F.size("got") == F.size("ranges"), F.lit(False)).alias("count_matches"), F.coalesce(same, F.lit(False)).alias("ranges_match"), F.coalesce(F.transform("_pages", lambda p: p["tipo"]) == F.col("page_types"), F.lit(False)).alias("types_match"), F.coalesce((F.col("confidence") == "certa") & ~same, F.lit(False)).alias("certain_but_wrong"))
+    f = found.groupBy("file").agg(F.array_sort(F.collect_set(F.struct(F.col("page_from").cast("int").alias("from"), F.col("page_to").cast("int").alias("to")))).alias("got"), F.count("*").alias("instances"), F.first("seg_confidence").alias("confidence"))
+    told = expected.select("file", F.col("page_type").alias("want_type"), F.col("rotation").alias("want_rotation"))
+    p = pages.join(told, "file").groupBy("file").agg(F.count("*").alias("n_pages"), F.count_if(F.col("page_type") == F.col("want_type")).alias("types_right"), F.count("page_rotation").alias("rotation_known"), F.count_if(F.col("page_rotation") == F.col("want_rotation")).alias("rotation_right"))
+    out = expected.join(f, "file", "left").join(p, "file", "left")
+    count = F.coalesce(F.col("instances") == F.col("documents"), F.lit(False))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select("file", "confidence", count.alias("count_matches"), F.coalesce(F.col("got") == F.array_sort(F.array_distinct("ranges")), F.lit(False)).alias("ranges_match"), ((F.col("confidence") == "certa") & ~count).alias("certain_but_wrong"), *map(zero, ("n_pages", "types_right", "rotation_known", "rotation_right")))
+
+
+def triage_rates(report: DataFrame) -> DataFrame:
+    """One row over triage_report: shares of files with right counts and ranges, of pages with the right type, of pages with a rotation, and of these with the right one."""
+    ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    n, pages, known = F.count("*"), F.sum("n_pages"), F.sum("rotation_known")
+    return report.agg(n.alias("files"), F.count_if("certain_but_wrong").alias("certain_but_wrong"), ratio(F.count_if("count_matches"), n).alias("counts"), ratio(F.count_if("ranges_match"), n).alias("ranges"), ratio(F.sum("types_right"), pages).alias("types"), ratio(known, pages).alias("rotation_coverage"), ratio(F.sum("rotation_right"), known).alias("rotation"))
 
 
 def contract_faults(rows: DataFrame) -> DataFrame:

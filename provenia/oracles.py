@@ -166,13 +166,33 @@ count(*) FILTER (correct) AS correct, count(*) FILTER (value IS NOT NULL AND NOT
     "reply_parse": """SELECT k AS o_orderkey, CASE WHEN ok THEN t END AS total, CASE WHEN ok AND k % 4 = 0 THEN '30' WHEN ok AND k % 4 = 3 THEN CAST(k % 100 AS VARCHAR) END AS n, CASE WHEN ok AND k % 3 <> 0 THEN p END AS s, CAST(NULL AS VARCHAR) AS gone
 FROM (SELECT o_orderkey AS k, rtrim(rtrim(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), '0'), '.') AS t, o_orderpriority AS p, o_orderkey % 13 <> 0 AND (o_orderkey % 5 = 0 OR o_orderkey % 17 <> 0) AS ok FROM orders)""",
     "token_cost_estimate": """WITH c AS (SELECT doc_id AS d, n_chars // 4 AS p, (doc_id % 5 + 1) * 8 AS o, doc_id % 3 + 1 AS m, 1000 + doc_id % 300 AS w, 1400 + doc_id % 200 AS h FROM documents),
-m AS (SELECT * FROM (VALUES ('linear-large', 5.0, 25.0, 1), ('linear-medium', 3.0, 15.0, 1), ('linear-small', 1.0, 5.0, 1), ('tile-large', 2.5, 10.0, 2), ('tile-small', 0.15, 0.6, 3)) AS v(model, i, u, f)),
-t AS (SELECT model, i, u, o, p + c.m * CASE f WHEN 1 THEN ceil(w * h / 750) WHEN 2 THEN 85 + 170 * ceil(w / 512) * ceil(h / 512) ELSE 4 * (85 + 170 * ceil(w / 512) * ceil(h / 512)) END AS n FROM c, m WHERE NOT (d % 10 = 0 AND model = 'linear-small'))
-SELECT model, count(*) AS calls, CAST(sum(n) AS BIGINT) AS tokens_in, CAST(sum(o) AS BIGINT) AS tokens_out, round(CAST(sum(n * i / 1e6 + o * u / 1e6) AS DOUBLE), 4) AS cost FROM t GROUP BY 1""",
+m AS (SELECT * FROM (VALUES ('steady', 4.0, 16.0, 1), ('quick', 0.8, 3.2, 1), ('tiled', 2.0, 9.0, 2), ('tiled-quick', 0.2, 0.7, 3)) AS v(model, i, u, f)),
+t AS (SELECT model, i, u, o, p + c.m * CASE f WHEN 1 THEN ceil(w * h / 750) WHEN 2 THEN 85 + 170 * ceil(w / 512) * ceil(h / 512) ELSE 4 * (85 + 170 * ceil(w / 512) * ceil(h / 512)) END AS n FROM c, m WHERE NOT (d % 10 = 0 AND model = 'quick'))
+SELECT model, count(*) AS calls, CAST(sum(n) AS BIGINT) AS tokens_in, CAST(sum(o) AS BIGINT) AS tokens_out, round(CAST(sum(n) * any_value(i) / 1e6 + sum(o) * any_value(u) / 1e6 AS DOUBLE), 4) AS cost FROM t GROUP BY 1""",
+    "model_bake_off": """WITH c AS (SELECT m.model, doc_id AS d, lang, n_chars * m.i / 1e6 + doc_id % 50 * m.u / 1e6 AS cost FROM documents, (VALUES ('steady', 4.0::DOUBLE, 16.0::DOUBLE), ('tiled', 2.0::DOUBLE, 9.0::DOUBLE)) AS m(model, i, u)),
+b AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY model ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 5 AS skipped FROM c),
+a AS (SELECT model, count(*) FILTER (NOT skipped) AS n, coalesce(sum(cost) FILTER (NOT skipped), 0) AS cost, median(CAST(d % 97 AS DOUBLE)) FILTER (NOT skipped) AS p, count(*) FILTER (NOT skipped AND d % 3 > 0 AND d % 5 > 0) AS right_, count(*) FILTER (NOT skipped AND d % 3 > 0 AND lang IS NOT NULL AND d % 5 = 0) AS bad, count(*) FILTER (skipped) AS skipped FROM b GROUP BY 1)
+SELECT model, n AS documents, n AS calls, round(cost, 4) AS cost, round(cost / n, 6) AS cost_per_document, round(p, 4) AS p50_latency, right_ AS correct, n AS total, bad AS invented, round(right_ / n, 6) AS accuracy, skipped, skipped > 0 AS stopped FROM a""",
     "budget_window": "WITH s AS (SELECT doc_id, CAST(coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS spent_before FROM documents) SELECT doc_id, spent_before, spent_before > 1000000 AS skipped FROM s",
     "latency_p50": "SELECT event_type, round(median(value), 6) AS p50 FROM events GROUP BY 1",
     "content_keys": "SELECT doc_id, sha256(text || lang) AS key FROM documents",
-    "inventory": "SELECT page_id, string_split(url, '/')[3] AS host, sha256(html) AS sha256, CAST(strlen(html) AS BIGINT) AS bytes FROM pages",
+    "inventory": "SELECT url || '/' || page_id AS path, CAST(page_id AS VARCHAR) AS file, string_split(url, '/')[-1] AS supplier, sha256(html) AS sha256, CAST(strlen(html) AS BIGINT) AS bytes FROM pages",
+    "contract_faults": """WITH r AS (SELECT o_orderkey AS k, o_orderkey % 3 = 0 AS v FROM orders)
+SELECT unnest(['value_origin', 'value_confidence', 'missing_status', 'known_verdict']) AS rule, unnest([count(*) FILTER (k % 11 = 0), count(*) FILTER (k % 13 = 0), count(*) FILTER (k % 17 = 0), count(*) FILTER (k % 19 = 0)]) AS faults FROM r""",
+    "result_json_fields": GATE + " SELECT file, instance_id, outcome, reason FROM gate",
+    "missing_fields": "SELECT * FROM (SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 3 = 0 THEN 'a' END, CASE WHEN o_orderkey % 5 = 0 THEN 'b' END, CASE WHEN o_orderkey % 7 = 0 THEN 'c' END) AS asked FROM orders) WHERE asked <> ''",
+    "page_rotations": "SELECT p_partkey, CAST(CASE WHEN p_partkey % 5 = 0 AND p_partkey % 4 > 0 THEN p_partkey % 4 * 90 WHEN p_partkey % 3 > 0 THEN CASE WHEN p_partkey % 7 > 0 THEN p_partkey % 2 * 180 END ELSE 0 END AS INTEGER) AS rotation FROM part",
+    "classify_bill_files": "SELECT DISTINCT 'C' || o_custkey || '.pdf' AS file, 'bolletta_luce' AS class, 'bolletta_luce_it' AS schema, false AS fell_back FROM orders",
+    "cache_keys": r"""SELECT doc_id, sha256(unhex(lpad(hex(strlen(text)), 16, '0')) || encode(text) || unhex(lpad(hex(strlen(lang)), 16, '0')) || encode(lang) || '\x00'::BLOB || encode('prompt') || '\x00'::BLOB || encode(source) || '\x00'::BLOB || encode('1')) AS key FROM documents""",
+    "composition_counts": """SELECT attribute, value, count(*) AS documents FROM (SELECT unnest(['lang', 'source', 'single_rate']) AS attribute, unnest([coalesce(lang, 'n/d'), coalesce(source, 'n/d'), CASE WHEN doc_id % 4 > 0 THEN CAST(doc_id % 2 = 0 AS VARCHAR) ELSE 'n/d' END]) AS value FROM documents) GROUP BY ALL""",
+    "eval_diagnosis": EVAL
+    + """, d AS (SELECT doc_key, bool_or(misaligned) AS misaligned, count(*) FILTER (correct) AS correct, count(*) FILTER (outcome = 'non_estratto') AS not_extracted, count(*) FILTER (outcome = 'non_normalizzabile') AS odd, count(*) FILTER (outcome = 'normalizzato' AND NOT correct AND NOT misaligned) AS wrong FROM cmp GROUP BY 1)
+SELECT misaligned, CASE WHEN misaligned THEN 'misaligned' WHEN not_extracted > 0 THEN 'non_estratto' WHEN odd > 0 THEN 'non_normalizzabile' WHEN wrong > 0 THEN 'wrong' END AS first_loss, count(*) AS documents, CAST(sum(correct) AS BIGINT) AS correct, CAST(sum(not_extracted) AS BIGINT) AS not_extracted, CAST(sum(wrong) AS BIGINT) AS wrong FROM d GROUP BY ALL""",
+    "triage_attributes": """WITH x AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n, bool_or(o_orderkey % 17 = 0) OVER (PARTITION BY o_custkey) AS scanned FROM orders),
+p AS (SELECT c, k, unnest([1, 2]) AS side, unnest([r * 2 - 1, r * 2]) AS page FROM x),
+f AS (SELECT c, any_value(n) AS n, any_value(scanned) AS scanned FROM x GROUP BY c)
+SELECT (SELECT count(*) FROM f) AS files, CAST(0 AS BIGINT) AS certain_but_wrong, round((SELECT count(*) FILTER (n = 1 OR NOT scanned) / count(*) FROM f), 6) AS counts, round((SELECT count(*) FILTER (n = 1 OR NOT scanned) / count(*) FROM f), 6) AS ranges,
+round(count(*) FILTER (side = 1 OR k % 17 <> 0) / count(*), 6) AS types, round(count(*) FILTER (page % 3 > 0) / count(*), 6) AS rotation_coverage, round(count(*) FILTER (page % 3 > 0 AND page % 2 = 0) / count(*) FILTER (page % 3 > 0), 6) AS rotation FROM p""",
     "contract_check": "SELECT unnest(['value_origin', 'value_confidence', 'missing_status', 'known_verdict']) AS rule, CAST(0 AS BIGINT) AS faults",
     "feature_margins": "SELECT CASE WHEN p THEN 'scansione' ELSE 'digitale' END AS page_type, n AS pages, CASE WHEN p THEN 1.0 ELSE 0.0 END::DOUBLE AS min_coverage, CASE WHEN p THEN 1.0 ELSE 0.0 END::DOUBLE AS max_coverage, CASE WHEN p THEN round(1 / 0.85::DOUBLE, 6) END AS margin FROM (SELECT o_orderkey % 17 = 0 AS p, 0 AS z FROM orders UNION ALL SELECT false, 0 FROM orders) AS t(p, z), LATERAL (SELECT 1) GROUP BY p HAVING true".replace("n AS pages", "count(*) AS pages"),
     "recovery_rate": "SELECT p_size, count(*) AS total, count(*) FILTER (p_partkey % 4 <> 0) AS recovered FROM part GROUP BY 1",

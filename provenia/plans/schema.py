@@ -2,7 +2,7 @@
 
 import re
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from importlib.resources import files
 from types import MappingProxyType
 from typing import Any
@@ -70,6 +70,11 @@ class Schema:
     def field(self, name: str) -> Field | None:
         return next((f for f in self.fields if f.name == name), None)
 
+    def only(self, *names: str) -> "Schema":
+        """The schema of these fields alone, with the invariants that refer to no others."""
+        _need(set(names) <= {f.name for f in self.fields}, f"unknown fields: {', '.join(sorted(set(names) - {f.name for f in self.fields}))}")
+        return replace(self, fields=tuple(f for f in self.fields if f.name in names), invariants=tuple(i for i in self.invariants if set(i.fields()) <= set(names)))
+
 
 def _need(ok: bool, what: str) -> None:
     if not ok:

@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from provenia.functions.keys import pages_key
+from provenia.functions.keys import cache_key, pages_key
 from provenia.functions.repair import repair
 from provenia.functions.replies import reply_values
 from provenia.operators import cost, evaluation
 from provenia.operators.arbitration import arbitrate, arbitration_stats
-from provenia.operators.classify import classify
-from provenia.operators.extraction import long_form, tier0
+from provenia.operators.classify import classify, classify_files
+from provenia.operators.extraction import long_form, missing, tier0
 from provenia.operators.invariants import with_judgements
 from provenia.operators.segmentation import instances, segments
-from provenia.operators.triage import image_coverage, page_type, text_density, triage
-from provenia.plans.compiler import contract, extract, fields_of, prepared
-from provenia.plans.schema import Field, Invariant, shipped
+from provenia.operators.triage import DIGITAL, HYBRID, SCAN, image_coverage, page_rotation, page_type, text_density, triage
+from provenia.plans.compiler import contract, extract, fields_of, fill, prepared
+from provenia.plans.schema import Field, Invariant, Schema, shipped
 from provenia.sources.bills import HEIGHT, WIDTH, bill_pages, bills, italian
-from provenia.sources.loaders import prices
+from provenia.sources.loaders import PRICES, inventory_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,7 +61,9 @@ def extract_diagnosis_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def unique_capture_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found(spark, sf_dir).filter("field = 'importo_totale' and outcome = 'non_estratto'").select("file", "instance_id")
+    schema = shipped(BILL).only("importo_totale")  # one field is asked, so one is compiled
+    one = long_form(tier0(instances(prepared(bill_pages(spark, sf_dir)), schema.segmentation), schema), schema, ["file", "instance_id"])
+    return one.filter("outcome = 'non_estratto'").select("file", "instance_id")
 
 
 @query
@@ -221,11 +223,52 @@ def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract(results(spark, sf_dir), shipped(BILL))
 
 
+@query
+def result_json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader of the public JSON gets back by path."""
+    said = lambda path: F.get_json_object("result", f"$.{path}")
+    return result_json(spark, sf_dir).select("file", said("istanza_id").alias("instance_id"), said("esito").alias("outcome"), said("motivo").alias("reason"))
+
+
 @query
 def fill_not_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model stage's replies filled into what tier 0 found."""
+    schema = Schema(1, "order", (Field("value", "string"),))
     x, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
-    first, second = F.when(k % 3 > 0, F.col("o_orderpriority")), F.when(k % 4 > 0, F.col("o_clerk") if "o_clerk" in x.columns else F.col("o_orderstatus"))
-    return x.select("o_orderkey", F.coalesce(first, second).alias("value"), F.when(first.isNotNull(), "tier0").when(second.isNotNull(), "tier1").alias("origin"))
+    first, second = F.when(k % 3 > 0, F.col("o_orderpriority")), F.when(k % 4 > 0, F.col("o_orderstatus"))
+    own = F.struct(first.alias("value"), first.alias("raw"), F.lit("").alias("outcome"), F.when(first.isNotNull(), "tier0").alias("origin"))
+    out = fill(x.select("o_orderkey", own.alias("f_value"), F.create_map(F.lit("value"), second).alias("reply")), schema)
+    return out.select("o_orderkey", F.col("f_value.value").alias("value"), F.col("f_value.origin").alias("origin"))
+
+
+@query
+def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the model stage would be asked for, by order, where tier 0 leaves something open."""
+    schema = Schema(1, "order", (Field("a", "string"), Field("b", "string"), Field("c", "string")))
+    k = F.col("o_orderkey")
+    value = lambda n: F.struct(F.when(k % n > 0, F.col("o_orderstatus")).alias("value"))
+    x = table(spark, sf_dir, "orders").select("o_orderkey", value(3).alias("f_a"), value(5).alias("f_b"), value(7).alias("f_c"))
+    return x.select("o_orderkey", F.array_join(missing(schema), ",").alias("asked")).filter("asked <> ''")
+
+
+@query
+def classify_bill_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_files(bill_pages(spark, sf_dir))
+
+
+@query
+def page_rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's own rotation, else for scans and hybrids what a detector found."""
+    k = F.col("p_partkey")
+    kind = F.get(F.array(*map(F.lit, (DIGITAL, HYBRID, SCAN))), (k % 3).cast("int"))
+    rotation = page_rotation((k % 4 * 90).cast("int") * F.when(k % 5 == 0, 1).otherwise(0), kind, F.when(k % 7 > 0, (k % 2 * 180).cast("int")))
+    return table(spark, sf_dir, "part").select("p_partkey", rotation.cast("int").alias("rotation"))
+
+
+@query
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.array(F.encode("text", "UTF-8"), F.encode("lang", "UTF-8"))
+    return table(spark, sf_dir, "documents").select("doc_id", cache_key(parts, F.lit("prompt"), F.col("source"), F.lit("1")).alias("key"))
 
 
 def two_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -254,32 +297,58 @@ def arbitration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVALUATED = ("pod", "periodo_da", "periodo_a", "giorni", "kwh_totale", "importo_totale")
 
 
-def evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(pairs, compared rows) of the bills' results with what the orders say."""
-    b, rows = bills(spark, sf_dir), result_rows(spark, sf_dir)
-    doc = b.select(F.concat(F.lit("D"), F.col("o_orderkey").cast("string")).alias("doc_key"), F.concat(F.lit("C"), F.col("o_custkey").cast("string"), F.lit(".pdf")).alias("file"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("start", "o_orderkey")).alias("ordinal"), "*")
-    pairs = evaluation.aligned(doc.select("doc_key", "file", "ordinal"), rows.select("file", "segment").distinct())
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order with its bill's whole result, extracted once."""
+    doc = bills(spark, sf_dir).select(F.concat(F.lit("D"), F.col("o_orderkey").cast("string")).alias("doc_key"), F.concat(F.lit("C"), F.col("o_custkey").cast("string"), F.lit(".pdf")).alias("file"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("start", "o_orderkey")).alias("ordinal"), "o_orderkey", "o_custkey", "start", F.col("stop"), F.col("days"), F.col("kwh"), F.col("total"))
+    return evaluation.paired(doc, results(spark, sf_dir).select("file", "segment", "outcome", *[f"f_{n}" for n in EVALUATED]))
+
+
+def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bills' results compared with what the orders say."""
     pod = F.concat(F.lit("IT"), F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0"), F.lit("E"), F.lpad((F.col("o_orderkey") % 100000000).cast("string"), 8, "0"))
     cells = {"pod": ("string", F.when(F.col("o_orderkey") % 19 != 0, pod)), "periodo_da": ("date", F.col("start")), "periodo_a": ("date", F.col("stop")), "giorni": ("integer", F.col("days")), "kwh_totale": ("decimal", F.col("kwh")), "importo_totale": ("decimal", F.col("total"))}
-    truth = doc.select("doc_key", F.inline(F.array(*[F.struct(F.lit(n).alias("field"), F.lit(kind).alias("kind"), c.cast("string").alias("expected")) for n, (kind, c) in cells.items()])))
-    return pairs, evaluation.compared(pairs, rows, truth)
+    return evaluation.compared_cells(pairs(spark, sf_dir), cells)
 
 
 @query
 def eval_field_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = evaluation.field_accuracy(evaluated(spark, sf_dir)[1])
+    out = evaluation.field_accuracy(evaluated(spark, sf_dir))
     return out.select("field", "total", "not_extracted", "not_normalisable", "normalised", "correct", "invented", F.round("accuracy", 6).alias("accuracy"))
 
 
 @query
 def eval_document_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.document_accuracy(evaluated(spark, sf_dir)[1])
+    return evaluation.document_accuracy(evaluated(spark, sf_dir))
+
+
+@query
+def eval_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At which stage documents are lost."""
+    out = evaluation.diagnosis(evaluated(spark, sf_dir))
+    return out.groupBy("misaligned", "first_loss").agg(F.count("*").alias("documents"), F.sum("correct").alias("correct"), F.sum("not_extracted").alias("not_extracted"), F.sum("wrong").alias("wrong"))
 
 
 @query
 def eval_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, _ = evaluated(spark, sf_dir)
-    return evaluation.verdicts(pairs, result_rows(spark, sf_dir), any(f.mandatory for f in shipped(BILL).fields))
+    return evaluation.paired_verdicts(pairs(spark, sf_dir), any(f.mandatory for f in shipped(BILL).fields))
+
+
+@query
+def composition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "documents").select(F.col("lang"), F.col("source"), F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") % 2 == 0).alias("single_rate"))
+    return evaluation.composition(x, ["lang", "source", "single_rate"])
+
+
+@query
+def triage_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances, page types and rotations against what the orders say: a second page is a scan where the order's key has that fault."""
+    doc = bills(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("o_custkey").orderBy("start", "o_orderkey")))
+    file = F.concat(F.lit("C"), F.col("o_custkey").cast("string"), F.lit(".pdf")).alias("file")
+    told = doc.select(F.lpad(F.col("rank").cast("string"), 9, "0").alias("doc_key"), file, (F.col("rank") * 2 - 1).cast("int").alias("page_from"), (F.col("rank") * 2).cast("int").alias("page_to"), F.lit("digitale").alias("quality"), F.array(F.lit("ruotata")).alias("flags"))
+    pages = prepared(bill_pages(spark, sf_dir)).withColumn("page_rotation", F.when(F.col("page_no") % 3 > 0, F.when(F.col("page_no") % 2 == 0, 180).otherwise(0)))
+    report = evaluation.triage_report(instances(pages, shipped(BILL).segmentation), pages, evaluation.expected_pages(told))
+    out = evaluation.triage_rates(report)
+    return out.select("files", "certain_but_wrong", *[F.round(c, 6).alias(c) for c in ("counts", "ranges", "types", "rotation_coverage", "rotation")])
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,14 +383,30 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(d.alias("key"), F.col("n_chars").alias("prompt_chars"), (d % 5 + 1).alias("asked"), images.alias("images"))
 
 
+#: Example prices, of no real model: (model, input, output, cache write, cache read, image formula, updated).
+PRICED = [("steady", 4.0, 16.0, 5.0, 0.5, "lineare_wh_750", "-"), ("quick", 0.8, 3.2, 1.0, 0.1, "lineare_wh_750", "-"), ("tiled", 2.0, 9.0, None, None, "tile_512_openai", "-"), ("tiled-quick", 0.2, 0.7, None, None, "tile_512_openai_stima_al_rialzo", "-"), ("text-only", 0.1, 0.2, None, None, None, "-")]
+
+
 @query
 def token_cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = calls(spark, sf_dir)
-    cached = x.filter("key % 10 = 0").select("key", F.lit("linear-small").alias("model"))
-    out = cost.estimate(x, prices(spark), cached)
+    cached = x.filter("key % 10 = 0").select("key", F.lit("quick").alias("model"))
+    out = cost.estimate(x, spark.createDataFrame(PRICED, PRICES), cached)
     return out.select("model", "calls", "tokens_in", "tokens_out", F.round("cost", 4).alias("cost"))
 
 
+@query
+def model_bake_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two models over the same documents, each with a budget of its own."""
+    k = F.col("doc_id")
+    models = F.explode(F.array(F.lit("steady"), F.lit("tiled"))).alias("model")
+    x = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source", models)
+    told = x.select("model", k.cast("string").alias("doc_key"), k.alias("ordinal"), F.col("n_chars").cast("long").alias("tokens_in"), (k % 50).alias("tokens_out"), (k % 97).cast("double").alias("latency"))
+    rows = x.select("model", k.cast("string").alias("doc_key"), F.when(k % 3 > 0, F.col("lang")).alias("value"), F.col("lang").alias("expected"), ((k % 3 > 0) & (k % 5 > 0)).alias("correct"))
+    out = cost.bake_off(told, spark.createDataFrame(PRICED, PRICES), rows, 5.0)
+    return out.select("model", "documents", "calls", F.round("cost", 4).alias("cost"), F.round("cost_per_document", 6).alias("cost_per_document"), F.round("p50_latency", 4).alias("p50_latency"), "correct", "total", "invented", F.round("accuracy", 6).alias("accuracy"), "skipped", "stopped")
+
+
 @query
 def budget_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("cost"))
@@ -342,7 +427,7 @@ def content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "pages")
-    return x.select("page_id", F.element_at(F.split("url", "/"), 3).alias("host"), F.sha2("html", 256).alias("sha256"), F.octet_length("html").cast("long").alias("bytes"))
+    return inventory_of(x.select(F.concat_ws("/", "url", F.col("page_id").cast("string")).alias("path"), F.encode("html", "UTF-8").alias("content")))
 
 
 @query
@@ -350,6 +435,16 @@ def contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.contract_faults(result_rows(spark, sf_dir))
 
 
+@query
+def contract_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of rows with planted faults of each rule."""
+    k = F.col("o_orderkey")
+    value = F.when(k % 3 > 0, F.col("o_orderstatus"))
+    unless = lambda n, x: F.when((k % n == 0) != value.isNotNull(), x)
+    rows = table(spark, sf_dir, "orders").select(value.alias("value"), unless(11, F.lit("tier0")).alias("origin"), unless(13, F.lit(1.0)).alias("confidence"), F.when((k % 17 == 0) != value.isNull(), "non_estratto").alias("status"), F.when(k % 19 == 0, "maybe").otherwise("pass").alias("verdict"))
+    return evaluation.contract_faults(rows)
+
+
 @query
 def feature_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = evaluation.feature_margins(triage(bill_pages(spark, sf_dir)), 0.15, 0.85)

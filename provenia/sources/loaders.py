@@ -1,7 +1,5 @@
 """Truth, metadata, prices and files as tables; each says what is wrong with its input."""
 
-from importlib.resources import files
-
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,23 +37,32 @@ def truth(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
     return cells.select("doc_key", F.inline(F.transform("cells", lambda c: F.struct(c["key"].alias("field"), F.try_variant_get(c["value"], "$", "string").alias("expected"))))).withColumn("kind", kinds[F.col("field")])
 
 
+METADATA = "doc_key string, file string, page_from int, page_to int, layout string, reading string, single_rate boolean, quality string, flags array<string>"
+
+
 def metadata(spark: SparkSession, path: str, required: bool = False) -> DataFrame:
-    """(doc_key, file, page_from, page_to) of a JSON file, flat or under `documenti`; a file that isn't there is an empty table unless required."""
+    """(doc_key, file, page_from, page_to, layout, reading, single_rate, quality, flags) of a JSON file, flat or under `documenti`; an attribute that isn't there is
+    NULL, no flags an empty array; a file that isn't there is an empty table unless required."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         if required:
             raise FileNotFoundError(path)
-        return spark.createDataFrame([], "doc_key string, file string, page_from int, page_to int")
+        return spark.createDataFrame([], METADATA)
     raw = spark.read.text(path, wholetext=True).selectExpr("parse_json(value) AS v").selectExpr("coalesce(try_variant_get(v, '$.documenti', 'map<string,variant>'), cast(v as map<string,variant>)) AS m")
     rows = raw.selectExpr("inline(map_entries(m))").toDF("doc_key", "d").filter("schema_of_variant(d) like 'OBJECT%'")
-    return rows.selectExpr("doc_key", "try_variant_get(d, '$.file', 'string') AS file", "try_variant_get(d, '$.pagine[0]', 'int') AS page_from", "try_variant_get(d, '$.pagine[1]', 'int') AS page_to")
+    told = {"file": ("file", "string"), "page_from": ("pagine[0]", "int"), "page_to": ("pagine[1]", "int"), "layout": ("layout", "string"), "reading": ("tipo_lettura", "string"), "single_rate": ("monoraria", "boolean"), "quality": ("qualita", "string")}
+    flags = "coalesce(try_variant_get(d, '$.flag_attivi', 'array<string>'), cast(array() as array<string>)) AS flags"
+    return rows.selectExpr("doc_key", *[f"try_variant_get(d, '$.{at}', '{kind}') AS {name}" for name, (at, kind) in told.items()], flags)
+
+
+PRICES = "model string, input_price double, output_price double, cache_write_price double, cache_read_price double, image_kind string, updated string"
 
 
-def prices(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """(model, input_price, output_price, cache_write_price, cache_read_price, image_kind, updated) of a YAML price table; the package's own without a path."""
+def prices(spark: SparkSession, path: str) -> DataFrame:
+    """(model, input_price, output_price, cache_write_price, cache_read_price, image_kind, updated) of a YAML price table. Prices change: the package has none of its own."""
     try:
-        text = (files("provenia") / "config" / "model_prices.yaml").read_text(encoding="utf-8") if path is None else open(path, encoding="utf-8").read()
-        told = yaml.safe_load(text)
+        with open(path, encoding="utf-8") as f:
+            told = yaml.safe_load(f)
     except (OSError, yaml.YAMLError) as e:
         raise PriceError(str(e)) from e
     if not isinstance(told, dict) or not isinstance(told.get("modelli"), dict) or not told["modelli"] or not isinstance(told.get("aggiornato_il"), str):
@@ -77,14 +84,18 @@ def prices(spark: SparkSession, path: str | None = None) -> DataFrame:
         if image is not None and (not isinstance(image, dict) or not all(isinstance(image.get(k), str) for k in ("tipo", "formula", "fonte", "verificato_il"))):
             raise PriceError(f"{m}: token_immagine needs tipo, formula, fonte, verificato_il")
         rows.append((m, number(m, d, "costo_input_per_milione"), number(m, d, "costo_output_per_milione"), number(m, d, "costo_cache_scrittura_per_milione", True), number(m, d, "costo_cache_lettura_per_milione", True), image and image["tipo"], told["aggiornato_il"]))
-    return spark.createDataFrame(rows, "model string, input_price double, output_price double, cache_write_price double, cache_read_price double, image_kind string, updated string")
+    return spark.createDataFrame(rows, PRICES)
 
 
-def inventory(spark: SparkSession, root: str, pattern: str = "*.pdf") -> DataFrame:
-    """(path, file, supplier, sha256, bytes) of the files below root; the supplier is the folder's name."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+def inventory_of(files: DataFrame) -> DataFrame:
+    """(path, file, supplier, sha256, bytes) of files(path, content); the supplier is the folder's name."""
     parts = F.split("path", "/")
-    return f.select("path", F.element_at(parts, -1).alias("file"), F.element_at(parts, -2).alias("supplier"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    return files.select("path", F.element_at(parts, -1).alias("file"), F.try_element_at(parts, F.lit(-2)).alias("supplier"), F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes"))
+
+
+def inventory(spark: SparkSession, root: str, pattern: str = "*.pdf") -> DataFrame:
+    """inventory_of the files below root."""
+    return inventory_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root))
 
 
 def pages_from_files(spark: SparkSession, root: str, parser, pattern: str = "*.pdf") -> DataFrame:

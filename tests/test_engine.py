@@ -1,6 +1,8 @@
 """The extraction engine's rules, each on inputs whose answer is known by hand."""
 
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -230,7 +232,7 @@ def test_cache(spark, tmp_path):
     assert len(set(spark.range(1).select(key("AB", "C").alias("a"), key("A", "BC").alias("b")).first())) == 2
 
 
-def test_costs(spark):
+def test_costs(spark, tmp_path):
     tokens = lambda kind: cost.image_tokens(F.lit(kind), F.lit(1000), F.lit(600))
     assert tuple(spark.range(1).select(tokens("lineare_wh_750"), tokens("tile_512_openai"), tokens("tile_512_openai_stima_al_rialzo")).first()) == (800, 765, 3060)
     with pytest.raises(Exception, match="unknown image formula"):
@@ -242,8 +244,34 @@ def test_costs(spark):
     assert [r.skipped for r in cost.within_budget(calls, 7.0, ["i"]).orderBy("i").collect()] == [False, False, True, True, True, True]
     with pytest.raises(PriceError):
         prices(spark, "/nowhere.yaml")
+    table = tmp_path / "prices.yaml"
+    table.write_text("aggiornato_il: x\nmodelli:\n  one: {costo_input_per_milione: 1, costo_output_per_milione: 2.5, token_immagine: {tipo: lineare_wh_750, formula: f, fonte: s, verificato_il: d}}\n")
+    assert [tuple(r) for r in prices(spark, str(table)).collect()] == [("one", 1.0, 2.5, None, None, "lineare_wh_750", "x")]
     with pytest.raises(Exception, match="no price for"):
-        cost.with_prices(spark.createDataFrame([("none such",)], "model string"), prices(spark)).collect()
+        cost.with_prices(spark.createDataFrame([("none such",)], "model string"), prices(spark, str(table))).collect()
+    none = prices(spark, str(table)).limit(0)
+    assert cost.estimate(spark.createDataFrame([(1, 8, 1, [])], "key int, prompt_chars long, asked int, images array<struct<width:long,height:long>>"), none).count() == 0
+
+
+def test_coverage_of_any_boxes(spark):
+    """Against each cell's centre by itself: boxes on borders, turned round, beyond the page, without an end or a number."""
+    r = random.Random(1)
+    rows = []
+    for i in range(80):
+        w, h = r.choice([(595.0, 842.0), (64.0, 64.0), (1.0, 3.0), (0.0, 5.0)])
+        side = lambda n: sorted(r.choice([r.uniform(-9, n + 9), (r.randrange(-3, 68) + 0.5) * n / 64, n]) for _ in range(2))
+        boxes = [(x[0], y[0], x[1], y[1]) for x, y in ((side(w), side(h)) for _ in range(r.randrange(4)))]
+        odd = [(5.0, 0.0, 1.0, 9.0), (None, 0.0, 9.0, 9.0), (0.0, 0.0, math.inf, h / 3), (math.nan, 0.0, 9.0, 9.0)]
+        rows.append((i, w, h, boxes + r.sample(odd, i % 3) if i % 9 else None))
+    df = spark.createDataFrame(rows, "i int, w double, h double, b array<struct<x0:double,top:double,x1:double,bottom:double>>")
+    got = {x.i: x.c for x in df.select("i", image_coverage(F.col("b"), F.col("w"), F.col("h")).alias("c")).collect()}
+    inside = lambda a, x, b: a is not None and b is not None and not math.isnan(a) and a <= x <= b
+    for i, w, h, boxes in rows:
+        n = 0
+        for j in range(64 if boxes and w > 0 else 0):
+            across = [b for b in boxes if inside(b[1], (j + 0.5) * h / 64, b[3])]
+            n += sum(any(inside(b[0], (k + 0.5) * w / 64, b[2]) for b in across) for k in range(64))
+        assert got[i] == n / 4096, (w, h, boxes)
 
 
 def test_two_sources(spark):
@@ -281,6 +309,11 @@ def test_truth_and_metadata(spark, tmp_path):
     for wrong in ({"oracle_version": "1"}, {"documento": "other"}, {"documenti": {"D1": {"code": "X"}}}, {"documenti": {"D1": cells | {"more": "1"}}}, {"documenti": {"D1": cells | {"code": 5}}}, {"documenti": []}):
         with pytest.raises(TruthError):
             said(**wrong)
+    told = {"D1": {"file": "a.pdf", "pagine": [1, 3], "layout": "L", "tipo_lettura": "effettiva", "monoraria": True, "qualita": "digitale", "flag_attivi": ["monoraria", "ruotata"]}, "D2": {"file": "a.pdf"}}
+    p.write_text(json.dumps({"composizione": {"x": 1}, "documenti": told}))
+    assert sorted(tuple(r) for r in metadata(spark, str(p)).collect()) == [("D1", "a.pdf", 1, 3, "L", "effettiva", True, "digitale", ["monoraria", "ruotata"]), ("D2", "a.pdf", None, None, None, None, None, None, [])]
+    want = evaluation.expected_pages(metadata(spark, str(p)).filter("doc_key = 'D1'")).first()
+    assert (want.documents, want.page_type, want.rotation, [tuple(x) for x in want.ranges]) == (1, "digitale", 180, [(1, 3)])
     assert metadata(spark, f"{tmp_path}/none.json").count() == 0
     with pytest.raises(FileNotFoundError):
         metadata(spark, f"{tmp_path}/none.json", required=True)
@@ -301,9 +334,9 @@ def test_command(spark, tmp_path, capsys):
     from provenia.__main__ import main
 
     (tmp_path / "s.yaml").write_text(SMALL)
-    pages(spark, ("a.pdf", 1, "Code X1", [])).write.parquet(f"{tmp_path}/pages")
+    pages(spark, ("a.pdf", 1, "Code X1", []), ("b.pdf", 1, "Code X2", [])).write.parquet(f"{tmp_path}/pages")
     assert main(["extract", f"{tmp_path}/nothing"]) == 2
     assert main(["extract", f"{tmp_path}/pages", "--schema", f"{tmp_path}/none.yaml"]) == 2
     capsys.readouterr()
     assert main(["extract", f"{tmp_path}/pages", "--schema", f"{tmp_path}/s.yaml"]) == 0
-    assert json.loads(capsys.readouterr().out)["istanza_id"] == "a"
+    assert [x["istanza_id"] for x in json.loads(capsys.readouterr().out)] == ["a", "b"]
