@@ -44,7 +44,7 @@ class Block:
 
     def add_triples(self, pair_counts: np.ndarray) -> None:
         """triple: of each token with the pair before it, if that is a state; -1 where not. A text's first token has no pair before it."""
-        self.history = np.concatenate([[0], self.pair[:-1]])
+        self.history = np.concatenate([[0], self.pair[:-1]])  # the pair before each token
         known = pair_counts[self.history] >= LEAST_HISTORY
         known[self.begins] = False
         self.triples, found = np.unique(mix(self.pairs[self.history[known]], self.vocab[self.at[known]]), return_inverse=True)
@@ -52,6 +52,10 @@ class Block:
         self.triple[known] = found
 
 
+#: Of no arc; a logarithm of a probability is never above 0.
+NO_ARC = 1.0
+
+
 class Automaton:
     """The part of the model that some texts can reach: states, arcs by token, and a failure arc for each state but the root.
 
@@ -61,60 +65,47 @@ class Automaton:
 
     With N training tokens, V words and w the failure weight of a history's group: the root's P(x) = (c(x) + 1) / (N + V + 1), an arc's
     P(x | h) = (1 - w) c(hx) / c(h) + w P(x | shorter h), and by failure w P(x | shorter h); so the probabilities of each state sum to 1.
+
+    A state that a walk can be in before a token of these texts is named by its order, the number of tokens before that one that it ends with. So what the
+    walk needs is laid out by token: the arcs from the states of order 2, 1 and 0, failure weights of the first two, and the order of the state after it.
     """
 
     def __init__(self, block: Block, part: slice, counts: tuple[np.ndarray, np.ndarray, np.ndarray], total: int, words: int, starts: int, weights: tuple[np.ndarray, np.ndarray]):
         ones, twos, threes = (c.astype(np.float64) for c in counts)
-        m = len(block.vocab)
-        start, self.root, first_pair = m, m + 1, m + 2
-        held = np.append(ones, starts)  # by state of one token
+        held = np.append(ones, starts)  # by history of one token, the start the last
         fail = np.where(held > 0, weights[0][group_of(held)], 1.0)
-        fail[start] = weights[0][GROUPS]
-        root_p = (ones + 1.0) / (total + words + 1)
-        ends = block.vocab == END
-
-        token = np.unique(block.at[part])
-        pair, where = np.unique(block.pair[part], return_index=True)
-        where += part.start
-        v, x = block.before[where], block.at[where]
-        p2 = np.zeros(len(twos))
-        p2[pair] = fail[v] * root_p[x] + (1 - fail[v]) * twos[pair] / np.maximum(held[v], 1)
-        after = np.full(len(twos), self.root)  # the state after a pair that was seen
-        after[pair] = np.where(ends[x], self.root, np.where(twos[pair] >= LEAST_HISTORY, first_pair + pair, x))
-        seen = twos[pair] > 0
-        is_state = (twos[pair] >= LEAST_HISTORY) & ~ends[x]
-        history = held[v] > 0
-        triple, there = np.unique(block.triple[part], return_index=True)
-        there = there[triple >= 0] + part.start
-        triple = triple[triple >= 0]
-        told = threes[triple] > 0
-        triple, there = triple[told], there[told]
-        h, q, y = block.history[there], block.pair[there], block.at[there]
-        own = weights[1][group_of(twos[h])]
-        p3 = (1 - own) * threes[triple] / np.maximum(twos[h], 1) + own * p2[q]
-
-        states = np.unique(v[history])
-        keys = [self.root * m + token, v[seen] * m + x[seen], (first_pair + h) * m + y, ~states, ~(first_pair + pair[is_state])]
-        weight = [root_p[token], p2[pair][seen], p3, fail[states], weights[1][group_of(twos[pair[is_state]])]]
-        to = [np.where((ones[token] > 0) & ~ends[token], token, self.root), after[pair][seen], after[q], np.full(len(states), self.root), x[is_state]]
-        keys = np.concatenate(keys).tolist()
-        self.arcs = dict(zip(keys, range(len(keys)), strict=True))
-        self.weight, self.to = np.log10(np.concatenate(weight)).tolist(), np.concatenate(to).tolist()
-        self.m, self.begin = m, start if starts else self.root
-
-    def walk(self, tokens: list[int]) -> float:
-        """log10 probability of a text: each token takes the arc of the state that is carried along, after as many failure arcs as it takes to find one."""
-        arcs, weight, to, m = self.arcs, self.weight, self.to, self.m
+        fail[-1] = weights[0][GROUPS]
+        x, v, pair, triple, history = (a[part] for a in (block.at, block.before, block.pair, block.triple, block.history))
+        p1 = (ones[x] + 1.0) / (total + words + 1)
+        c2 = twos[pair]
+        p2 = (1 - fail[v]) * c2 / np.maximum(held[v], 1) + fail[v] * p1
+        c3 = np.where(triple >= 0, np.append(threes, 0)[triple], 0)
+        own = weights[1][group_of(twos[history])]
+        p3 = (1 - own) * c3 / np.maximum(twos[history], 1) + own * p2
+        arcs = (np.where(c3 > 0, np.log10(p3), NO_ARC), np.log10(own), np.where(c2 > 0, np.log10(p2), NO_ARC), np.log10(fail[v]), np.log10(p1))
+        longest = np.where(block.vocab[x] == END, 0, np.where(c2 >= LEAST_HISTORY, 2, (ones[x] > 0).astype(np.int64)))
+        self.rows = [a.tolist() for a in (*arcs, longest)]
+        self.first, self.begin = part.start, 1 if starts else 0
+
+    def walk(self, begin: int, end: int) -> float:
+        """log10 probability of a block's tokens from a text's first one on: each takes the arc of the state that is carried along, after as many failure arcs as it takes to find one."""
         state, out = self.begin, 0.0
-        for x in tokens:
-            arc = arcs.get(state * m + x)
-            while arc is None:
-                failure = arcs[~state]
-                out += weight[failure]
-                state = to[failure]
-                arc = arcs.get(state * m + x)
-            out += weight[arc]
-            state = to[arc]
+        for arc2, failure2, arc1, failure1, arc0, longest in zip(*(a[begin - self.first : end - self.first] for a in self.rows), strict=True):
+            if state == 2:
+                if arc2 != NO_ARC:
+                    out += arc2
+                    state = longest
+                    continue
+                out += failure2
+                state = 1
+            if state == 1:
+                if arc1 != NO_ARC:
+                    out += arc1
+                    state = longest
+                    continue
+                out += failure1
+            out += arc0
+            state = longest
         return out
 
 
@@ -225,7 +216,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             j = max(i + 1, int(np.searchsorted(ends, block.begins[i] + WALKED, "right")))
             part = slice(int(block.begins[i]), int(ends[j - 1]))
             model = Automaton(block, part, counts, total, kinds, starts, weights)
-            score += [model.walk(block.at[a:b].tolist()) for a, b in zip(block.begins[i:j].tolist(), ends[i:j].tolist(), strict=True)]
+            score += [model.walk(a, b) for a, b in zip(block.begins[i:j].tolist(), ends[i:j].tolist(), strict=True)]
             i = j
         columns = [pa.array(row["ids"], pa.int64()), pa.array(row["held"]), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array([total] * len(sizes), pa.int64()), pa.array(base), pa.array(score, pa.float64())]
         return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

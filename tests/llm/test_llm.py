@@ -270,13 +270,14 @@ def test_automaton_sums_to_one():
         c3[block.triple[i]] = model.c[2][name[block.before[i - 1]], name[block.at[i - 1]], name[block.at[i]]]
     weights = tuple(np.array([w(g) for g in range(49)]) for w in model.w)
     walk = Automaton(block, slice(0, len(block.at)), (c1, c2, c3), model.n, model.v, model.starts, weights).walk
-    for t in read:
-        assert abs(walk([place[x] for x in t]) - model.score(t)) < 1e-9
-    for a in (1, 2, 5, 8):
-        for b in (1, 3, 8):
-            so_far = walk([place[a], place[b]])
-            p = {x: 10 ** (walk([place[a], place[b], place[x]]) - so_far) for x in [*range(1, 9), None]}
-            assert abs(sum(p[x] for x in (1, 2, 3, 4, 5, 6, None)) - 1) < 1e-9 and p[6] == p[7] == p[8]
+    p = defaultdict(dict)
+    for t, begin in zip(read, block.begins.tolist(), strict=True):
+        assert abs(walk(begin, begin + len(t)) - model.score(t)) < 1e-9
+        for n in range(1, len(t)):
+            p[tuple(t[:n])][t[n]] = 10 ** (walk(begin, begin + n + 1) - walk(begin, begin + n))
+    for h, of in p.items():
+        if len(h) == 2:
+            assert abs(sum(of[x] for x in (1, 2, 3, 4, 5, 6, None)) - 1) < 1e-9 and of[6] == of[7] == of[8]
 
 
 # --- 4 chats
@@ -501,6 +502,31 @@ def test_mix_keeps_to_the_weights_over_many_periods(spark):
                 done[r.source] += at == r.slot
 
 
+def test_mix_is_the_earliest_deadline_first(spark):
+    """Slot by slot: of the blocks that are released and not yet run the one with the earliest deadline; each period as the first, without the blocks that aren't there."""
+    weights, sizes, block = {"a": 3, "b": 0.5, "c": "1/3"}, {"a": 90, "b": 31, "c": 3, "d": 40, None: 7}, 2
+    rows = [(i, s) for s, n in sizes.items() for i in range(n)]
+    got = mixing.mix_order(spark.createDataFrame(rows, "doc_id long, source string"), weights, block=block).collect()
+    told = {s: Fraction(str(weights.get(s, 1))) for s in sizes}
+    total = sum(told.values())
+    period = math.lcm(*((w / total).denominator for w in told.values()))
+    have = {s: -(-n // block) for s, n in sizes.items()}
+    quota = {s: min(int(told[s] / total * period), have[s]) for s in sizes}
+    plan, done = {}, Counter()
+    for slot in range(period):
+        released = []
+        for s in sizes:
+            step = total / told[s]
+            if done[s] < quota[s] and math.floor(done[s] * step) <= slot:
+                released.append((math.ceil((done[s] + 1) * step), math.floor(done[s] * step), s or "\x00", s))
+        if released:  # of equal deadlines the first source by name
+            s = min(released, key=lambda r: (r[0], r[2]))[3]
+            plan[s, done[s]] = slot
+            done[s] += 1
+    want = sorted((b // quota[s] * period + plan[s, b % quota[s]], i, s) for s, n in sizes.items() for i in range(n) for b in [i // block])
+    assert [(r.slot, r.doc_id, r.source) for r in sorted(got, key=lambda r: r.position)] == want
+
+
 # --- 8 exact dedup
 
 
