@@ -14,11 +14,13 @@ from provenia.llm.common import free_name, stage, unstage, with_position, worker
 
 #: Documents in a block; blocks of a schedule up to which it is broadcast, else it is joined by an exchange.
 BLOCK, BROADCAST = 32, 50_000
+#: Sources that a mix may have: one weight each, on the driver and in a broadcast. More is an error, not a cut.
+SOURCES = 100_000
 NO_SOURCE = "\x00"
 
 
 def exact(weight) -> Fraction:
-    """The weight as it is written: 0.1 is a tenth."""
+    """The weight as it is written: 0.1 is a tenth; "1/3" and fractions are themselves."""
     return Fraction(str(weight))
 
 
@@ -71,14 +73,16 @@ def mix_order(docs: DataFrame, weights: dict[str, float] | None = None, id_col:
     No rows give no rows. Other columns are not read.
 
     Weights are taken as exact fractions, so at every slot each source is less than one block from its share until it is used up.
-    The sources, a small dimension, come to the driver. The schedule has the blocks of one period, that in which all shares are whole (with
+    The sources, SOURCES at most, come to the driver. The schedule has the blocks of one period, that in which all shares are whole (with
     equal weights one slot for each source), but no more than there are blocks; a task writes it, without holding it, and up to BROADCAST blocks it
     is broadcast. Ranks within sources come from ranges of (source, id), so that a source with a third of all rows is spread over tasks.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)).alias("source"))
     rows = stage(with_position(rows, ["source", F.asc_nulls_last("doc_id")], "place"), "mix-places")
-    found = rows.groupBy("source").agg(F.min("place").alias("first"), F.ceil(F.count("*") / block).alias("blocks")).collect()
+    found = rows.groupBy("source").agg(F.min("place").alias("first"), F.ceil(F.count("*") / block).alias("blocks")).limit(SOURCES + 1).collect()
+    if len(found) > SOURCES:
+        raise ValueError(f"a mix may have {SOURCES} sources; what has more is no source column")
     told = {r["source"]: (weights or {}).get(r["source"], 1) for r in found}
     if any(exact(w) <= 0 for w in told.values()):
         raise ValueError("weights must be positive")

@@ -20,6 +20,8 @@ from provenia.llm.substring_dedup import repeated_units
 
 #: The vocabulary of op1_bpe and of the pipeline, a parameter of both.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+#: Target weights of sources in op7_mixing; those not named have weight 1.
+WEIGHTS = {"src0": 3, "src1": 0.5, "src2": "1/3"}
 #: The conversation that the chat query adds: its texts are the template's own marks.
 CONFLICT = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -54,7 +56,7 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_order(read(spark, sf_dir, "documents"))
+    return mix_order(read(spark, sf_dir, "documents"), WEIGHTS)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
