@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenia.llm.blocks import RETURNED, SENT, WordHashes, blocks_of, hashed_words, mix, pack, ranges_for, sent, summed, together, unpack
-from provenia.llm.common import parallelism, stage, unstage, workers_find_package
+from provenia.llm.common import parallelism, stage, stage_by, unstage, workers_find_package
 from provenia.llm.components import components
 
 #: Words in a shingle; two sets link when PART * intersection >= SHARE * union.
@@ -180,7 +180,6 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     workers_find_package(spark)
-    ranges = parallelism(spark)
 
     def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -190,10 +189,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 ids += b.column(0).to_pylist()
                 words += [hashed_words(t.as_py(), hashes) for t in b.column(1)]
             vocab, at = np.unique(np.concatenate(words), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(w) for w in words]], pa.list_(pa.int32())), pa.array([pack(at.astype(np.uint32))]), pa.array([pack(vocab)])], ["block", "ids", "sizes", "words", "vocab"])
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([len(at)]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(w) for w in words]], pa.list_(pa.int32())), pa.array([pack(at.astype(np.uint32))]), pa.array([pack(vocab)])], ["block", "tokens", "ids", "sizes", "words", "vocab"])
 
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = stage(base.mapInArrow(read_blocks, "block string, ids array<long>, sizes array<int>, words binary, vocab binary"), "jaccard-blocks")
+    blocks = stage_by(base.mapInArrow(read_blocks, "block string, tokens long, ids array<long>, sizes array<int>, words binary, vocab binary"), "block", "jaccard-blocks")
+    ranges = ranges_for(blocks.agg(F.sum("tokens")).first()[0] or 0, parallelism(spark))
 
     def sets_of(row: dict) -> list[np.ndarray]:
         words = unpack(row["vocab"])[unpack(row["words"])]
