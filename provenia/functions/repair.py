@@ -1,5 +1,7 @@
 """Repair of raw captures into canonical strings, and comparison of canonical values. What is ambiguous becomes NULL."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,43 +12,46 @@ def trimmed(v: Column) -> Column:
     return F.regexp_replace(v, r"(?U)\A\s+|\s+\z", "")
 
 
-def repair_date(v: Column) -> Column:
-    """dd mm yyyy, each separator one of / . -, as ISO; an impossible date is NULL."""
-    t = trimmed(v)
+def _date(t: Column) -> Column:
     iso = F.date_format(F.try_to_date(F.regexp_replace(t, "[.-]", "/"), "dd/MM/yyyy"), "yyyy-MM-dd")
     return F.when(F.regexp_like(t, F.lit(r"\A[0-9]{2}[/.-][0-9]{2}[/.-][0-9]{4}\z")), iso)
 
 
-def repair_decimal(v: Column) -> Column:
-    """Comma as decimal sign, dots between thousands. One dot and three digits after it could be either: NULL. The scale stays."""
-    t = trimmed(v)
+def _one_point(t: Column) -> Column:
     dots = F.length(t) - F.length(F.replace(t, F.lit("."), F.lit("")))
     last = F.element_at(F.split(t, ",", -1), -1)
     whole = F.replace(F.substring(t, F.lit(1), F.length(t) - F.length(last) - 1), F.lit("."), F.lit(""))
-    comma = F.concat(whole, F.lit("."), last)
     after = F.substring_index(t, ".", -1)
     plain = F.when(dots == 0, t).when(dots > 1, F.replace(t, F.lit("."), F.lit(""))).when(~F.regexp_like(after, F.lit(r"\A[0-9]{3}\z")), t)
-    out = F.when(F.contains(t, F.lit(",")), comma).otherwise(plain)
-    number = F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"\A\+", ""), r"\.\z", ""), r"\A(-?)0+(?=[0-9])", "$1")
-    number = F.regexp_replace(F.regexp_replace(number, r"\A\.", "0."), r"\A-\.", "-0.")
-    return F.when(F.regexp_like(out, F.lit(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)\z")), number)
+    return F.when(F.contains(t, F.lit(",")), F.concat(whole, F.lit("."), last)).otherwise(plain)
 
 
-def repair_integer(v: Column) -> Column:
-    """Every dot stands between thousands."""
-    t = F.replace(trimmed(v), F.lit("."), F.lit(""))
-    return F.when(F.regexp_like(t, F.lit(r"\A-?[0-9]+\z")), F.regexp_replace(F.regexp_replace(t, r"\A(-?)0+(?=[0-9])", "$1"), r"\A-0\z", "0"))
+def _number(x: Column) -> Column:
+    number = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\A\+", ""), r"\.\z", ""), r"\A(-?)0+(?=[0-9])", "$1")
+    number = F.regexp_replace(F.regexp_replace(number, r"\A\.", "0."), r"\A-\.", "-0.")
+    return F.when(F.regexp_like(x, F.lit(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)\z")), number)
 
 
-def repair_string(v: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_replace(v, r"(?U)\s+", " ")), F.lit(""))
+def _integer(t: Column) -> Column:
+    return F.when(F.regexp_like(t, F.lit(r"\A-?[0-9]+\z")), F.regexp_replace(F.regexp_replace(t, r"\A(-?)0+(?=[0-9])", "$1"), r"\A-0\z", "0"))
 
 
-REPAIRS = {"string": repair_string, "date": repair_date, "integer": repair_integer, "decimal": repair_decimal}
+#: The steps of each repair. A step uses its input several times, so `operators.extraction` makes each a column of its own.
+#: date: dd mm yyyy, each separator one of / . -, as ISO; an impossible date is NULL.
+#: decimal: comma as decimal sign, dots between thousands. One dot and three digits after it could be either: NULL. The scale stays.
+#: integer: every dot stands between thousands. string: each run of white space is one space; nothing left is NULL.
+STEPS: dict[str, tuple[Callable[[Column], Column], ...]] = {
+    "string": (lambda v: F.trim(F.regexp_replace(v, r"(?U)\s+", " ")), lambda t: F.nullif(t, F.lit(""))),
+    "date": (trimmed, _date),
+    "integer": (lambda v: F.replace(trimmed(v), F.lit("."), F.lit("")), _integer),
+    "decimal": (trimmed, _one_point, _number),
+}
 
 
 def repair(v: Column, kind: str) -> Column:
-    return REPAIRS[kind](v)
+    for step in STEPS[kind]:
+        v = step(v)
+    return v
 
 
 def as_decimal(v: Column) -> Column:

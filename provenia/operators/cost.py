@@ -30,8 +30,8 @@ def call_cost(tokens_in: Column, tokens_out: Column, cache_written: Column | Non
 
 
 def with_prices(calls: DataFrame, prices: DataFrame) -> DataFrame:
-    """calls(model, ...) with their model's prices, a small table; a model without one is an error."""
-    out = calls.join(F.broadcast(prices), "model", "left")
+    """calls(model, ...) with their model's prices; a model without one is an error."""
+    out = calls.join(prices, "model", "left")
     return out.withColumn("input_price", F.when(F.col("input_price").isNull(), F.raise_error(F.concat(F.lit("no price for "), F.col("model"))).cast("double")).otherwise(F.col("input_price")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenia.functions.dialect import fence, unique_capture
-from provenia.functions.repair import repair
+from provenia.functions.repair import STEPS
 from provenia.plans.schema import Field, Schema
 
 NOT_EXTRACTED, NOT_NORMALISABLE, NORMALISED = "non_estratto", "non_normalizzabile", "normalizzato"
@@ -28,7 +28,9 @@ def diagnosis(raw: Column, value: Column) -> Column:
 def tier0(instances: DataFrame, schema: Schema) -> DataFrame:
     """instances with f_<field>: struct(value, raw, outcome, origin) for each field of the schema."""
     raw = {f"r_{f.name}": fence(RULES["regex"](F.col("text"), f)) if f.pattern else F.lit(None).cast("string") for f in schema.fields}
-    out = instances.withColumns(raw).withColumns({f"v_{f.name}": fence(repair(F.col(f"r_{f.name}"), f.kind)) for f in schema.fields})
+    out = instances.withColumns(raw).withColumns({f"v_{f.name}": F.col(f"r_{f.name}") for f in schema.fields})
+    for i in range(max(len(STEPS[f.kind]) for f in schema.fields)):  # a step for all fields at a time: each has its input as a column, which it names more than once
+        out = out.withColumns({f"v_{f.name}": fence(STEPS[f.kind][i](F.col(f"v_{f.name}"))) for f in schema.fields if i < len(STEPS[f.kind]) and f.pattern})
 
     def told(f: Field) -> Column:
         r, v = F.col(f"r_{f.name}"), F.col(f"v_{f.name}")

@@ -11,7 +11,25 @@ from provenia.functions.repair import as_date, as_decimal, as_integer, decimal_t
 from provenia.operators.extraction import DERIVED, column
 from provenia.plans.schema import Invariant, Schema
 
-Values = Callable[[str], Column]
+#: The text of a field, or with a reader what it reads as: v("x"), v("x", as_decimal).
+Values = Callable[..., Column]
+
+
+def needs(i: Invariant) -> list[tuple[str, Callable[[Column], Column]]]:
+    """The fields of an invariant that it reads as something else than text."""
+    p = i.params
+    if i.kind == "differenza_giorni":
+        return [(p["da"], as_date), (p["a"], as_date), (p["risultato"], as_integer)]
+    read = {"somma_approssimata": as_decimal, "valore_minimo": as_decimal, "ordine_date": as_date}.get(i.kind)
+    return [(n, read) for n in i.fields()] if read else []
+
+
+def with_readings(df: DataFrame, invariants: list[Invariant], text: Callable[[str], Column]) -> tuple[DataFrame, Values, list[str]]:
+    """df with each reading that the invariants need as a column, once; how to get at them; and their names."""
+    wanted = dict.fromkeys(x for i in invariants for x in needs(i))
+    name = {x: f"_{x[1].__name__}_{x[0]}" for x in wanted}
+    out = df.withColumns({name[n, read]: fence(read(text(n))) for n, read in wanted}) if wanted else df
+    return out, lambda n, read=None: text(n) if read is None else F.col(name[n, read]), list(name.values())
 
 
 def exact(x: float | int) -> Column:
@@ -24,38 +42,38 @@ def _said(x: Column) -> Column:
 
 
 def _sum(names: list[str], v: Values) -> Column:
-    out = as_decimal(v(names[0]))
+    out = v(names[0], as_decimal)
     for n in names[1:]:
-        out = (out + as_decimal(v(n))).cast("decimal(38,10)")
+        out = (out + v(n, as_decimal)).cast("decimal(38,10)")
     return out
 
 
 def _days(i: Invariant, v: Values) -> Column:
-    return F.datediff(as_date(v(i.params["a"])), as_date(v(i.params["da"]))).cast("bigint") + i.params["offset"]
+    return F.datediff(v(i.params["a"], as_date), v(i.params["da"], as_date)).cast("bigint") + i.params["offset"]
 
 
 def _approx_sum(i: Invariant, v: Values) -> Column:
     p = i.params
     names, rate = list(p["addendi"]), Decimal(str(p["tolleranza_relativa"]))
-    total, added = as_decimal(v(p["totale"])), _sum(names, v)
+    total, added = v(p["totale"], as_decimal), _sum(names, v)
     allowed = F.abs(total).cast("decimal(28,10)") * F.lit(rate).cast("decimal(9,8)")
     broken = F.abs(added - total).cast("decimal(28,10)") > allowed
     return F.when(broken, F.concat(F.lit(f"somma di {', '.join(names)} = "), _said(added), F.lit(f", atteso {p['totale']} = "), v(p["totale"]), F.lit(f" (tolleranza relativa {rate})")))
 
 
 def _day_difference(i: Invariant, v: Values) -> Column:
-    p, n = i.params, as_integer(v(i.params["risultato"]))
+    p, n = i.params, v(i.params["risultato"], as_integer)
     return F.when(_days(i, v) != n, F.concat(F.lit(f"{p['a']} - {p['da']} + {p['offset']} = "), _days(i, v).cast("string"), F.lit(f", {p['risultato']} dichiarato = "), n.cast("string")))
 
 
 def _least_value(i: Invariant, v: Values) -> Column:
     p = i.params
-    return F.when(as_decimal(v(p["campo"])) < exact(p["minimo"]), F.concat(F.lit(f"{p['campo']} = "), v(p["campo"]), F.lit(f", atteso >= {Decimal(str(p['minimo']))}")))
+    return F.when(v(p["campo"], as_decimal) < exact(p["minimo"]), F.concat(F.lit(f"{p['campo']} = "), v(p["campo"]), F.lit(f", atteso >= {Decimal(str(p['minimo']))}")))
 
 
 def _date_order(i: Invariant, v: Values) -> Column:
     a, b = i.params["precedente"], i.params["successiva"]
-    return F.when(as_date(v(b)) < as_date(v(a)), F.concat(F.lit(f"{b} = "), v(b), F.lit(f" precede {a} = "), v(a)))
+    return F.when(v(b, as_date) < v(a, as_date), F.concat(F.lit(f"{b} = "), v(b), F.lit(f" precede {a} = "), v(a)))
 
 
 def _format(i: Invariant, v: Values) -> Column:
@@ -69,12 +87,9 @@ MESSAGES: dict[str, Callable[[Invariant, Values], Column]] = {"somma_approssimat
 
 def _readable(i: Invariant, v: Values) -> Column:
     """Whether every operand is of the type that the invariant needs."""
-    kind = {"somma_approssimata": as_decimal, "valore_minimo": as_decimal, "ordine_date": as_date, "formato": lambda x: x}
-    if i.kind == "differenza_giorni":
-        return as_date(v(i.params["da"])).isNotNull() & as_date(v(i.params["a"])).isNotNull() & as_integer(v(i.params["risultato"])).isNotNull()
     out = F.lit(True)
-    for n in i.fields():
-        out = out & kind[i.kind](v(n)).isNotNull()
+    for n, read in needs(i):
+        out = out & v(n, read).isNotNull()
     return out
 
 
@@ -93,12 +108,12 @@ JUDGED = "array<struct<id:string,severity:string,evaluated:boolean,message:strin
 
 def with_judgements(df: DataFrame, schema: Schema, value: Callable[[str], Column] | None = None, strict: bool = False) -> DataFrame:
     """df with `judged`: what each invariant of the schema says, in its order, with the fields it refers to."""
-    v = value or (lambda n: F.col(column(n))["value"])
+    df, v, made = with_readings(df, list(schema.invariants), value or (lambda n: F.col(column(n))["value"]))
     every = []
     for i in schema.invariants:
         x = judged(i, v, strict)
         every.append(F.struct(*[x[c].alias(c) for c in ("id", "severity", "evaluated", "message")], F.array(*map(F.lit, i.fields())).alias("fields")))
-    return df.withColumn("judged", fence(F.array(*every).cast(JUDGED)))
+    return df.withColumn("judged", fence(F.array(*every).cast(JUDGED))).drop(*made)
 
 
 def violations() -> Column:
@@ -110,7 +125,7 @@ def derived_value(i: Invariant, target: str, v: Values) -> Column | None:
     """What the invariant gives for target if only that one is missing; NULL if anything it needs is missing or unreadable; None if it derives nothing for it."""
     p = i.params
     if i.kind == "differenza_giorni":
-        start, end, n = as_date(v(p["da"])), as_date(v(p["a"])), as_integer(v(p["risultato"]))
+        start, end, n = v(p["da"], as_date), v(p["a"], as_date), v(p["risultato"], as_integer)
         span = (n - p["offset"]).try_cast("int")
         fits = F.abs(span) <= 3_000_000
         return {p["da"]: F.when(fits, F.date_sub(end, span)).cast("string"), p["a"]: F.when(fits, F.date_add(start, span)).cast("string"), p["risultato"]: _days(i, v).cast("string")}.get(target)
@@ -120,6 +135,8 @@ def derived_value(i: Invariant, target: str, v: Values) -> Column | None:
     return None
 
 
+#: Kinds of invariants from which a value can follow.
+DERIVING = ("differenza_giorni", "somma_approssimata")
 LINEAGE = "array<struct<tipo:string,invariante_id:string,da_campi:array<string>>>"
 
 
@@ -128,12 +145,15 @@ def derive(df: DataFrame, schema: Schema) -> DataFrame:
 
     Adds to d_<field> how: struct(tipo, invariante_id, da_campi). A derived field has origin `derivato`; a given value is never changed.
     """
-    v = lambda n: F.col(column(n))["value"]
+    text = lambda n: F.col(column(n))["value"]
     out = df
     for f in schema.fields:
         if f"d_{f.name}" not in out.columns:
             out = out.withColumn(f"d_{f.name}", F.array().cast(LINEAGE))
     for i in schema.invariants:
+        if i.kind not in DERIVING:
+            continue
+        out, v, made = with_readings(out, [i], text)
         found: dict[str, Column] = {}
         for target in dict.fromkeys(i.fields()):
             value = derived_value(i, target, v)
@@ -142,8 +162,6 @@ def derive(df: DataFrame, schema: Schema) -> DataFrame:
                 for n in i.fields():
                     ready = ready if n == target else ready & v(n).isNotNull()
                 found[target] = F.when(ready, value)
-        if not found:
-            continue
         # Values are columns of their own and structs only name them: Catalyst copies what a struct is made of into each use of its fields.
         out = out.withColumns({f"t_{n}": x for n, x in found.items()})
         merged = {f"n_{n}": fence(F.coalesce(F.col(column(n))["value"], F.col(f"t_{n}"))) for n in found} | {f"o_{n}": F.when(F.col(f"t_{n}").isNotNull(), DERIVED).otherwise(F.col(column(n))["origin"]) for n in found}
@@ -154,5 +172,5 @@ def derive(df: DataFrame, schema: Schema) -> DataFrame:
             steps[column(n)] = F.struct(F.col(f"n_{n}").alias("value"), old["raw"].alias("raw"), old["outcome"].alias("outcome"), F.col(f"o_{n}").alias("origin"))
             how = F.array(F.struct(F.lit(i.kind).alias("tipo"), F.lit(i.id).alias("invariante_id"), F.array(*[F.lit(x) for x in i.fields() if x != n]).alias("da_campi"))).cast(LINEAGE)
             steps[f"d_{n}"] = F.when(new.isNotNull(), how).otherwise(F.col(f"d_{n}"))
-        out = out.withColumns(steps).drop(*[f"{x}_{n}" for n in found for x in "tno"])
+        out = out.withColumns(steps).drop(*[f"{x}_{n}" for n in found for x in "tno"], *made)
     return out

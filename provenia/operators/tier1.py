@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenia.functions.keys import pages_key
-from provenia.functions.replies import reply_values
+from provenia.functions.replies import with_reply_values
 from provenia.plans.schema import Field
 
 TYPES = {"string": "free text", "date": "date as YYYY-MM-DD", "integer": "whole number", "decimal": "number with a point before its decimals"}
@@ -52,8 +52,8 @@ def with_provider(provider: Provider, iso_dates: bool = True) -> Callable[[DataF
                 yield pa.RecordBatch.from_arrays([b.column("file"), b.column("segment"), pa.array(replies, pa.string()), pa.array(costs, pa.float64()), pa.array(errors, pa.string())], ["file", "segment", "answer", "cost", "error"])
 
         told = df.select("file", "segment", "text", "asked").mapInArrow(call, "file string, segment long, answer string, cost double, error string")
-        values = reply_values(F.col("answer"), fields, iso_dates)
-        pairs = [x for n, v in values.items() for x in (F.lit(n), v)]
+        told = with_reply_values(told, F.col("answer"), fields, iso_dates, "said_")
+        pairs = [x for f in fields for x in (F.lit(f.name), F.col(f"said_{f.name}"))]
         return told.select("file", "segment", F.create_map(*pairs).alias("reply"), "cost", "error")
 
     return stage

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from provenia.functions.keys import cache_key, pages_key
 from provenia.functions.repair import repair
-from provenia.functions.replies import reply_values
+from provenia.functions.replies import with_reply_values
 from provenia.operators import cost, evaluation
 from provenia.operators.arbitration import arbitrate, arbitration_stats
 from provenia.operators.classify import classify, classify_files
@@ -373,8 +373,8 @@ def reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.when(k % 4 == 0, F.lit("30.0")).when(k % 4 == 1, F.lit("true")).when(k % 4 == 2, F.lit("30.5")).otherwise((k % 100).cast("string"))
     body = F.concat(F.lit('{"total": '), total, F.lit(', "n": '), n, F.lit(', "s": '), F.when(k % 3 == 0, F.lit("12")).otherwise(F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('"'))), F.lit("}"))
     text = F.when(k % 13 == 0, F.concat(F.lit("["), body, F.lit("]"))).when(k % 5 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k % 17 == 0, F.lit("no object")).otherwise(body)
-    values = reply_values(text, [Field("total", "decimal"), Field("n", "integer"), Field("s", "string"), Field("gone", "string")])
-    return x.select("o_orderkey", *[v.alias(c) for c, v in values.items()])
+    fields = [Field("total", "decimal"), Field("n", "integer"), Field("s", "string"), Field("gone", "string")]
+    return with_reply_values(x.select("o_orderkey", text.alias("text")), F.col("text"), fields).drop("text")
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:

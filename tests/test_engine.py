@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from provenia.functions.dialect import first_capture, unique_capture
 from provenia.functions.keys import cache_key
 from provenia.functions.repair import agree, repair, same_value
-from provenia.functions.replies import reply_values
+from provenia.functions.replies import reply_values, with_reply_values
 from provenia.operators import cost, evaluation
 from provenia.operators.arbitration import arbitrate
 from provenia.operators.classify import classify, classify_files
@@ -218,6 +218,7 @@ def test_replies(spark):
     texts = ['{"t": "1.234,5", "n": 3, "s": " a  b "}', '```JSON\n{"t": 2.5, "n": 3.5, "s": 1}\n```', '[{"s": "x"}]', 'see {"s": "x"}', '{"n": true}', None]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, v string")
     got = [tuple(r)[1:] for r in df.select("i", *[v.alias(n) for n, v in reply_values(F.col("v"), fields).items()]).orderBy("i").collect()]
+    assert [tuple(r)[2:] for r in with_reply_values(df, F.col("v"), fields).orderBy("i").collect()] == got
     assert got == [("1234.5", "3", "a b"), ("2.5", None, None), (None,) * 3, (None,) * 3, (None,) * 3, (None,) * 3]
 
 
