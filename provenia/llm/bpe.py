@@ -3,6 +3,7 @@
 import hashlib
 import heapq
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -37,6 +38,8 @@ WORD_END = "</w>"
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Chunks that a worker remembers; at the bound it forgets them all. Speed depends on it, results don't.
 REMEMBERED = 400_000
+#: The largest vocabulary file that is sent with the tasks.
+VOCABULARY_BYTES = 64 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -142,10 +145,12 @@ def _vocabulary(spec: str) -> Bpe:
 def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", outputs: bool = True, decoded: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Encodes and decodes every whole text: doc_id, n_tokens, ids_sha256, decoded_sha256, and with outputs ids (array of int) and, unless decoded=False, decoded; then the columns to keep.
 
-    vocabulary is the path of a word-end BPE file, read on the driver (under 2 MB) and sent with the tasks. Null text is empty
+    vocabulary is the path of a word-end BPE file, read on the driver (VOCABULARY_BYTES at most) and sent with the tasks. Null text is empty
     text and gives no ids. Rows keep their ids, null or repeated; other columns are not read. Rows are independent: no shuffle.
     """
     workers_find_package(docs.sparkSession)
+    if os.path.getsize(vocabulary) > VOCABULARY_BYTES:
+        raise ValueError(f"{vocabulary} is no vocabulary file: over {VOCABULARY_BYTES} bytes")
     with open(vocabulary, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)

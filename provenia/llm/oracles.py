@@ -44,6 +44,16 @@ a AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS
 s AS (SELECT *, sum(n_words) OVER (PARTITION BY doc_id, run) AS words FROM a)
 SELECT doc_id, unit, start, start + length(piece) AS stop, n_words, kept_doc_id, kept_start, CAST(words AS BIGINT) AS run_words FROM s WHERE words >= """
 
+# the same runs of repeated units, taken out of the texts
+CUT_TEXTS = (
+    SUBSTRING.partition("\nSELECT doc_id, unit, start")[0]
+    + f""",
+r AS (SELECT doc_id, start FROM s WHERE words >= {LEAST_WORDS}),
+e AS (SELECT *, max(i) OVER (PARTITION BY doc_id) AS lines FROM o)
+SELECT e.doc_id, count(r.start) AS n_removed, sha256(string_agg(CASE WHEN r.start IS NULL THEN piece ELSE '' END || CASE WHEN j = n AND i < lines THEN chr(10) ELSE '' END, '' ORDER BY i, j)) AS text_sha256
+FROM e LEFT JOIN r ON r.doc_id = e.doc_id AND r.start = e.start AND e.unit_text <> '' GROUP BY e.doc_id"""
+)
+
 _KINDS = "['assign', 'access', 'hex', 'bare']"
 SECRETS = (
     "WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, lang, coalesce(text, '') AS text FROM documents), h AS ("
@@ -57,4 +67,4 @@ SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind =
 coalesce(string_agg(said, ',' ORDER BY start, kind), '') AS spans, count(*) FILTER (class = 'live') AS n_live, count(*) FILTER (class = 'example') AS n_example FROM d LEFT JOIN s ON s.row = d.row GROUP BY d.row, d.doc_id"""
 )
 
-ORACLES = {"op2_jaccard": JACCARD, "op4_chat": CHAT, "op8_exact_dedup": EXACT, "op9_substring_dedup": f"{SUBSTRING}{LEAST_WORDS}", "op9_repeated_units": f"{SUBSTRING}1", "op9_repeated_lines": f"{SUBSTRING}1".replace(CUT, "[line]"), "op10_secrets": SECRETS}
+ORACLES = {"op2_jaccard": JACCARD, "op4_chat": CHAT, "op8_exact_dedup": EXACT, "op9_substring_dedup": f"{SUBSTRING}{LEAST_WORDS}", "op9_cut_texts": CUT_TEXTS, "op9_repeated_units": f"{SUBSTRING}1", "op9_repeated_lines": f"{SUBSTRING}1".replace(CUT, "[line]"), "op10_secrets": SECRETS}

@@ -16,7 +16,7 @@ from provenia.llm.lm import score_texts
 from provenia.llm.mixing import mix_order
 from provenia.llm.quality import fit_quality, quality_scores
 from provenia.llm.secrets import scanned
-from provenia.llm.substring_dedup import repeated_units
+from provenia.llm.substring_dedup import deduplicated, repeated_units
 
 #: The vocabulary of op1_bpe and of the pipeline, a parameter of both.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -69,6 +69,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_units(read(spark, sf_dir, "documents"))
 
 
+def op9_cut_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts without what op9_substring_dedup finds."""
+    out = deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op9_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every later occurrence of a sentence, with the words of its run of repeated sentences."""
     return repeated_units(read(spark, sf_dir, "documents"), least_words=1)
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op9_cut_texts": op9_cut_texts,
     "op9_repeated_units": op9_repeated_units,
     "op9_repeated_lines": op9_repeated_lines,
     "op10_secrets": op10_secrets,
