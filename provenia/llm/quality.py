@@ -15,6 +15,8 @@ WIDTH, FILTERS, UNITS = 5, 16, 12
 HALF = 32
 #: Bytes of a text that are in memory at a time, with their filters; bytes of short texts that go together.
 PIECE, TOGETHER = 1 << 20, 1 << 17
+#: Rows of a batch whose texts are copied at a time.
+ROWS = 500
 #: The training sample: so many rows of each label at most, those of least hash; of a longer text so many code points from its start; so many bytes of
 #: each label together, one text at least.
 SAMPLE, SAMPLE_TEXT, SAMPLE_BYTES = 700, 60_000, 8_000_000
@@ -199,8 +201,9 @@ def quality_scores(docs: DataFrame, model: Network | None, folds: int = 3, held_
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in b.column(at)]
-            found = np.full(len(texts), 0.5) if model is None or not texts else model.scores(texts)
+            found = np.full(b.num_rows, 0.5)
+            for i in range(0, b.num_rows if model else 0, ROWS):
+                found[i : i + ROWS] = model.scores([(t.as_py() or "").encode("utf-8", "surrogatepass") for t in b.column(at).slice(i, ROWS)])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32))], [*columns, score, predicted])
 
     return docs.mapInArrow(scored, schema).withColumn(held_out, in_fold(F.col("doc_id"), folds, held_fold))
