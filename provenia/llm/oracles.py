@@ -67,4 +67,38 @@ SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind =
 coalesce(string_agg(said, ',' ORDER BY start, kind), '') AS spans, count(*) FILTER (class = 'live') AS n_live, count(*) FILTER (class = 'example') AS n_example FROM d LEFT JOIN s ON s.row = d.row GROUP BY d.row, d.doc_id"""
 )
 
-ORACLES = {"op2_jaccard": JACCARD, "op4_chat": CHAT, "op8_exact_dedup": EXACT, "op9_substring_dedup": f"{SUBSTRING}{LEAST_WORDS}", "op9_cut_texts": CUT_TEXTS, "op9_repeated_units": f"{SUBSTRING}1", "op9_repeated_lines": f"{SUBSTRING}1".replace(CUT, "[line]"), "op10_secrets": SECRETS}
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes, bit by bit."""
+    octets = f"list_transform(range(0, octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex({text}), 2 * i + 1, 2) AS BIGINT))"
+    step = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda c, b: {step}), 4294967295)"
+
+
+TRIE = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+k AS (SELECT conv_id, turn, sha256(length(role) || ':' || role || text) AS k, length(text) AS n FROM t),
+o AS (SELECT conv_id, {_crc32("CAST(conv_id AS VARCHAR)")} % 6 AS h, list({{'k': k, 'n': n}} ORDER BY turn NULLS FIRST, k) AS own FROM k GROUP BY conv_id),
+r AS (SELECT o.conv_id, list_concat(coalesce(list_slice(b.own, 1, o.h), []), list_slice(o.own, o.h + 1, len(o.own))) AS turns FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 100),
+s AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM r),
+p AS (SELECT conv_id, depth, depth || '|' || array_to_string(list_transform(list_slice(turns, 1, depth), lambda x: x.k), ',') AS node, (depth - 1) || '|' || array_to_string(list_transform(list_slice(turns, 1, depth - 1), lambda x: x.k), ',') AS up, coalesce(turns[depth].n, 0) AS n, len(turns) = depth AS ends FROM s),
+g AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(n) AS n, min(up) AS up, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY node, depth),
+c AS (SELECT up AS node, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY up),
+f AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN c USING (node)),
+a AS (SELECT p.node, sum(CAST(f.n_children = 0 AS BIGINT)) AS n_leaves, sum((f.n_convs - 1) * f.n) AS saved FROM f JOIN p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY p.node)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(a.n_leaves AS BIGINT) AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, f.ends_sha256 FROM f JOIN a USING (node) LEFT JOIN f u ON u.node = f.up"""
+
+NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_words = lambda table, row: f"SELECT {row}, list_filter(string_split_regex(translate(coalesce(text, ''), {LETTERS}), '{NO_WORD}'), lambda x: x <> '') AS w FROM {table}"
+IMPORTANCE = f"""WITH d AS ({_words("documents", "row_number() OVER () AS row, doc_id")}), e AS (SELECT row, unnest(w) AS f FROM d), b AS (SELECT unnest(w) AS f FROM ({_words("benchmark", "0 AS i")})),
+v AS (SELECT f, {_crc32("f")} % 10000 AS bucket FROM (SELECT f FROM e UNION SELECT f FROM b)),
+s AS (SELECT bucket, count(*) AS s FROM e JOIN v USING (f) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM b JOIN v USING (f) GROUP BY bucket),
+n AS (SELECT (SELECT CAST(count(*) AS DOUBLE) FROM e) AS all_s, (SELECT CAST(count(*) AS DOUBLE) FROM b) AS all_t),
+g AS (SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (all_s + 10000) / ((CAST(s AS DOUBLE) + 1) * (all_t + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket) CROSS JOIN n),
+x AS (SELECT row, count(*) AS n_features, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM e JOIN v USING (f) JOIN g USING (bucket) GROUP BY row),
+y AS (SELECT row, doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN x USING (row)),
+z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST(h AS DOUBLE) + CAST(0.5 AS DOUBLE)) / 4294967296))) AS BIGINT) AS score FROM y),
+q AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS able FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= able * 10 // 100 THEN place END AS rank FROM q"""
+
+ORACLES = {"op2_jaccard": JACCARD, "op4_chat": CHAT, "op8_exact_dedup": EXACT, "op9_substring_dedup": f"{SUBSTRING}{LEAST_WORDS}", "op9_cut_texts": CUT_TEXTS, "op9_repeated_units": f"{SUBSTRING}1", "op9_repeated_lines": f"{SUBSTRING}1".replace(CUT, "[line]"), "op10_secrets": SECRETS, "op11_prefix_trie": TRIE, "op12_importance": IMPORTANCE}

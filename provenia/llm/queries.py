@@ -11,15 +11,20 @@ from provenia.llm.chat import format_chats
 from provenia.llm.common import read
 from provenia.llm.exact_dedup import exact_dedup, fresh_index
 from provenia.llm.fingerprint import fingerprints
+from provenia.llm.importance import resampled
 from provenia.llm.jaccard import jaccard_classes
 from provenia.llm.lm import score_texts
 from provenia.llm.mixing import mix_order
+from provenia.llm.packing import packed_documents
+from provenia.llm.prefix_trie import prefix_trie
 from provenia.llm.quality import fit_quality, quality_scores
 from provenia.llm.secrets import scanned
 from provenia.llm.substring_dedup import deduplicated, repeated_units
 
 #: The vocabulary of op1_bpe and of the pipeline, a parameter of both.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+#: The vocabulary of op13_packing, a parameter of it.
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Target weights of sources in op7_mixing; those not named have weight 1.
 WEIGHTS = {"src0": 3, "src1": 0.5, "src2": "1/3"}
 #: The conversation that the chat query adds: its texts are the template's own marks.
@@ -89,6 +94,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str, vocabulary: str = BYTE_VOCABULARY) -> DataFrame:
+    return packed_documents(read(spark, sf_dir, "documents"), vocabulary, outputs=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_jaccard": op2_jaccard,
@@ -103,4 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeated_units": op9_repeated_units,
     "op9_repeated_lines": op9_repeated_lines,
     "op10_secrets": op10_secrets,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_importance": op12_importance,
+    "op13_packing": op13_packing,
 }
