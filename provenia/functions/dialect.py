@@ -1,36 +1,26 @@
-"""One place where Python's regular expressions become Java's."""
-
-import re
+"""Captures by patterns in Python's dialect, and the fence around long expressions."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: U: \s \d \w \b know Unicode, as in Python. d: only a line feed ends a line, as in Python.
-FLAGS = "(?Ud)"
-
-
-def java(pattern: str) -> str:
-    return FLAGS + pattern
-
-
-def java_full(pattern: str) -> str:
-    """A match of the whole text, a line end at its end included."""
-    return rf"{FLAGS}\A(?:{pattern})\z"
-
-
-def group_of(pattern: str) -> int:
-    """The capture that counts: group 1 where the pattern has groups, else the whole match."""
-    return 1 if re.compile(pattern).groups else 0
+from provenia.functions.patterns import capture_of, java
 
 
 def unique_capture(text: Column, pattern: str) -> Column:
-    """The capture of all matches if it is one and the same text, else NULL: none and two different ones both say nothing."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(group_of(pattern))))
-    return F.when(F.size(found) == 1, F.nullif(F.get(found, F.lit(0)), F.lit("")))
+    """The capture of all matches if it is one and the same text, else NULL: none and two different ones both say nothing. An empty capture is a text; a group that took
+    no part in the match is NULL."""
+    group, may_be_empty = capture_of(pattern)
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(group)))
+    # an element of an array, so that it is computed once and used twice
+    one = F.get(F.get(F.filter(F.array(found), lambda x: F.size(x) == 1), F.lit(0)), F.lit(0))
+    return one if may_be_empty else F.nullif(one, F.lit(""))
 
 
 def first_capture(text: Column, pattern: str) -> Column:
-    return F.when(F.regexp_like(text, F.lit(java(pattern))), F.regexp_extract(text, java(pattern), group_of(pattern)))
+    """The capture of the first match, NULL without one or where the group took no part."""
+    group, may_be_empty = capture_of(pattern)
+    one = F.regexp_extract(text, java(pattern), group)
+    return F.when(F.regexp_like(text, F.lit(java(pattern))), one if may_be_empty else F.nullif(one, F.lit("")))
 
 
 def fence(x: Column) -> Column:

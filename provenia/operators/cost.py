@@ -1,11 +1,12 @@
 """What model calls cost: tokens, images, estimates before any call, and a budget that stops a run."""
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from provenia.operators.selection import medians
+from provenia.operators.stages import staged
+
 #: Fixed value: tokens of the answer for each field asked.
 OUTPUT_PER_FIELD = 8
 CHARS_PER_TOKEN = 4
@@ -72,9 +73,9 @@ def within_budget(calls: DataFrame, limit: float, order: list[str], by: list[str
     spent = F.coalesce(F.sum("cost").over(Window.partitionBy(*(by or ["_range"])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("double"))
     if by:
         return calls.withColumn("spent_before", spent).withColumn("skipped", F.col("spent_before") > limit)
-    # ranges are cut by a sample, anew at each use; a checkpoint fixes the cut, for the sums and the rows alike
+    # ranges are cut by a sample, anew at each use; a table fixes the cut, for the sums and the rows alike
     n, row_range = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.spark_partition_id()
-    dealt = fixed(calls.repartitionByRange(n, *order).withColumn("_range", row_range))
+    dealt = staged(calls.repartitionByRange(n, *order).withColumn("_range", row_range), "budget")
     sums = dealt.groupBy("_range").agg(F.sum("cost").alias("_sum"))
     sums = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("double")).alias("_before"))
     # a row for each shuffle partition at most
@@ -82,34 +83,34 @@ def within_budget(calls: DataFrame, limit: float, order: list[str], by: list[str
     return out.withColumn("skipped", F.col("spent_before") > limit).drop("_range", "_before")
 
 
-def fixed(df: DataFrame) -> DataFrame:
-    """df as a table in the session's checkpoint folder; a session without one (tests in local mode) gets a temporary folder, a cluster an error."""
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="provenia-"))
-    return df.checkpoint()
-
-
-def bake_off(calls: DataFrame, prices: DataFrame, rows: DataFrame, limit: float | None = None) -> DataFrame:
-    """A row for each model tried: documents, calls, cost, cost_per_document, p50_latency, correct, total, accuracy, invented, skipped, stopped.
+def bake_off(calls: DataFrame, prices: DataFrame, rows: DataFrame, models: list[str], limit: float | None = None) -> DataFrame:
+    """A row for each model tried: calls, made, failed, skipped, cost, cost_per_document, p50_latency, correct, total, invented, accuracy, documents_correct,
+    document_accuracy, violations, stopped.
 
-    calls: model, doc_key, ordinal, tokens_in, tokens_out, latency; rows: model, doc_key, value, expected, correct of the fields of its results. With a limit each
-    model has a budget of its own: the call that passes it still counts, those after it are skipped, with their documents' fields. Accuracy is of fields.
+    calls: model, doc_key, ordinal, tokens_in, tokens_out, latency, failed, violations (of the reply's values); one for each document. rows: model, doc_key, value, expected,
+    correct of the fields asked. models are tried in their order, and the limit is one budget over all of them: the call that passes it still counts, and
+    no call of any model starts after it. A failed call costs nothing and has no latency, fields or violations. Accuracy is that of the fields of calls that
+    were made; a document is correct if all its fields are, and its share, like the cost of a document, is of all calls, skipped and failed ones too.
     """
-    priced = with_prices(calls, prices).withColumn("cost", call_cost(F.col("tokens_in"), F.col("tokens_out")))
-    priced = within_budget(priced, limit, ["ordinal", "doc_key"], ["model"]) if limit is not None else priced.withColumn("skipped", F.lit(False))
-    done = ~F.col("skipped")
-    by_model = priced.groupBy("model").agg(F.count_distinct(F.when(done, F.col("doc_key"))).alias("documents"), F.count_if(done).alias("calls"), F.coalesce(F.sum(F.when(done, F.col("cost"))), F.lit(0.0)).alias("cost"), F.median(F.when(done, F.col("latency"))).alias("p50_latency"), F.count_if("skipped").alias("skipped"))
-    seen = rows.join(priced.filter(done).select("model", "doc_key").distinct(), ["model", "doc_key"], "left_semi")
+    order = F.array_position(F.array(*map(F.lit, models)), F.col("model")).alias("_model")
+    priced = with_prices(calls.filter(F.col("model").isin(*models)), prices).withColumn("failed", F.coalesce("failed", F.lit(False)))
+    priced = priced.select("*", order).withColumn("cost", F.when(F.col("failed"), 0.0).otherwise(call_cost(F.col("tokens_in"), F.col("tokens_out"))))
+    priced = within_budget(priced, limit, ["_model", "ordinal", "doc_key"]) if limit is not None else priced.withColumn("skipped", F.lit(False))
+    made = ~F.col("skipped") & ~F.col("failed")
+    sums = [F.count("*").alias("calls"), F.count_if(made).alias("made"), F.count_if(F.col("failed") & ~F.col("skipped")).alias("failed"), F.count_if("skipped").alias("skipped"), F.coalesce(F.sum(F.when(made, F.col("cost"))), F.lit(0.0)).alias("cost"), F.coalesce(F.sum(F.when(made, F.col("violations"))), F.lit(0)).alias("violations")]
+    by_model = priced.groupBy("model").agg(*sums)
+    middle = medians(priced.filter(made).select("model", "latency"), ["model"], {"latency": "p50_latency"})
+    seen = rows.join(priced.filter(made).select("model", "doc_key").distinct(), ["model", "doc_key"], "left_semi")
     wrong = F.col("value").isNotNull() & ~F.col("correct")
-    judged = seen.groupBy("model").agg(F.count_if("correct").alias("correct"), F.count("*").alias("total"), F.count_if(wrong).alias("invented"))
+    by_document = seen.groupBy("model", "doc_key").agg(F.count_if("correct").alias("correct"), F.count("*").alias("total"), F.count_if(wrong).alias("invented"))
+    judged = by_document.groupBy("model").agg(*[F.sum(c).alias(c) for c in ("correct", "total", "invented")], F.count_if(F.col("correct") == F.col("total")).alias("documents_correct"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    out = by_model.join(judged, "model", "left").select("model", "documents", "calls", "cost", "p50_latency", "skipped", *map(zero, ("correct", "total", "invented")))
+    out = by_model.join(middle, "model", "left").join(judged, "model", "left").select("model", "calls", "made", "failed", "skipped", "cost", "p50_latency", "violations", *map(zero, ("correct", "total", "invented", "documents_correct")))
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
-    return out.withColumn("cost_per_document", ratio("cost", "documents")).withColumn("accuracy", ratio("correct", "total")).withColumn("stopped", F.col("skipped") > 0)
+    out = out.withColumn("cost_per_document", ratio("cost", "calls")).withColumn("accuracy", ratio("correct", "total")).withColumn("document_accuracy", ratio("documents_correct", "calls"))
+    return out.withColumn("stopped", F.col("skipped") > 0)
 
 
 def latency_p50(calls: DataFrame, by: list[str]) -> DataFrame:
-    return calls.groupBy(*by).agg(F.median("latency").alias("p50"))
+    """By group the exact median of latency, null if it has none."""
+    return medians(calls, by, {"latency": "p50"})

@@ -6,6 +6,7 @@ from pyspark.sql.window import Window
 
 from provenia.functions.repair import same_value
 from provenia.operators.extraction import NORMALISED, NOT_EXTRACTED, NOT_NORMALISABLE, column
+from provenia.operators.selection import medians
 from provenia.plans.schema import KINDS
 
 
@@ -159,13 +160,16 @@ def contract_faults(rows: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("faults")) for k in rules])))
 
 
-def feature_margins(pages: DataFrame, digital_below: float, scan_above: float) -> DataFrame:
-    """By page type: pages, least, greatest and median coverage and density, and how far coverage stays from the threshold, as a factor."""
-    c = F.col("coverage")
-    out = pages.groupBy("page_type").agg(F.count("*").alias("pages"), *[g(x).alias(f"{n}_{x}") for x in ("coverage", "density") for n, g in (("min", F.min), ("max", F.max), ("median", F.median))])
-    margin = F.when(F.col("page_type") == "digitale", F.try_divide(F.lit(digital_below), F.col("max_coverage"))).when(F.col("page_type") == "scansione", F.try_divide(F.col("min_coverage"), F.lit(scan_above)))
-    del c
-    return out.withColumn("margin", margin)
+def feature_margins(pages: DataFrame, digital_below: float, scan_above: float, dense_above: float) -> DataFrame:
+    """By page type: pages, least, greatest and median coverage and density, and as factors how far coverage stays from its threshold (margin), and how far
+    the density of digital pages stays above, and that of others below, dense_above (density_margin). Pages of a null type are a type."""
+    out = pages.groupBy("page_type").agg(F.count("*").alias("pages"), *[g(x).alias(f"{n}_{x}") for x in ("coverage", "density") for n, g in (("min", F.min), ("max", F.max))])
+    middle = medians(pages, ["page_type"], {x: f"median_{x}" for x in ("coverage", "density")})
+    out = out.join(middle.withColumnRenamed("page_type", "_type"), F.col("page_type").eqNullSafe(F.col("_type"))).drop("_type")
+    digital, scan = F.col("page_type") == "digitale", F.col("page_type") == "scansione"
+    margin = F.when(digital, F.try_divide(F.lit(digital_below), F.col("max_coverage"))).when(scan, F.try_divide(F.col("min_coverage"), F.lit(scan_above)))
+    density = F.when(digital, F.try_divide(F.col("min_density"), F.lit(dense_above))).when(scan, F.try_divide(F.lit(dense_above), F.col("max_density")))
+    return out.withColumn("margin", margin).withColumn("density_margin", density)
 
 
 def cleaned(x: Column) -> Column:

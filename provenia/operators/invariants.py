@@ -6,7 +6,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenia.functions.dialect import fence, java_full
+from provenia.functions.dialect import fence
+from provenia.functions.patterns import java_full
 from provenia.functions.repair import as_date, as_decimal, as_integer, decimal_text, scale_of
 from provenia.operators.extraction import DERIVED, column
 from provenia.plans.schema import Invariant, Schema

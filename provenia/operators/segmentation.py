@@ -1,6 +1,6 @@
 """Files into document instances: a new instance begins where the key on the pages changes."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -58,6 +58,15 @@ def segment_pages(pages: DataFrame, config: Segmentation | None) -> DataFrame:
     return out.withColumn("seg_confidence", F.when(F.col("_kind") == "cut", CERTAIN).otherwise(F.col("_kind"))).drop("_pages", "_digital", "_keys", "_kind")
 
 
+def instance_text(groups: GroupedData, *more: Column) -> DataFrame:
+    """A row for each group of pages, with `pages` (number, type) in order and `text`, that of digital pages alone, joined by line ends in page order."""
+    page = F.struct("page_no", "page_type", "text")
+    out = groups.agg(*more, F.array_sort(F.collect_list(page)).alias("_pages"))
+    text = F.array_join(F.transform(F.filter("_pages", lambda p: p["page_type"] == DIGITAL), lambda p: p["text"]), "\n")
+    told = F.transform("_pages", lambda p: F.struct(p["page_no"].alias("indice"), p["page_type"].alias("tipo")))
+    return out.withColumn("pages", told).withColumn("text", text).drop("_pages")
+
+
 def instances(pages: DataFrame, config: Segmentation | None) -> DataFrame:
     """One row for each instance: file, instance_id, page_from, page_to, seg_confidence, pages (number, type), text.
 
@@ -65,10 +74,7 @@ def instances(pages: DataFrame, config: Segmentation | None) -> DataFrame:
     Windows and groups go by file: one shuffle.
     """
     out = segment_pages(pages, config)
-    page = F.struct("page_no", "page_type", "text")
-    out = out.groupBy("file", "segment").agg(F.min("page_no").alias("page_from"), F.max("page_no").alias("page_to"), F.first("seg_confidence").alias("seg_confidence"), F.array_sort(F.collect_list(page)).alias("_pages"))
+    out = instance_text(out.groupBy("file", "segment"), F.min("page_no").alias("page_from"), F.max("page_no").alias("page_to"), F.first("seg_confidence").alias("seg_confidence"))
     out = out.withColumn("_segments", F.max("segment").over(Window.partitionBy("file")))
     name = F.when(F.col("_segments") == 0, stem(F.col("file"))).otherwise(F.concat(stem(F.col("file")), letters(F.col("segment"))))
-    text = F.array_join(F.transform(F.filter("_pages", lambda p: p["page_type"] == DIGITAL), lambda p: p["text"]), "\n")
-    told = F.transform("_pages", lambda p: F.struct(p["page_no"].alias("indice"), p["page_type"].alias("tipo")))
-    return out.select("file", name.alias("instance_id"), "segment", "page_from", F.greatest("page_to", F.lit(1)).alias("page_to"), "seg_confidence", told.alias("pages"), text.alias("text"))
+    return out.select("file", name.alias("instance_id"), "segment", "page_from", F.greatest("page_to", F.lit(1)).alias("page_to"), "seg_confidence", "pages", "text")

@@ -117,6 +117,11 @@ def runs(table: str, by: str, order: str, key: str) -> str:
 s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY {by} ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM c)"""
 
 
+#: Files of four pages with a word on the first, third or fourth, of which the first three are read; the third may be null.
+MIXED = """WITH w AS (SELECT 'F' || o_orderkey || '.pdf' AS file, o_orderkey % 5 AS w, o_orderkey % 3 = 0 OR o_orderkey % 3 = 1 AND o_orderkey % 7 > 0 AS seen FROM orders),
+c AS (SELECT file, CASE WHEN NOT seen OR w IN (2, 4) THEN 'sconosciuto' WHEN w = 0 THEN 'bolletta_luce' WHEN w = 1 THEN 'bolletta_gas' ELSE 'cte' END AS class FROM w),
+f AS (SELECT file, class, CASE class WHEN 'bolletta_gas' THEN 'bolletta_gas_it' WHEN 'cte' THEN 'cte_it' ELSE 'bolletta_luce_it' END AS schema FROM c)"""
+
 ORACLES: dict[str, str] = {
     "extract_fields": READ + " SELECT file, instance_id, field, value, raw, outcome FROM got",
     "extract_diagnosis_counts": READ + " SELECT field, outcome, count(*) AS n FROM got GROUP BY ALL",
@@ -169,10 +174,12 @@ FROM (SELECT o_orderkey AS k, rtrim(rtrim(CAST(CAST(o_totalprice AS DECIMAL(18,2
 m AS (SELECT * FROM (VALUES ('steady', 4.0, 16.0, 1), ('quick', 0.8, 3.2, 1), ('tiled', 2.0, 9.0, 2), ('tiled-quick', 0.2, 0.7, 3)) AS v(model, i, u, f)),
 t AS (SELECT model, i, u, o, p + c.m * CASE f WHEN 1 THEN ceil(w * h / 750) WHEN 2 THEN 85 + 170 * ceil(w / 512) * ceil(h / 512) ELSE 4 * (85 + 170 * ceil(w / 512) * ceil(h / 512)) END AS n FROM c, m WHERE NOT (d % 10 = 0 AND model = 'quick'))
 SELECT model, count(*) AS calls, CAST(sum(n) AS BIGINT) AS tokens_in, CAST(sum(o) AS BIGINT) AS tokens_out, round(CAST(sum(n) * any_value(i) / 1e6 + sum(o) * any_value(u) / 1e6 AS DOUBLE), 4) AS cost FROM t GROUP BY 1""",
-    "model_bake_off": """WITH c AS (SELECT m.model, doc_id AS d, lang, n_chars * m.i / 1e6 + doc_id % 50 * m.u / 1e6 AS cost FROM documents, (VALUES ('steady', 4.0::DOUBLE, 16.0::DOUBLE), ('tiled', 2.0::DOUBLE, 9.0::DOUBLE)) AS m(model, i, u)),
-b AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY model ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 5 AS skipped FROM c),
-a AS (SELECT model, count(*) FILTER (NOT skipped) AS n, coalesce(sum(cost) FILTER (NOT skipped), 0) AS cost, median(CAST(d % 97 AS DOUBLE)) FILTER (NOT skipped) AS p, count(*) FILTER (NOT skipped AND d % 3 > 0 AND d % 5 > 0) AS right_, count(*) FILTER (NOT skipped AND d % 3 > 0 AND lang IS NOT NULL AND d % 5 = 0) AS bad, count(*) FILTER (skipped) AS skipped FROM b GROUP BY 1)
-SELECT model, n AS documents, n AS calls, round(cost, 4) AS cost, round(cost / n, 6) AS cost_per_document, round(p, 4) AS p50_latency, right_ AS correct, n AS total, bad AS invented, round(right_ / n, 6) AS accuracy, skipped, skipped > 0 AS stopped FROM a""",
+    "model_bake_off": """WITH c AS (SELECT m.model, m.place, doc_id AS d, lang, source, doc_id % 41 = 0 AS failed, CASE WHEN doc_id % 41 = 0 THEN 0 ELSE n_chars * m.i / 1e6 + doc_id % 50 * m.u / 1e6 END AS cost FROM documents, (VALUES ('steady', 1, 4.0::DOUBLE, 16.0::DOUBLE), ('tiled', 2, 2.0::DOUBLE, 9.0::DOUBLE)) AS m(model, place, i, u)),
+s AS (SELECT *, coalesce(sum(cost) OVER (ORDER BY place, d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 12 AS skipped FROM c),
+b AS (SELECT *, NOT skipped AND NOT failed AS made, d % 3 > 0 AND d % 5 > 0 AS one, d % 7 > 0 AS two FROM s),
+a AS (SELECT model, count(*) AS calls, count(*) FILTER (made) AS made, count(*) FILTER (failed AND NOT skipped) AS failed, count(*) FILTER (skipped) AS skipped, coalesce(sum(cost) FILTER (made), 0) AS cost, median(CASE WHEN d % 9 > 0 THEN CAST(d % 97 AS DOUBLE) END) FILTER (made) AS p,
+count(*) FILTER (made AND one) + count(*) FILTER (made AND two) AS correct, count(*) FILTER (made) * 2 AS total, count(*) FILTER (made AND d % 3 > 0 AND d % 5 = 0 AND lang IS NOT NULL) + count(*) FILTER (made AND NOT two AND source IS NOT NULL) AS invented, count(*) FILTER (made AND one AND two) AS documents_correct, CAST(coalesce(sum(CASE WHEN d % 4 = 0 THEN d % 3 ELSE 0 END) FILTER (made), 0) AS BIGINT) AS violations FROM b GROUP BY 1)
+SELECT model, calls, made, failed, skipped, round(cost, 4) AS cost, round(cost / calls, 6) AS cost_per_document, round(p, 6) AS p50_latency, correct, total, invented, round(CASE WHEN total = 0 THEN 0 ELSE correct / total END, 6) AS accuracy, documents_correct, round(documents_correct / calls, 6) AS document_accuracy, violations, skipped > 0 AS stopped FROM a""",
     "budget_window": "WITH s AS (SELECT doc_id, CAST(coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS spent_before FROM documents) SELECT doc_id, spent_before, spent_before > 1000000 AS skipped FROM s",
     "latency_p50": "SELECT event_type, round(median(value), 6) AS p50 FROM events GROUP BY 1",
     "content_keys": "SELECT doc_id, sha256(text || lang) AS key FROM documents",
@@ -182,7 +189,8 @@ SELECT unnest(['value_origin', 'value_confidence', 'missing_status', 'known_verd
     "result_json_fields": GATE + " SELECT file, instance_id, outcome, reason FROM gate",
     "missing_fields": "SELECT * FROM (SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 3 = 0 THEN 'a' END, CASE WHEN o_orderkey % 5 = 0 THEN 'b' END, CASE WHEN o_orderkey % 7 = 0 THEN 'c' END) AS asked FROM orders) WHERE asked <> ''",
     "page_rotations": "SELECT p_partkey, CAST(CASE WHEN p_partkey % 5 = 0 AND p_partkey % 4 > 0 THEN p_partkey % 4 * 90 WHEN p_partkey % 3 > 0 THEN CASE WHEN p_partkey % 7 > 0 THEN p_partkey % 2 * 180 END ELSE 0 END AS INTEGER) AS rotation FROM part",
-    "classify_bill_files": "SELECT DISTINCT 'C' || o_custkey || '.pdf' AS file, 'bolletta_luce' AS class, 'bolletta_luce_it' AS schema, false AS fell_back FROM orders",
+    "classify_bill_files": MIXED + " SELECT file, class, schema, class = 'sconosciuto' AS fell_back FROM f",
+    "extract_mixed_files": MIXED + " SELECT class, schema, CASE WHEN schema = 'bolletta_gas_it' THEN 'no schema given for ' || class END AS lost, count(*) AS files FROM f GROUP BY ALL",
     "cache_keys": r"""SELECT doc_id, sha256(unhex(lpad(hex(strlen(text)), 16, '0')) || encode(text) || unhex(lpad(hex(strlen(lang)), 16, '0')) || encode(lang) || '\x00'::BLOB || encode('prompt') || '\x00'::BLOB || encode(source) || '\x00'::BLOB || encode('1')) AS key FROM documents""",
     "composition_counts": """SELECT attribute, value, count(*) AS documents FROM (SELECT unnest(['lang', 'source', 'single_rate']) AS attribute, unnest([coalesce(lang, 'n/d'), coalesce(source, 'n/d'), CASE WHEN doc_id % 4 > 0 THEN CAST(doc_id % 2 = 0 AS VARCHAR) ELSE 'n/d' END]) AS value FROM documents) GROUP BY ALL""",
     "eval_diagnosis": EVAL
@@ -194,6 +202,18 @@ f AS (SELECT c, any_value(n) AS n, any_value(scanned) AS scanned FROM x GROUP BY
 SELECT (SELECT count(*) FROM f) AS files, CAST(0 AS BIGINT) AS certain_but_wrong, round((SELECT count(*) FILTER (n = 1 OR NOT scanned) / count(*) FROM f), 6) AS counts, round((SELECT count(*) FILTER (n = 1 OR NOT scanned) / count(*) FROM f), 6) AS ranges,
 round(count(*) FILTER (side = 1 OR k % 17 <> 0) / count(*), 6) AS types, round(count(*) FILTER (page % 3 > 0) / count(*), 6) AS rotation_coverage, round(count(*) FILTER (page % 3 > 0 AND page % 2 = 0) / count(*) FILTER (page % 3 > 0), 6) AS rotation FROM p""",
     "contract_check": "SELECT unnest(['value_origin', 'value_confidence', 'missing_status', 'known_verdict']) AS rule, CAST(0 AS BIGINT) AS faults",
-    "feature_margins": "SELECT CASE WHEN p THEN 'scansione' ELSE 'digitale' END AS page_type, n AS pages, CASE WHEN p THEN 1.0 ELSE 0.0 END::DOUBLE AS min_coverage, CASE WHEN p THEN 1.0 ELSE 0.0 END::DOUBLE AS max_coverage, CASE WHEN p THEN round(1 / 0.85::DOUBLE, 6) END AS margin FROM (SELECT o_orderkey % 17 = 0 AS p, 0 AS z FROM orders UNION ALL SELECT false, 0 FROM orders) AS t(p, z), LATERAL (SELECT 1) GROUP BY p HAVING true".replace("n AS pages", "count(*) AS pages"),
+    "feature_margins": """WITH p AS (SELECT len(list_filter(range(64), lambda i: (i + 0.5) / 64 <= p_partkey % 51 / 50.0)) / 64.0::DOUBLE AS c, CASE WHEN p_partkey % 51 > 46 THEN 0 ELSE length(p_name) END / (595.0::DOUBLE * 842.0) AS n FROM part),
+t AS (SELECT *, CASE WHEN c < 0.15 THEN 'digitale' WHEN c > 0.85 THEN 'scansione' ELSE 'ibrida' END AS page_type FROM p),
+g AS (SELECT page_type, count(*) AS pages, min(c) AS c0, max(c) AS c1, median(c) AS c2, min(n) AS n0, max(n) AS n1, median(n) AS n2 FROM t GROUP BY 1)
+SELECT page_type, pages, round(c0, 9) AS min_coverage, round(c1, 9) AS max_coverage, round(c2, 9) AS median_coverage, round(n0, 9) AS min_density, round(n1, 9) AS max_density, round(n2, 9) AS median_density,
+round(CASE page_type WHEN 'digitale' THEN 0.15 / nullif(c1, 0) WHEN 'scansione' THEN c0 / 0.85 END, 9) AS margin, round(CASE page_type WHEN 'digitale' THEN n0 / 1e-5 WHEN 'scansione' THEN 1e-5 / nullif(n1, 0) END, 9) AS density_margin FROM g""",
+    "median_price": "SELECT l_returnflag, l_linestatus, round(median(l_extendedprice), 6) AS price, round(median(CASE WHEN l_linenumber % 3 > 0 THEN l_quantity * l_discount - 1 END), 6) AS signed FROM lineitem GROUP BY 1, 2",
+    "declared_ranges": "WITH " + BILLS + """, p AS (SELECT file, n * 2 - 1 AS page FROM b UNION ALL SELECT file, n * 2 FROM b),
+r AS (SELECT file, 'D' || k AS doc_key, n * 2 - 1 AS a, n * 2 + 1 AS z FROM b UNION ALL SELECT DISTINCT file, 'F' || c, 1, 5 FROM b UNION ALL SELECT DISTINCT file, 'M' || c, 1, 1000000 FROM b UNION ALL SELECT DISTINCT file, 'O' || c, 4, 1000000000 FROM b)
+SELECT r.file, doc_key, count(*) AS pages, CAST(min(page) AS INTEGER) AS first, CAST(max(page) AS INTEGER) AS last, CAST(sum(page) AS BIGINT) AS places FROM r JOIN p ON p.file = r.file AND p.page BETWEEN a AND z GROUP BY ALL""",
+    "extract_declared": "WITH " + BILLS + f""" SELECT file, CAST(k AS VARCHAR) AS instance_id, CAST(n * 2 - 1 AS INTEGER) AS page_from, CAST(n * 2 AS INTEGER) AS page_to, CASE WHEN k % 17 <> 0 AND k % 19 <> 0 THEN {POD} END AS pod, CASE WHEN k % 5 <> 0 THEN CAST(days AS VARCHAR) END AS giorni, CASE WHEN k % 11 <> 0 AND k % 29 <> 0 THEN CAST(total AS VARCHAR) END AS importo_totale FROM b""",
+    "named_patterns": """WITH t AS (SELECT o_orderkey AS k, o_orderpriority AS p, list_distinct(regexp_extract_all(CAST(o_orderkey AS VARCHAR), '00|11|22|33|44|55|66|77|88|99')) AS d FROM orders),
+v AS (SELECT k, 'priority' AS field, p[1] AS value FROM t UNION ALL SELECT k, 'clerk', CAST(k % 1000 AS VARCHAR) FROM t UNION ALL SELECT k, 'twice', CASE WHEN len(d) = 1 THEN d[1][1] END FROM t UNION ALL SELECT k, 'closed', CASE WHEN k % 6 = 0 THEN '<' END FROM t)
+SELECT k AS o_orderkey, field, value, CASE WHEN value IS NULL THEN 'non_estratto' ELSE 'normalizzato' END AS outcome FROM v""",
     "recovery_rate": "SELECT p_size, count(*) AS total, count(*) FILTER (p_partkey % 4 <> 0) AS recovered FROM part GROUP BY 1",
 }

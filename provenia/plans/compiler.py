@@ -9,7 +9,9 @@ from provenia.operators.classify import classify_files
 from provenia.operators.evidence import gate, with_evidence
 from provenia.operators.extraction import TIER1, Extractor, column, long_form, missing, tier0
 from provenia.operators.invariants import derive, with_judgements
+from provenia.operators.ranges import declared_instances
 from provenia.operators.segmentation import instances
+from provenia.operators.stages import staged
 from provenia.operators.triage import normalised_text, triage
 from provenia.plans.schema import Field, Schema
 
@@ -36,14 +38,16 @@ def fill(df: DataFrame, schema: Schema) -> DataFrame:
     return df.withColumns(values | origins).withColumns({column(f.name): filled(f) for f in schema.fields}).drop(*values, *origins)
 
 
-def extract(pages: DataFrame, schema: Schema, tier1: Tier1 | None = None, extractor: Extractor = tier0, strict: bool = False) -> DataFrame:
+def extract(pages: DataFrame, schema: Schema, tier1: Tier1 | None = None, extractor: Extractor = tier0, strict: bool = False, ranges: DataFrame | None = None) -> DataFrame:
     """One row for each instance: file, instance_id, pages and bounds, f_, d_, i_, e_, c_ columns of fields and invariants, outcome, reason, cost.
 
     pages needs file, page_no, text, width and height; images, chars, rotation, osd_rotation and n_chars are used where they are. One shuffle, by file.
     Derivation runs before the model stage, so that nothing is asked that arithmetic gives; rows without anything missing never
     reach the model; after it, derivation runs once more on those that did. strict: see `operators.invariants.judged`.
+    With ranges(doc_key, file, page_from, page_to) these are the instances, by `operators.ranges`, and the schema's segmentation isn't used.
     """
-    out = derive(extractor(instances(prepared(pages), schema.segmentation), schema), schema)
+    found = instances(prepared(pages), schema.segmentation) if ranges is None else declared_instances(prepared(pages), ranges)
+    out = derive(extractor(found, schema), schema)
     error: Column = F.lit(None).cast("string")
     out = out.withColumn("cost", F.lit(0.0)).withColumn("tier1_error", error)
     if tier1 is not None:
@@ -61,16 +65,19 @@ def extract(pages: DataFrame, schema: Schema, tier1: Tier1 | None = None, extrac
 def extract_classified(pages: DataFrame, schemas: dict[str, Schema], tier1: Tier1 | None = None) -> DataFrame:
     """Files of mixed types in long form: file, instance_id, class, schema, field, kind, value, raw, outcome, origin, confidence, verdict, reason.
 
-    A class goes to its schema; one without a class goes to the fallback. A class whose schema isn't given has no rows here; `classify_files` tells which.
+    A class goes to its schema; one without a class goes to the fallback. A file whose schema isn't given is one row: its class and schema, the
+    verdict reject, the reason that there is no schema, all else null. Pages are prepared and files classified once, into a table by schema in the
+    shared folder, of which each schema reads its own part.
     """
-    classes = classify_files(pages)
-    prepared_pages, out = prepared(pages), None
+    routed = staged(prepared(pages).join(classify_files(pages).select("file", "class", "schema"), "file"), "routed", by="schema")
+    out = None
     for name, schema in schemas.items():
-        own = prepared_pages.join(classes.filter(F.col("schema") == name).select("file", "class"), "file")
-        results = extract(own.drop("class"), schema, tier1)
-        rows = fields_of(results, schema).withColumn("schema", F.lit(name)).join(classes.select("file", "class"), "file")
+        own = routed.filter(F.col("schema") == name).drop("schema")
+        rows = fields_of(extract(own.drop("class"), schema, tier1), schema).withColumn("schema", F.lit(name)).join(own.select("file", "class").distinct(), "file")
         out = rows if out is None else out.unionByName(rows)
-    return out
+    lost = routed.filter(~F.col("schema").isin(*schemas)) if schemas else routed
+    lost = lost.select("file", "class", "schema").distinct().withColumn("verdict", F.lit("reject")).withColumn("reason", F.concat(F.lit("no schema given for "), F.col("class")))
+    return lost if out is None else out.unionByName(lost, allowMissingColumns=True)
 
 
 def fields_of(results: DataFrame, schema: Schema) -> DataFrame:

@@ -9,6 +9,8 @@ from typing import Any
 
 import yaml
 
+from provenia.functions.patterns import PatternError, capture_of, java, needs_text
+
 KINDS = ("string", "date", "integer", "decimal")
 SEVERITIES = ("warning", "reject")
 EXTRACTIONS = ("regex",)
@@ -81,13 +83,17 @@ def _need(ok: bool, what: str) -> None:
         raise SchemaError(what)
 
 
-def _regex(x: Any, where: str, groups: bool = False) -> str:
+def _regex(x: Any, where: str, groups: bool = False, every: bool = False) -> str:
+    """A pattern that Python and Java can both say; every: all its matches are looked for."""
     _need(isinstance(x, str) and bool(x), f"{where}: pattern must be a text")
     try:
-        found = re.compile(x)
-    except re.error as e:
+        java(x)
+        group, _ = capture_of(x)
+        if every:
+            needs_text(x)
+    except (re.error, PatternError, OverflowError) as e:
         raise SchemaError(f"{where}: {e}") from e
-    _need(not groups or found.groups > 0, f"{where}: pattern needs a group")
+    _need(not groups or group > 0, f"{where}: pattern needs a group")
     return x
 
 
@@ -111,7 +117,7 @@ def _fields(told: Any) -> tuple[Field, ...]:
         if rule is not None:
             _need(isinstance(rule, dict), f"{name}: estrazione must be a mapping")
             _need(rule.get("tipo") in EXTRACTIONS, f"{name}: estrazione must be one of {', '.join(EXTRACTIONS)}")
-            pattern = _regex(rule.get("pattern"), name)
+            pattern = _regex(rule.get("pattern"), name, every=True)
         out[name] = Field(name, c["tipo"], mandatory, pattern, description)
     return tuple(out.values())
 

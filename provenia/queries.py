@@ -14,10 +14,12 @@ from provenia.operators.arbitration import arbitrate, arbitration_stats
 from provenia.operators.classify import classify, classify_files
 from provenia.operators.extraction import long_form, missing, tier0
 from provenia.operators.invariants import with_judgements
+from provenia.operators.ranges import declared_pages
 from provenia.operators.segmentation import instances, segments
+from provenia.operators.selection import medians
 from provenia.operators.triage import DIGITAL, HYBRID, SCAN, image_coverage, page_rotation, page_type, text_density, triage
-from provenia.plans.compiler import contract, extract, fields_of, fill, prepared
-from provenia.plans.schema import Field, Invariant, Schema, shipped
+from provenia.plans.compiler import contract, extract, extract_classified, fields_of, fill, prepared
+from provenia.plans.schema import Field, Invariant, Schema, parse, shipped
 from provenia.sources.bills import HEIGHT, WIDTH, bill_pages, bills, italian
 from provenia.sources.loaders import PRICES, inventory_of
 
@@ -251,9 +253,27 @@ def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("o_orderkey", F.array_join(missing(schema), ",").alias("asked")).filter("asked <> ''")
 
 
+def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of four pages for each order: gas, electricity, offers and others, told on the first, the third, or too late on the fourth page; some null."""
+    k = F.col("o_orderkey")
+    word = F.get(F.array(*map(F.lit, ("kWh", "Smc", "kWh e smc", "Codice offerta 7", "niente"))), (k % 5).cast("int"))
+    at = F.get(F.array(F.lit(1), F.lit(3), F.lit(4)), (k % 3).cast("int"))
+    text = lambda n: F.when(F.lit(n) == 1, F.when(k % 5 < 3, "TOTALE DA PAGARE 1 ").otherwise("")).otherwise(F.when(k % 7 > 0, F.lit("pagina ")))
+    page = lambda n: F.struct(F.lit(n).alias("page_no"), F.concat(text(n), F.when(at == n, word).otherwise("")).alias("text"))
+    pages = F.inline(F.array(*[page(n) for n in (1, 2, 3, 4)]))
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("F"), k.cast("string"), F.lit(".pdf")).alias("file"), pages).select("*", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
+
+
 @query
 def classify_bill_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify_files(bill_pages(spark, sf_dir))
+    return classify_files(mixed_files(spark, sf_dir))
+
+
+@query
+def extract_mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixed files with two of three schemas at hand: how many of each class go to which schema, and those that have none."""
+    out = extract_classified(mixed_files(spark, sf_dir), {n: shipped(n).only("pod") if n == BILL else shipped(n) for n in (BILL, "cte_it")})
+    return out.groupBy("class", "schema", F.when(F.col("field").isNull(), F.col("reason")).alias("lost")).agg(F.count_distinct("file").alias("files"))
 
 
 @query
@@ -397,14 +417,15 @@ def token_cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def model_bake_off(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two models over the same documents, each with a budget of its own."""
+    """Two models over the same documents, one after the other, with one budget for both; some calls fail, and two fields are asked."""
     k = F.col("doc_id")
     models = F.explode(F.array(F.lit("steady"), F.lit("tiled"))).alias("model")
     x = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source", models)
-    told = x.select("model", k.cast("string").alias("doc_key"), k.alias("ordinal"), F.col("n_chars").cast("long").alias("tokens_in"), (k % 50).alias("tokens_out"), (k % 97).cast("double").alias("latency"))
-    rows = x.select("model", k.cast("string").alias("doc_key"), F.when(k % 3 > 0, F.col("lang")).alias("value"), F.col("lang").alias("expected"), ((k % 3 > 0) & (k % 5 > 0)).alias("correct"))
-    out = cost.bake_off(told, spark.createDataFrame(PRICED, PRICES), rows, 5.0)
-    return out.select("model", "documents", "calls", F.round("cost", 4).alias("cost"), F.round("cost_per_document", 6).alias("cost_per_document"), F.round("p50_latency", 4).alias("p50_latency"), "correct", "total", "invented", F.round("accuracy", 6).alias("accuracy"), "skipped", "stopped")
+    told = x.select("model", k.cast("string").alias("doc_key"), k.alias("ordinal"), F.col("n_chars").cast("long").alias("tokens_in"), (k % 50).alias("tokens_out"), F.when(k % 9 > 0, (k % 97).cast("double")).alias("latency"), (k % 41 == 0).alias("failed"), F.when(k % 4 == 0, k % 3).otherwise(0).alias("violations"))
+    asked = F.array(F.struct(F.when(k % 3 > 0, F.col("lang")).alias("value"), F.col("lang").alias("expected"), ((k % 3 > 0) & (k % 5 > 0)).alias("correct")), F.struct(F.col("source").alias("value"), F.col("source").alias("expected"), (k % 7 > 0).alias("correct")))
+    rows = x.select("model", k.cast("string").alias("doc_key"), F.inline(asked))
+    out = cost.bake_off(told, spark.createDataFrame(PRICED, PRICES), rows, ["steady", "tiled"], 12.0)
+    return out.withColumns({"cost": F.round("cost", 4)} | {c: F.round(c, 6) for c in ("cost_per_document", "p50_latency", "accuracy", "document_accuracy")})
 
 
 @query
@@ -445,10 +466,70 @@ def contract_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.contract_faults(rows)
 
 
+def mixed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each part, with an image from its top left corner to a share of its width, so that all types and many shares occur, and its name as text."""
+    box = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("top"), ((F.col("p_partkey") % 51 / 50) * WIDTH).alias("x1"), F.lit(HEIGHT).alias("bottom"))
+    text = F.when(F.col("p_partkey") % 51 > 46, F.lit("")).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("file"), F.lit(1).alias("page_no"), text.alias("text"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.array(box).alias("images"))
+
+
 @query
 def feature_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = evaluation.feature_margins(triage(bill_pages(spark, sf_dir)), 0.15, 0.85)
-    return out.select("page_type", "pages", "min_coverage", "max_coverage", F.round("margin", 6).alias("margin"))
+    out = evaluation.feature_margins(triage(mixed_pages(spark, sf_dir)), 0.15, 0.85, 1e-5)
+    return out.withColumns({c: F.round(c, 9) for c in out.columns if c not in ("page_type", "pages")})
+
+
+@query
+def median_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact medians of two columns by flag and status: every line is in one of a few groups."""
+    x = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice", F.when(F.col("l_linenumber") % 3 > 0, F.col("l_quantity") * F.col("l_discount") - 1).alias("signed"))
+    out = medians(x, ["l_returnflag", "l_linestatus"], {"l_extendedprice": "price", "signed": "signed"})
+    return out.withColumns({c: F.round(c, 6) for c in ("price", "signed")})
+
+
+@query
+def declared_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of bills in ranges that overlap: each bill's pages and the next one's first, the first five of each file, all up to a million, and an open one."""
+    b = bills(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("o_custkey").orderBy("start", "o_orderkey")))
+    key, rank = F.col("o_orderkey"), F.col("rank").cast("int")
+    own = F.struct(F.concat(F.lit("D"), key.cast("string")).alias("doc_key"), (rank * 2 - 1).alias("page_from"), (rank * 2 + 1).alias("page_to"))
+    none = F.lit(None).cast("int")
+    whole = lambda name, first, last: F.when(rank == 1, F.struct(F.concat(F.lit(name), F.col("o_custkey").cast("string")).alias("doc_key"), first.alias("page_from"), last.alias("page_to")))
+    every = F.array_compact(F.array(own, whole("F", F.lit(1), F.lit(5)), whole("M", F.lit(1), F.lit(1_000_000)), whole("O", F.lit(4), none), whole("E", F.lit(9), F.lit(8))))
+    ranges = b.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string"), F.lit(".pdf")).alias("file"), F.inline(every))
+    pages = bill_pages(spark, sf_dir).select("file", "page_no", "n_chars")
+    return declared_pages(pages, ranges).groupBy("file", "doc_key").agg(F.count("*").alias("pages"), F.min("page_no").alias("first"), F.max("page_no").alias("last"), F.sum("page_no").alias("places"))
+
+
+@query
+def extract_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each bill extracted from the two pages that the orders declare for it, whatever its pages' type."""
+    b = bills(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("o_custkey").orderBy("start", "o_orderkey")))
+    ranges = b.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string"), F.lit(".pdf")).alias("file"), F.col("o_orderkey").cast("string").alias("doc_key"), (F.col("rank") * 2 - 1).cast("int").alias("page_from"), (F.col("rank") * 2).cast("int").alias("page_to"))
+    out = extract(bill_pages(spark, sf_dir), shipped(BILL).only("pod", "giorni", "importo_totale"), ranges=ranges)
+    return out.select("file", "instance_id", "page_from", "page_to", *[F.col(f"f_{c}")["value"].alias(c) for c in ("pod", "giorni", "importo_totale")])
+
+
+NAMED = """
+schema_version: 1
+documento: ordine
+campi:
+  - {nome: priority, tipo: string, estrazione: {tipo: regex, pattern: '^(?P<rank>\\d)-(?P<word>[A-Z ]+)\\Z'}}
+  - {nome: clerk, tipo: integer, estrazione: {tipo: regex, pattern: '(?i)CLERK#0*(?P<n>\\d+)$'}}
+  - {nome: twice, tipo: string, estrazione: {tipo: regex, pattern: '(?P<d>\\d)(?P=d)'}}
+  - {nome: closed, tipo: string, estrazione: {tipo: regex, pattern: '\\A(?P<open><)?\\w+(?(open)>|!)\\Z'}}
+"""
+
+
+@query
+def named_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schema whose patterns use named groups, references to them, conditions, folded case and Python's ends of text."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    schema = parse(NAMED)
+    mark = F.concat(F.when(k % 2 == 0, "<").otherwise(""), F.lit("ok"), F.when(k % 3 == 0, ">").otherwise("!"))
+    one = lambda text, name: tier0(o.select("o_orderkey", text.alias("text")), schema.only(name)).select("o_orderkey", F.lit(name).alias("field"), F.col(f"f_{name}")["value"].alias("value"), F.col(f"f_{name}")["outcome"].alias("outcome"))
+    clerk = F.concat(F.lit("clerk#000"), (k % 1000).cast("string"), F.lit("\n"))
+    return one(F.col("o_orderpriority"), "priority").unionByName(one(clerk, "clerk")).unionByName(one(k.cast("string"), "twice")).unionByName(one(mark, "closed"))
 
 
 @query
