@@ -44,14 +44,28 @@ a AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS
 s AS (SELECT *, sum(n_words) OVER (PARTITION BY doc_id, run) AS words FROM a)
 SELECT doc_id, unit, start, start + length(piece) AS stop, n_words, kept_doc_id, kept_start, CAST(words AS BIGINT) AS run_words FROM s WHERE words >= """
 
-# the same runs of repeated units, taken out of the texts
+WORD = r"[^\x20\x09-\x0D]+"
+#: Clauses begin where a word's hash is the least among its neighbours; three in a row are compared.
+CLAUSES = f"""WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+x AS (SELECT row, doc_id, regexp_extract_all(text, '{WORD}') AS w, string_split_regex(text, '{WORD}') AS g FROM t),
+e AS (SELECT row, doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, unnest(g[1:len(w)]) AS gap FROM x),
+o AS (SELECT row, doc_id, i, translate(word, {LETTERS}) AS word, CAST(sum(length(gap) + length(word)) OVER (PARTITION BY row ORDER BY i) AS BIGINT) AS stop, length(word) AS size, CAST('0x' || substr(md5(translate(word, {LETTERS})), 1, 8) AS BIGINT) AS h FROM e),
+k AS (SELECT *, stop - size AS start, CASE WHEN i = 1 OR h < coalesce(lag(h, 1) OVER q, h + 1) AND h < coalesce(lag(h, 2) OVER q, h + 1) AND h <= coalesce(lead(h, 1) OVER q, h) AND h <= coalesce(lead(h, 2) OVER q, h) THEN 1 ELSE 0 END AS cut FROM o WINDOW q AS (PARTITION BY row ORDER BY i)),
+n AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY row ORDER BY i) - 1 AS INTEGER) AS unit FROM k),
+c AS (SELECT row, doc_id, unit, min(start) AS start, max(stop) AS stop, CAST(count(*) AS INTEGER) AS n_words, string_agg(word, ' ' ORDER BY i) AS said FROM n GROUP BY row, doc_id, unit),
+v AS (SELECT row, doc_id, unit, start, coalesce(lead(start) OVER q, stop) AS stop, n_words, count(*) OVER (PARTITION BY row) AS units, concat_ws(chr(10), said, lead(said, 1) OVER q, lead(said, 2) OVER q) AS said FROM c WINDOW q AS (PARTITION BY row ORDER BY unit)),
+f AS (SELECT *, first_value(doc_id) OVER q AS kept_doc_id, first_value(start) OVER q AS kept_start, row_number() OVER q AS nth FROM v WHERE unit <= units - 3 OR unit = 0 WINDOW q AS (PARTITION BY said ORDER BY doc_id, unit)),
+r AS (SELECT row, unit + unnest([0, 1, 2]) AS unit, unit AS found, kept_doc_id, kept_start FROM f WHERE nth > 1),
+m AS (SELECT row, unit, arg_min(kept_doc_id, found) AS kept_doc_id, arg_min(kept_start, found) AS kept_start FROM r GROUP BY row, unit),
+a AS (SELECT v.row, v.doc_id, v.unit, v.start, v.stop, v.n_words, kept_doc_id, kept_start, v.unit - row_number() OVER (PARTITION BY v.row ORDER BY v.unit) AS run FROM m JOIN v ON v.row = m.row AND v.unit = m.unit),
+s AS (SELECT *, CAST(sum(n_words) OVER (PARTITION BY row, run) AS BIGINT) AS run_words FROM a)"""
+REPEATED = CLAUSES + f" SELECT doc_id, unit, start, stop, n_words, kept_doc_id, kept_start, run_words FROM s WHERE run_words >= {LEAST_WORDS}"
+# what lies between the removed clauses
 CUT_TEXTS = (
-    SUBSTRING.partition("\nSELECT doc_id, unit, start")[0]
-    + f""",
-r AS (SELECT doc_id, start FROM s WHERE words >= {LEAST_WORDS}),
-e AS (SELECT *, max(i) OVER (PARTITION BY doc_id) AS lines FROM o)
-SELECT e.doc_id, count(r.start) AS n_removed, sha256(string_agg(CASE WHEN r.start IS NULL THEN piece ELSE '' END || CASE WHEN j = n AND i < lines THEN chr(10) ELSE '' END, '' ORDER BY i, j)) AS text_sha256
-FROM e LEFT JOIN r ON r.doc_id = e.doc_id AND r.start = e.start AND e.unit_text <> '' GROUP BY e.doc_id"""
+    CLAUSES
+    + f""", z AS (SELECT row, start, stop, coalesce(lag(stop) OVER (PARTITION BY row ORDER BY unit), 0) AS since FROM s WHERE run_words >= {LEAST_WORDS}),
+y AS (SELECT t.row, count(z.start) AS n_removed, coalesce(string_agg(substr(t.text, since + 1, z.start - since), '' ORDER BY z.start), '') || substr(any_value(t.text), coalesce(max(z.stop), 0) + 1) AS text FROM t LEFT JOIN z ON z.row = t.row GROUP BY t.row)
+SELECT t.doc_id, n_removed, sha256(y.text) AS text_sha256 FROM y JOIN t ON t.row = y.row"""
 )
 
 _KINDS = "['assign', 'access', 'hex', 'bare']"
@@ -101,4 +115,4 @@ z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST(h AS DOUBLE) + CAST(0.5
 q AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS able FROM z)
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= able * 10 // 100 THEN place END AS rank FROM q"""
 
-ORACLES = {"op2_jaccard": JACCARD, "op4_chat": CHAT, "op8_exact_dedup": EXACT, "op9_substring_dedup": f"{SUBSTRING}{LEAST_WORDS}", "op9_cut_texts": CUT_TEXTS, "op9_repeated_units": f"{SUBSTRING}1", "op9_repeated_lines": f"{SUBSTRING}1".replace(CUT, "[line]"), "op10_secrets": SECRETS, "op11_prefix_trie": TRIE, "op12_importance": IMPORTANCE}
+ORACLES = {"op2_jaccard": JACCARD, "op4_chat": CHAT, "op8_exact_dedup": EXACT, "op9_substring_dedup": REPEATED, "op9_cut_texts": CUT_TEXTS, "op9_repeated_units": f"{SUBSTRING}1", "op9_repeated_lines": f"{SUBSTRING}1".replace(CUT, "[line]"), "op10_secrets": SECRETS, "op11_prefix_trie": TRIE, "op12_importance": IMPORTANCE}

@@ -70,7 +70,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated sentences in runs of LEAST_WORDS words; op9_repeated_units has every later occurrence."""
+    """Repeated clauses in runs of LEAST_WORDS words; op9_repeated_units has every later occurrence of a sentence."""
     return repeated_units(read(spark, sf_dir, "documents"))
 
 
@@ -82,7 +82,7 @@ def op9_cut_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every later occurrence of a sentence, with the words of its run of repeated sentences."""
-    return repeated_units(read(spark, sf_dir, "documents"), least_words=1)
+    return repeated_units(read(spark, sf_dir, "documents"), least_words=1, by="sentence")
 
 
 def op9_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

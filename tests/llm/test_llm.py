@@ -628,7 +628,7 @@ def test_repeated_units(spark):
     for by, least in (("sentence", 25), ("sentence", 1), ("line", 25), ("line", 1)):
         same(substring_dedup.repeated_units(df, least_words=least, by=by), later_units(rows, by, least), *UNIT_COLUMNS)
     # a passage inside other lines is found from its second sentence on
-    assert {r.doc_id for r in substring_dedup.repeated_units(df).collect()} == {2, 3, None, 7, 8}
+    assert {r.doc_id for r in substring_dedup.repeated_units(df, by="sentence").collect()} == {2, 3, None, 7, 8}
     assert substring_dedup.repeated_units(df.limit(0)).count() == 0
 
 
@@ -637,7 +637,7 @@ def test_texts_without_repeated_units(spark):
     long = ". ".join(" ".join(f"p{i}x{j}" for i in range(11)) for j in range(5))
     rows = [(1, f"own one. {long}.\nend", "a"), (1, f"own two.\n{long}.\nend", "b"), (None, f"é {long}. Rest. More", "c"), (None, None, "d"), (2, "", "e"), (2, "x", "f")]
     df = spark.createDataFrame(rows, "doc_id long, text string, removed string")
-    out = substring_dedup.deduplicated(df)
+    out = substring_dedup.deduplicated(df, by="sentence")
     assert out.columns == ["doc_id", "text", "removed", "_removed"]
     got = {r.removed: r for r in out.collect()}
     assert got["a"].text == rows[0][1] and got["b"].text == "own two.\n\n" and got["d"].text is None and got["e"].text == "" and got["f"].text == "x"
@@ -650,6 +650,56 @@ def test_texts_without_repeated_units(spark):
     assert substring_dedup.deduplicated(df.limit(0)).count() == 0
 
 
+def later_clauses(rows, least):
+    """What repeated_units finds by clause: words whose hash is the least of the two before and after begin one; three in a row are compared."""
+    seen, want = {}, []
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        found = [(m.start(), m.end(), m.group().encode().lower()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+        h = [int(hashlib.md5(w).hexdigest()[:8], 16) for _, _, w in found]
+        at = [i for i in range(len(h)) if i == 0 or all(h[i] < x for x in h[max(0, i - 2) : i]) and all(h[i] <= x for x in h[i + 1 : i + 3])]
+        parts = [found[a:b] for a, b in zip(at, [*at[1:], len(h)], strict=True)]
+        starts = [p[0][0] for p in parts]
+        kept = {}
+        for k in range(max(1, len(parts) - 2) if parts else 0):
+            key = tuple(tuple(w for *_, w in p) for p in parts[k : k + 3])
+            if key in seen:
+                for u in range(k, min(k + 3, len(parts))):
+                    kept.setdefault(u, seen[key])
+            else:
+                seen[key] = (d, starts[k])
+        for _, group in itertools.groupby(enumerate(sorted(kept)), lambda x: x[1] - x[0]):
+            run = [u for _, u in group]
+            total = sum(len(parts[u]) for u in run)
+            if total >= least:
+                want += [(d, u, starts[u], starts[u + 1] if u + 1 < len(parts) else parts[u][-1][1], len(parts[u]), *kept[u], total) for u in run]
+    return want
+
+
+def test_repeated_clauses(spark):
+    r = random.Random(6)
+    text = lambda n: " ".join(f"{r.choice('abcdefgh')}{r.randint(0, 400)}" for _ in range(n))
+    passages = [text(55) for _ in range(4)]
+    rows = [(i, f"{text(r.randint(0, 90))}\n{passages[i % 4]} é日 {text(r.randint(0, 90))}") for i in range(40)]
+    rows += [(100, None), (101, ""), (102, " \n "), (103, "one two"), (104, "one  TWO"), (105, "w " * 300), (106, passages[0]), (None, passages[1].upper()), (107, text(30_000)), (108, "x" * 200_000), (108, "y " + rows[7][1])]
+    df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, unit int")
+    for least in (1, 25):
+        same(substring_dedup.repeated_units(df, least_words=least), later_clauses(rows, least), *UNIT_COLUMNS)
+    # but for a few words at its edges each later copy of a passage goes
+    removed = Counter()
+    for x in later_clauses(rows, 25):
+        removed[x[0]] += x[4]
+    assert all(removed[i] >= 45 for i in range(4, 40)) and removed[103] == 0 and set(removed) <= {*range(4, 40), 106, None, 105, 108}
+    out = {x["doc_id"]: x for x in substring_dedup.deduplicated(df.filter("doc_id < 108 or doc_id is null")).collect()}
+    for d, t in rows:
+        if d != 108:
+            kept, at = "", 0
+            for s in out[d]["removed"]:
+                kept, at = kept + t[at : s["start"]], s["stop"]
+            assert out[d]["text"] == (None if t is None else kept + t[at:])
+    with pytest.raises(ValueError, match="no unit"):
+        substring_dedup.repeated_units(df, by="page")
+
+
 def test_every_later_unit_is_found(spark, tmp_path):
     from provenia.llm.queries import QUERIES
 
