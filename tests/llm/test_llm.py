@@ -657,7 +657,7 @@ def later_clauses(rows, least):
         found = [(m.start(), m.end(), m.group().encode().lower()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
         h = [int(hashlib.md5(w).hexdigest()[:8], 16) for _, _, w in found]
         at = [i for i in range(len(h)) if i == 0 or all(h[i] < x for x in h[max(0, i - 2) : i]) and all(h[i] <= x for x in h[i + 1 : i + 3])]
-        parts = [found[a:b] for a, b in zip(at, [*at[1:], len(h)], strict=True)]
+        parts = [found[a:b] for a, b in zip(at, [*at[1:], len(h)][: len(at)], strict=True)]
         starts = [p[0][0] for p in parts]
         kept = {}
         for k in range(max(1, len(parts) - 2) if parts else 0):
