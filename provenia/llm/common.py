@@ -46,15 +46,15 @@ def stage_by(df: DataFrame, key: str, name: str) -> DataFrame:
     path, table = f"{shared_dir(spark)}/{made}", made.replace("-", "_")
     df.write.format("parquet").bucketBy(parallelism(spark), key).sortBy(key).option("path", path).saveAsTable(table)
     out = spark.table(table)
-    out.stage_path, out.stage_table = path, table
+    # the plan knows files and buckets by now; the catalog needn't. The files stay, since their place was given
+    spark.sql(f"DROP TABLE {table}")
+    out.stage_path = path
     return out
 
 
 def unstage(*staged: DataFrame) -> None:
     """Deletes tables of stage() and stage_by() that no pending plan reads."""
     for df in staged:
-        if hasattr(df, "stage_table"):
-            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.stage_table}")
         remove(df.sparkSession, df.stage_path)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from provenia.llm.bpe import bpe_round_trip
 from provenia.llm.chat import format_chats
 from provenia.llm.common import read
-from provenia.llm.exact_dedup import exact_dedup, fresh_index
+from provenia.llm.exact_dedup import by_id, exact_dedup_in_batches, fresh_index
 from provenia.llm.fingerprint import fingerprints
 from provenia.llm.importance import resampled
 from provenia.llm.jaccard import jaccard_classes
@@ -65,7 +65,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = exact_dedup(read(spark, sf_dir, "documents"), fresh_index(spark, "op8-digests"))
+    """The table in two batches by id, of which the second meets in the index what the first left there."""
+    index = fresh_index(spark, "op8-digests")
+    out = exact_dedup_in_batches(by_id(read(spark, sf_dir, "documents")), index)
+    index.drop()  # what the result needs of it is in tables of its own by now
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
