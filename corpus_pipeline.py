@@ -1,12 +1,14 @@
 """A corpus from raw documents to token ids: reject, deduplicate, mix, encode."""
 
+from functools import reduce
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenia.llm.bpe import bpe_round_trip
 from provenia.llm.common import free_name, read, stage, with_position, with_written_position
-from provenia.llm.exact_dedup import drop_exact_copies, fresh_index, normalised
+from provenia.llm.exact_dedup import by_id, drop_exact_copies, fresh_index, normalised
 from provenia.llm.jaccard import jaccard_classes
 from provenia.llm.mixing import mixed
 from provenia.llm.quality import fit_quality, quality_scores
@@ -26,7 +28,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts, that of the smallest id, nulls last; of rows with the same id the first. Null text is empty text, and empty texts are equal."""
-    return drop_exact_copies(docs, fresh_index(spark, "pipeline-digests"))
+    index = fresh_index(spark, "pipeline-digests")
+    # two batches by id: the second meets in the index what the first left there
+    kept = [drop_exact_copies(part, index, batch=str(i)) for i, part in enumerate(by_id(docs))]
+    index.drop()
+    return reduce(DataFrame.unionByName, kept)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
