@@ -192,6 +192,9 @@ SELECT unnest(['value_origin', 'value_confidence', 'missing_status', 'known_verd
     "classify_bill_files": MIXED + " SELECT file, class, schema, class = 'sconosciuto' AS fell_back FROM f",
     "extract_mixed_files": MIXED + " SELECT class, schema, CASE WHEN schema = 'bolletta_gas_it' THEN 'no schema given for ' || class END AS lost, count(*) AS files FROM f GROUP BY ALL",
     "cache_keys": r"""SELECT doc_id, sha256(unhex(lpad(hex(strlen(text)), 16, '0')) || encode(text) || unhex(lpad(hex(strlen(lang)), 16, '0')) || encode(lang) || '\x00'::BLOB || encode('prompt') || '\x00'::BLOB || encode(source) || '\x00'::BLOB || encode('1')) AS key FROM documents""",
+    "reply_log_status": """WITH w AS (SELECT doc_id AS d, doc_id % 4 AS n, doc_id % 4 AS written FROM documents UNION ALL SELECT doc_id, 3, 3.5 FROM documents WHERE doc_id % 9 = 0),
+r AS (SELECT d, max(CASE WHEN written < 1.5 THEN 1 WHEN d % 5 = n OR d % 7 = n THEN 2 ELSE 3 END) AS best FROM w GROUP BY d)
+SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'missing' ELSE ['expired', 'corrupt', 'hit'][best] END AS status FROM documents JOIN r ON d = doc_id""",
     "composition_counts": """SELECT attribute, value, count(*) AS documents FROM (SELECT unnest(['lang', 'source', 'single_rate']) AS attribute, unnest([coalesce(lang, 'n/d'), coalesce(source, 'n/d'), CASE WHEN doc_id % 4 > 0 THEN CAST(doc_id % 2 = 0 AS VARCHAR) ELSE 'n/d' END]) AS value FROM documents) GROUP BY ALL""",
     "eval_diagnosis": EVAL
     + """, d AS (SELECT doc_key, bool_or(misaligned) AS misaligned, count(*) FILTER (correct) AS correct, count(*) FILTER (outcome = 'non_estratto') AS not_extracted, count(*) FILTER (outcome = 'non_normalizzabile') AS odd, count(*) FILTER (outcome = 'normalizzato' AND NOT correct AND NOT misaligned) AS wrong FROM cmp GROUP BY 1)

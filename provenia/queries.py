@@ -1,5 +1,6 @@
 """Queries for the driver: each operator on tables that the driver has."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +18,12 @@ from provenia.operators.invariants import with_judgements
 from provenia.operators.ranges import declared_pages
 from provenia.operators.segmentation import instances, segments
 from provenia.operators.selection import medians
+from provenia.operators.stages import shared_dir
 from provenia.operators.triage import DIGITAL, HYBRID, SCAN, image_coverage, page_rotation, page_type, text_density, triage
 from provenia.plans.compiler import contract, extract, extract_classified, fields_of, fill, prepared
 from provenia.plans.schema import Field, Invariant, Schema, parse, shipped
 from provenia.sources.bills import HEIGHT, WIDTH, bill_pages, bills, italian
+from provenia.sources.cache import ReplyLog
 from provenia.sources.loaders import PRICES, inventory_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -291,6 +294,20 @@ def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", cache_key(parts, F.lit("prompt"), F.col("source"), F.lit("1")).alias("key"))
 
 
+@query
+def reply_log_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls against a log of replies of several days: the latest valid one that is young enough is a hit; others are corrupt, expired or missing."""
+    d = F.col("doc_id")
+    x = table(spark, sf_dir, "documents")
+    key = cache_key(F.array(F.encode("text", "UTF-8"), F.encode(d.cast("string"), "UTF-8")), F.lit("prompt"), F.lit("steady"), F.lit("1")).alias("key")
+    log = ReplyLog(spark, f"{shared_dir(spark)}/reply-log-{uuid.uuid4().hex}", days=2)
+    reply = lambda n: F.when(d % 5 == n, "[1]").when(d % 7 == n, "no json").otherwise(F.concat(F.lit('{"n": '), d.cast("string"), F.lit("}"))).alias("reply")
+    for day in range(4):
+        log.write(x.filter(d % 4 == day).select(key, reply(day)), now=day * 86_400.0)
+    log.write(x.filter(d % 9 == 0).select(key, reply(3)), now=3.5 * 86_400)
+    return log.status(x.filter(d % 11 > 0).select("doc_id", key).unionByName(x.filter(d % 11 == 0).select("doc_id", F.lit("other").alias("key"))), now=3.5 * 86_400).select("doc_id", "status")
+
+
 def two_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     total, status = F.col("o_totalprice").cast("decimal(18,2)"), F.col("o_orderpriority")

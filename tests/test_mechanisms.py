@@ -14,8 +14,10 @@ from provenia.functions.patterns import PatternError, capture_of, java, needs_te
 from provenia.operators import cost
 from provenia.operators.ranges import declared_instances, declared_pages
 from provenia.operators.selection import medians, ordered
+from provenia.operators.tier1 import ProviderError, with_paid_replies
 from provenia.plans.compiler import extract, extract_classified
 from provenia.plans.schema import SchemaError, parse, shipped
+from provenia.sources.cache import Journal, ReplyLog
 
 # --- patterns
 
@@ -201,3 +203,89 @@ def test_files_without_a_schema_are_told(spark):
     (lost,) = out.filter("field is null").collect()
     assert (lost["file"], lost["class"], lost["schema"], lost["verdict"], lost["reason"]) == ("gas.pdf", "bolletta_gas", "bolletta_gas_it", "reject", "no schema given for bolletta_gas")
     assert {r["file"] for r in extract_classified(rows, {}).collect()} == {"gas.pdf", "luce.pdf"}
+
+
+# --- replies that are paid for once
+
+ASKED = "schema_version: 1\ndocumento: d\ncampi:\n  - {nome: a, tipo: string}\n"
+
+
+def paying(folder, crash_on=None):
+    """A provider that notes each call it is paid for in a file; it dies once at a text, as a worker may."""
+
+    def provider(pages, prompt, asked):
+        import uuid
+        from pathlib import Path
+
+        text = pages[0].decode()
+        if text == crash_on and not Path(folder, "crashed").exists():
+            Path(folder, "crashed").touch()
+            raise RuntimeError("the worker dies here")
+        if text == "refused":
+            raise ProviderError("no")
+        Path(folder, f"{uuid.uuid4().hex}.call").write_text(text)
+        return ("no json" if text == "bad" else f'{{"a": "{text.upper()}"}}'), 0.5
+
+    return provider
+
+
+def paid(folder):
+    from pathlib import Path
+
+    return sorted(p.read_text() for p in Path(folder).glob("*.call"))
+
+
+def test_a_job_that_dies_half_way_pays_for_nothing_twice(spark, tmp_path):
+    log, folder = ReplyLog(spark, f"{tmp_path}/log", buckets=4), tmp_path / "calls"
+    folder.mkdir()
+    texts = [f"t{i}" for i in range(20)] + ["t3", "refused", ""]
+    pages = spark.createDataFrame([(f"f{i}", 1, t, 600.0, 800.0) for i, t in enumerate(texts)], "file string, page_no int, text string, width double, height double").coalesce(1)
+    run = lambda: extract(pages, parse(ASKED), with_paid_replies(paying(str(folder), "t11"), log, "m", slices=3, now=1000.0)).collect()
+    with pytest.raises(Exception, match="the worker dies here"):
+        run()
+    assert 0 < len(paid(folder)) < 21
+    rows = run()
+    assert paid(folder) == sorted({*texts} - {"refused"})  # each text once, over both runs
+    got = {r["file"]: (r["f_a"]["value"], r["tier1_error"]) for r in rows}
+    assert all(got[f"f{i}"] == ((t.upper() or None, None) if t != "refused" else (None, "no")) for i, t in enumerate(texts))
+    before = len(paid(folder))
+    again = run()
+    assert len(paid(folder)) == before and sum(r["cost"] for r in again) == 0 and {r["file"]: r["f_a"]["value"] for r in again} == {f: v for f, (v, _) in got.items()}
+    assert not list((tmp_path / "log" / "journal").glob("*/*"))
+
+
+def test_costs_and_bad_replies(spark, tmp_path):
+    log, folder = ReplyLog(spark, f"{tmp_path}/log", days=1, buckets=2), tmp_path / "calls"
+    folder.mkdir()
+    pages = spark.createDataFrame([(f"f{i}", 1, t, 600.0, 800.0) for i, t in enumerate(["x", "x", "bad"])], "file string, page_no int, text string, width double, height double")
+    run = lambda model="m", now=0.0: extract(pages, parse(ASKED), with_paid_replies(paying(str(folder)), log, model, slices=2, now=now)).collect()
+    assert sum(r["cost"] for r in run()) == 1.0 and paid(folder) == ["bad", "x"]  # equal calls are one
+    assert sum(r["cost"] for r in run(now=10.0)) == 0.5 and paid(folder) == ["bad", "bad", "x"]  # what is no reply is asked for again
+    assert sum(r["cost"] for r in run("other", now=20.0)) == 1.0  # another model's replies are its own
+    assert sum(r["cost"] for r in run(now=200_000.0)) == 1.0  # too old
+    log.compact(now=200_000.0)
+    assert {r["written_at"] for r in log.read(200_000.0).collect()} == {200_000.0} and log.version == 1
+    assert sum(r["cost"] for r in run(now=200_001.0)) == 0.5
+    again = ReplyLog(spark, f"{tmp_path}/log", days=1, buckets=2)
+    assert again.version == 1 and again.read(200_002.0).count() == 1
+    spark.sql(f"DROP TABLE {again.table}")  # the catalog forgets, the files stay
+    assert ReplyLog(spark, f"{tmp_path}/log", days=1, buckets=2).read(200_002.0).count() == 1
+
+
+def test_log_reads_young_days_where_they_lie(spark, tmp_path):
+    log = ReplyLog(spark, f"{tmp_path}/log", days=1, buckets=4)
+    for day in range(5):
+        log.write(spark.createDataFrame([(f"k{i}", f'{{"d": {day}}}') for i in range(9)], "key string, reply string"), now=day * 86_400.0)
+    calls = spark.createDataFrame([("k1",), ("new",), (None,)], "key string")
+    assert sorted(str(r["key"]) for r in log.missing(calls, 4 * 86_400.0).collect()) == ["None", "new"]
+    plan = log.missing(calls, 4 * 86_400.0)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(key") == 1
+    assert "PartitionFilters" in plan and "1970-01-04" in plan
+
+
+def test_a_broken_journal_entry_counts_as_none(tmp_path):
+    journal = Journal(f"{tmp_path}/j")
+    journal.put("k", '{"a": 1}', 0.25)
+    assert journal.get("k") == ('{"a": 1}', 0.25) and journal.get("other") is None
+    (next((tmp_path / "j").iterdir())).write_text('{"reply": "cut o')
+    assert journal.get("k") is None
