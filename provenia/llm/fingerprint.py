@@ -4,10 +4,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenia.functions.dialect import fence
-from provenia.llm.common import SPACE, stage, unstage, with_position
-
-#: Words in a k-mer; positions of a fingerprint, each of a pair of minimal k-mers. (So many minima are still compiled as one stage.)
-K, POSITIONS = 2, 40
+from provenia.llm.common import stage, unstage, with_position
+
+#: Tokens in a k-mer; minimal k-mers that are selected, each by a hash of its own; positions of a fingerprint, each of a pair of them. (So many minima are
+#: still compiled as one stage.)
+K, MINIMA, POSITIONS = 2, 80, 80
+#: The code points of scripts that are written without spaces (Thai to Tibetan, Burmese, Khmer, Chinese and Japanese with their later blocks).
+UNSPACED = r"\u0E00-\u109F\u1780-\u17FF\u2E80-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+#: A token is a character of these, or a run of others up to white space, but no longer than this.
+LONGEST = 8
+TOKEN = rf"[^\x20\x09-\x0D{UNSPACED}]{{1,{LONGEST}}}|[{UNSPACED}]"
 #: A k-mer occurrence in a 64-bit number: the upper bits of its hash, then its place in the text in 24 bits.
 PLACE_BITS = 24
 LOW, HIGH = (1 << PLACE_BITS) - 1, -(1 << PLACE_BITS)
@@ -25,13 +31,14 @@ def let(value: Column, use) -> Column:
 def with_kmers(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with column out, array<long>: the occurrence-numbered k-mers of column text, each a hash above PLACE_BITS and its place in the text below.
 
-    k-mers are K words in a row (fewer at the end of the text), words being what white space separates. Equal k-mers of a text are numbered by
-    occurrence, and (k-mer, number) is hashed. Works on any length: in texts of more than 2^24 words a place counts in steps. An empty
-    text has one empty k-mer.
+    k-mers are K tokens in a row (fewer at the end of the text), see TOKEN. Equal k-mers of a text are numbered by
+    occurrence, and (k-mer, number) is hashed. Works on any length: in texts of more than 2^24 tokens a place counts in steps. A text
+    without tokens has one empty k-mer.
     """
     w, s, again, starts = (f"_{out}_{x}" for x in ("w", "s", "again", "starts"))
     # each step is fenced: inside a lambda of the next Spark would compute it anew for each element
-    df = df.withColumn(w, fence(F.split(F.col(text), SPACE, -1)))
+    df = df.withColumn(w, fence(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))))
+    df = df.withColumn(w, F.when(F.size(w) > 0, F.col(w)).otherwise(F.array(F.lit(""))))
     step = F.greatest(F.length(F.bin(F.size(w).cast("long"))) - PLACE_BITS, F.lit(0))
     kmer = lambda x, i: F.xxhash64(x, *[F.get(F.col(w), i + j) for j in range(1, K)])
     placed = let(step, lambda by: F.transform(w, lambda x, i: kmer(x, i).bitwiseAND(F.lit(HIGH)).bitwiseOR(F.call_function("shiftright", i, by).cast("long"))))
@@ -51,28 +58,28 @@ def with_kmers(df: DataFrame, text: str, out: str) -> DataFrame:
 def with_fingerprint(df: DataFrame, text: str, out: str, keys: list[str]) -> DataFrame:
     """A row for each value of keys (which tell the texts apart): keys and out, array<int> of POSITIONS, the Order MinHash of column text; null text has null.
 
-    Each position has two hashes of its own. The least k-mer by each is selected, the two are put into text order and hashed as a tuple.
-    So equal texts have equal fingerprints, and the share of equal positions falls with what an edit changes and with what it moves.
-    (Two least by one hash would be the same but for drawing without replacement; so each is a plain minimum.)
+    Each of MINIMA hashes selects its least k-mer. A position is a pair of neighbours among these, the last with the first: the two are put into text order and
+    hashed as a tuple. So equal texts have equal fingerprints, and the share of equal positions falls with what an edit changes and with what it
+    moves. (Two least by one hash would be the same but for drawing without replacement; so each is a plain minimum, and counts in two pairs.)
     Minima are summed where the rows are, and again after an exchange if the rows don't lie by keys already.
     """
     each = with_kmers(df.select(*keys, text), text, "_kmers").select(*keys, F.explode("_kmers").alias("_x"))
     least = []
-    for i in range(POSITIONS):
+    for i in range(MINIMA // 2):
         h = F.xxhash64(F.lit(i), _hash(F.col("_x")))
         for j, half in enumerate((F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit((1 << 32) - 1)))):
-            least.append(F.min(F.shiftleft(half, PLACE_BITS).bitwiseOR(F.col("_x").bitwiseAND(F.lit(LOW)))).alias(f"_{i}_{j}"))
+            least.append(F.min(F.shiftleft(half, PLACE_BITS).bitwiseOR(F.col("_x").bitwiseAND(F.lit(LOW)))).alias(f"_{2 * i + j}"))
     found = each.groupBy(*keys).agg(*least)
-    pairs = F.array(*[F.array(F.col(f"_{i}_0"), F.col(f"_{i}_1")) for i in range(POSITIONS)])
-    place = lambda p, i: F.get(p, F.lit(i)).bitwiseAND(F.lit(LOW))
-    one, two = (lambda p: _hash(F.get(p, F.lit(0)))), (lambda p: _hash(F.get(p, F.lit(1))))
-    told = F.transform(pairs, lambda p: F.when(place(p, 0) <= place(p, 1), F.hash(one(p), two(p))).otherwise(F.hash(two(p), one(p))))
+    ring = lambda by: F.array(*[F.col(f"_{(i + by) % MINIMA}") for i in range(MINIMA)])
+    place = lambda m: m.bitwiseAND(F.lit(LOW))
+    told = F.zip_with(ring(0), ring(1), lambda a, b: F.when(place(a) <= place(b), F.hash(_hash(a), _hash(b))).otherwise(F.hash(_hash(b), _hash(a))))
     return found.select(*keys, told.alias(out))
 
 
 def likeness(a: str, b: str) -> Column:
-    """The share of positions at which two fingerprints are equal, 0 to 1."""
-    return F.size(F.filter(F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b")), lambda x: x["a"] == x["b"])) / F.lit(float(POSITIONS))
+    """0 to 1: the square root of the share of positions at which two fingerprints are equal. A position is equal if both of its k-mers are, so this
+    estimates the share of k-mers that the texts have in common and in the same order."""
+    return F.sqrt(F.size(F.filter(F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b")), lambda x: x["a"] == x["b"])) / F.lit(float(POSITIONS)))
 
 
 def as_text(fingerprint: str) -> Column:

@@ -408,7 +408,8 @@ def murmur(*longs):
 
 
 def order_min_hash(text):
-    w = re.split(r"[\x20\x09-\x0D]+", text)
+    unspaced = "\u0e00-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+    w = re.findall(f"[{unspaced}]|[^\x20\x09-\x0d{unspaced}]{{1,8}}", text) or [""]
     seen, grams = Counter(), []
     for i in range(len(w)):
         h = signed(xx(*w[i : i + fingerprint.K])) >> 24
@@ -418,13 +419,13 @@ def order_min_hash(text):
             grams.append((i, h))
         seen[h] += 1
     out = []
-    for i in range(fingerprint.POSITIONS):
-        picked = []
+    picked = []
+    for i in range(fingerprint.MINIMA // 2):
         for half in (lambda h: h >> 32, lambda h: h & 0xFFFFFFFF):
-            least, place = min((half(xx(i, np.int64(g))), at) for at, g in grams)
-            picked.append((place, least))
-        a, b = picked if picked[0][0] <= picked[1][0] else picked[::-1]
-        out.append(murmur(a[1], b[1]))
+            picked.append(min((half(xx(i, np.int64(g))), at) for at, g in grams))
+    for one, two in zip(picked, [*picked[1:], picked[0]], strict=True):
+        a, b = (one, two) if one[1] <= two[1] else (two, one)
+        out.append(murmur(a[0], b[0]))
     return out
 
 
@@ -434,7 +435,7 @@ def test_fingerprints(spark, docs, empty):
     got = {r.doc_id: r for r in fingerprint.fingerprints(docs.filter("text is distinct from 'another text for id three' and text is distinct from 'no id'")).collect()}
     as_hex = lambda f: "".join(f"{x:08x}" for x in f)
     prints = [order_min_hash(x or "") for _, x in rows]
-    like = lambda f, g: sum(a == b for a, b in zip(f, g, strict=True)) / len(f)
+    like = lambda f, g: math.sqrt(sum(a == b for a, b in zip(f, g, strict=True)) / len(f))
     assert len(got) == len(rows)
     for i, (d, x) in enumerate(rows):
         j = (i + 1) % len(rows)
@@ -459,6 +460,17 @@ def test_fingerprint_follows_order_and_occurrence(spark):
     assert like["same"] == 1 and like["edited"] > 0.6 and like["shuffled"] < 0.2 and 0.2 < like["swapped"] < 0.8 and like["long"] < like["twice"] < 1
 
 
+def test_half_of_a_text_is_seen_in_any_script(spark):
+    """Also without spaces; texts of their own have next to nothing in common."""
+    r = random.Random(9)
+    scripts = {"han": lambda: chr(r.randint(0x4E00, 0x9FFF)), "thai": lambda: chr(r.randint(0xE01, 0xE3A)), "kana": lambda: chr(r.randint(0x3041, 0x3096)), "unbroken": lambda: r.choice("abcdefghijklmnop"), "words": lambda: r.choice("abcdefgh   ") + r.choice("aeiou")}
+    rows = [(100 * i + k, "".join(draw() for _ in range(r.choice([250, 2000])))) for i, draw in enumerate(scripts.values()) for k in range(8)]
+    out = fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    near = sorted(x["near_edited"] for x in out)
+    assert near[0] > 0 and near[len(near) // 2] > 0.25
+    assert sorted(x["near_next"] for x in out)[len(out) // 2] < 0.15
+
+
 # --- 7 mixing
 
 
