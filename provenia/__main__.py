@@ -1,15 +1,48 @@
-"""python -m provenia extract PAGES.parquet [--schema FILE]: the results as one JSON array; exit code 0, 1 if any instance is rejected, 2 if it can't run."""
+"""python -m provenia extract PAGES.parquet [--schema FILE] [--to FOLDER]: the results as JSON; exit code 0, 1 if any instance is rejected, 2 if it can't run.
+
+With --to each task writes its part of the results to the folder, which must be new, and a manifest names the parts; without, the results are printed as one array.
+"""
 
 import argparse
-import json
+import io
 import os
 import sys
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from provenia.operators.classify import classify_files
-from provenia.plans.compiler import contract, exit_code, extract
-from provenia.plans.schema import SchemaError, load, shipped
+from provenia.operators.stages import shared_dir
+from provenia.plans.compiler import contract, extract
+from provenia.plans.schema import Schema, SchemaError, load, shipped
+from provenia.sources.sink import exit_code, opened, save_results
+
+
+def results_of(pages: DataFrame, schemas: dict[str | None, Schema], classes: DataFrame | None) -> DataFrame:
+    """file, instance_id, outcome, result of all instances, by the schema of their file's class; None stands for all files."""
+    out = None
+    for name, schema in schemas.items():
+        own = pages if name is None else pages.join(classes.filter(F.col("schema") == name).select("file"), "file", "left_semi")
+        found = extract(own, schema)
+        told = contract(found, schema, "outcome")
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+def printed(folder: str, manifest: dict) -> None:
+    """The parts as one array, each copied as it is but for its brackets; one line is held at a time."""
+    files, root = opened(folder)
+    first = True
+    for part in manifest["parts"]:
+        with io.TextIOWrapper(files.open_input_stream(f"{root}/{part['name']}"), encoding="utf-8", newline="\n") as lines:
+            next(lines)  # the opening bracket
+            for line in lines:
+                if line == "]\n":
+                    break
+                print(("[" if first else ",") + "\n" + line.rstrip("\n").removesuffix(","))
+                first = False
+    print("[]" if first else "]")
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -17,12 +50,13 @@ def main(argv: list[str] | None = None) -> int:
     command = parser.add_subparsers(dest="command", required=True).add_parser("extract")
     command.add_argument("pages")
     command.add_argument("--schema")
+    command.add_argument("--to")
     told = parser.parse_args(argv)
     if "://" not in told.pages and not os.path.exists(told.pages):
         print(f"{told.pages}: not found", file=sys.stderr)
         return 2
     spark = SparkSession.builder.appName("provenia").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    pages = spark.read.parquet(told.pages)
+    pages, classes = spark.read.parquet(told.pages), None
     try:
         if told.schema:
             schemas = {None: load(told.schema)}
@@ -36,17 +70,20 @@ def main(argv: list[str] | None = None) -> int:
     except SchemaError as e:
         print(e, file=sys.stderr)
         return 2
-    code, first = 0, True
-    for name, schema in schemas.items():
-        own = pages if name is None else pages.join(classes.filter(classes["schema"] == name).select("file"), "file", "left_semi")
-        results = extract(own, schema)
-        for r in contract(results, schema).orderBy("file", "instance_id").toLocalIterator():
-            print("[" if first else ",")  # one array, written as the results come
-            print(json.dumps(json.loads(r["result"]), ensure_ascii=False, indent=2))
-            first = False
-        code = max(code, exit_code(results))
-    print("[]" if first else "]")
-    return code
+    if not schemas:
+        print("[]")
+        return 0
+    results = results_of(pages, schemas, classes)
+    if told.to:
+        try:
+            return exit_code(save_results(results, told.to))
+        except ValueError as e:
+            print(e, file=sys.stderr)
+            return 2
+    folder = f"{shared_dir(spark)}/printed-{uuid.uuid4().hex}"
+    manifest = save_results(results.orderBy("file", "instance_id"), folder)
+    printed(folder, manifest)
+    return exit_code(manifest)
 
 
 if __name__ == "__main__":

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from provenia.functions.keys import cache_key, pages_key
 from provenia.functions.replies import with_reply_values
-from provenia.operators.stages import staged
+from provenia.operators.stages import staged, workers_find_package
 from provenia.plans.schema import Field
 from provenia.sources.cache import Journal, ReplyLog
 
@@ -41,6 +41,7 @@ def with_provider(provider: Provider, iso_dates: bool = True) -> Callable[[DataF
     """A model stage that calls provider for each row that comes in, in Arrow batches. A provider's error is its row's; other errors are the job's."""
 
     def stage(df: DataFrame, fields: list[Field]) -> DataFrame:
+        workers_find_package(df.sparkSession)
         text = prompt(fields)
 
         def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,6 +80,7 @@ def with_paid_replies(provider: Provider, log: ReplyLog, model: str, version: st
         spark = df.sparkSession
         if spark.conf.get("spark.speculation", "false") == "true":
             raise ValueError("spark.speculation would pay twice")
+        workers_find_package(spark)
         text = prompt(fields)
         asked = F.concat(F.lit(text + "\n"), F.array_join("asked", ","))
         key = cache_key(F.array(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), asked, F.lit(model), F.lit(version))

@@ -88,14 +88,9 @@ def fields_of(results: DataFrame, schema: Schema) -> DataFrame:
     return long.select("file", "instance_id", "segment", "verdict", "reason", "field", "kind", "position", "value", "raw", "outcome", "origin", *[own[x].alias(x) for x in ("confidence", "status", "passed", "failed", "derivation")])
 
 
-def contract(results: DataFrame, schema: Schema) -> DataFrame:
-    """file, instance_id, result: the public JSON of each instance. Nulls and empty lists are written, the cost has six places, the class is null."""
+def contract(results: DataFrame, schema: Schema, *keep: str) -> DataFrame:
+    """file, instance_id, the columns to keep, and result: the public JSON of each instance. Nulls and empty lists are written, the cost has six places, the class is null."""
     fields = F.struct(*[F.struct(F.col(column(f.name))["value"].alias("value"), F.col(f"e_{f.name}").alias("evidence"), F.col(f"c_{f.name}").alias("confidence")).alias(f.name) for f in schema.fields])
     document = F.struct(F.lit(schema.document).alias("schema"), F.lit(schema.version).alias("schema_versione"), F.lit(None).cast("string").alias("classificazione"), F.col("pages").alias("pagine"))
     whole = F.struct(F.col("instance_id").alias("istanza_id"), document.alias("documento"), fields.alias("campi"), F.col("outcome").alias("esito"), F.col("reason").alias("motivo"), F.round("cost", 6).alias("costo_tier1_usd"), F.col("tier1_error").alias("tier1_errore"))
-    return results.select("file", "instance_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("result"))
-
-
-def exit_code(results: DataFrame) -> int:
-    """1 if any instance is rejected, else 0."""
-    return 0 if results.filter("outcome = 'reject'").isEmpty() else 1
+    return results.select("file", "instance_id", *keep, F.to_json(whole, {"ignoreNullFields": "false"}).alias("result"))

@@ -18,9 +18,10 @@ from provenia.operators.invariants import with_judgements
 from provenia.operators.segmentation import instances, letters, stem
 from provenia.operators.tier1 import ProviderError, prompt, with_provider
 from provenia.operators.triage import image_coverage, page_type, straightened, triage
-from provenia.plans.compiler import contract, exit_code, extract, extract_classified, fields_of
+from provenia.plans.compiler import contract, extract, extract_classified, fields_of
 from provenia.plans.schema import Field, SchemaError, parse, shipped
 from provenia.sources.cache import ReplyLog
+from provenia.sources.sink import exit_code, manifest, save_results, saved_results
 from provenia.sources.loaders import PriceError, TruthError, metadata, prices, truth
 
 SMALL = """
@@ -174,7 +175,8 @@ def test_extraction_to_verdict(spark):
     assert {k: (v["code"].verdict, v["code"].reason) for k, v in got.items() if k != "odd"} == {"good": ("pass", None), "bad": ("warning", None), "none": ("reject", "campi obbligatori mancanti: code")}
     assert got["odd"]["code"].verdict == "reject" and got["odd"]["code"].reason.startswith("invariante violata: somma di a, b = 3") and got["odd"]["a"].confidence == "bassa"
     assert (got["none"]["code"].status, got["none"]["code"].outcome) == ("tier1_non_tentato", "non_estratto")
-    assert exit_code(results) == 1 and exit_code(results.filter("outcome <> 'reject'")) == 0
+    counts = {r["outcome"]: r["count"] for r in results.groupBy("outcome").count().collect()}
+    assert exit_code({"verdicts": counts}) == 1 and exit_code({"verdicts": counts | {"reject": 0}}) == 0
     told = {r.instance_id: json.loads(r.result) for r in contract(results, schema).collect()}
     assert told["good"]["documento"]["classificazione"] is None and told["good"]["motivo"] is None and told["good"]["campi"]["code"]["evidence"]["repair"] == []
     assert told["good"]["campi"]["a"]["evidence"]["repair"] == [{"tipo": "ripara", "da": "1,50", "a": "1.50"}]
@@ -341,3 +343,34 @@ def test_command(spark, tmp_path, capsys):
     capsys.readouterr()
     assert main(["extract", f"{tmp_path}/pages", "--schema", f"{tmp_path}/s.yaml"]) == 0
     assert [x["istanza_id"] for x in json.loads(capsys.readouterr().out)] == ["a", "b"]
+    (tmp_path / "strict.yaml").write_text(SMALL.replace("'Code (\\\\w+)'", "'Code (\\\\d+)'"))
+    assert main(["extract", f"{tmp_path}/pages", "--schema", f"{tmp_path}/strict.yaml", "--to", f"{tmp_path}/out"]) == 1
+    told = manifest(f"{tmp_path}/out")
+    assert told["results"] == 2 and told["verdicts"] == {"reject": 2} and capsys.readouterr().out == ""
+    assert sorted(json.loads(r["result"])["istanza_id"] for r in saved_results(spark, f"{tmp_path}/out").collect()) == ["a", "b"]
+    assert main(["extract", f"{tmp_path}/pages", "--schema", f"{tmp_path}/s.yaml", "--to", f"{tmp_path}/out"]) == 2  # there are results already
+
+
+def test_sink_computes_once_and_leaves_nothing_of_a_failed_job(spark, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    @F.udf("string")
+    def counted(i):
+        import uuid
+        from pathlib import Path
+
+        Path(str(seen), uuid.uuid4().hex).touch()
+        return json.dumps({"i": i, "s": 'é\n"'})
+
+    rows = spark.range(50).repartition(6).select(counted("id").alias("result"), F.when(F.col("id") % 7 == 0, "reject").otherwise("pass").alias("outcome"))
+    told = save_results(rows, f"{tmp_path}/good")
+    assert len(list(seen.iterdir())) == 50 and told["verdicts"] == {"pass": 42, "reject": 8} and told["results"] == 50
+    parts = [json.loads((tmp_path / "good" / p["name"]).read_text()) for p in told["parts"]]
+    assert sorted(x["i"] for p in parts for x in p) == list(range(50)) and [len(p) for p in parts] == [p["results"] for p in told["parts"]]
+    assert sorted(json.loads(r["result"])["i"] for r in saved_results(spark, f"{tmp_path}/good").collect()) == list(range(50))
+    for bad in (F.when(F.col("id") == 33, F.raise_error(F.lit("dies")).cast("string")).otherwise("{}"), F.when(F.col("id") == 33, "{").otherwise("{}")):
+        with pytest.raises(Exception):  # noqa: B017
+            save_results(spark.range(50).repartition(6).select(bad.alias("result"), F.lit("pass").alias("outcome")), f"{tmp_path}/bad")
+        assert not (tmp_path / "bad").exists() or not list((tmp_path / "bad").iterdir())
+    assert save_results(rows.limit(0), f"{tmp_path}/none") == {"parts": [], "results": 0, "verdicts": {}} and saved_results(spark, f"{tmp_path}/none").count() == 0
