@@ -195,6 +195,11 @@ SELECT unnest(['value_origin', 'value_confidence', 'missing_status', 'known_verd
     "reply_log_status": """WITH w AS (SELECT doc_id AS d, doc_id % 4 AS n, doc_id % 4 AS written FROM documents UNION ALL SELECT doc_id, 3, 3.5 FROM documents WHERE doc_id % 9 = 0),
 r AS (SELECT d, max(CASE WHEN written < 1.5 THEN 1 WHEN d % 5 = n OR d % 7 = n THEN 2 ELSE 3 END) AS best FROM w GROUP BY d)
 SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'missing' ELSE ['expired', 'corrupt', 'hit'][best] END AS status FROM documents JOIN r ON d = doc_id""",
+    "provider_dispatch": """WITH m AS (SELECT o_orderkey, CASE WHEN o_orderkey % 23 <> 0 THEN lower(regexp_extract(o_orderpriority, '[A-Z]+')) || '-' || o_orderkey % 50 END AS model FROM orders),
+t(prefix, provider) AS (VALUES ('high', 'one'), ('high-4', 'two'), ('high-42', 'three'), ('low-', 'one'), ('low-1', 'two'), ('urgent-7', 'three'), ('not-', 'two'), ('not-1', 'four'), ('nota', 'never')),
+b AS (SELECT o_orderkey, arg_max(provider, length(prefix)) AS provider FROM m JOIN t ON starts_with(model, prefix) GROUP BY 1)
+SELECT o_orderkey, provider, provider IS NULL AS unknown FROM m LEFT JOIN b USING (o_orderkey)""",
+    "page_orientations": "SELECT p_partkey, CAST(CASE WHEN p_partkey % 17 = 0 OR p_partkey % 19 = 0 OR p_partkey % 11 = 0 THEN NULL ELSE p_partkey % 4 * 90 END AS INTEGER) AS rotation FROM part",
     "composition_counts": """SELECT attribute, value, count(*) AS documents FROM (SELECT unnest(['lang', 'source', 'single_rate']) AS attribute, unnest([coalesce(lang, 'n/d'), coalesce(source, 'n/d'), CASE WHEN doc_id % 4 > 0 THEN CAST(doc_id % 2 = 0 AS VARCHAR) ELSE 'n/d' END]) AS value FROM documents) GROUP BY ALL""",
     "eval_diagnosis": EVAL
     + """, d AS (SELECT doc_key, bool_or(misaligned) AS misaligned, count(*) FILTER (correct) AS correct, count(*) FILTER (outcome = 'non_estratto') AS not_extracted, count(*) FILTER (outcome = 'non_normalizzabile') AS odd, count(*) FILTER (outcome = 'normalizzato' AND NOT correct AND NOT misaligned) AS wrong FROM cmp GROUP BY 1)

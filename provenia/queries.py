@@ -13,8 +13,10 @@ from provenia.functions.replies import with_reply_values
 from provenia.operators import cost, evaluation
 from provenia.operators.arbitration import arbitrate, arbitration_stats
 from provenia.operators.classify import classify, classify_files
+from provenia.operators.dispatch import with_providers
 from provenia.operators.extraction import long_form, missing, tier0
 from provenia.operators.invariants import with_judgements
+from provenia.operators.orientation import page_orientation
 from provenia.operators.ranges import declared_pages
 from provenia.operators.segmentation import instances, segments
 from provenia.operators.selection import medians
@@ -288,6 +290,37 @@ def page_rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", rotation.cast("int").alias("rotation"))
 
 
+@query
+def page_orientations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of characters in a part's name's length, turned by the part's key; too few to tell, and half of them turned the other way, for some."""
+    k = F.col("p_partkey")
+    turn, n = (k % 4).cast("int"), (F.length("p_name") + k % 13).cast("int")
+    x, y = lambda i: 50.0 + (i % 12) * 6.0, lambda i: 80.0 + F.floor(i / 12) * 14.0
+
+    def box(i):
+        px, py = x(i), y(i)
+        # a page of 600 by 800 points, turned clockwise about its corner
+        ax = F.when(turn == 0, px).when(turn == 1, 800.0 - py).when(turn == 2, 600.0 - px).otherwise(py)
+        ay = F.when(turn == 0, py).when(turn == 1, px).when(turn == 2, 800.0 - py).otherwise(600.0 - px)
+        back = (k % 11 == 0) & (i % 24 >= 12)
+        ax, ay = F.when(back, 600.0 - ax).otherwise(ax), F.when(back, 800.0 - ay).otherwise(ay)
+        return F.struct((ax - 2.5).alias("x0"), (ay - 4.0).alias("top"), (ax + 2.5).alias("x1"), (ay + 4.0).alias("bottom"))
+
+    boxes = F.transform(F.sequence(F.lit(0), F.when(k % 11 == 0, 48).otherwise(n * 4) - 1), box)
+    boxes = F.when(k % 17 == 0, F.slice(boxes, 1, 19)).when(k % 19 > 0, boxes)
+    return table(spark, sf_dir, "part").select("p_partkey", page_orientation(boxes).alias("rotation"))
+
+
+@query
+def provider_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model names made of orders' priorities and keys, given to providers by their longest prefix."""
+    k = F.col("o_orderkey")
+    name = F.when(k % 23 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lower(F.regexp_extract("o_orderpriority", "[A-Z]+", 0)), F.lit("-"), (k % 50).cast("string")))
+    known = [("high", "one"), ("high-4", "two"), ("high-42", "three"), ("low-", "one"), ("low-1", "two"), ("urgent-7", "three"), ("not-", "two"), ("not-1", "one"), ("not-1", "four"), ("nota", "never")]
+    calls = table(spark, sf_dir, "orders").select("o_orderkey", name.alias("model"))
+    return with_providers(calls, spark.createDataFrame(known, "prefix string, provider string")).select("o_orderkey", "provider", F.col("dispatch_error").isNotNull().alias("unknown"))
+
+
 @query
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.array(F.encode("text", "UTF-8"), F.encode("lang", "UTF-8"))

@@ -33,7 +33,8 @@ class ResultWriter(DataSourceWriter):
     """Writes rows (result, outcome): a part is a JSON array of the results of one task, written under a name of the attempt's own.
 
     Only what the manifest names counts. It is written last, by the driver, in one file: of a job that fails nothing is named, of a task that is tried
-    again the attempt that was committed. Parts of other attempts are deleted where that is possible. The driver gets one small message for each task.
+    again the attempt that was committed. Parts of other attempts are deleted; one that a task writes after its job was given up stays, unnamed, until
+    a job commits to the folder. The driver gets one small message for each task.
     """
 
     def __init__(self, path: str):
@@ -72,18 +73,25 @@ class ResultWriter(DataSourceWriter):
         with files.open_output_stream(f"{root}/{MANIFEST}.{self.job}") as f:
             f.write(json.dumps(told, indent=2).encode())
         files.move(f"{root}/{MANIFEST}.{self.job}", f"{root}/{MANIFEST}")
-        self._clear(files, root, {m.name for m in parts})
+        self._clear({MANIFEST, *(m.name for m in parts)}, "")
 
     def abort(self, messages: list[Part | None]) -> None:
-        self._clear(*opened(self.path), set())
+        self._clear(set(), self.job)
 
-    def _clear(self, files: fs.FileSystem, root: str, keep: set[str]) -> None:
-        """Deletes this job's parts but those to keep."""
+    def _clear(self, keep: set[str], of: str) -> None:
+        """Deletes the parts in the folder but those to keep; of a job: its parts alone."""
+        files, root = opened(self.path)
         for info in files.get_file_info(fs.FileSelector(root, allow_not_found=True)):
-            if self.job in info.base_name and info.base_name not in keep:
+            if info.base_name.startswith("part-") and of in info.base_name and info.base_name not in keep:
                 files.delete_file(info.path)
 
 
+def _need_new(folder: str) -> None:
+    files, root = opened(folder)
+    if files.get_file_info(f"{root}/{MANIFEST}").type != fs.FileType.NotFound:
+        raise ValueError(f"{folder} has results already")
+
+
 class ResultSource(DataSource):
     """df.write.format("provenia_results").mode("append").save(folder) for rows (result, outcome)."""
 
@@ -97,15 +105,13 @@ class ResultSource(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> ResultWriter:
         if overwrite or not {"result", "outcome"} <= set(schema.names):
             raise ValueError("rows of result and outcome are appended to a folder of their own")
-        path = self.options["path"]
-        files, root = opened(path)
-        if files.get_file_info(f"{root}/{MANIFEST}").type != fs.FileType.NotFound:
-            raise ValueError(f"{path} has results already")
-        return ResultWriter(path)
+        _need_new(self.options["path"])
+        return ResultWriter(self.options["path"])
 
 
 def save_results(results: DataFrame, folder: str) -> dict:
     """Writes results(result, outcome) to a folder in one run and returns its manifest: parts, number of results, verdicts."""
+    _need_new(folder)
     workers_find_package(results.sparkSession)
     results.sparkSession.dataSource.register(ResultSource)
     results.select("result", "outcome").write.format(NAME).mode("append").save(folder)

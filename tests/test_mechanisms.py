@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from provenia.functions.dialect import first_capture, unique_capture
 from provenia.functions.patterns import PatternError, capture_of, java, needs_text, variants
 from provenia.operators import cost
+from provenia.operators.dispatch import with_providers
+from provenia.operators.orientation import with_orientation
 from provenia.operators.ranges import declared_instances, declared_pages
 from provenia.operators.selection import medians, ordered
 from provenia.operators.tier1 import ProviderError, with_paid_replies
@@ -289,3 +291,34 @@ def test_a_broken_journal_entry_counts_as_none(tmp_path):
     assert journal.get("k") == ('{"a": 1}', 0.25) and journal.get("other") is None
     (next((tmp_path / "j").iterdir())).write_text('{"reply": "cut o')
     assert journal.get("k") is None
+
+
+# --- orientation, dispatch
+
+
+def test_orientation(spark):
+    def page(turn, lines=6, letters=12):
+        out = []
+        for i in range(lines * letters):
+            x, y = 50.0 + i % letters * 6, 80.0 + i // letters * 14
+            x, y = [(x, y), (800 - y, x), (600 - x, 800 - y), (y, 600 - x)][turn]
+            out.append((x - 2, y - 4, x + 2, y + 4))
+        return out
+
+    rows = [("upright", page(0)), ("right", page(1)), ("down", page(2)), ("left", page(3)), ("few", page(1, 1)), ("none", []), ("null", None), ("tie", page(0) + page(2)), ("piled", [(1.0, 1.0, 2.0, 2.0)] * 50), ("mostly", page(1, 6) + page(0, 2))]
+    df = spark.createDataFrame(rows, "page string, char_boxes array<struct<x0:double,top:double,x1:double,bottom:double>>")
+    got = {r["page"]: r["osd_rotation"] for r in with_orientation(df).collect()}
+    assert got == {"upright": 0, "right": 90, "down": 180, "left": 270, "few": None, "none": None, "null": None, "tie": None, "piled": None, "mostly": 90}
+    assert with_orientation(df.filter("page = 'few'").withColumn("osd_rotation", F.lit(270))).first()["osd_rotation"] == 270
+
+
+def test_longest_prefix(spark):
+    calls = spark.createDataFrame([("abc", 1), ("ab", 2), ("x", 3), (None, 4), ("abc", 5), ("", 6)], "model string, provider int")
+    table = spark.createDataFrame([("a", "one"), ("ab", "two"), ("abcd", "never"), (None, "no")], "prefix string, provider string")
+    got = [(r["provider"], r["dispatch_error"]) for r in sorted(with_providers(calls, table).collect(), key=lambda r: (r["model"] is None, r["model"] or ""))]
+    unknown = "no provider known for model "
+    assert got == [(None, unknown), ("two", None), ("two", None), ("two", None), (None, unknown + "x"), (None, unknown + "null")]
+    plan = with_providers(calls, table)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert {r["provider"] for r in with_providers(calls, spark.createDataFrame([("", "all")], "prefix string, provider string")).collect()} == {"all", None}
+    assert with_providers(calls, table.limit(0)).filter("provider is null").count() == 6
