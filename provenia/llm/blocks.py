@@ -39,12 +39,15 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """From a word's bytes to its 64-bit hash; forgets all at the bound, which only costs time."""
+    """From a word's bytes to its 64-bit hash; forgets all at the bound, which only costs time. Words of over 64 bytes, as whole texts without spaces are, aren't
+    remembered, so the bound is one of bytes too."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= 400_000:
+                self.clear()
+            self[word] = found
         return found
 
 
