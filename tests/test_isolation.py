@@ -27,3 +27,15 @@ def test_entry_without_llm(tmp_path, without):
 def test_nothing_else_imports_llm():
     for f in (ROOT / "provenia").rglob("*.py"):
         assert "llm" in f.relative_to(ROOT).parts or "provenia.llm" not in f.read_text(), f
+
+
+def test_entry_without_a_library_of_llm(tmp_path):
+    """The files are there, but what they import isn't."""
+    from provenia.queries import QUERIES
+
+    if not (ROOT / "provenia/llm").exists():
+        pytest.skip("no training-data operators here")
+    (tmp_path / "regex.py").write_text("raise ImportError('not installed')")
+    said = subprocess.run([sys.executable, "-B", "-c", SAYS], cwd=ROOT, capture_output=True, text=True, timeout=120, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": f"{tmp_path}:{ROOT}"})
+    assert said.returncode == 0, said.stderr
+    assert said.stdout.split() == [str(len(QUERIES)), "False", "False"]
