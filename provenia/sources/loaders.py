@@ -94,20 +94,5 @@ def inventory_of(files: DataFrame) -> DataFrame:
 
 
 def inventory(spark: SparkSession, root: str, pattern: str = "*.pdf") -> DataFrame:
-    """inventory_of the files below root."""
+    """inventory_of the files below root; those without a byte are left out, as the scan does."""
     return inventory_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root))
-
-
-def pages_from_files(spark: SparkSession, root: str, parser, pattern: str = "*.pdf") -> DataFrame:
-    """Pages of the files below root by a parser, (file name, bytes) -> rows of the pages table; the package brings none for PDF."""
-    import pandas as pd
-
-    schema = "file string, page_no int, text string, raw_text string, n_chars int, width double, height double, rotation int, osd_rotation int"
-    columns = [c.split()[0] for c in schema.split(", ")]
-
-    def parse(batches):
-        for b in batches:
-            rows = [r for path, content in zip(b["path"], b["content"], strict=True) for r in parser(path.rsplit("/", 1)[-1], bytes(content))]
-            yield pd.DataFrame(rows, columns=columns)
-
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "content").mapInPandas(parse, schema)
