@@ -1,18 +1,22 @@
 """Fields from an instance's text: a capture that is unique, repaired, with a diagnosis."""
 
+import importlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from provenia.functions.dialect import fence, unique_capture
 from provenia.functions.repair import STEPS
+from provenia.operators.stages import workers_find_package
 from provenia.plans.schema import Field, Schema
 
 NOT_EXTRACTED, NOT_NORMALISABLE, NORMALISED = "non_estratto", "non_normalizzabile", "normalizzato"
 TIER0, TIER1, DERIVED = "tier0", "tier1", "derivato"
-#: For each kind of extraction rule, the raw capture as a column.
-RULES: dict[str, Callable[[Column, Field], Column]] = {"regex": lambda text, f: unique_capture(text, f.pattern)}
 #: An extractor gives each field's diagnosis; others than the default can be passed to `plans.compiler.extract`.
 Extractor = Callable[[DataFrame, Schema], DataFrame]
 
@@ -25,18 +29,56 @@ def diagnosis(raw: Column, value: Column) -> Column:
     return F.when(raw.isNull(), NOT_EXTRACTED).when(value.isNull(), NOT_NORMALISABLE).otherwise(NORMALISED)
 
 
-def tier0(instances: DataFrame, schema: Schema) -> DataFrame:
-    """instances with f_<field>: struct(value, raw, outcome, origin) for each field of the schema."""
-    raw = {f"r_{f.name}": fence(RULES["regex"](F.col("text"), f)) if f.pattern else F.lit(None).cast("string") for f in schema.fields}
-    out = instances.withColumns(raw).withColumns({f"v_{f.name}": F.col(f"r_{f.name}") for f in schema.fields})
+def from_raw(instances: DataFrame, schema: Schema, raw: dict[str, Column]) -> DataFrame:
+    """instances with f_<field>: struct(value, raw, outcome, origin) for each field of the schema, from the raw captures of those that have one."""
+    none = F.lit(None).cast("string")
+    captures = {f"r_{f.name}": fence(raw[f.name]) if f.name in raw else none for f in schema.fields}
+    out = instances.withColumns(captures).withColumns({f"v_{f.name}": F.col(f"r_{f.name}") for f in schema.fields})
     for i in range(max(len(STEPS[f.kind]) for f in schema.fields)):  # a step for all fields at a time: each has its input as a column, which it names more than once
-        out = out.withColumns({f"v_{f.name}": fence(STEPS[f.kind][i](F.col(f"v_{f.name}"))) for f in schema.fields if i < len(STEPS[f.kind]) and f.pattern})
+        out = out.withColumns({f"v_{f.name}": fence(STEPS[f.kind][i](F.col(f"v_{f.name}"))) for f in schema.fields if i < len(STEPS[f.kind]) and f.name in raw})
 
     def told(f: Field) -> Column:
         r, v = F.col(f"r_{f.name}"), F.col(f"v_{f.name}")
         return F.struct(v.alias("value"), r.alias("raw"), diagnosis(r, v).alias("outcome"), F.when(v.isNotNull(), TIER0).alias("origin"))
 
-    return out.withColumns({column(f.name): told(f) for f in schema.fields}).drop(*raw, *[f"v_{f.name}" for f in schema.fields])
+    return out.withColumns({column(f.name): told(f) for f in schema.fields}).drop(*captures, *[f"v_{f.name}" for f in schema.fields])
+
+
+def tier0(instances: DataFrame, schema: Schema) -> DataFrame:
+    """from_raw with the captures of the fields' rules."""
+    return from_raw(instances, schema, {f.name: unique_capture(F.col("text"), f.pattern) for f in schema.fields if f.pattern})
+
+
+class Found:
+    """A table function of one row: a text's raw values, as a finder names them; analyze() makes its columns from the names asked for."""
+
+    @staticmethod
+    def analyze(text: AnalyzeArgument, finder: AnalyzeArgument, names: AnalyzeArgument) -> AnalyzeResult:
+        return AnalyzeResult(StructType([StructField(f"u_{i}", StringType()) for i in range(len(json.loads(names.value)))]))
+
+    def eval(self, text: str | None, finder: str, names: str):
+        module, _, name = finder.partition(":")
+        asked = json.loads(names)
+        told = getattr(importlib.import_module(module), name)(text or "", asked)
+        yield tuple(None if told.get(n) is None else str(told[n]) for n in asked)
+
+
+def found_by(finder: str) -> Extractor:
+    """An extractor whose raw values come from Python code, "module:function", that workers can import: (text, names) -> {name: raw value or None}.
+
+    It sees an instance's whole text, once. What it leaves out is not extracted; its values are repaired as those of patterns are. The rows stay as they are dealt: no shuffle.
+    """
+
+    def extractor(instances: DataFrame, schema: Schema) -> DataFrame:
+        spark = instances.sparkSession
+        workers_find_package(spark)
+        spark.udtf.register("provenia_found", udtf(Found))
+        names = [f.name for f in schema.fields]
+        told = [F.col(f"u_{i}") for i in range(len(names))]
+        rows = spark.sql("SELECT i.*, u.* FROM {i} i, LATERAL provenia_found(i.text, :finder, :names) u", {"finder": finder, "names": json.dumps(names)}, i=instances)
+        return from_raw(rows, schema, dict(zip(names, told, strict=True))).drop(*[f"u_{i}" for i in range(len(names))])
+
+    return extractor
 
 
 def nothing(instances: DataFrame, schema: Schema) -> DataFrame:

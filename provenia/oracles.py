@@ -126,6 +126,7 @@ ORACLES: dict[str, str] = {
     "extract_fields": READ + " SELECT file, instance_id, field, value, raw, outcome FROM got",
     "extract_diagnosis_counts": READ + " SELECT field, outcome, count(*) AS n FROM got GROUP BY ALL",
     "unique_capture_ambiguity": READ + " SELECT file, instance_id FROM got WHERE field = 'importo_totale' AND outcome = 'non_estratto'",
+    **{q: READ + " SELECT file, instance_id, field, value, raw, outcome FROM got WHERE field IN ('pod', 'fornitore', 'kwh_f1', 'kwh_totale')" for q in ("extract_by_label", "extract_found_by")},
     "repair_decimal": f"""WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(18,2)) AS p, l_partkey AS k FROM lineitem),
 y AS (SELECT l_orderkey, l_linenumber, CAST(k // 1000 AS VARCHAR) AS a, lpad(CAST(k % 1000 AS VARCHAR), 3, '0') AS z, p FROM x)
 SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN {italian("p")} WHEN 1 THEN CAST(p AS VARCHAR) WHEN 2 THEN a || '.' || z ELSE '1.' || z || '.567' END AS raw,

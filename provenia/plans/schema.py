@@ -1,7 +1,7 @@
 """Extraction schemas: YAML files, checked as they load, immutable after. A schema is a program; `plans.compiler` turns it into columns."""
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 from importlib.resources import files
 from types import MappingProxyType
@@ -13,7 +13,6 @@ from provenia.functions.patterns import PatternError, capture_of, java, needs_te
 
 KINDS = ("string", "date", "integer", "decimal")
 SEVERITIES = ("warning", "reject")
-EXTRACTIONS = ("regex",)
 SEGMENTATIONS = ("cambio_valore",)
 #: For each kind of invariant the parameters that name fields, and those that don't with their type.
 INVARIANTS: dict[str, tuple[tuple[str, ...], dict[str, tuple[type, ...]]]] = {
@@ -101,6 +100,20 @@ def _is(x: Any, kinds: tuple[type, ...]) -> bool:
     return isinstance(x, kinds) and not isinstance(x, bool)
 
 
+def _label(rule: Mapping[str, Any], name: str) -> str:
+    """The pattern of the value that stands next to a label, to its right in the same line: after blanks and `:`, `.` or `=`, up to `parole` words with one blank between
+    them, for two blanks or a tab begin another column."""
+    label, words = rule.get("testo"), rule.get("parole", 1)
+    _need(isinstance(label, str) and bool(label.split()), f"{name}: testo must be a text")
+    _need(_is(words, (int,)) and 1 <= words <= 100, f"{name}: parole must be from 1 to 100")
+    told = r"[ \t]+".join(re.escape(w) for w in label.split())
+    return _regex(rf"(?<!\w){told}(?!\w)[ \t]*[:.=]*[ \t]*([^\s:.=]\S*(?: \S+){{0,{words - 1}}})", name, every=True)
+
+
+#: Kinds of extraction rules: each checks a rule's parameters, for the field of this name, and gives the pattern whose one capture is the value.
+RULES: dict[str, Callable[[Mapping[str, Any], str], str]] = {"regex": lambda rule, name: _regex(rule.get("pattern"), name, every=True), "etichetta": _label}
+
+
 def _fields(told: Any) -> tuple[Field, ...]:
     _need(isinstance(told, list) and bool(told), "campi: at least one field")
     out: dict[str, Field] = {}
@@ -116,8 +129,8 @@ def _fields(told: Any) -> tuple[Field, ...]:
         pattern = None
         if rule is not None:
             _need(isinstance(rule, dict), f"{name}: estrazione must be a mapping")
-            _need(rule.get("tipo") in EXTRACTIONS, f"{name}: estrazione must be one of {', '.join(EXTRACTIONS)}")
-            pattern = _regex(rule.get("pattern"), name, every=True)
+            _need(rule.get("tipo") in RULES, f"{name}: estrazione must be one of {', '.join(RULES)}")
+            pattern = RULES[rule["tipo"]](rule, name)
         out[name] = Field(name, c["tipo"], mandatory, pattern, description)
     return tuple(out.values())
 

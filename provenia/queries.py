@@ -14,7 +14,7 @@ from provenia.operators import cost, evaluation
 from provenia.operators.arbitration import arbitrate, arbitration_stats
 from provenia.operators.classify import classify, classify_files
 from provenia.operators.dispatch import with_providers
-from provenia.operators.extraction import long_form, missing, tier0
+from provenia.operators.extraction import Extractor, found_by, long_form, missing, tier0
 from provenia.operators.invariants import with_judgements
 from provenia.operators.orientation import page_orientation
 from provenia.operators.ranges import declared_pages
@@ -73,6 +73,45 @@ def unique_capture_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.filter("outcome = 'non_estratto'").select("file", "instance_id")
 
 
+#: Fields of a bill by their labels instead of patterns.
+LABELS = """
+schema_version: 1
+documento: etichette
+campi:
+  - {nome: pod, tipo: string, estrazione: {tipo: etichetta, testo: POD}}
+  - {nome: fornitore, tipo: string, estrazione: {tipo: etichetta, testo: Fornitore, parole: 2}}
+  - {nome: kwh_f1, tipo: decimal, estrazione: {tipo: etichetta, testo: Energia F1}}
+  - {nome: kwh_totale, tipo: decimal, estrazione: {tipo: etichetta, testo: Energia totale}}
+"""
+
+
+def labelled_values(text: str, names: list[str]) -> dict[str, str | None]:
+    """Values of lines "label: value unit", if a label has one and the same: the finder of extract_found_by."""
+    labels = {"pod": "POD", "fornitore": "Fornitore", "kwh_f1": "Energia F1", "kwh_totale": "Energia totale"}
+    seen: dict[str, set[str]] = {}
+    for line in text.split("\n"):
+        label, colon, value = line.partition(": ")
+        if colon:
+            seen.setdefault(label, set()).add(value.removesuffix(" kWh"))
+    return {n: min(seen[labels[n]]) for n in names if len(seen.get(labels[n], ())) == 1}
+
+
+def by_label(spark: SparkSession, sf_dir: str, extractor: Extractor) -> DataFrame:
+    schema = parse(LABELS)
+    found = extractor(instances(prepared(bill_pages(spark, sf_dir)), shipped(BILL).segmentation), schema)
+    return long_form(found, schema, ["file", "instance_id"]).select("file", "instance_id", "field", "value", "raw", "outcome")
+
+
+@query
+def extract_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_label(spark, sf_dir, tier0)
+
+
+@query
+def extract_found_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_label(spark, sf_dir, found_by("provenia.queries:labelled_values"))
+
+
 @query
 def repair_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("decimal(18,2)").alias("p"), F.col("l_partkey").cast("bigint").alias("k"))

@@ -1,5 +1,6 @@
 """Patterns, declared ranges, medians and routing, each against Python's own answer."""
 
+import json
 import random
 import re
 import statistics
@@ -13,6 +14,7 @@ from provenia.functions.dialect import first_capture, unique_capture
 from provenia.functions.patterns import PatternError, capture_of, java, needs_text, variants
 from provenia.operators import cost
 from provenia.operators.dispatch import with_providers
+from provenia.operators.extraction import found_by, nothing, tier0
 from provenia.operators.orientation import with_orientation
 from provenia.operators.ranges import declared_instances, declared_pages
 from provenia.operators.selection import medians, ordered
@@ -322,3 +324,41 @@ def test_longest_prefix(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert {r["provider"] for r in with_providers(calls, spark.createDataFrame([("", "all")], "prefix string, provider string")).collect()} == {"all", None}
     assert with_providers(calls, table.limit(0)).filter("provider is null").count() == 6
+
+
+def test_values_by_label(spark):
+    """The value to the right of a label: by column, never from another line, none if there are two."""
+    one = lambda **rule: parse(f"schema_version: 1\ndocumento: d\ncampi:\n  - {{nome: x, tipo: string, estrazione: {json.dumps({'tipo': 'etichetta', **rule})}}}")
+    cases = [
+        ("Importo  10,00    IVA  2,00", {"testo": "Importo"}, "10,00"),
+        ("Importo  10,00    IVA  2,00", {"testo": "IVA"}, "2,00"),
+        ("Importo ....: 7", {"testo": "Importo"}, "7"),
+        ("Importo:\n7", {"testo": "Importo"}, None),
+        ("xImporto: 7 Importox: 8", {"testo": "Importo"}, None),
+        ("Importo: 7\nImporto: 8", {"testo": "Importo"}, None),
+        ("Importo: 7\nImporto = 7", {"testo": "Importo"}, "7"),
+        ("Ditta: Acme Spa  Via Roma", {"testo": "Ditta", "parole": 5}, "Acme Spa"),
+        ("Da  pagare\t(EUR): 5", {"testo": "Da pagare"}, "(EUR):"),
+        ("a.b: 1 aXb: 2", {"testo": "a.b"}, "1"),
+        ("", {"testo": "Importo"}, None),
+    ]
+    for text, rule, want in cases:
+        got = tier0(spark.createDataFrame([(text,)], "text string"), one(**rule)).first()["f_x"]["raw"]
+        assert got == want, (text, rule, got)
+    for bad in ({"testo": ""}, {"testo": 3}, {"testo": "a", "parole": 0}, {"testo": "a", "parole": True}):
+        with pytest.raises(SchemaError):
+            one(**bad)
+
+
+def test_extractors(spark):
+    """One in Python through the whole of extract, and the one that finds nothing."""
+    from test_engine import SMALL, pages
+
+    rows = pages(spark, ("a.pdf", 1, "POD: X1\nEnergia F1: 1,50 kWh", []), ("b.pdf", 1, "", []))
+    schema = parse(SMALL.replace("nome: code", "nome: pod").replace("campo: code", "campo: pod").replace("nome: a,", "nome: kwh_f1,").replace("[a, b]", "[kwh_f1, b]").replace("campo: a,", "campo: kwh_f1,"))
+    with_labels = schema.only("pod", "kwh_f1")
+    got = {r.file: r for r in extract(rows, with_labels, extractor=found_by("provenia.queries:labelled_values")).collect()}
+    assert (got["a.pdf"].f_pod.value, got["a.pdf"].f_kwh_f1.value, got["a.pdf"].f_kwh_f1.raw, got["a.pdf"].f_pod.origin) == ("X1", "1.50", "1,50", "tier0")
+    assert got["b.pdf"].f_pod.outcome == "non_estratto" and got["b.pdf"].f_pod.value is None
+    none = extract(rows, with_labels, extractor=nothing).collect()
+    assert len(none) == 2 and all(r.f_pod.value is None and r.f_kwh_f1.outcome == "non_estratto" for r in none)
