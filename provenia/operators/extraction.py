@@ -72,7 +72,7 @@ def found_by(finder: str) -> Extractor:
     def extractor(instances: DataFrame, schema: Schema) -> DataFrame:
         spark = instances.sparkSession
         workers_find_package(spark)
-        spark.udtf.register("provenia_found", udtf(Found))
+        spark.udtf.register("provenia_found", udtf(Found, useArrow=True))
         names = [f.name for f in schema.fields]
         told = [F.col(f"u_{i}") for i in range(len(names))]
         rows = spark.sql("SELECT i.*, u.* FROM {i} i, LATERAL provenia_found(i.text, :finder, :names) u", {"finder": finder, "names": json.dumps(names)}, i=instances)
