@@ -20,10 +20,12 @@ def first_capture(text: Column, pattern: str) -> Column:
     """The capture of the first match, NULL without one or where the group took no part."""
     group, may_be_empty = capture_of(pattern)
     one = F.regexp_extract(text, java(pattern), group)
-    return F.when(F.regexp_like(text, F.lit(java(pattern))), one if may_be_empty else F.nullif(one, F.lit("")))
+    if not may_be_empty:  # then nothing but the lack of a match, or of the group in it, gives the empty text
+        return F.nullif(one, F.lit(""))
+    return F.when(F.regexp_like(text, F.lit(java(pattern))), one)
 
 
 def fence(x: Column) -> Column:
     """x, computed once where it stands. The condition always holds, but Catalyst takes it for one that may differ each time, and so neither copies x into each of
     its uses nor pushes filters on it below: chains of long expressions would otherwise multiply into plans that take minutes to make."""
-    return F.when(F.monotonically_increasing_id() >= 0, x)
+    return F.when(F.expr("monotonically_increasing_id() >= 0"), x)

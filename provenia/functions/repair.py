@@ -13,8 +13,9 @@ def trimmed(v: Column) -> Column:
 
 
 def _date(t: Column) -> Column:
-    iso = F.date_format(F.try_to_date(F.regexp_replace(t, "[.-]", "/"), "dd/MM/yyyy"), "yyyy-MM-dd")
-    return F.when(F.regexp_like(t, F.lit(r"\A[0-9]{2}[/.-][0-9]{2}[/.-][0-9]{4}\z")), iso)
+    part = lambda at, n: F.substring(t, at, n)
+    iso = F.concat_ws("-", part(7, 4), part(4, 2), part(1, 2)).try_cast("date").cast("string")
+    return F.when(F.regexp_like(t, F.lit(r"\A[0-9]{2}[/.-][0-9]{2}[/.-](?!0000)[0-9]{4}\z")), iso)
 
 
 def _one_point(t: Column) -> Column:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from provenia.functions.dialect import fence
 from provenia.operators.extraction import DERIVED, TIER0, TIER1, column
+from provenia.operators.invariants import JUDGED
 from provenia.plans.schema import Field, Schema
 
 NOT_TRIED, FAILED, NOT_FOUND = "tier1_non_tentato", "tier1_fallito", "non_trovato"
@@ -13,17 +14,31 @@ PASS, WARNING, REJECT = "pass", "warning", "reject"
 REPAIR_TYPE = "array<struct<tipo:string,da:string,a:string>>"
 
 
-def evidence(f: Field, schema: Schema, tier1: bool, error: Column) -> Column:
-    """struct(origin, status, repair, derivation, invariants(passed, failed, dettaglio)) of df with fields, derivations and judgements."""
-    x = F.col(column(f.name))
-    status = F.when(x["value"].isNotNull(), None).when(F.lit(not tier1), NOT_TRIED).when(error.isNotNull(), FAILED).otherwise(NOT_FOUND)
-    repaired = (x["origin"] == TIER0) & (x["raw"] != x["value"])
-    step = F.array(F.struct(F.lit("ripara").alias("tipo"), x["raw"].alias("da"), x["value"].alias("a"))).cast(REPAIR_TYPE)
-    own = F.filter("judged", lambda j: j["evaluated"] & F.array_contains(j["fields"], f.name))
-    detail = F.transform(own, lambda j: F.struct(j["id"].alias("id"), F.when(j["message"].isNull(), "pass").otherwise("fail").alias("esito"), j["severity"].alias("severita"), j["message"].alias("messaggio")))
-    count = lambda bad: F.size(F.filter(own, lambda j: j["message"].isNotNull() == bad))
-    invariants = F.struct(count(F.lit(False)).alias("passed"), count(F.lit(True)).alias("failed"), detail.alias("dettaglio"))
-    return F.struct(x["origin"].alias("origin"), status.alias("status"), F.when(repaired, step).otherwise(F.array().cast(REPAIR_TYPE)).alias("repair"), F.col(f"d_{f.name}").alias("derivation"), invariants.alias("invariants"))
+def own(f: Field, schema: Schema) -> str:
+    """SQL: what the invariants that refer to the field say, in the order of the schema. Which these are is known when the plan is made."""
+    said = ", ".join(f"get(judged, {k})" for k, i in enumerate(schema.invariants) if f.name in i.fields())
+    return f"array({said})" if said else f"cast(array() as {JUDGED})"
+
+
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def detail(f: Field, schema: Schema) -> Column:
+    """The field's own invariants that were evaluated: array of struct(id, esito, severita, messaggio)."""
+    struct = "named_struct('id', j.id, 'esito', if(j.message is null, 'pass', 'fail'), 'severita', j.severity, 'messaggio', j.message)"
+    return F.expr(f"transform(filter({own(f, schema)}, j -> j.evaluated), j -> {struct})")
+
+
+def evidence(f: Field, tier1: bool) -> Column:
+    """struct(origin, status, repair, derivation, invariants(passed, failed, dettaglio)) of df with fields, derivations, _error and the field's detail as _j_<field>."""
+    x, d, j = (quoted(n) for n in (column(f.name), f"d_{f.name}", f"_j_{f.name}"))
+    status = f"case when {x}.value is null then " + (f"if(_error is null, '{NOT_FOUND}', '{FAILED}') end" if tier1 else f"'{NOT_TRIED}' end")
+    step = f"array(named_struct('tipo', 'ripara', 'da', {x}.raw, 'a', {x}.value))"
+    repair = f"if({x}.origin = '{TIER0}' and {x}.raw != {x}.value, cast({step} as {REPAIR_TYPE}), cast(array() as {REPAIR_TYPE}))"
+    count = lambda said: f"size(filter({j}, x -> x.esito = '{said}'))"
+    invariants = f"named_struct('passed', {count('pass')}, 'failed', {count('fail')}, 'dettaglio', {j})"
+    return F.expr(f"named_struct('origin', {x}.origin, 'status', {status}, 'repair', {repair}, 'derivation', {d}, 'invariants', {invariants})")
 
 
 def confidence(value: Column, origin: Column, failed: Column) -> Column:
@@ -31,22 +46,26 @@ def confidence(value: Column, origin: Column, failed: Column) -> Column:
 
 
 def with_evidence(df: DataFrame, schema: Schema, tier1: bool = False, error: Column | None = None) -> DataFrame:
-    """df with e_<field> and c_<field> (confidence)."""
+    """df with e_<field> and c_<field> (confidence). Only the details stand behind a fence, so a reader of one part of the evidence has only that part made."""
     error = F.lit(None).cast("string") if error is None else error
-    out = df.withColumns({f"e_{f.name}": fence(evidence(f, schema, tier1, error)) for f in schema.fields})
-    return out.withColumns({f"c_{f.name}": confidence(F.col(column(f.name))["value"], F.col(f"e_{f.name}")["origin"], F.col(f"e_{f.name}")["invariants"]["failed"]) for f in schema.fields})
+    out = df.withColumns({f"_j_{f.name}": fence(detail(f, schema)) for f in schema.fields} | {"_error": error})
+    failed = lambda f: F.expr(f"size(filter({quoted(f'_j_{f.name}')}, x -> x.esito = 'fail'))")
+    made = {f"e_{f.name}": evidence(f, tier1) for f in schema.fields}
+    sure = {f"c_{f.name}": confidence(F.col(column(f.name))["value"], F.col(column(f.name))["origin"], failed(f)) for f in schema.fields}
+    return out.withColumns(made | sure).drop("_error", *[f"_j_{f.name}" for f in schema.fields])
 
 
 def gate(df: DataFrame, schema: Schema) -> DataFrame:
-    """df with outcome and reason, from values and evidence alone.
+    """df with outcome and reason, from values and what the invariants say; evidence isn't needed for them.
 
     A missing mandatory field rejects, and the reason names all that are missing; else the first failed invariant of severity reject, by field, then in
     the field's order; else any failure warns.
     """
     gone = F.array_compact(F.array(*[F.when(F.col(column(f.name))["value"].isNull(), f.name) for f in schema.fields if f.mandatory])) if any(f.mandatory for f in schema.fields) else F.array().cast("array<string>")
-    failed = F.filter(F.flatten(F.array(*[F.col(f"e_{f.name}")["invariants"]["dettaglio"] for f in schema.fields])), lambda d: d["esito"] == "fail")
-    out = df.withColumn("_gone", gone).withColumn("_failed", failed)
-    fatal = F.get(F.filter("_failed", lambda d: d["severita"] == REJECT), F.lit(0))
-    out = out.withColumn("outcome", F.when(F.size("_gone") > 0, REJECT).when(fatal.isNotNull(), REJECT).when(F.size("_failed") > 0, WARNING).otherwise(PASS))
-    reason = F.when(F.size("_gone") > 0, F.concat(F.lit("campi obbligatori mancanti: "), F.array_join("_gone", ", "))).when(F.col("outcome") == REJECT, F.concat(F.lit("invariante violata: "), fatal["messaggio"]))
-    return out.withColumn("reason", reason).drop("_gone", "_failed")
+    grave = dict.fromkeys(k for f in schema.fields for k, i in enumerate(schema.invariants) if i.severity == REJECT and f.name in i.fields())
+    first = ", ".join(f"get(judged, {k}).message" for k in grave)
+    out = df.withColumn("_gone", gone).withColumn("_fatal", F.expr(f"coalesce({first})") if first else F.lit(None).cast("string"))
+    failed = F.expr("exists(judged, j -> j.message is not null)")
+    out = out.withColumn("outcome", F.when((F.size("_gone") > 0) | F.col("_fatal").isNotNull(), REJECT).when(failed, WARNING).otherwise(PASS))
+    reason = F.when(F.size("_gone") > 0, F.concat(F.lit("campi obbligatori mancanti: "), F.array_join("_gone", ", "))).otherwise(F.concat(F.lit("invariante violata: "), F.col("_fatal")))
+    return out.withColumn("reason", reason).drop("_gone", "_fatal")

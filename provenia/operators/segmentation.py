@@ -50,12 +50,11 @@ def segment_pages(pages: DataFrame, config: Segmentation | None) -> DataFrame:
     if config is None:
         return pages.withColumn("segment", F.lit(0).cast("long")).withColumn("seg_confidence", F.lit(CERTAIN))
     file = Window.partitionBy("file")
-    key = first_capture(F.col("text"), config.pattern)
-    out = segments(pages, ["file"], ["page_no"], key)
-    out = out.withColumn("_pages", F.count("*").over(file)).withColumn("_digital", F.min(F.col("page_type") == DIGITAL).over(file)).withColumn("_keys", F.count(key).over(file))
+    out = segments(pages.withColumn("_own", first_capture(F.col("text"), config.pattern)), ["file"], ["page_no"], F.col("_own"))
+    out = out.withColumn("_pages", F.count("*").over(file)).withColumn("_digital", F.min(F.col("page_type") == DIGITAL).over(file)).withColumn("_keys", F.count("_own").over(file))
     kind = F.when((F.col("_pages") < 2 * config.least_pages) & F.col("_digital"), CERTAIN).when(~F.col("_digital"), UNKNOWN).when(F.col("_keys") == 0, PRESUMED).otherwise("cut")
     out = out.withColumn("_kind", kind).withColumn("segment", F.when(F.col("_kind") == "cut", F.col("segment")).otherwise(F.lit(0)))
-    return out.withColumn("seg_confidence", F.when(F.col("_kind") == "cut", CERTAIN).otherwise(F.col("_kind"))).drop("_pages", "_digital", "_keys", "_kind")
+    return out.withColumn("seg_confidence", F.when(F.col("_kind") == "cut", CERTAIN).otherwise(F.col("_kind"))).drop("_own", "_pages", "_digital", "_keys", "_kind")
 
 
 def instance_text(groups: GroupedData, *more: Column) -> DataFrame:

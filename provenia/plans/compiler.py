@@ -38,6 +38,12 @@ def fill(df: DataFrame, schema: Schema) -> DataFrame:
     return df.withColumns(values | origins).withColumns({column(f.name): filled(f) for f in schema.fields}).drop(*values, *origins)
 
 
+def values(pages: DataFrame, schema: Schema, extractor: Extractor = tier0, ranges: DataFrame | None = None) -> DataFrame:
+    """The first half of extract, for who asks for values alone: instances with f_ and d_ columns of fields, found or derived; nothing is judged."""
+    found = instances(prepared(pages), schema.segmentation) if ranges is None else declared_instances(prepared(pages), ranges)
+    return derive(extractor(found, schema), schema)
+
+
 def extract(pages: DataFrame, schema: Schema, tier1: Tier1 | None = None, extractor: Extractor = tier0, strict: bool = False, ranges: DataFrame | None = None) -> DataFrame:
     """One row for each instance: file, instance_id, pages and bounds, f_, d_, i_, e_, c_ columns of fields and invariants, outcome, reason, cost.
 
@@ -46,8 +52,7 @@ def extract(pages: DataFrame, schema: Schema, tier1: Tier1 | None = None, extrac
     reach the model; after it, derivation runs once more on those that did. strict: see `operators.invariants.judged`.
     With ranges(doc_key, file, page_from, page_to) these are the instances, by `operators.ranges`, and the schema's segmentation isn't used.
     """
-    found = instances(prepared(pages), schema.segmentation) if ranges is None else declared_instances(prepared(pages), ranges)
-    out = derive(extractor(found, schema), schema)
+    out = values(pages, schema, extractor, ranges)
     error: Column = F.lit(None).cast("string")
     out = out.withColumn("cost", F.lit(0.0)).withColumn("tier1_error", error)
     if tier1 is not None:

@@ -22,7 +22,7 @@ from provenia.operators.segmentation import instances, segments
 from provenia.operators.selection import medians
 from provenia.operators.stages import shared_dir
 from provenia.operators.triage import DIGITAL, HYBRID, SCAN, image_coverage, page_rotation, page_type, text_density, triage
-from provenia.plans.compiler import contract, extract, extract_classified, fields_of, fill, prepared
+from provenia.plans.compiler import contract, extract, extract_classified, fields_of, fill, prepared, values
 from provenia.plans.schema import Field, Invariant, Schema, parse, shipped
 from provenia.sources.bills import HEIGHT, WIDTH, bill_pages, bills, italian
 from provenia.sources.cache import ReplyLog
@@ -234,7 +234,8 @@ def inv_tristate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def derive_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return result_rows(spark, sf_dir).select("file", "instance_id", "field", "value", "origin")
+    out = values(bill_pages(spark, sf_dir), shipped(BILL))
+    return long_form(out, shipped(BILL), ["file", "instance_id"]).select("file", "instance_id", "field", "value", "origin")
 
 
 @query
@@ -406,17 +407,18 @@ def arbitration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVALUATED = ("pod", "periodo_da", "periodo_a", "giorni", "kwh_totale", "importo_totale")
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order with its bill's whole result, extracted once."""
+def pairs(spark: SparkSession, sf_dir: str, wanted: str = "outcome") -> DataFrame:
+    """Each order with its bill's fields, extracted once, and with their verdict or, wanted = "values", without."""
     doc = bills(spark, sf_dir).select(F.concat(F.lit("D"), F.col("o_orderkey").cast("string")).alias("doc_key"), F.concat(F.lit("C"), F.col("o_custkey").cast("string"), F.lit(".pdf")).alias("file"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("start", "o_orderkey")).alias("ordinal"), "o_orderkey", "o_custkey", "start", F.col("stop"), F.col("days"), F.col("kwh"), F.col("total"))
-    return evaluation.paired(doc, results(spark, sf_dir).select("file", "segment", "outcome", *[f"f_{n}" for n in EVALUATED]))
+    found = values(bill_pages(spark, sf_dir), shipped(BILL)) if wanted == "values" else results(spark, sf_dir)
+    return evaluation.paired(doc, found.select("file", "segment", *(["outcome"] if wanted == "outcome" else []), *[f"f_{n}" for n in EVALUATED]))
 
 
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bills' results compared with what the orders say."""
     pod = F.concat(F.lit("IT"), F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0"), F.lit("E"), F.lpad((F.col("o_orderkey") % 100000000).cast("string"), 8, "0"))
     cells = {"pod": ("string", F.when(F.col("o_orderkey") % 19 != 0, pod)), "periodo_da": ("date", F.col("start")), "periodo_a": ("date", F.col("stop")), "giorni": ("integer", F.col("days")), "kwh_totale": ("decimal", F.col("kwh")), "importo_totale": ("decimal", F.col("total"))}
-    return evaluation.compared_cells(pairs(spark, sf_dir), cells)
+    return evaluation.compared_cells(pairs(spark, sf_dir, "values"), cells)
 
 
 @query
