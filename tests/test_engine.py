@@ -63,7 +63,7 @@ def pages(spark, *rows):
     "kind, cases",
     [
         ("decimal", {"1.234,56": "1234.56", "25.56": "25.56", "1.234": None, "1.234.567": "1234567", "12": "12", "": None, "abc": None, "1,2,3": None, "-0,5": "-0.5", " 7,00 ": "7.00", "NaN": None, "1e5": None, "0,00": "0.00"}),
-        ("date", {"01/02/2025": "2025-02-01", "01-02.2025": "2025-02-01", "31/02/2025": None, "1/2/2025": None, "2025-01-05": None}),
+        ("date", {"01/02/2025": "2025-02-01", "01-02.2025": "2025-02-01", "31/02/2025": None, "1/2/2025": None, "29/02/2024": "2024-02-29", "29.02.2023": None, "00/01/2025": None, "01/13/2025": None, "01/01/0000": None, "01/01/0001": "0001-01-01", "2025-01-05": None}),
         ("integer", {"1.234": "1234", "-5": "-5", "30 giorni": None, "²": None, "007": "7", "30.0": "300"}),
         ("string", {"  a \t b\n": "a b", "   ": None, " x y": "x y"}),
     ],
