@@ -59,7 +59,18 @@ class _Writer:
         self.marks: dict[int, int] = {}  # the number of the empty group at the end of a group that a condition asks for
 
     def sequence(self, parts, flags: int) -> str:
-        return "".join(self.part(kind, value, flags) for kind, value in parts)
+        return "".join(self.start(parts[k + 1][1], flags) if self.starts_word(parts, k, flags) else self.part(kind, value, flags) for k, (kind, value) in enumerate(parts))
+
+    def starts_word(self, parts, k: int, flags: int) -> bool:
+        """Whether part k is a word boundary right before an ASCII letter, digit or underscore."""
+        if parts[k] != (op.AT, op.AT_BOUNDARY) or k + 1 == len(parts) or flags & re.IGNORECASE:
+            return False
+        kind, value = parts[k + 1]
+        return kind is op.LITERAL and re.match(r"(?a:\w)", chr(value)) is not None
+
+    def start(self, code: int, flags: int) -> str:
+        """A boundary before this word character: no word character before it. It is looked for first, as most places aren't one and looking back is slow."""
+        return f"(?={self.literal(code, flags)})(?<![{self.classes(flags)[op.CATEGORY_WORD]}])"
 
     def classes(self, flags: int) -> dict:
         return ASCII_CLASSES if flags & re.ASCII else CLASSES

@@ -20,7 +20,7 @@ def _date(t: Column) -> Column:
 
 def _one_point(t: Column) -> Column:
     dots = F.length(t) - F.length(F.replace(t, F.lit("."), F.lit("")))
-    last = F.element_at(F.split(t, ",", -1), -1)
+    last = F.substring_index(t, ",", -1)
     whole = F.replace(F.substring(t, F.lit(1), F.length(t) - F.length(last) - 1), F.lit("."), F.lit(""))
     after = F.substring_index(t, ".", -1)
     plain = F.when(dots == 0, t).when(dots > 1, F.replace(t, F.lit("."), F.lit(""))).when(~F.regexp_like(after, F.lit(r"\A[0-9]{3}\z")), t)
@@ -30,7 +30,8 @@ def _one_point(t: Column) -> Column:
 def _number(x: Column) -> Column:
     number = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\A\+", ""), r"\.\z", ""), r"\A(-?)0+(?=[0-9])", "$1")
     number = F.regexp_replace(F.regexp_replace(number, r"\A\.", "0."), r"\A-\.", "-0.")
-    return F.when(F.regexp_like(x, F.lit(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)\z")), number)
+    plain = F.regexp_like(x, F.lit(r"\A-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?\z"))  # nothing to do, as for most
+    return F.when(plain, x).when(F.regexp_like(x, F.lit(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)\z")), number)
 
 
 def _integer(t: Column) -> Column:

@@ -60,7 +60,7 @@ def segment_pages(pages: DataFrame, config: Segmentation | None) -> DataFrame:
 def instance_text(groups: GroupedData, *more: Column) -> DataFrame:
     """A row for each group of pages, with `pages` (number, type) in order and `text`, that of digital pages alone, joined by line ends in page order."""
     page = F.struct("page_no", "page_type", "text")
-    out = groups.agg(*more, F.array_sort(F.collect_list(page)).alias("_pages"))
+    out = groups.agg(*more, F.sort_array(F.collect_list(page)).alias("_pages"))
     text = F.array_join(F.transform(F.filter("_pages", lambda p: p["page_type"] == DIGITAL), lambda p: p["text"]), "\n")
     told = F.transform("_pages", lambda p: F.struct(p["page_no"].alias("indice"), p["page_type"].alias("tipo")))
     return out.withColumn("pages", told).withColumn("text", text).drop("_pages")

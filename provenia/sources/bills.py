@@ -35,7 +35,11 @@ def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bill_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages(file, page_no, text, n_chars, width, height, rotation, images) of all bills."""
-    b = bills(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("o_custkey").orderBy("start", "o_orderkey")))
+    # by file as what reads the pages is, so that no page moves after it is made
+    file = F.concat(F.lit("C"), F.col("o_custkey").cast("string"), F.lit(".pdf"))
+    # an order is few bytes but its pages are much work: the number of partitions is given, so that adaptive execution doesn't join them by size
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    b = bills(spark, sf_dir).withColumn("file", file).repartition(n, "file").withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy("start", "o_orderkey")))
     date = lambda c: F.date_format(c, "dd/MM/yyyy")
     start = F.when(fault(23), F.concat(F.lit("31/02/"), F.date_format("start", "yyyy"))).otherwise(date("start"))
     period = F.concat(F.lit("Dal "), start, F.lit(" al "), date("stop"), F.when(fault(5), F.lit("")).otherwise(F.concat(F.lit(" ("), F.col("days").cast("string"), F.lit(" giorni)"))))
@@ -51,5 +55,5 @@ def bill_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast("array<struct<x0:double,top:double,x1:double,bottom:double>>")
     full = F.array(F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("top"), F.lit(WIDTH).alias("x1"), F.lit(HEIGHT).alias("bottom")))
     page = lambda n, lines, images: F.struct((F.col("rank") * 2 - 2 + n).cast("int").alias("page_no"), F.array_join(F.array_compact(lines), "\n").alias("text"), images.alias("images"))
-    pages = b.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string"), F.lit(".pdf")).alias("file"), F.inline(F.array(page(1, lines_a, none), page(2, lines_b, F.when(fault(17), full).otherwise(none)))))
+    pages = b.select("file", F.inline(F.array(page(1, lines_a, none), page(2, lines_b, F.when(fault(17), full).otherwise(none)))))
     return pages.select("file", "page_no", "text", F.length("text").alias("n_chars"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.lit(0).alias("rotation"), "images")
