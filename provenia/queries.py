@@ -337,18 +337,25 @@ def page_orientations(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn, n = (k % 4).cast("int"), (F.length("p_name") + k % 13).cast("int")
     x, y = lambda i: 50.0 + (i % 12) * 6.0, lambda i: 80.0 + F.floor(i / 12) * 14.0
 
-    def box(i):
-        px, py = x(i), y(i)
+    # each place in steps, so that none is computed once for each use in the next
+    place = lambda i: F.struct(x(i).alias("x"), y(i).alias("y"), ((k % 11 == 0) & (i % 24 >= 12)).alias("back"))
+
+    def turned(p):
         # a page of 600 by 800 points, turned clockwise about its corner
+        px, py = p["x"], p["y"]
         ax = F.when(turn == 0, px).when(turn == 1, 800.0 - py).when(turn == 2, 600.0 - px).otherwise(py)
         ay = F.when(turn == 0, py).when(turn == 1, px).when(turn == 2, 800.0 - py).otherwise(600.0 - px)
-        back = (k % 11 == 0) & (i % 24 >= 12)
-        ax, ay = F.when(back, 600.0 - ax).otherwise(ax), F.when(back, 800.0 - ay).otherwise(ay)
-        return F.struct((ax - 2.5).alias("x0"), (ay - 4.0).alias("top"), (ax + 2.5).alias("x1"), (ay + 4.0).alias("bottom"))
+        return F.struct(ax.alias("x"), ay.alias("y"), p["back"].alias("back"))
 
-    boxes = F.transform(F.sequence(F.lit(0), F.when(k % 11 == 0, 48).otherwise(n * 4) - 1), box)
+    flipped = lambda p: F.struct(F.when(p["back"], 600.0 - p["x"]).otherwise(p["x"]).alias("x"), F.when(p["back"], 800.0 - p["y"]).otherwise(p["y"]).alias("y"))
+    box = lambda p: F.struct((p["x"] - 2.5).alias("x0"), (p["y"] - 4.0).alias("top"), (p["x"] + 2.5).alias("x1"), (p["y"] + 4.0).alias("bottom"))
+    boxes = F.sequence(F.lit(0), F.when(k % 11 == 0, 48).otherwise(n * 4) - 1)
+    for made in (place, turned, flipped, box):
+        boxes = F.transform(boxes, made)
     boxes = F.when(k % 17 == 0, F.slice(boxes, 1, 19)).when(k % 19 > 0, boxes)
-    return table(spark, sf_dir, "part").select("p_partkey", page_orientation(boxes).alias("rotation"))
+    # few bytes make much work here: rows are dealt by key, whatever files they lie in
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return parts.select("p_partkey", page_orientation(boxes).alias("rotation"))
 
 
 @query
