@@ -32,6 +32,50 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return np.unique(h)
 
 
+def shingle_sets(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What `shingles` gives for each of the texts whose hashed words stand one after another, in one array; and the sizes of these sets."""
+    sizes = np.asarray(sizes, np.int64)
+    whole = sizes >= WORDS
+    long = words if whole.all() else words[np.repeat(whole, sizes)]
+    n = len(long) - WORDS + 1
+    h = np.full(max(n, 0), WORDS, np.uint64)
+    for i in range(WORDS if n > 0 else 0):
+        h = mix(h, long[i : i + n])
+    # a shingle that begins in one text and ends in the next is none; short texts are made one by one
+    first = np.cumsum(np.where(whole, sizes, 0)) - np.where(whole, sizes, 0)
+    start = np.cumsum(sizes) - sizes
+    parts = []
+    for a, b, m, ok in zip(first.tolist(), start.tolist(), sizes.tolist(), whole.tolist(), strict=True):
+        if ok:
+            part = h[a : a + m - WORDS + 1]
+            part.sort()
+        else:
+            part = shingles(words[b : b + m])
+        parts.append(part)
+    flat = np.concatenate(parts) if parts else h
+    held = np.array([len(x) for x in parts], np.int64)
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    begins = (np.cumsum(held) - held)[held > 0]
+    new[begins] = True
+    made = np.zeros(len(held), np.int64)
+    if len(begins):
+        made[held > 0] = np.add.reduceat(new, begins, dtype=np.int64)
+    return flat[new], made
+
+
+def key_places(flat: np.ndarray) -> np.ndarray:
+    """Of each shingle, the place of its COUNTED key among the distinct ones, sorted: of one sort, as a search for each is slow beyond the cache."""
+    keys = flat & COUNTED
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return at
+
+
 def least_common(n: int) -> int:
     """Shingles that any partner of a set of n shares with it."""
     return -(-SHARE * n // PART)
@@ -188,39 +232,43 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for b in block:
                 ids += b.column(0).to_pylist()
                 words += [hashed_words(t.as_py(), hashes) for t in b.column(1)]
-            vocab, at = np.unique(np.concatenate(words), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([len(at)]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(w) for w in words]], pa.list_(pa.int32())), pa.array([pack(at.astype(np.uint32))]), pa.array([pack(vocab)])], ["block", "tokens", "ids", "sizes", "words", "vocab"])
+            coded = pa.array(np.concatenate(words)).dictionary_encode()
+            vocab = coded.dictionary.to_numpy()
+            order = np.argsort(vocab)
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            vocab, at = vocab[order], place[coded.indices.to_numpy()]
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([len(at)]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(w) for w in words]], pa.list_(pa.int32())), pa.array([pack(at)]), pa.array([pack(vocab)])], ["block", "tokens", "ids", "sizes", "words", "vocab"])
 
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     blocks = stage_by(base.mapInArrow(read_blocks, "block string, tokens long, ids array<long>, sizes array<int>, words binary, vocab binary"), "block", "jaccard-blocks")
     ranges = ranges_for(blocks.agg(F.sum("tokens")).first()[0] or 0, parallelism(spark))
 
-    def sets_of(row: dict) -> list[np.ndarray]:
-        words = unpack(row["vocab"])[unpack(row["words"])]
-        return [shingles(w) for w in np.split(words, np.cumsum(row["sizes"])[:-1])]
+    def sets_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        return shingle_sets(unpack(row["vocab"])[unpack(row["words"])], row["sizes"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 # twice or more within a block is all that matters here: equal sets of a block count once each, as in other blocks
-                found, count = np.unique(np.concatenate([s & COUNTED for s in sets_of(row)]), return_counts=True)
+                found, count = np.unique(sets_of(row)[0] & COUNTED, return_counts=True)
                 yield sent(row["block"], found, count.astype(np.uint32), None, ranges)
 
     counted = stage(blocks.select("block", "sizes", "words", "vocab").mapInArrow(keys, SENT).groupBy("range").applyInArrow(summed(1), RETURNED).select("block", "range", "numbers"), "jaccard-counts")
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        sets = sets_of(row)
-        known = np.unique(np.concatenate([s & COUNTED for s in sets]))
+        flat, sizes = sets_of(row)
         df = together(right["range"].to_pylist(), right["numbers"].to_pylist())
+        counts = df[key_places(flat)]
+        edges = np.cumsum(sizes)[:-1]
         out: list[tuple] = []
         sent_already: set[bytes] = set()
-        for i, s in zip(row["ids"], sets, strict=True):
+        for i, s, own in zip(row["ids"], np.split(flat, edges), np.split(counts, edges), strict=True):
             n = len(s)
             digest = xxhash.xxh3_128_digest(s.tobytes())
             prefix = tokens = None
             if n:
-                own = df[np.searchsorted(known, s & COUNTED)]
                 shared = s[own > 1]
                 left_over = n - least_common(n) + 1 - (n - len(shared))
                 if left_over > 0 and digest not in sent_already:
@@ -279,4 +327,4 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.unionByName(labelled.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-__all__ = ["Tree", "jaccard_classes", "shingles", "tree_links"]
+__all__ = ["Tree", "jaccard_classes", "shingle_sets", "shingles", "tree_links"]
