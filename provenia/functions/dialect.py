@@ -6,6 +6,17 @@ from pyspark.sql import functions as F
 from provenia.functions.patterns import capture_of, java
 
 
+def captures(text: Column, pattern: str) -> Column:
+    """The captures of all matches."""
+    return F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(capture_of(pattern)[0]))
+
+
+def unique_of(found: Column, pattern: str) -> Column:
+    """unique_capture from the pattern's captures, which are a column: they are one and the same text if the least is the greatest."""
+    one = F.when(F.array_min(found) == F.array_max(found), F.get(found, F.lit(0)))
+    return one if capture_of(pattern)[1] else F.nullif(one, F.lit(""))
+
+
 def unique_capture(text: Column, pattern: str) -> Column:
     """The capture of all matches if it is one and the same text, else NULL: none and two different ones both say nothing. An empty capture is a text; a group that took
     no part in the match is NULL."""

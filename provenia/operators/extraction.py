@@ -10,7 +10,7 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
-from provenia.functions.dialect import fence, unique_capture
+from provenia.functions.dialect import captures, fence, unique_of
 from provenia.functions.repair import STEPS
 from provenia.operators.stages import workers_find_package
 from provenia.plans.schema import Field, Schema
@@ -46,7 +46,9 @@ def from_raw(instances: DataFrame, schema: Schema, raw: dict[str, Column]) -> Da
 
 def tier0(instances: DataFrame, schema: Schema) -> DataFrame:
     """from_raw with the captures of the fields' rules."""
-    return from_raw(instances, schema, {f.name: unique_capture(F.col("text"), f.pattern) for f in schema.fields if f.pattern})
+    ruled = [f for f in schema.fields if f.pattern]
+    found = instances.withColumns({f"m_{f.name}": fence(captures(F.col("text"), f.pattern)) for f in ruled}) if ruled else instances
+    return from_raw(found, schema, {f.name: unique_of(F.col(f"m_{f.name}"), f.pattern) for f in ruled}).drop(*[f"m_{f.name}" for f in ruled])
 
 
 class Found:
@@ -88,9 +90,9 @@ def nothing(instances: DataFrame, schema: Schema) -> DataFrame:
     return instances.withColumns({column(f.name): empty for f in schema.fields})
 
 
-def long_form(results: DataFrame, schema: Schema, keys: list[str]) -> DataFrame:
-    """One row for each field: keys, field, kind, position, value, raw, outcome, origin."""
-    rows = F.array(*[F.struct(F.lit(f.name).alias("field"), F.lit(f.kind).alias("kind"), F.lit(i).alias("position"), F.lit(f.mandatory).alias("mandatory"), *[F.col(column(f.name))[x].alias(x) for x in ("value", "raw", "outcome", "origin")]) for i, f in enumerate(schema.fields)])
+def long_form(results: DataFrame, schema: Schema, keys: list[str], more: Callable[[Field], list[Column]] = lambda f: []) -> DataFrame:
+    """One row for each field: keys, field, kind, position, value, raw, outcome, origin, and more of each field."""
+    rows = F.array(*[F.struct(F.lit(f.name).alias("field"), F.lit(f.kind).alias("kind"), F.lit(i).alias("position"), F.lit(f.mandatory).alias("mandatory"), *[F.col(column(f.name))[x].alias(x) for x in ("value", "raw", "outcome", "origin")], *more(f)) for i, f in enumerate(schema.fields)])
     return results.select(*keys, F.inline(rows))
 
 

@@ -114,7 +114,7 @@ def with_judgements(df: DataFrame, schema: Schema, value: Callable[[str], Column
     for i in schema.invariants:
         x = judged(i, v, strict)
         every.append(F.struct(*[x[c].alias(c) for c in ("id", "severity", "evaluated", "message")], F.array(*map(F.lit, i.fields())).alias("fields")))
-    return df.withColumn("judged", fence(F.array(*every).cast(JUDGED))).drop(*made)
+    return df.withColumn("judged", fence(F.array(*every) if every else F.array().cast(JUDGED))).drop(*made)
 
 
 def violations() -> Column:

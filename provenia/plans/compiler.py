@@ -85,12 +85,12 @@ def extract_classified(pages: DataFrame, schemas: dict[str, Schema], tier1: Tier
     return lost if out is None else out.unionByName(lost, allowMissingColumns=True)
 
 
-def fields_of(results: DataFrame, schema: Schema) -> DataFrame:
-    """The long form of results with evidence: a row for each field, with its confidence, passed and failed, and its instance's verdict."""
-    rows = F.array(*[F.struct(F.lit(f.name).alias("name"), F.col(f"c_{f.name}").alias("confidence"), F.col(f"e_{f.name}")["status"].alias("status"), F.col(f"e_{f.name}")["invariants"]["passed"].alias("passed"), F.col(f"e_{f.name}")["invariants"]["failed"].alias("failed"), F.col(f"d_{f.name}").alias("derivation")) for f in schema.fields])
-    long = long_form(results.withColumn("_rows", rows).withColumnRenamed("outcome", "verdict"), schema, ["file", "instance_id", "segment", "verdict", "reason", "_rows"])
-    own = F.get(F.col("_rows"), F.col("position"))
-    return long.select("file", "instance_id", "segment", "verdict", "reason", "field", "kind", "position", "value", "raw", "outcome", "origin", *[own[x].alias(x) for x in ("confidence", "status", "passed", "failed", "derivation")])
+def fields_of(results: DataFrame, schema: Schema, parts: tuple[str, ...] = ("confidence", "status", "passed", "failed", "derivation")) -> DataFrame:
+    """The long form of results with evidence: a row for each field, with its instance's verdict and the parts asked for: nothing else is made or carried along."""
+    said = lambda f: {"confidence": F.col(f"c_{f.name}"), "status": F.col(f"e_{f.name}")["status"], "passed": F.col(f"e_{f.name}")["invariants"]["passed"], "failed": F.col(f"e_{f.name}")["invariants"]["failed"], "derivation": F.col(f"d_{f.name}")}
+    more = lambda f: [said(f)[p].alias(p) for p in parts]
+    long = long_form(results.withColumnRenamed("outcome", "verdict"), schema, ["file", "instance_id", "segment", "verdict", "reason"], more)
+    return long.select("file", "instance_id", "segment", "verdict", "reason", "field", "kind", "position", "value", "raw", "outcome", "origin", *parts)
 
 
 def contract(results: DataFrame, schema: Schema, *keep: str) -> DataFrame:

@@ -52,8 +52,9 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(bill_pages(spark, sf_dir), shipped(BILL))
 
 
-def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fields_of(results(spark, sf_dir), shipped(BILL))
+def result_rows(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
+    """The bills' fields with all parts of what is said of them, or with those named."""
+    return fields_of(results(spark, sf_dir), shipped(BILL), *[parts] if parts else [])
 
 
 @query
@@ -240,19 +241,19 @@ def derive_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def derive_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = result_rows(spark, sf_dir).select("field", F.inline("derivation"))
+    rows = result_rows(spark, sf_dir, "derivation").select("field", F.inline("derivation"))
     return rows.groupBy("field", "tipo", "invariante_id", F.array_join("da_campi", ",").alias("da_campi")).agg(F.count("*").alias("n"))
 
 
 @query
 def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = result_rows(spark, sf_dir).groupBy("field", "origin", "status", F.col("passed").cast("long").alias("passed"), F.col("failed").cast("long").alias("failed"))
+    rows = result_rows(spark, sf_dir, "status", "passed", "failed").groupBy("field", "origin", "status", F.col("passed").cast("long").alias("passed"), F.col("failed").cast("long").alias("failed"))
     return rows.agg(F.count("*").alias("n"))
 
 
 @query
 def confidence_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return result_rows(spark, sf_dir).groupBy("field", "confidence").agg(F.count("*").alias("n"))
+    return result_rows(spark, sf_dir, "confidence").groupBy("field", "confidence").agg(F.count("*").alias("n"))
 
 
 @query
@@ -551,7 +552,7 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.contract_faults(result_rows(spark, sf_dir))
+    return evaluation.contract_faults(result_rows(spark, sf_dir, "confidence", "status"))
 
 
 @query
