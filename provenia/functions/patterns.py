@@ -72,6 +72,31 @@ class _Writer:
         """A boundary before this word character: no word character before it. It is looked for first, as most places aren't one and looking back is slow."""
         return f"(?={self.literal(code, flags)})(?<![{self.classes(flags)[op.CATEGORY_WORD]}])"
 
+    def whole(self, parts, flags: int) -> str:
+        """The pattern as it is searched for. If it begins with alternatives that each begin with a known character, that comes before them, as one class: most places
+        in a text are then left after one look, where alternatives are tried one by one."""
+        told = [self.first(x, flags) for x in parts[0][1][1]] if len(parts) and parts[0][0] is op.BRANCH else []
+        if not told or not all(told):
+            return self.sequence(parts, flags)
+        inside = "".join(dict.fromkeys(c[1:-1] if c.startswith("[") else c for c, _ in told))
+        return f"[{inside}](?:" + "|".join(rest() for _, rest in told) + ")" + self.sequence(parts[1:], flags)
+
+    def first(self, parts, flags: int):
+        """The first character of an alternative and a function for what follows it, which looks back at the character; None if it doesn't begin with one."""
+        if not len(parts):
+            return None
+        kind, value = parts[0]
+        if kind is op.LITERAL:
+            c = self.literal(value, flags)
+            return c, lambda: f"(?<={c})" + self.sequence(parts[1:], flags)
+        if self.starts_word(parts, 0, flags):
+            c, w = self.literal(parts[1][1], flags), self.classes(flags)[op.CATEGORY_WORD]
+            return c, lambda: f"(?<={c})(?<![{w}]{c})" + self.sequence(parts[2:], flags)
+        if kind is op.SUBPATTERN and value[0] is None and not value[1] & (re.ASCII | re.UNICODE):
+            told = self.first(value[3], (flags | value[1]) & ~value[2])
+            return told and (told[0], lambda: told[1]() + self.sequence(parts[1:], flags))
+        return None
+
     def classes(self, flags: int) -> dict:
         return ASCII_CLASSES if flags & re.ASCII else CLASSES
 
@@ -196,7 +221,7 @@ def java(pattern: str) -> str:
     """The pattern in Java's dialect; its group 1 is Java's group 1. PatternError for what can't be said, re.error for what is no pattern."""
     parsed = _parser.parse(pattern)
     conditions = {value[0] for kind, value in _walk(parsed) if kind is op.GROUPREF_EXISTS}
-    return _Writer(parsed.state, conditions).sequence(parsed, parsed.state.flags)
+    return _Writer(parsed.state, conditions).whole(parsed, parsed.state.flags)
 
 
 def java_full(pattern: str) -> str:

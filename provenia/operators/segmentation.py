@@ -33,12 +33,11 @@ def segments(rows: DataFrame, by: list[str], order: list[str], key: Column, name
     """rows numbered by segment from 0: runs of equal keys in order; a missing key goes with the one before, at the start with the first. A key that
     comes back later begins a new segment."""
     w = Window.partitionBy(*by).orderBy(*order)
-    so_far, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before, so_far = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    # a row begins a segment if it has a key and the last key before it is another
     out = rows.withColumn("_key", key)
-    out = out.withColumn("_filled", F.coalesce(F.last("_key", ignorenulls=True).over(so_far), F.first("_key", ignorenulls=True).over(whole)))
-    changed = F.coalesce((~F.col("_filled").eqNullSafe(F.lag("_filled").over(w))).cast("int"), F.lit(0))
-    out = out.withColumn("_new", F.when(F.row_number().over(w) == 1, F.lit(0)).otherwise(changed))
-    return out.withColumn(name, F.sum("_new").over(so_far)).drop("_key", "_filled", "_new")
+    out = out.withColumn("_new", F.coalesce((F.col("_key") != F.last("_key", ignorenulls=True).over(before)).cast("int"), F.lit(0)))
+    return out.withColumn(name, F.sum("_new").over(so_far)).drop("_key", "_new")
 
 
 def segment_pages(pages: DataFrame, config: Segmentation | None) -> DataFrame:
@@ -49,7 +48,7 @@ def segment_pages(pages: DataFrame, config: Segmentation | None) -> DataFrame:
     """
     if config is None:
         return pages.withColumn("segment", F.lit(0).cast("long")).withColumn("seg_confidence", F.lit(CERTAIN))
-    file = Window.partitionBy("file")
+    file = Window.partitionBy("file").orderBy("page_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # ordered as the segments' windows: one step
     out = segments(pages.withColumn("_own", first_capture(F.col("text"), config.pattern)), ["file"], ["page_no"], F.col("_own"))
     out = out.withColumn("_pages", F.count("*").over(file)).withColumn("_digital", F.min(F.col("page_type") == DIGITAL).over(file)).withColumn("_keys", F.count("_own").over(file))
     kind = F.when((F.col("_pages") < 2 * config.least_pages) & F.col("_digital"), CERTAIN).when(~F.col("_digital"), UNKNOWN).when(F.col("_keys") == 0, PRESUMED).otherwise("cut")
