@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from provenia.functions.patterns import capture_of, java
+from provenia.functions.patterns import can_be_empty, capture_of, java
 
 
 def captures(text: Column, pattern: str) -> Column:
@@ -31,7 +31,7 @@ def first_capture(text: Column, pattern: str) -> Column:
     """The capture of the first match, NULL without one or where the group took no part."""
     group, may_be_empty = capture_of(pattern)
     one = F.regexp_extract(text, java(pattern), group)
-    if not may_be_empty:  # then nothing but the lack of a match, or of the group in it, gives the empty text
+    if not may_be_empty or not can_be_empty(pattern):  # then nothing but the lack of a match, or of the group in it, gives the empty text
         return F.nullif(one, F.lit(""))
     return F.when(F.regexp_like(text, F.lit(java(pattern))), one)
 

@@ -235,6 +235,14 @@ def needs_text(pattern: str) -> None:
         raise PatternError("the pattern matches the empty text, so its matches can't be listed")
 
 
+def can_be_empty(pattern: str) -> bool:
+    """Whether the group that counts, once it took part, may have matched the empty text."""
+    parsed = _parser.parse(pattern)
+    if parsed.state.groups == 1:
+        return parsed.getwidth()[0] == 0
+    return next(value[3] for kind, value in _walk(parsed) if kind is op.SUBPATTERN and value[0] == 1).getwidth()[0] == 0
+
+
 @lru_cache(maxsize=1000)
 def capture_of(pattern: str) -> tuple[int, bool]:
     """The group that counts (1 if there are groups, else 0), and whether an empty capture is a text: else it is a group that took no part.

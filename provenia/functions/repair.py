@@ -19,23 +19,22 @@ def _date(t: Column) -> Column:
 
 
 def _one_point(t: Column) -> Column:
-    dots = F.length(t) - F.length(F.replace(t, F.lit("."), F.lit("")))
+    bare = F.replace(t, F.lit("."), F.lit(""))
     last = F.substring_index(t, ",", -1)
     whole = F.replace(F.substring(t, F.lit(1), F.length(t) - F.length(last) - 1), F.lit("."), F.lit(""))
-    after = F.substring_index(t, ".", -1)
-    plain = F.when(dots == 0, t).when(dots > 1, F.replace(t, F.lit("."), F.lit(""))).when(~F.regexp_like(after, F.lit(r"\A[0-9]{3}\z")), t)
+    either = F.regexp_like(t, F.lit(r"\A[^.]*\.[0-9]{3}\z"))  # one dot, three digits after it
+    plain = F.when(either, F.lit(None)).when(F.substring_index(t, ".", 2) != t, bare).otherwise(t)
     return F.when(F.contains(t, F.lit(",")), F.concat(whole, F.lit("."), last)).otherwise(plain)
 
 
 def _number(x: Column) -> Column:
-    number = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\A\+", ""), r"\.\z", ""), r"\A(-?)0+(?=[0-9])", "$1")
-    number = F.regexp_replace(F.regexp_replace(number, r"\A\.", "0."), r"\A-\.", "-0.")
-    plain = F.regexp_like(x, F.lit(r"\A-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?\z"))  # nothing to do, as for most
-    return F.when(plain, x).when(F.regexp_like(x, F.lit(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)\z")), number)
+    # a zero before all, then those that aren't needed and a point at the end go ($10: group 1, then 0, as there is no group 10)
+    number = F.regexp_replace(F.regexp_replace(x, r"\A\+?(-?)", "$10"), r"\A(-?)0+(?=[0-9])|\.\z", "$1")
+    return F.when(F.regexp_like(x, F.lit(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)\z")), number)
 
 
 def _integer(t: Column) -> Column:
-    return F.when(F.regexp_like(t, F.lit(r"\A-?[0-9]+\z")), F.regexp_replace(F.regexp_replace(t, r"\A(-?)0+(?=[0-9])", "$1"), r"\A-0\z", "0"))
+    return F.when(F.regexp_like(t, F.lit(r"\A-?[0-9]+\z")), F.regexp_replace(t, r"\A(?:-(?=0+\z)|(-?))0*(?=[0-9])", "$1"))
 
 
 #: The steps of each repair. A step uses its input several times, so `operators.extraction` makes each a column of its own.
@@ -45,7 +44,7 @@ def _integer(t: Column) -> Column:
 STEPS: dict[str, tuple[Callable[[Column], Column], ...]] = {
     "string": (lambda v: F.trim(F.regexp_replace(v, r"(?U)\s+", " ")), lambda t: F.nullif(t, F.lit(""))),
     "date": (trimmed, _date),
-    "integer": (lambda v: F.replace(trimmed(v), F.lit("."), F.lit("")), _integer),
+    "integer": (trimmed, lambda t: _integer(F.replace(t, F.lit("."), F.lit("")))),
     "decimal": (trimmed, _one_point, _number),
 }
 

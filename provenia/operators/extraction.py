@@ -1,14 +1,11 @@
 """Fields from an instance's text: a capture that is unique, repaired, with a diagnosis."""
 
 import importlib
-import json
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
-from pyspark.sql.types import StringType, StructField, StructType
-from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from provenia.functions.dialect import captures, fence, unique_of
 from provenia.functions.repair import STEPS
@@ -19,6 +16,8 @@ NOT_EXTRACTED, NOT_NORMALISABLE, NORMALISED = "non_estratto", "non_normalizzabil
 TIER0, TIER1, DERIVED = "tier0", "tier1", "derivato"
 #: An extractor gives each field's diagnosis; others than the default can be passed to `plans.compiler.extract`.
 Extractor = Callable[[DataFrame, Schema], DataFrame]
+#: What an extractor repairs: instances with more columns, and by field the raw capture made of them.
+Captured = Callable[[DataFrame, Schema], tuple[DataFrame, dict[str, Column]]]
 
 
 def column(name: str) -> str:
@@ -44,45 +43,77 @@ def from_raw(instances: DataFrame, schema: Schema, raw: dict[str, Column]) -> Da
     return out.withColumns({column(f.name): told(f) for f in schema.fields}).drop(*captures, *[f"v_{f.name}" for f in schema.fields])
 
 
-def tier0(instances: DataFrame, schema: Schema) -> DataFrame:
-    """from_raw with the captures of the fields' rules."""
+def raw_by_rules(instances: DataFrame, schema: Schema) -> tuple[DataFrame, dict[str, Column]]:
+    """instances with m_<field>, all captures of each field that has a rule, and its raw value made of them."""
     ruled = [f for f in schema.fields if f.pattern]
     found = instances.withColumns({f"m_{f.name}": fence(captures(F.col("text"), f.pattern)) for f in ruled}) if ruled else instances
-    return from_raw(found, schema, {f.name: unique_of(F.col(f"m_{f.name}"), f.pattern) for f in ruled}).drop(*[f"m_{f.name}" for f in ruled])
+    return found, {f.name: unique_of(F.col(f"m_{f.name}"), f.pattern) for f in ruled}
+
+
+def tier0(instances: DataFrame, schema: Schema) -> DataFrame:
+    """from_raw with the captures of the fields' rules."""
+    found, raw = raw_by_rules(instances, schema)
+    return from_raw(found, schema, raw).drop(*[f"m_{n}" for n in raw])
+
+
+def finding(finder: str, names: list[str]) -> Callable[[pa.Array], pa.Array]:
+    """A batch of texts to a batch of structs, a raw value for each name, as the finder names them."""
+    module, _, name = finder.partition(":")
 
+    def find(texts: pa.Array) -> pa.Array:
+        told = getattr(importlib.import_module(module), name)
+        said = [told(t or "", list(names)) for t in texts.to_pylist()]
+        text = lambda v: None if v is None else str(v)
+        return pa.StructArray.from_arrays([pa.array([text(x.get(n)) for x in said], pa.string()) for n in names], [f"u_{i}" for i in range(len(names))])
 
-class Found:
-    """A table function of one row: a text's raw values, as a finder names them; analyze() makes its columns from the names asked for."""
+    return find
 
-    @staticmethod
-    def analyze(text: AnalyzeArgument, finder: AnalyzeArgument, names: AnalyzeArgument) -> AnalyzeResult:
-        return AnalyzeResult(StructType([StructField(f"u_{i}", StringType()) for i in range(len(json.loads(names.value)))]))
 
-    def eval(self, text: str | None, finder: str, names: str):
-        module, _, name = finder.partition(":")
-        asked = json.loads(names)
-        told = getattr(importlib.import_module(module), name)(text or "", asked)
-        yield tuple(None if told.get(n) is None else str(told[n]) for n in asked)
+def raw_by(finder: str) -> Captured:
+    """captured() by Python code: see found_by."""
+
+    def captured(instances: DataFrame, schema: Schema) -> tuple[DataFrame, dict[str, Column]]:
+        workers_find_package(instances.sparkSession)
+        names = [f.name for f in schema.fields]
+        if not names:
+            return instances, {}
+        kind = ", ".join(f"u_{i} string" for i in range(len(names)))
+        # said to differ each time, so that it is called once and not for each value
+        find = F.arrow_udf(finding(finder, names), f"struct<{kind.replace(' string', ': string')}>").asNondeterministic()
+        return instances.withColumn("_told", find(F.col("text"))), {n: F.col("_told")[f"u_{i}"] for i, n in enumerate(names)}
+
+    return captured
 
 
 def found_by(finder: str) -> Extractor:
     """An extractor whose raw values come from Python code, "module:function", that workers can import: (text, names) -> {name: raw value or None}.
 
-    It sees an instance's whole text, once. What it leaves out is not extracted; its values are repaired as those of patterns are. The rows stay as they are dealt: no shuffle.
+    It sees an instance's whole text, once, in Arrow batches. What it leaves out is not extracted; its values are repaired as those of patterns are. The rows stay as they are dealt: no shuffle.
     """
 
     def extractor(instances: DataFrame, schema: Schema) -> DataFrame:
-        spark = instances.sparkSession
-        workers_find_package(spark)
-        spark.udtf.register("provenia_found", udtf(Found, useArrow=True))
-        names = [f.name for f in schema.fields]
-        told = [F.col(f"u_{i}") for i in range(len(names))]
-        rows = spark.sql("SELECT i.*, u.* FROM {i} i, LATERAL provenia_found(i.text, :finder, :names) u", {"finder": finder, "names": json.dumps(names)}, i=instances)
-        return from_raw(rows, schema, dict(zip(names, told, strict=True))).drop(*[f"u_{i}" for i in range(len(names))])
+        rows, raw = raw_by(finder)(instances, schema)
+        return from_raw(rows, schema, raw).drop("_told")
 
     return extractor
 
 
+def found_rows(instances: DataFrame, schema: Schema, keys: list[str], captured: Captured = raw_by_rules) -> DataFrame:
+    """The rows of long_form over from_raw, for who asks for nothing else: raw captures become rows first, and a row is repaired by its own kind.
+
+    So the plan has each kind's repair once and not once for each field: code that long isn't compiled by the JVM, which then reads it step by step for each instance.
+    """
+    rows, raw = captured(instances, schema)
+    one = lambda i, f: F.struct(F.lit(f.name).alias("field"), F.lit(f.kind).alias("kind"), F.lit(i).alias("position"), F.lit(f.mandatory).alias("mandatory"), raw.get(f.name, F.lit(None).cast("string")).alias("raw"))
+    out = rows.select(*keys, F.inline(F.array(*[one(i, f) for i, f in enumerate(schema.fields)]))).withColumn("value", F.col("raw"))
+    kinds = list(dict.fromkeys(f.kind for f in schema.fields))
+    for i in range(max(len(STEPS[k]) for k in kinds)):
+        for step in dict.fromkeys(STEPS[k][i] for k in kinds if i < len(STEPS[k])):  # once for all kinds that have it
+            own = F.col("kind").isin([k for k in kinds if STEPS[k][i : i + 1] == (step,)])
+            out = out.withColumn("value", fence(F.when(own, step(F.col("value"))).otherwise(F.col("value"))))
+    return out.select(*keys, "field", "kind", "position", "mandatory", "value", "raw", diagnosis(F.col("raw"), F.col("value")).alias("outcome"), F.when(F.col("value").isNotNull(), TIER0).alias("origin"))
+
+
 def nothing(instances: DataFrame, schema: Schema) -> DataFrame:
     """The extractor that finds nothing."""
     none = F.lit(None).cast("string")

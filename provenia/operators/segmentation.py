@@ -41,19 +41,20 @@ def segments(rows: DataFrame, by: list[str], order: list[str], key: Column, name
 
 
 def segment_pages(pages: DataFrame, config: Segmentation | None) -> DataFrame:
-    """pages(file, page_no, text, page_type) with segment and seg_confidence.
+    """pages(file, page_no, text, page_type) with segment, seg_confidence and last_segment, the file's greatest segment.
 
     In this order: no config is one certain instance; fewer pages than twice the least, all digital, too, without reading text; any page that isn't
     digital makes one of unknown bounds; no key on any page makes a presumed one; else the keys cut the file, with certainty.
     """
     if config is None:
-        return pages.withColumn("segment", F.lit(0).cast("long")).withColumn("seg_confidence", F.lit(CERTAIN))
+        return pages.withColumn("segment", F.lit(0).cast("long")).withColumn("seg_confidence", F.lit(CERTAIN)).withColumn("last_segment", F.lit(0).cast("long"))
     file = Window.partitionBy("file").orderBy("page_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # ordered as the segments' windows: one step
     out = segments(pages.withColumn("_own", first_capture(F.col("text"), config.pattern)), ["file"], ["page_no"], F.col("_own"))
-    out = out.withColumn("_pages", F.count("*").over(file)).withColumn("_digital", F.min(F.col("page_type") == DIGITAL).over(file)).withColumn("_keys", F.count("_own").over(file))
+    out = out.withColumn("_pages", F.count("*").over(file)).withColumn("_digital", F.min(F.col("page_type") == DIGITAL).over(file)).withColumn("_keys", F.count("_own").over(file)).withColumn("_last", F.max("segment").over(file))
     kind = F.when((F.col("_pages") < 2 * config.least_pages) & F.col("_digital"), CERTAIN).when(~F.col("_digital"), UNKNOWN).when(F.col("_keys") == 0, PRESUMED).otherwise("cut")
-    out = out.withColumn("_kind", kind).withColumn("segment", F.when(F.col("_kind") == "cut", F.col("segment")).otherwise(F.lit(0)))
-    return out.withColumn("seg_confidence", F.when(F.col("_kind") == "cut", CERTAIN).otherwise(F.col("_kind"))).drop("_own", "_pages", "_digital", "_keys", "_kind")
+    cut = lambda c: F.when(F.col("_kind") == "cut", F.col(c)).otherwise(F.lit(0))
+    out = out.withColumn("_kind", kind).withColumn("segment", cut("segment")).withColumn("last_segment", cut("_last"))
+    return out.withColumn("seg_confidence", F.when(F.col("_kind") == "cut", CERTAIN).otherwise(F.col("_kind"))).drop("_own", "_pages", "_digital", "_keys", "_kind", "_last")
 
 
 def instance_text(groups: GroupedData, *more: Column) -> DataFrame:
@@ -72,7 +73,6 @@ def instances(pages: DataFrame, config: Segmentation | None) -> DataFrame:
     Windows and groups go by file: one shuffle.
     """
     out = segment_pages(pages, config)
-    out = instance_text(out.groupBy("file", "segment"), F.min("page_no").alias("page_from"), F.max("page_no").alias("page_to"), F.first("seg_confidence").alias("seg_confidence"))
-    out = out.withColumn("_segments", F.max("segment").over(Window.partitionBy("file")))
-    name = F.when(F.col("_segments") == 0, stem(F.col("file"))).otherwise(F.concat(stem(F.col("file")), letters(F.col("segment"))))
+    out = instance_text(out.groupBy("file", "segment"), F.min("page_no").alias("page_from"), F.max("page_no").alias("page_to"), F.first("seg_confidence").alias("seg_confidence"), F.first("last_segment").alias("last_segment"))
+    name = F.when(F.col("last_segment") == 0, stem(F.col("file"))).otherwise(F.concat(stem(F.col("file")), letters(F.col("segment"))))
     return out.select("file", name.alias("instance_id"), "segment", "page_from", F.greatest("page_to", F.lit(1)).alias("page_to"), "seg_confidence", "pages", "text")

@@ -14,7 +14,7 @@ from provenia.operators import cost, evaluation
 from provenia.operators.arbitration import arbitrate, arbitration_stats
 from provenia.operators.classify import classify, classify_files
 from provenia.operators.dispatch import with_providers
-from provenia.operators.extraction import Extractor, found_by, long_form, missing, tier0
+from provenia.operators.extraction import Captured, found_rows, long_form, missing, raw_by, raw_by_rules, tier0
 from provenia.operators.invariants import with_judgements
 from provenia.operators.orientation import page_orientation
 from provenia.operators.ranges import declared_pages
@@ -45,7 +45,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tier 0 on the bills: a row for each field of each instance, before derivation."""
     schema = shipped(BILL)
-    return long_form(tier0(instances(prepared(bill_pages(spark, sf_dir)), schema.segmentation), schema), schema, ["file", "instance_id", "segment"])
+    return found_rows(instances(prepared(bill_pages(spark, sf_dir)), schema.segmentation), schema, ["file", "instance_id", "segment"])
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,20 +97,19 @@ def labelled_values(text: str, names: list[str]) -> dict[str, str | None]:
     return {n: min(seen[labels[n]]) for n in names if len(seen.get(labels[n], ())) == 1}
 
 
-def by_label(spark: SparkSession, sf_dir: str, extractor: Extractor) -> DataFrame:
-    schema = parse(LABELS)
-    found = extractor(instances(prepared(bill_pages(spark, sf_dir)), shipped(BILL).segmentation), schema)
-    return long_form(found, schema, ["file", "instance_id"]).select("file", "instance_id", "field", "value", "raw", "outcome")
+def by_label(spark: SparkSession, sf_dir: str, captured: Captured) -> DataFrame:
+    found = instances(prepared(bill_pages(spark, sf_dir)), shipped(BILL).segmentation)
+    return found_rows(found, parse(LABELS), ["file", "instance_id"], captured).select("file", "instance_id", "field", "value", "raw", "outcome")
 
 
 @query
 def extract_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_label(spark, sf_dir, tier0)
+    return by_label(spark, sf_dir, raw_by_rules)
 
 
 @query
 def extract_found_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_label(spark, sf_dir, found_by("provenia.queries:labelled_values"))
+    return by_label(spark, sf_dir, raw_by("provenia.queries:labelled_values"))
 
 
 @query
