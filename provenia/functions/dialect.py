@@ -40,3 +40,13 @@ def fence(x: Column) -> Column:
     """x, computed once where it stands. The condition always holds, but Catalyst takes it for one that may differ each time, and so neither copies x into each of
     its uses nor pushes filters on it below: chains of long expressions would otherwise multiply into plans that take minutes to make."""
     return F.when(F.expr("monotonically_increasing_id() >= 0"), x)
+
+
+def walled(columns: dict[str, Column]) -> dict[str, Column]:
+    """The columns of one step, each behind a fence, the first behind one that is called by reflection and so isn't part of whole-stage code.
+
+    The step is then compiled on its own, in small methods, and not in one with its neighbours: the JVM leaves methods of 8,000 bytes and more to its interpreter. A row is
+    copied at each wall, so they stand only where the code between them would be too long.
+    """
+    wall = F.expr("reflect('java.lang.Integer', 'signum', 1) = '1'")
+    return {c: F.when(wall, x) if k == 0 else fence(x) for k, (c, x) in enumerate(columns.items())}

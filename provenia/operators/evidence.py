@@ -6,7 +6,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenia.functions.dialect import fence
+from provenia.functions.dialect import walled
 from provenia.operators.extraction import DERIVED, TIER0, TIER1, column
 from provenia.plans.schema import Field, Schema
 
@@ -56,7 +56,7 @@ def confidence(value: Column, origin: Column, failed: Column) -> Column:
 def with_evidence(df: DataFrame, schema: Schema, tier1: bool = False, error: Column | None = None) -> DataFrame:
     """df with e_<field> and c_<field> (confidence). Only the details stand behind a fence, so a reader of one part of the evidence has only that part made."""
     error = F.lit(None).cast("string") if error is None else error
-    out = df.withColumns({f"_j_{f.name}": fence(detail(f, schema)) for f in schema.fields} | {"_error": error})
+    out = df.withColumns(walled({f"_j_{f.name}": detail(f, schema) for f in schema.fields}) | {"_error": error})
     made = {f"e_{f.name}": evidence(f, schema, tier1) for f in schema.fields}
     sure = {f"c_{f.name}": confidence(F.col(column(f.name))["value"], F.col(column(f.name))["origin"], F.expr(count(f, schema, True))) for f in schema.fields}
     return out.withColumns(made | sure).drop("_error", *[f"_j_{f.name}" for f in schema.fields])

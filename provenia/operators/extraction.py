@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenia.functions.dialect import captures, fence, unique_of
+from provenia.functions.dialect import captures, fence, unique_of, walled
 from provenia.functions.repair import STEPS
 from provenia.operators.stages import workers_find_package
 from provenia.plans.schema import Field, Schema
@@ -29,24 +29,29 @@ def diagnosis(raw: Column, value: Column) -> Column:
 
 
 def from_raw(instances: DataFrame, schema: Schema, raw: dict[str, Column]) -> DataFrame:
-    """instances with f_<field>: struct(value, raw, outcome, origin) for each field of the schema, from the raw captures of those that have one."""
+    """instances with f_<field>: struct(value, raw, outcome, origin) for each field of the schema, from the raw captures of those that have one.
+
+    Raw values and the first step of their repair are made in one go: raw stands in both, which compiled code takes for one.
+    """
     none = F.lit(None).cast("string")
-    captures = {f"r_{f.name}": fence(raw[f.name]) if f.name in raw else none for f in schema.fields}
-    out = instances.withColumns(captures).withColumns({f"v_{f.name}": F.col(f"r_{f.name}") for f in schema.fields})
-    for i in range(max(len(STEPS[f.kind]) for f in schema.fields)):  # a step for all fields at a time: each has its input as a column, which it names more than once
-        out = out.withColumns({f"v_{f.name}": fence(STEPS[f.kind][i](F.col(f"v_{f.name}"))) for f in schema.fields if i < len(STEPS[f.kind]) and f.name in raw})
+    steps = {f.name: STEPS[f.kind] if f.name in raw else () for f in schema.fields}
+    first = {f"r_{n}": raw[n] for n in steps if n in raw} | {f"v_{n}": steps[n][0](raw[n]) for n in steps if n in raw}
+    out = instances.withColumns(walled(first) | {f"{x}_{n}": none for n in steps if n not in raw for x in "rv"})
+    for i in range(1, max(map(len, steps.values()))):  # a step for all fields at a time: each has its input as a column, which it names more than once
+        more = {f"v_{n}": steps[n][i](F.col(f"v_{n}")) for n in steps if i < len(steps[n])}
+        out = out.withColumns(walled(more) if i == 1 else {c: fence(x) for c, x in more.items()})
 
     def told(f: Field) -> Column:
         r, v = F.col(f"r_{f.name}"), F.col(f"v_{f.name}")
         return F.struct(v.alias("value"), r.alias("raw"), diagnosis(r, v).alias("outcome"), F.when(v.isNotNull(), TIER0).alias("origin"))
 
-    return out.withColumns({column(f.name): told(f) for f in schema.fields}).drop(*captures, *[f"v_{f.name}" for f in schema.fields])
+    return out.withColumns({column(f.name): told(f) for f in schema.fields}).drop(*[f"{x}_{f.name}" for f in schema.fields for x in "rv"])
 
 
 def raw_by_rules(instances: DataFrame, schema: Schema) -> tuple[DataFrame, dict[str, Column]]:
     """instances with m_<field>, all captures of each field that has a rule, and its raw value made of them."""
     ruled = [f for f in schema.fields if f.pattern]
-    found = instances.withColumns({f"m_{f.name}": fence(captures(F.col("text"), f.pattern)) for f in ruled}) if ruled else instances
+    found = instances.withColumns(walled({f"m_{f.name}": captures(F.col("text"), f.pattern) for f in ruled})) if ruled else instances
     return found, {f.name: unique_of(F.col(f"m_{f.name}"), f.pattern) for f in ruled}
 
 

@@ -6,7 +6,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenia.functions.dialect import fence
+from provenia.functions.dialect import fence, walled
 from provenia.functions.patterns import java_full
 from provenia.functions.repair import as_date, as_decimal, as_integer, decimal_text, scale_of
 from provenia.operators.extraction import DERIVED, column
@@ -29,7 +29,7 @@ def with_readings(df: DataFrame, invariants: list[Invariant], text: Callable[[st
     """df with each reading that the invariants need as a column, once; how to get at them; and their names."""
     wanted = dict.fromkeys(x for i in invariants for x in needs(i))
     name = {x: f"_{x[1].__name__}_{x[0]}" for x in wanted}
-    out = df.withColumns({name[n, read]: fence(read(text(n))) for n, read in wanted}) if wanted else df
+    out = df.withColumns(walled({name[n, read]: read(text(n)) for n, read in wanted})) if wanted else df
     return out, lambda n, read=None: text(n) if read is None else F.col(name[n, read]), list(name.values())
 
 
@@ -114,7 +114,7 @@ def with_judgements(df: DataFrame, schema: Schema, value: Callable[[str], Column
     for i in schema.invariants:
         x = judged(i, v, strict)
         every.append(F.struct(*[x[c].alias(c) for c in ("id", "severity", "evaluated", "message")], F.array(*map(F.lit, i.fields())).alias("fields")))
-    return df.withColumn("judged", fence(F.array(*every) if every else F.array().cast(JUDGED))).drop(*made)
+    return df.withColumns(walled({"judged": F.array(*every) if every else F.array().cast(JUDGED)})).drop(*made)
 
 
 def violations() -> Column:
@@ -141,6 +141,17 @@ DERIVING = ("differenza_giorni", "somma_approssimata")
 LINEAGE = "array<struct<tipo:string,invariante_id:string,da_campi:array<string>>>"
 
 
+def apart(invariants: list[Invariant]) -> list[list[Invariant]]:
+    """The invariants in their order, cut into runs in which no two share a field: those of a run can't see each other's values."""
+    out: list[list[Invariant]] = []
+    for i in invariants:
+        if out and not any(set(i.fields()) & set(j.fields()) for j in out[-1]):
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
 def derive(df: DataFrame, schema: Schema) -> DataFrame:
     """df with missing fields filled by one pass over the invariants in the order of the schema: later ones see what earlier ones gave, none is looked at twice.
 
@@ -151,24 +162,23 @@ def derive(df: DataFrame, schema: Schema) -> DataFrame:
     for f in schema.fields:
         if f"d_{f.name}" not in out.columns:
             out = out.withColumn(f"d_{f.name}", F.array().cast(LINEAGE))
-    for i in schema.invariants:
-        if i.kind not in DERIVING:
-            continue
-        out, v, made = with_readings(out, [i], text)
-        found: dict[str, Column] = {}
-        for target in dict.fromkeys(i.fields()):
-            value = derived_value(i, target, v)
-            if value is not None:
-                ready = v(target).isNull()
-                for n in i.fields():
-                    ready = ready if n == target else ready & v(n).isNotNull()
-                found[target] = F.when(ready, value)
+    for run in apart([i for i in schema.invariants if i.kind in DERIVING]):
+        out, v, made = with_readings(out, run, text)
+        found: dict[str, tuple[Invariant, Column]] = {}
+        for i in run:
+            for target in dict.fromkeys(i.fields()):
+                value = derived_value(i, target, v)
+                if value is not None:
+                    ready = v(target).isNull()
+                    for n in i.fields():
+                        ready = ready if n == target else ready & v(n).isNotNull()
+                    found[target] = i, F.when(ready, value)
         # Values are columns of their own and structs only name them: Catalyst copies what a struct is made of into each use of its fields.
-        out = out.withColumns({f"t_{n}": x for n, x in found.items()})
+        out = out.withColumns(walled({f"t_{n}": x for n, (_, x) in found.items()}))
         merged = {f"n_{n}": fence(F.coalesce(F.col(column(n))["value"], F.col(f"t_{n}"))) for n in found} | {f"o_{n}": F.when(F.col(f"t_{n}").isNotNull(), DERIVED).otherwise(F.col(column(n))["origin"]) for n in found}
         out = out.withColumns(merged)
         steps: dict[str, Column] = {}
-        for n in found:
+        for n, (i, _) in found.items():
             old, new = F.col(column(n)), F.col(f"t_{n}")
             steps[column(n)] = F.struct(F.col(f"n_{n}").alias("value"), old["raw"].alias("raw"), old["outcome"].alias("outcome"), F.col(f"o_{n}").alias("origin"))
             how = F.array(F.struct(F.lit(i.kind).alias("tipo"), F.lit(i.id).alias("invariante_id"), F.array(*[F.lit(x) for x in i.fields() if x != n]).alias("da_campi"))).cast(LINEAGE)
