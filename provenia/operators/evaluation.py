@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from provenia.functions.dialect import fence, walled
 from provenia.functions.repair import same_value
 from provenia.operators.extraction import NORMALISED, NOT_EXTRACTED, NOT_NORMALISABLE, column
 from provenia.operators.selection import medians
@@ -49,10 +50,12 @@ def paired(expected: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def compared_cells(pairs: DataFrame, cells: dict[str, tuple[str, Column]]) -> DataFrame:
-    """Of paired documents the rows of compared; cells: for each field its kind and the column of pairs that has the truth."""
-    one = lambda n, kind, truth: F.struct(F.lit(n).alias("field"), F.lit(kind).alias("kind"), F.col(column(n))["value"].alias("value"), F.coalesce(F.col(column(n))["outcome"], F.lit(NOT_EXTRACTED)).alias("outcome"), truth.cast("string").alias("expected"))
-    out = pairs.select("doc_key", "misaligned", F.inline(F.array(*[one(n, kind, truth) for n, (kind, truth) in cells.items()])))
-    return out.withColumn("correct", ~F.col("misaligned") & same_by_kind(F.col("value"), F.col("expected"), F.col("kind"))).select("doc_key", "field", "kind", "value", "outcome", "expected", "misaligned", "correct")
+    """Of paired documents the rows of compared; cells: for each field its kind and the column of pairs that has the truth. A field is compared as its own kind only, before it is a row."""
+    truths = pairs.withColumns({f"_t_{n}": fence(truth.cast("string")) for n, (_, truth) in cells.items()})
+    right = lambda n, kind: ~F.col("misaligned") & same_value(F.col(column(n))["value"], F.col(f"_t_{n}"), kind)
+    told = truths.withColumns(walled({f"_c_{n}": right(n, kind) for n, (kind, _) in cells.items()}))
+    one = lambda n, kind: F.struct(F.lit(n).alias("field"), F.lit(kind).alias("kind"), F.col(column(n))["value"].alias("value"), F.coalesce(F.col(column(n))["outcome"], F.lit(NOT_EXTRACTED)).alias("outcome"), F.col(f"_t_{n}").alias("expected"), F.col("misaligned"), F.col(f"_c_{n}").alias("correct"))
+    return told.select("doc_key", F.inline(F.array(*[one(n, kind) for n, (kind, _) in cells.items()]))).select("doc_key", "field", "kind", "value", "outcome", "expected", "misaligned", "correct")
 
 
 def paired_verdicts(pairs: DataFrame, any_mandatory: bool) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from provenia.operators.evaluation import compared_cells, same_by_kind
 from provenia.operators.extraction import from_raw, tier0
 from provenia.operators.invariants import apart
 from provenia.plans.schema import Field, Invariant, Schema, parse
@@ -11,7 +12,7 @@ from provenia.queries import QUERIES
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("query", ["result_json", "eval_verdicts", "gate_verdicts", "derive_values"])
+@pytest.mark.parametrize("query", ["result_json", "eval_diagnosis", "eval_field_accuracy", "eval_document_accuracy", "eval_verdicts", "gate_verdicts", "derive_values"])
 def test_wide_methods_are_compiled(spark, query):
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -43,3 +44,14 @@ def test_runs_share_no_field():
     of = lambda n, *names: Invariant(n, "somma_approssimata", "warning", {"addendi": list(names[:-1]), "totale": names[-1], "tolleranza_relativa": 0})
     every = [of("1", "a", "b", "t"), of("2", "c", "d"), of("3", "t", "u"), of("4", "e", "f"), of("5", "u", "e")]
     assert [[i.id for i in run] for run in apart(every)] == [["1", "2"], ["3", "4"], ["5"]]
+
+
+def test_cells_as_by_kind(spark):
+    cases = [("string", " X ", "x"), ("string", None, None), ("date", "2024-02-29", "2024-02-29"), ("date", "x", "2024-01-01"), ("integer", "07", "7"), ("decimal", "1.50", "1.5"), ("decimal", None, "1"), ("decimal", "1", None)]
+    one = "struct<value:string,outcome:string>"
+    for misaligned in (False, True):
+        df = spark.createDataFrame([("D", misaligned, *[(v, "o") for _, v, _ in cases], *[t for _, _, t in cases])], ", ".join(["doc_key string", "misaligned boolean", *[f"f_{i} {one}" for i in range(8)], *[f"t{i} string" for i in range(8)]]))
+        got = [r["correct"] for r in compared_cells(df, {str(i): (k, F.col(f"t{i}")) for i, (k, _, _) in enumerate(cases)}).orderBy("field").collect()]
+        flat = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, kind string, value string, expected string").orderBy("i")
+        want = [r["c"] for r in flat.select((~F.lit(misaligned) & same_by_kind(F.col("value"), F.col("expected"), F.col("kind"))).alias("c")).collect()]
+        assert got == want
