@@ -23,12 +23,15 @@ RANGE_TOKENS = 4_000_000
 SENT = "block string, range int, keys binary, numbers binary, groups binary"
 RETURNED = "block string, range int, numbers binary, total long, kinds long, once array<long>, all array<long>"
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: By byte, whether it is white space.
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def pack(a: np.ndarray) -> bytes:
     """Numbers as compressed planes of bytes: the upper bytes of sorted or small numbers take no space."""
     a = np.ascontiguousarray(a)
-    planes = a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T)  # tobytes alone goes byte by byte
     return zstandard.ZstdCompressor(level=1).compress(a.dtype.str.encode() + planes.tobytes())
 
 
@@ -57,6 +60,58 @@ def hashed_words(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
 
 
+def coded_words(texts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of texts one after another, as `hashed_words` has them: each word's place in a vocabulary of sorted hashes, that, and each text's words.
+
+    Arrow tells words apart by their bytes, so that each distinct one becomes a Python object and is hashed once in a block.
+    """
+    a = pa.concat_arrays([t.cast(pa.large_binary()) for t in texts]).fill_null(b"")
+    at = np.frombuffer(a.buffers()[1], np.int64, len(a) + 1, 8 * a.offset)
+    data = a.buffers()[2]
+    raw = np.frombuffer(data.slice(at[0], at[-1] - at[0]).to_pybytes().lower() if data else b"", np.uint8)
+    at = at - at[0]
+    letter = ~BLANK[raw]
+    first, last = letter.copy(), letter.copy()  # of a word; a word ends where its text does
+    first[1:] &= ~letter[:-1]
+    last[:-1] &= ~letter[1:]
+    border = at[(at > 0) & (at < len(raw))]
+    first[border] = letter[border]
+    last[border - 1] = letter[border - 1]
+    start = np.flatnonzero(first)
+    ends = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(np.flatnonzero(last) - start + 1, out=ends[1:])
+    found = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(raw[letter])]).dictionary_encode()
+    distinct = found.dictionary
+    cut = np.frombuffer(distinct.buffers()[1], np.int64, len(distinct) + 1, 8 * distinct.offset).tolist()
+    said = distinct.buffers()[2].to_pybytes() if len(distinct) else b""
+    vocab = np.fromiter((xxhash.xxh3_64_intdigest(said[i:j]) for i, j in zip(cut, cut[1:], strict=False)), np.uint64, len(distinct))
+    order = np.argsort(vocab)
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    return place[found.indices.to_numpy()], vocab[order], np.diff(np.searchsorted(start, at))
+
+
+def sorted_order(keys: np.ndarray) -> np.ndarray:
+    """An order in which keys are sorted. Keys' upper bits and places are sorted as one number, some times faster than places by keys; where the bits cut off tell keys apart, by keys."""
+    n = len(keys)
+    if not n:
+        return np.zeros(0, np.int64)
+    bits = np.uint64((n - 1).bit_length())
+    least = keys.min()
+    span = int(keys.max() - least).bit_length()
+    over = np.uint64(max(0, span + int(bits) - 64))
+    both = ((keys - least) >> over << bits) | np.arange(n, dtype=np.uint64)
+    both.sort()
+    order = (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    found = keys[order]
+    return order if not over or (found[1:] >= found[:-1]).all() else np.argsort(keys)
+
+
+def narrow(a: np.ndarray) -> np.ndarray:
+    """Counts as the smallest unsigned numbers that hold them."""
+    return a.astype(np.min_scalar_type(int(a.max()))) if len(a) else a
+
+
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of pairs in which order counts."""
     x = (a ^ (a >> np.uint64(32))) * MIX + b
@@ -107,16 +162,21 @@ def summed(kinds: int):
     def each(table: pa.Table) -> pa.Table:
         keys = [unpack(x.as_py()) for x in table["keys"]]
         sizes = np.array([len(k) for k in keys])
-        uniq, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(at, np.concatenate([unpack(x.as_py()) for x in table["numbers"]]).astype(np.float64), minlength=len(uniq)).astype(np.uint64)
-        group = np.zeros(len(uniq), np.uint8)
+        every = np.concatenate(keys)
+        order = sorted_order(every)
+        new = np.concatenate([[True], np.diff(every[order]) != 0])
+        numbers = np.concatenate([unpack(x.as_py()) for x in table["numbers"]])
+        sums = np.add.reduceat(numbers[order], np.flatnonzero(new), dtype=np.uint64)
+        at = np.empty(len(every), np.int64)
+        at[order] = np.cumsum(new) - 1
+        group = np.zeros(len(sums), np.uint8)
         if table["groups"].null_count == 0:
             group[at] = np.concatenate([unpack(x.as_py()) for x in table["groups"]])
         once = np.bincount(group[sums == 1], minlength=kinds).tolist()
-        every = np.bincount(group, sums.astype(np.float64), minlength=kinds).astype(np.int64).tolist()
-        back = [pack(x) for x in np.split(sums[at].astype(np.uint32 if sums.max() < 1 << 32 else np.uint64), np.cumsum(sizes)[:-1])]
+        total = np.bincount(group, sums.astype(np.float64), minlength=kinds).astype(np.int64).tolist()
+        back = [pack(narrow(x)) for x in np.split(sums[at], np.cumsum(sizes)[:-1])]
         n = len(keys)
-        columns = [table["block"], table["range"], pa.array(back, pa.binary()), pa.array([int(sums.sum())] * n), pa.array([int((sums > 0).sum())] * n), pa.array([once] * n, pa.list_(pa.int64())), pa.array([every] * n, pa.list_(pa.int64()))]
+        columns = [table["block"], table["range"], pa.array(back, pa.binary()), pa.array([int(sums.sum())] * n), pa.array([int((sums > 0).sum())] * n), pa.array([once] * n, pa.list_(pa.int64())), pa.array([total] * n, pa.list_(pa.int64()))]
         return pa.table(columns, ["block", "range", "numbers", "total", "kinds", "once", "all"])
 
     return each

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenia.llm.blocks import RETURNED, SENT, WordHashes, blocks_of, hashed_words, mix, pack, ranges_for, sent, summed, together, unpack
+from provenia.llm.blocks import RETURNED, SENT, blocks_of, coded_words, mix, narrow, pack, ranges_for, sent, sorted_order, summed, together, unpack
 from provenia.llm.common import parallelism, stage, stage_by, unstage, workers_find_package
 from provenia.llm.components import components
 
@@ -17,6 +17,8 @@ from provenia.llm.components import components
 WORDS, SHARE, PART = 5, 75, 100
 #: Shingles of the sets that one tree holds; larger groups are cut into chunks.
 CHUNK = 400_000
+#: Sets of a tree, and numbers in each on average, from which on sketches tell which subtrees a query needn't enter.
+MANY, LONG = 48, 64
 #: Corpus counts tell shingles apart by the upper 48 bits of their hash. Two that fall together only count higher, which loses no link.
 COUNTED = ~np.uint64(0xFFFF)
 
@@ -67,7 +69,7 @@ def shingle_sets(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.n
 def key_places(flat: np.ndarray) -> np.ndarray:
     """Of each shingle, the place of its COUNTED key among the distinct ones, sorted: of one sort, as a search for each is slow beyond the cache."""
     keys = flat & COUNTED
-    order = np.argsort(keys)
+    order = sorted_order(keys)
     keys = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
@@ -133,13 +135,22 @@ class Tree:
         return root
 
 
+def sketches(sequences: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each set of numbers, in words: eight times as many bits as numbers on average or more; each number sets one."""
+    sizes = np.array([len(x) for x in sequences])
+    width = 64 << max(0, int(8 * sizes.mean()) // 64).bit_length()
+    bits = np.zeros((len(sequences), width), bool)
+    bits[np.repeat(np.arange(len(sizes)), sizes), np.concatenate(sequences) % width] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
 def tree_links(table: pa.Table) -> pa.Table:
     """Links (a, b) that connect what is linked within a group of sets: node, n, tokens, side, label.
 
     side 0 is query and data, 1 query only, 2 data only; sets of equal label are connected already. Sets become sequences in one global order,
     most frequent shingle first; a query walks the tree with the overlap so far, which all sets below a node share, and leaves a
     subtree when the overlap with the shorter rest can't reach what the least size there needs, when no size there is within the
-    threshold, or when all its sets are connected with the query. Each link joins two components, so there are fewer than sets.
+    threshold, when by their sketches too many of the query's numbers are missing in each set there, or when all its sets are connected with the query. Each link joins two components, so there are fewer than sets.
     """
     nodes, n = table["node"].to_pylist(), table["n"].to_numpy()
     side, label = table["side"].to_numpy(), table["label"].to_pylist()
@@ -173,6 +184,8 @@ def tree_links(table: pa.Table) -> pa.Table:
         marks = np.zeros(keep, np.int64)
         queries = [i for i in (data if not (side == 1).any() else range(len(nodes))) if side[i] != 2]
         roots, changes, fresh = None, None, 0
+        sketch = sketches(sequences) if len(data) >= MANY and len(flat) >= LONG * len(nodes) else None
+        of_data, n_data = (sketch[data], n[data]) if sketch is not None else (None, None)
         for done, q in enumerate(queries):
             if done >= fresh:  # which subtrees are connected as a whole is found anew at each doubling
                 roots = np.array([find(i) for i in data])
@@ -180,14 +193,21 @@ def tree_links(table: pa.Table) -> pa.Table:
                 whole = (changes[tree.last_at] == changes[tree.lo_at]).tolist()
                 fresh = 2 * done + 1
             own, nq = sequences[q], int(n[q])
+            here = place.get(q, -1) if side[q] == 0 else -1
+            below = None
+            if sketch is not None:  # a bit of the query's that a set lacks is a number that it lacks
+                lacks = np.bitwise_count(sketch[q] & ~of_data[here + 1 :]).sum(1, dtype=np.int64)
+                may = (PART + SHARE) * (len(own) - lacks) >= SHARE * (nq + n_data[here + 1 :])
+                if not may.any():
+                    continue
+                below = [0] * (here + 2) + np.cumsum(may).tolist()  # how many sets before each place may link
             marks[own] = 1
             after = len(own) - np.searchsorted(own, np.arange(keep + 1))  # of the query's numbers, those from each number on
-            here = place.get(q, -1) if side[q] == 0 else -1
             mine = find(q)
             todo = [(tree.root, 0)]
             while todo:
                 at_node, overlap = todo.pop()
-                if tree.hi[at_node] <= here + 1 or whole[at_node] and find(data[tree.lo[at_node]]) == mine:
+                if tree.hi[at_node] <= here + 1 or below and below[tree.hi[at_node]] == below[tree.lo[at_node]] or whole[at_node] and find(data[tree.lo[at_node]]) == mine:
                     continue
                 if PART * tree.most[at_node] < SHARE * nq or SHARE * tree.least[at_node] > PART * nq:
                     continue
@@ -226,19 +246,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     workers_find_package(spark)
 
     def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for block in blocks_of(batches, 1):
-            ids, words = [], []
-            for b in block:
-                ids += b.column(0).to_pylist()
-                words += [hashed_words(t.as_py(), hashes) for t in b.column(1)]
-            coded = pa.array(np.concatenate(words)).dictionary_encode()
-            vocab = coded.dictionary.to_numpy()
-            order = np.argsort(vocab)
-            place = np.empty(len(order), np.uint32)
-            place[order] = np.arange(len(order), dtype=np.uint32)
-            vocab, at = vocab[order], place[coded.indices.to_numpy()]
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([len(at)]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(w) for w in words]], pa.list_(pa.int32())), pa.array([pack(at)]), pa.array([pack(vocab)])], ["block", "tokens", "ids", "sizes", "words", "vocab"])
+            ids = [i for b in block for i in b.column(0).to_pylist()]
+            at, vocab, sizes = coded_words([b.column(1) for b in block])
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([len(at)]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([pack(at)]), pa.array([pack(vocab)])], ["block", "tokens", "ids", "sizes", "words", "vocab"])
 
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     blocks = stage_by(base.mapInArrow(read_blocks, "block string, tokens long, ids array<long>, sizes array<int>, words binary, vocab binary"), "block", "jaccard-blocks")
@@ -252,7 +263,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for row in b.to_pylist():
                 # twice or more within a block is all that matters here: equal sets of a block count once each, as in other blocks
                 found, count = np.unique(sets_of(row)[0] & COUNTED, return_counts=True)
-                yield sent(row["block"], found, count.astype(np.uint32), None, ranges)
+                yield sent(row["block"], found, narrow(count), None, ranges)
 
     counted = stage(blocks.select("block", "sizes", "words", "vocab").mapInArrow(keys, SENT).groupBy("range").applyInArrow(summed(1), RETURNED).select("block", "range", "numbers"), "jaccard-counts")
 
@@ -284,13 +295,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unstage(blocks, counted)
 
     nodes = stage(found.filter("tokens is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "jaccard-nodes")
-    prefixes = stage(nodes.select("node", F.explode("prefix").alias("token")), "jaccard-prefixes")
+    # who may link is told by 64-bit hashes of nodes, as sets are by those of words: Spark sums numbers without sorting
+    prefixes = stage(nodes.select(F.xxhash64("node").alias("node"), F.explode("prefix").alias("token")), "jaccard-prefixes")
     leaders = stage(prefixes.groupBy("token").agg(F.min("node").alias("leader"), F.count("*").alias("holders")).filter("holders > 1").drop("holders"), "jaccard-leaders")
     candidates_of = prefixes.join(leaders.hint("merge"), "token").filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     groups = components(candidates_of)
     unstage(prefixes, leaders)
 
-    sets = stage(nodes.drop("prefix").join(groups.withColumnRenamed("component", "group").hint("merge"), "node"), "jaccard-grouped")
+    sets = stage(nodes.drop("prefix").withColumn("hash", F.xxhash64("node")).join(groups.select(F.col("node").alias("hash"), F.col("component").alias("group")).hint("merge"), "hash").drop("hash"), "jaccard-grouped")
     unstage(groups, nodes)
     of_group = sets.groupBy("group").agg(F.ceil(F.sum("size") / CHUNK).alias("chunks"), F.min("node").alias("pivot"))
     of_group = stage(of_group, "jaccard-groups")
